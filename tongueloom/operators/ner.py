@@ -112,22 +112,23 @@ def spans(tags: Column) -> Column:
     A span starts at ``B-x``, or at ``I-x`` after ``O``, nothing or another type, and ends before the
     next start or ``O``. Starts and ends pair up in order, so no shuffle and no window is needed.
     """
-    n = F.size(tags)
+    none = F.array(F.lit(None).cast("string"))
     kind = lambda t: F.substring(t, 3, 1000)
-    at = lambda i: F.get(tags, i)  # noqa: E731  (null outside)
+    before = F.slice(F.concat(none, tags), F.lit(1), F.size(tags))
+    after = F.slice(F.concat(tags, none), F.lit(2), F.size(tags))
 
-    def starts_at(i: Column) -> Column:
-        here, before = at(i), at(i - 1)
-        fresh = here.startswith("B-") | before.isNull() | (before == "O") | (kind(before) != kind(here))
-        return (here != "O") & F.coalesce(fresh, F.lit(True))
+    def opens(t: Column, b: Column) -> Column:
+        return (t != "O") & (b.isNull() | t.startswith("B-") | (b == "O") | (kind(b) != kind(t)))
 
-    def ends_at(i: Column) -> Column:
-        return (at(i) != "O") & (at(i + 1).isNull() | (at(i + 1) == "O") | starts_at(i + 1))
+    def closes(t: Column, a: Column) -> Column:
+        return (t != "O") & (a.isNull() | (a == "O") | opens(a, t))
+
+    def places(flags: Column) -> Column:
+        return F.filter(F.transform(flags, lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
 
-    everywhere = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     return F.zip_with(
-        F.filter(everywhere, starts_at), F.filter(everywhere, ends_at),
-        lambda s, e: F.struct(kind(at(s)).alias("type"), s.alias("start"), e.alias("end")),
+        places(F.zip_with(tags, before, opens)), places(F.zip_with(tags, after, closes)),
+        lambda s, e: F.struct(kind(F.get(tags, s)).alias("type"), s.alias("start"), e.alias("end")),
     )
 
 

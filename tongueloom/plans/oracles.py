@@ -17,7 +17,7 @@ def _bpe() -> dict[str, str]:
               select s, n, unnest(range(1, len(s))) as k from (select string_split(trim(sym), '  ') as s, n from words{i - 1}))
             group by 1, 2) order by n desc, a, b limit 1"""
         out[f"words{i}"] = f"""
-            select word, n, replace(sym, ' ' || a || '  ' || b || ' ', ' ' || a || b || ' ') as sym from words{i - 1}, pairs{i}"""
+            select word, words{i - 1}.n as n, replace(sym, ' ' || a || '  ' || b || ' ', ' ' || a || b || ' ') as sym from words{i - 1}, pairs{i}"""
     made = " union all ".join(f"select {i} as rk, a as left, b as right from pairs{i}".replace(" left", ' "left"').replace(" right", ' "right"')
                               for i in range(1, N_MERGES + 1))
     out["merges"] = made

@@ -55,8 +55,9 @@ def _tag_array(w: Column) -> Column:
     """Invented tags: the word's hash chooses the type; ``I-`` continues a type."""
     names = F.array(*[F.lit(t) for t in ENTITY_TYPES])
     kinds = F.transform(w, lambda x: F.get(names, (hash32(x) % 10).cast("int")))
-    return F.transform(kinds, lambda k, i: F.when(k.isNull(), F.lit("O")).when(
-        (i > 0) & (F.get(kinds, i - 1) == k), F.concat(F.lit("I-"), k)).otherwise(F.concat(F.lit("B-"), k)))
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), kinds), F.lit(1), F.size(w))
+    return F.zip_with(kinds, before, lambda k, b: F.when(k.isNull(), F.lit("O")).when(
+        b == k, F.concat(F.lit("I-"), k)).otherwise(F.concat(F.lit("B-"), k)))
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def read_lines(spark: SparkSession, path: str, split: str = "train") -> DataFram
 
     (file, block, seq) orders the lines of a language; see ``number_file_lines`` for dense numbers.
     """
-    return spark.read.text(f"{path}/*{split}.*").select(
+    return spark.read.text(f"{path}/{{part=,}}{split}.*").select(
         _lang_from_path(rf"[/=]{split}\.([^/]+?)(?:/|$)").alias("lang"),
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"),
