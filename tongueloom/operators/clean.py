@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tongueloom.functions.arrays import label_index
-from tongueloom.functions.text import lines, strip, word_count
+from tongueloom.functions.text import lines, strip, words
 
 
 def to_sentences(corpus: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -20,13 +20,15 @@ def to_sentences(corpus: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def min_words(sentences: DataFrame, n: int = 5) -> DataFrame:
     """Training filter: strictly more than ``n`` words."""
-    return sentences.where(word_count(F.col("line")) > n)
+    line = F.col("line")
+    return sentences.where((F.length(line) > 2 * n) & (F.size(words(line)) > n) & (strip(line) != ""))
 
 
 def len_window(sentences: DataFrame, lo: int = 5, hi: int = 256) -> DataFrame:
     """Generator filter: at least ``lo`` and fewer than ``hi`` words."""
-    n = word_count(F.col("line"))
-    return sentences.where((n >= max(lo, 1)) & (n < hi))
+    line = F.col("line")
+    off_centre = F.abs(2 * F.size(words(line)) - F.lit(lo + hi - 1))  # one split for both ends
+    return sentences.where((strip(line) != "") & (off_centre <= hi - 1 - lo))
 
 
 def drop_missing(df: DataFrame, text: str = "news_title") -> DataFrame:

@@ -23,28 +23,21 @@ def mlm_mask(encoded: DataFrame, mask_id: int, vocab_size: int, rate: float = 0.
 
     One md5 per position: word 0 chooses, word 1 picks the action, word 2 the random id.
     """
-    def word(i: Column, k: int) -> Column:
-        return hash_word(digest(seed, F.col("row_id"), F.col("line_no"), i), k)
-
-    def chosen(x: Column, i: Column) -> Column:
-        special = x.isin(BOS_ID, PAD_ID, EOS_ID)
-        return ~special & (word(i, 0) < F.lit(int(rate * SPAN)))
-
-    def masked(x: Column, i: Column) -> Column:
-        act = word(i, 1)
-        return (
-            F.when(~chosen(x, i), x)
-            .when(act < F.lit(int(0.8 * SPAN)), F.lit(mask_id).cast("bigint"))
-            .when(act < F.lit(int(0.9 * SPAN)), word(i, 2) % F.lit(vocab_size))
-            .otherwise(x)
+    def below(d: Column, k: int, share: float) -> Column:
+        return F.substring(d, 8 * k + 1, 8) < F.lit(f"{int(share * SPAN):08x}")  # hex words sort as numbers
+
+    def at(x: Column, d: Column) -> Column:
+        chosen = ~x.isin(BOS_ID, PAD_ID, EOS_ID) & below(d, 0, rate)
+        masked = (
+            F.when(below(d, 1, 0.8), F.lit(mask_id).cast("bigint"))
+            .when(below(d, 1, 0.9), hash_word(d, 2) % F.lit(vocab_size)).otherwise(x)
         )
+        kept = F.struct(x.alias("id"), F.lit(IGNORE_LABEL_ID).cast("bigint").alias("label"))
+        return F.when(chosen, F.struct(masked.alias("id"), x.alias("label"))).otherwise(kept)
 
-    def label(x: Column, i: Column) -> Column:
-        return F.when(chosen(x, i), x).otherwise(F.lit(IGNORE_LABEL_ID).cast("bigint"))
-
-    return encoded.select(
-        "lang", "row_id", "line_no",
-        F.transform("input_ids", masked).alias("input_ids"), F.transform("input_ids", label).alias("labels"),
+    digests = F.transform("input_ids", lambda x, i: digest(seed, F.col("row_id"), F.col("line_no"), i))
+    return encoded.withColumn("_z", F.zip_with("input_ids", digests, at)).select(
+        "lang", "row_id", "line_no", F.col("_z.id").alias("input_ids"), F.col("_z.label").alias("labels")
     )
 
 
@@ -82,12 +75,10 @@ def perplexity(train: DataFrame, heldout: DataFrame, k: float = 0.1) -> DataFram
     Held-out bigrams are counted first, so every join below meets unique keys on both sides. The
     loss splits into a context part and a bigram part, which are summed apart.
     """
-    seen = bigrams(train, ends=True).withColumnRenamed("n", "c")
-    asked = bigrams(heldout, ends=True)
-    types = (
-        train.select("lang", F.explode(F.array_distinct(words(F.col("line")))).alias("w")).distinct()
-        .groupBy("lang").agg((F.count("*") + 1).alias("v"))  # + the end token
-    )
+    seen = stage(bigrams(train, ends=True).withColumnRenamed("n", "c"), "seen")  # both are read twice
+    asked = stage(bigrams(heldout, ends=True), "asked")
+    # every word follows something, so the distinct followers are the word types and the end token
+    types = seen.select("lang", "next").distinct().groupBy("lang").agg(F.count("*").alias("v"))
     kk = F.lit(float(k))
     count_or_0 = F.coalesce("c", F.lit(0))
     by_pair = asked.join(seen, ["lang", "prev", "next"], "left").groupBy("lang").agg(

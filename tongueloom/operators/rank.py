@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tongueloom.functions.hashing import SPAN, hash_word
-from tongueloom.session import buckets
+from tongueloom.session import buckets, lookup_join
 
 
 def running_sum(
@@ -44,6 +44,26 @@ def exact_rank(
     df: DataFrame, group: list[str], hex_digest: str, ties: list[str], out: str = "pos", total: str | None = None,
 ) -> DataFrame:
     """1-based rank by an md5 column, ties by ``ties``; md5 is uniform, so the buckets are even."""
-    n = buckets(df.sparkSession)
-    bucket = F.floor(hash_word(F.col(hex_digest)) * F.lit(n) / F.lit(SPAN))
-    return running_sum(df, group, bucket, [hex_digest, *ties], out, total=total)
+    return running_sum(df, group, _even_bucket(df, hex_digest), [hex_digest, *ties], out, total=total)
+
+
+def _even_bucket(df: DataFrame, hex_digest: str) -> Column:
+    return F.floor(hash_word(F.col(hex_digest)) * F.lit(buckets(df.sparkSession)) / F.lit(SPAN))
+
+
+def cut_points(keys: DataFrame, hex_digest: str, key: str, share: float) -> DataFrame:
+    """(lang, cut, cut_key): digest and key of the record at rank ceil(share * n) of each language.
+
+    Counting buckets shows which one holds that rank; only the rows of that bucket are ranked.
+    """
+    keys = keys.select("lang", key, hex_digest, _even_bucket(keys, hex_digest).alias("_bucket"))
+    in_lang = W.partitionBy("lang")
+    sizes = keys.groupBy("lang", "_bucket").agg(F.count("*").alias("_size")).select(
+        "lang", "_bucket", "_size", (F.sum("_size").over(in_lang.orderBy("_bucket")) - F.col("_size")).alias("_before"),
+        F.ceil(F.lit(float(share)) * F.sum("_size").over(in_lang)).cast("bigint").alias("_k"))
+    holds = sizes.where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_size")))
+    near = lookup_join(keys, holds.select("lang", "_bucket", (F.col("_k") - F.col("_before")).alias("_rank")),
+                       ["lang", "_bucket"], "inner", salt_by=[F.col(hex_digest)])
+    at = F.row_number().over(W.partitionBy("lang", "_bucket").orderBy(hex_digest, key))
+    return near.withColumn("_at", at).where(F.col("_at") == F.col("_rank")).select(
+        "lang", F.col(hex_digest).alias("cut"), F.col(key).alias("cut_key"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tongueloom.functions.hashing import SPAN, digest, hash32, hash_word, uniform
-from tongueloom.operators.rank import exact_rank, running_sum
-from tongueloom.session import buckets, lookup_join
+from tongueloom.operators.rank import cut_points, exact_rank, running_sum
+from tongueloom.session import buckets, lookup_join, stage
 
 MICRO = 1_000_000
 TICKS_PER_BUCKET = 4096
@@ -27,11 +27,17 @@ def stack_order(corpus: DataFrame, *seed) -> DataFrame:
 
 
 def split(corpus: DataFrame, holdout: float, *seed) -> DataFrame:
-    """Exact hold-out per language: the first ceil(holdout * n) records of the shuffle are ``eval``."""
-    held = F.ceil(F.lit(float(holdout)) * F.col("total")).cast("bigint")
-    return shuffle(corpus, *seed).withColumn(
-        "split", F.when(F.col("pos") <= held, F.lit("eval")).otherwise(F.lit("train"))
-    )
+    """Exact hold-out per language: the first ceil(holdout * n) records of the shuffle are ``eval``.
+
+    The record at the boundary of each language is found on the keys alone; every row is then
+    compared with it, so the texts are never shuffled.
+    """
+    keyed = corpus.withColumn("digest", digest(*seed, F.col("row_id")))
+    cuts = cut_points(keyed, "digest", "row_id", holdout)
+    at_or_before = (F.col("digest") < F.col("cut")) | ((F.col("digest") == F.col("cut")) & (F.col("row_id") <= F.col("cut_key")))
+    return lookup_join(keyed, cuts, ["lang"], salt_by=[F.col("row_id")]).withColumn(
+        "split", F.when(at_or_before, F.lit("eval")).otherwise(F.lit("train"))
+    ).drop("cut", "cut_key")
 
 
 def holdout_union(splits: DataFrame) -> DataFrame:
@@ -83,39 +89,45 @@ def with_probs(counts: DataFrame, alpha: float) -> DataFrame:
 def batch_plan(sentences: DataFrame, batch_size: int, alpha: float = 1.0, seed=1234) -> DataFrame:
     """Put every line into a one-language batch and order the batches by language draws.
 
+    Returns the plan over keys: (batch_id, batch_pos, lang, row_id, line_no).
+
     A language drawn with probability p is a Poisson clock of rate p: its j-th batch arrives at the
     sum of j exponential gaps, and sorting arrivals gives independent draws with p until a language
     runs out, after which the others share the draws. Times are whole micro-ticks, so their sums do
     not depend on the order of addition.
     """
-    lines = sentences.withColumn("_d", digest(seed, "batch", F.col("row_id"), F.col("line_no")))
-    lines = exact_rank(lines, ["lang"], "_d", ["row_id", "line_no"], "_rn", "_n").withColumns({
+    keys = sentences.select("lang", "row_id", "line_no", digest(seed, "batch", F.col("row_id"), F.col("line_no")).alias("_d"))
+    ranked = exact_rank(keys, ["lang"], "_d", ["row_id", "line_no"], "_rn", "n")
+    lines = stage(ranked.drop("_d"), "batch-rows").withColumns({  # read three times below
         "_j": F.floor((F.col("_rn") - 1) / F.lit(batch_size)).cast("bigint"),
         "batch_pos": ((F.col("_rn") - 1) % F.lit(batch_size)).cast("bigint"),
-    }).drop("_d")
-    heads = lines.where(F.col("batch_pos") == 0).select("lang", "_j")
-    probs = lang_probs(sentences, alpha).select("lang", "p")
+    })
+    heads = lines.where(F.col("batch_pos") == 0).select("lang", "_j", "n")
+    probs = with_probs(heads.where(F.col("_j") == 0).select("lang", "n"), alpha).select("lang", "p")
     gap = F.round(-F.log(uniform(hash32(seed, F.col("lang"), F.col("_j")))) / F.col("p") * F.lit(float(MICRO)))
     timed = running_sum(
-        lookup_join(heads, probs, ["lang"], "inner").withColumn("_gap", gap.cast("bigint")),
+        lookup_join(heads.drop("n"), probs, ["lang"], "inner").withColumn("_gap", gap.cast("bigint")),
         ["lang"], F.floor(F.col("_j") / F.lit(TICKS_PER_BUCKET)), ["_j"], "_t", F.col("_gap"),
     )
     order = running_sum(
         timed, [], F.floor(F.col("_t") / F.lit(TICKS_PER_BUCKET * MICRO)), ["_t", "lang", "_j"], "batch_id"
     ).select("lang", "_j", "batch_id")
-    return lines.join(order, ["lang", "_j"]).drop("_j", "_rn", "_n")
+    return lines.join(order, ["lang", "_j"]).select("batch_id", "batch_pos", "lang", "row_id", "line_no")
 
 
 def bootstrap(sentences: DataFrame, cap: int = 10000, k: int = 2000, *seed) -> DataFrame:
     """Draw lines with replacement, per language: n draws if n <= cap, else k.
 
-    The draw table has at most max(cap, k) rows per language and is built from the counts alone.
+    The draw table has at most max(cap, k) rows per language and is built from the counts alone. Only
+    keys are ranked; the few drawn keys then pick their lines, so the texts are never shuffled.
     """
-    numbered = number_lines(sentences).drop("total")
+    keys = ["lang", "row_id", "line_no"]
+    numbered = number_lines(sentences.select(*keys, "digest")).drop("digest", "total")
     n = F.col("n")
     draws = (
         sentences.groupBy("lang").agg(F.count("*").alias("n"))
         .withColumn("draw", F.explode(F.sequence(F.lit(1), F.when(n <= cap, n).otherwise(F.lit(k)).cast("int"))))
         .select("lang", F.col("draw").cast("bigint"), (hash32(*seed, F.col("lang"), F.col("draw")) % n + 1).alias("idx"))
     )
-    return numbered.join(draws, ["lang", "idx"])
+    drawn = numbered.join(draws, ["lang", "idx"]).select(*keys, "draw")
+    return lookup_join(sentences.drop("digest"), drawn, keys, "inner", salt_by=[F.col("row_id")])

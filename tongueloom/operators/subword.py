@@ -267,6 +267,7 @@ def pad_sequences(encoded: DataFrame, mode: str = "longest", max_len: int = 256)
     """Pad on the right to the longest sequence of the language, or to ``max_len``; add the 1/0 mask."""
     size = F.size("input_ids")
     if mode == "longest":
+        encoded = stage(encoded, "encoded")  # read twice; encoding again costs more than a write
         longest = encoded.groupBy("lang").agg(F.max(size).alias("_to"))
         wide = lookup_join(encoded, longest, ["lang"], "inner")
     elif mode == "max_length":

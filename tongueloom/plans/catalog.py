@@ -406,7 +406,7 @@ def ner_metrics(spark, sf):
 
 
 def prediction_export(spark, sf):
-    lines = views.conll_lines(spark, sf)
+    lines = stage(views.conll_lines(spark, sf), "conll")  # stands for the input file, read twice
     marked = ner.mark_sentences(lines, LINES_PER_BUCKET)
     toks = readers.parse_conll(marked.withColumn("file", F.struct("file", "gap"))).select("file.*", "line_no", "tag")
     # stand-in predictions: the input tag of the first words of each sentence, as a length limit leaves them

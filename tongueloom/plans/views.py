@@ -7,8 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tongueloom.functions.hashing import hash32
-from tongueloom.functions.text import lines, strip, word_count, words
+from tongueloom.functions.text import lines, strip, words
 from tongueloom.operators import clean
+from tongueloom.session import spread
 
 SEED = 1234
 ENTITY_TYPES = ["PER", "LOC", "ORG", "DATE"]
@@ -20,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("row_id"), F.col("text").alias("input"))
+    docs = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("row_id"), F.col("text").alias("input"))
+    return spread(docs, "row_id")
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +57,13 @@ def _tag_array(w: Column) -> Column:
     """Invented tags: the word's hash chooses the type; ``I-`` continues a type."""
     names = F.array(*[F.lit(t) for t in ENTITY_TYPES])
     kinds = F.transform(w, lambda x: F.get(names, (hash32(x) % 10).cast("int")))
-    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), kinds), F.lit(1), F.size(w))
-    return F.zip_with(kinds, before, lambda k, b: F.when(k.isNull(), F.lit("O")).when(
-        b == k, F.concat(F.lit("I-"), k)).otherwise(F.concat(F.lit("B-"), k)))
+
+    def with_prefix(ks: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), F.slice(ks, F.lit(1), F.size(ks) - 1))
+        return F.zip_with(ks, before, lambda k, b: F.when(k.isNull(), F.lit("O")).when(
+            b == k, F.concat(F.lit("I-"), k)).otherwise(F.concat(F.lit("B-"), k)))
+
+    return F.transform(F.array(kinds), with_prefix)[0]  # bound once: the hashes are not computed twice
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +100,7 @@ def conll_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         ends = F.when(hash32("b", line) % 97 == 0, F.array(F.lit(""), F.lit(""))).otherwise(F.array(F.lit("")))
         return F.concat(pairs, ends)
 
-    kept = F.filter(F.transform(lines(F.col("input")), strip), lambda x: word_count(x) > 5)
+    kept = F.filter(F.transform(lines(F.col("input")), strip), lambda x: F.size(words(x)) > 5)
     head = F.when(row % 100 == 0, F.array(F.lit("-DOCSTART- O"), F.lit(""))).otherwise(F.array().cast("array<string>"))
     body = F.concat(head, F.flatten(F.transform(kept, token_lines)))
     return corpus(spark, sf_dir).select(F.col("lang").alias("file"), "row_id", F.posexplode(body).alias("i", "line")).select(

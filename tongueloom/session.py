@@ -20,6 +20,7 @@ def build_session(master: str = "local[*]", app: str = "tongueloom", **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         **conf,
     }
     for k, v in settings.items():
@@ -56,6 +57,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Hash a small input over all cores by its key; an input with enough splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores, *by)
+
+
 def buckets(spark: SparkSession) -> int:
     """How many ways a hot group is cut; follows the session's shuffle width."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
