@@ -238,4 +238,5 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     visit(body)
     if not order:
         return body
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({defs[n]})" for n in order) + "\n" + body
+    once = lambda n: " MATERIALIZED" if n in ("top_next", "prompts", "sentences") else ""
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS{once(n)} ({defs[n]})" for n in order) + "\n" + body
