@@ -12,7 +12,7 @@ from tongueloom.functions.text import strip
 from tongueloom.operators.classify import ratio
 from tongueloom.operators.rank import running_sum
 from tongueloom.operators.subword import word_encoder
-from tongueloom.session import lookup_join
+from tongueloom.session import lookup_join, stage
 from tongueloom.sources.readers import parse_conll
 
 LINES_PER_BUCKET = 1 << 20
@@ -33,7 +33,7 @@ def conll_sentences(lines: DataFrame, mode: str = "test", lines_per_bucket: int
     marked = mark_sentences(lines, lines_per_bucket)
     tokens = parse_conll(marked.withColumn("file", F.struct("file", "gap")))
     row = F.struct("line_no", "word", "tag")
-    grouped = tokens.groupBy("file.file", "file.gap").agg(F.array_sort(F.collect_list(row)).alias("t"))
+    grouped = stage(tokens.groupBy("file.file", "file.gap").agg(F.array_sort(F.collect_list(row)).alias("t")), "sentences")
     first = F.floor(F.col("t")[0]["line_no"] / F.lit(lines_per_bucket))
     numbered = running_sum(grouped, ["file"], first, ["gap"], "k")
     return numbered.select(

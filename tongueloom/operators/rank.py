@@ -20,7 +20,8 @@ def running_sum(
 ) -> DataFrame:
     """Add ``out`` = running sum of ``value`` (default 1: a 1-based rank) in ``order`` within ``group``.
 
-    ``bucket`` must grow with ``order``. ``total`` names an optional column for the group's sum.
+    ``bucket`` must grow with ``order``. ``total`` names an optional column for the group's sum. The
+    input is read twice (only its keys the first time), so stage one that is costly to make.
     """
     keys = [*group, "_bucket"]
     df = df.withColumn("_bucket", bucket).withColumn("_value", (F.lit(1) if value is None else value).cast("bigint"))

@@ -60,8 +60,9 @@ def shard(sentences: DataFrame, workers: int) -> DataFrame:
 
 def lang_stats(sharded: DataFrame) -> DataFrame:
     """Examples per language and shard, per language, per shard and over all (``total`` / -1)."""
+    counts = sharded.groupBy("lang", "shard_id").agg(F.count("*").alias("n"))  # before the cube repeats rows
     return (
-        sharded.cube("lang", "shard_id").agg(F.count("*").alias("n"))
+        counts.cube("lang", "shard_id").agg(F.sum("n").alias("n"))
         .select(
             F.coalesce("lang", F.lit("total")).alias("lang"),
             F.coalesce("shard_id", F.lit(-1)).cast("bigint").alias("shard_id"),
@@ -122,10 +123,11 @@ def bootstrap(sentences: DataFrame, cap: int = 10000, k: int = 2000, *seed) -> D
     keys are ranked; the few drawn keys then pick their lines, so the texts are never shuffled.
     """
     keys = ["lang", "row_id", "line_no"]
-    numbered = number_lines(sentences.select(*keys, "digest")).drop("digest", "total")
+    listed = stage(sentences.select(*keys, "digest"), "keys")
+    numbered = number_lines(listed).drop("digest", "total")
     n = F.col("n")
     draws = (
-        sentences.groupBy("lang").agg(F.count("*").alias("n"))
+        listed.groupBy("lang").agg(F.count("*").alias("n"))
         .withColumn("draw", F.explode(F.sequence(F.lit(1), F.when(n <= cap, n).otherwise(F.lit(k)).cast("int"))))
         .select("lang", F.col("draw").cast("bigint"), (hash32(*seed, F.col("lang"), F.col("draw")) % n + 1).alias("idx"))
     )

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 SALTS = 16
 
 
