@@ -20,8 +20,8 @@ def test_query(spark, con, name):
     assert verdict.startswith("ok" if name in SQL else "rows only"), verdict
 
 
-def test_only_solver_and_long_loop_lack_sql():
-    assert set(entry_points.queries()) - set(SQL) == {"linear_classify", "active_rounds_all"}
+def test_only_the_solver_lacks_sql():
+    assert set(entry_points.queries()) - set(SQL) == {"linear_classify"}
 
 
 def test_flagship(spark):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from tongueloom.plans.catalog import EXPORT_MAX_WORDS, N_MERGES, NER_MAX_LEN, QUALITY_LABELS, SEEDS, TASKS, TOPIC_LABELS
-from tongueloom.plans.views import BLANK, DOC_SHIFT, SEED, h32, wc, with_views, ws
+from tongueloom.plans.views import BLANK, RECURSIVE, SEED, SQL, h32, wc, with_views, ws
 
 TAG_LIST = "['O','B-DATE','I-DATE','B-PER','I-PER','B-ORG','I-ORG','B-LOC','I-LOC']"
 
@@ -170,6 +172,29 @@ def _round_one() -> dict[str, str]:
     }
 
 
+def _rounds(n: int) -> tuple[str, dict[str, str]]:
+    """``n`` chained rounds: the views of one round, renamed per round, over the corpus of the round before."""
+    chain = ("corpus sentences shuffled splits split_lines train_lines window_lines bigram_rows bigram_counts top_next "
+             "numbered draws sampled prompts walk completed").split()
+    ctes = {"corpus_1": "select lang, cast(row_id as varchar) as row_id, input, 0 as added from corpus"}
+    rows = []
+    for k in range(1, n + 1):
+        one = {**SQL, **RECURSIVE}
+        one["shuffled"] = one["shuffled"].replace(f"'{SEED}|'", f"'{SEED}|{k}|'")
+        one["draws"] = one["draws"].replace(f"'{SEED}|draw|'", f"'{SEED}|{k}|draw|'")
+        for name in chain[1:]:
+            ctes[f"{name}_{k}"] = re.sub(rf"\b({'|'.join(chain)})\b", rf"\1_{k}", one[name])
+        ctes[f"corpus_{k + 1}"] = f"""
+            select lang, row_id, input, added from (
+              select *, row_number() over (partition by lang, input order by added, row_id) as r from (
+                select * from corpus_{k}
+                union all select lang, 'r{k}:' || md5(sentence), sentence, {k} from completed_{k})) where r = 1"""
+        rows.append(f"""
+            select {k}::bigint as round, lang, (select count(*) from corpus_{k} b where b.lang = a.lang) as n_before,
+              count(*) filter (where added = {k}) as n_new, count(*) as n_after from corpus_{k + 1} a group by lang""")
+    return " union all ".join(rows), ctes
+
+
 RUN_SCORES = "select task, lang, step, round(avg(value), 6) as value from runs group by all"
 
 
@@ -254,6 +279,7 @@ def build() -> dict[str, str]:
               select lang, (select count(*) from corpus c where c.lang = g.lang) as n_before,
                 (select count(distinct input) from corpus c where c.lang = g.lang) as n_old, count(distinct input) as n_after
               from (select lang, input from corpus union all select lang, sentence from completed) g group by lang)""", _round_one()),
+        "active_rounds_all": v(*_rounds(3)),
         "lang_stats": v(f"""
             select coalesce(lang, 'total') as lang, coalesce(shard_id, -1) as shard_id, count(*) as n from shards group by cube (lang, shard_id)""",
             _shards()),

@@ -175,7 +175,7 @@ SQL = {
         from (select *, md5('{SEED}|' || row_id) as digest from corpus)""",
     "splits": "select *, case when pos <= ceil(0.2::double * total) then 'eval' else 'train' end as split from shuffled",
     "split_lines": """
-        select s.lang, s.row_id, s.line_no, s.line, p.digest, p.split from sentences s join splits p using (row_id)""",
+        select lang, row_id, s.line_no, s.line, p.digest, p.split from sentences s join splits p using (lang, row_id)""",
     "train_lines": f"select * from split_lines where split = 'train' and {wc('line')} > 5",
     "eval_lines": f"select * from split_lines where split = 'eval' and {wc('line')} > 5",
     "window_lines": f"select * from split_lines where split = 'eval' and {wc('line')} >= 5 and {wc('line')} < 256",
@@ -238,5 +238,5 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     visit(body)
     if not order:
         return body
-    once = lambda n: " MATERIALIZED" if n in ("top_next", "prompts", "sentences") else ""
+    once = lambda n: " MATERIALIZED" if n.startswith(("top_next", "prompts", "sentences", "corpus_")) else ""
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS{once(n)} ({defs[n]})" for n in order) + "\n" + body
