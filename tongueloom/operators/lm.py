@@ -43,8 +43,7 @@ def mlm_mask(encoded: DataFrame, mask_id: int, vocab_size: int, rate: float = 0.
 
 # ---- next-token model --------------------------------------------------------
 
-def bigrams(sentences: DataFrame, ends: bool = False) -> DataFrame:
-    """(lang, prev, next, n) over adjacent words; ``ends`` adds sentence start and end tokens."""
+def _pair_rows(sentences: DataFrame, ends: bool) -> DataFrame:
     w = words(F.col("line"))
     if ends:
         w = F.concat(F.array(F.lit(START)), w, F.array(F.lit(END)))
@@ -52,10 +51,15 @@ def bigrams(sentences: DataFrame, ends: bool = False) -> DataFrame:
     pairs = F.arrays_zip(F.slice("w", F.lit(1), m).alias("prev"), F.slice("w", F.lit(2), m).alias("next"))
     return (
         sentences.select("lang", w.alias("w")).select("lang", F.explode(pairs).alias("q"))
-        .select("lang", "q.prev", "q.next").groupBy("lang", "prev", "next").agg(F.count("*").alias("n"))
+        .select("lang", "q.prev", "q.next")
     )
 
 
+def bigrams(sentences: DataFrame, ends: bool = False) -> DataFrame:
+    """(lang, prev, next, n) over adjacent words; ``ends`` adds sentence start and end tokens."""
+    return _pair_rows(sentences, ends).groupBy("lang", "prev", "next").agg(F.count("*").alias("n"))
+
+
 def top_next(counts: DataFrame) -> DataFrame:
     """Best continuation of each context (ties: smallest token) with the context's totals.
 
@@ -72,26 +76,25 @@ def top_next(counts: DataFrame) -> DataFrame:
 def perplexity(train: DataFrame, heldout: DataFrame, k: float = 0.1) -> DataFrame:
     """exp(mean add-k bigram loss) per language and over all held-out tokens (lang ``all``).
 
-    Held-out bigrams are counted first, so every join below meets unique keys on both sides. The
-    loss splits into a context part and a bigram part, which are summed apart.
+    Training and held-out bigrams are counted side by side in one aggregate, so nothing is joined by
+    word. The loss splits into a bigram part and a context part, which are summed apart.
     """
-    seen = stage(bigrams(train, ends=True).withColumnRenamed("n", "c"), "seen")  # both are read twice
-    asked = stage(bigrams(heldout, ends=True), "asked")
+    sides = [_pair_rows(df, ends=True).withColumns({"c": F.lit(c).cast("bigint"), "n": F.lit(1 - c).cast("bigint")})
+             for df, c in ((train, 1), (heldout, 0))]
+    pairs = stage(sides[0].unionByName(sides[1]).groupBy("lang", "prev", "next").agg(
+        F.sum("c").alias("c"), F.sum("n").alias("n")), "pairs")
     # every word follows something, so the distinct followers are the word types and the end token
-    types = seen.select("lang", "next").distinct().groupBy("lang").agg(F.count("*").alias("v"))
+    types = pairs.where(F.col("c") > 0).select("lang", "next").distinct().groupBy("lang").agg(F.count("*").alias("v"))
     kk = F.lit(float(k))
-    count_or_0 = F.coalesce("c", F.lit(0))
-    by_pair = asked.join(seen, ["lang", "prev", "next"], "left").groupBy("lang").agg(
-        F.sum("n").alias("tokens"), F.sum(-F.col("n") * F.log(count_or_0 + kk)).alias("loss"))
-    contexts = seen.groupBy("lang", "prev").agg(F.sum("c").alias("c"))
-    asked_contexts = asked.groupBy("lang", "prev").agg(F.sum("n").alias("n"))
-    with_v = lookup_join(asked_contexts.join(contexts, ["lang", "prev"], "left"), types, ["lang"])
-    by_context = with_v.groupBy("lang").agg(
+    by_pair = pairs.where(F.col("n") > 0).groupBy("lang").agg(
+        F.sum("n").alias("tokens"), F.sum(-F.col("n") * F.log(F.col("c") + kk)).alias("loss"))
+    contexts = pairs.groupBy("lang", "prev").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).where(F.col("n") > 0)
+    by_context = lookup_join(contexts, types, ["lang"]).groupBy("lang").agg(
         F.lit(0).cast("bigint").alias("tokens"),
-        F.sum(F.col("n") * F.log(count_or_0 + kk * F.coalesce("v", F.lit(1)))).alias("loss"))
-    total = by_pair.unionByName(by_context)
+        F.sum(F.col("n") * F.log(F.col("c") + kk * F.coalesce("v", F.lit(1)))).alias("loss"))
     return (
-        total.groupingSets([["lang"], []], "lang").agg(F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"))
+        by_pair.unionByName(by_context).groupingSets([["lang"], []], "lang")
+        .agg(F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"))
         .select(F.coalesce("lang", F.lit("all")).alias("lang"), "tokens",
                 F.exp(F.col("loss") / F.col("tokens")).alias("perplexity"))
     )

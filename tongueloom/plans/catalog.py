@@ -20,7 +20,7 @@ JOB = CorpusJob()
 N_MERGES = 8
 TOPIC_LABELS = ["de", "en", "es", "fr"]
 QUALITY_LABELS = ["0", "1"]
-NER_MAX_LEN = 48
+NER_MAX_LEN = 164
 EXPORT_MAX_WORDS = 20
 LINES_PER_BUCKET = 64 * DOC_SHIFT
 SEEDS = [1, 2, 3, 4, 5]
@@ -201,7 +201,7 @@ def dedup_corpus(spark, sf):
 
 def concat_corpora(spark, sf):
     base = views.corpus(spark, sf)
-    parts = [base.where(F.col("row_id") % 2 == i) for i in (0, 1)]
+    parts = [base.where(F.col("lang") == x) for x in TOPIC_LABELS]  # one corpus per language, as files hold them
     return sample.stack_order(clean.concat_corpora(parts), SEED).select("pos", "lang", "row_id")
 
 
@@ -341,15 +341,16 @@ def active_rounds_all(spark, sf):
 # ---- classification ----------------------------------------------------------
 
 def nb_classify(spark, sf):
-    q = views.quality(spark, sf)
-    model = classify.nb_fit(q.where(F.col("domain") == 0), QUALITY_LABELS)
-    return classify.nb_predict(q.where(F.col("domain") == 1), model).withColumn("score", F.round("score", 4))
+    q = sample.split(views.quality(spark, sf), JOB.holdout, SEED)
+    model = classify.nb_fit(q.where(F.col("split") == "train"), QUALITY_LABELS)
+    return classify.nb_predict(q.where(F.col("split") == "eval"), model).withColumn("score", F.round("score", 4))
 
 
 def linear_classify(spark, sf):
     t = clean.encode_labels(clean.drop_missing(views.topics(spark, sf)), TOPIC_LABELS)
-    model = classify.lr_fit(t.where(F.col("row_id") % 2 == 0))
-    return classify.lr_predict(t.where(F.col("row_id") % 2 == 1), model).select("row_id", "label_id", "prediction")
+    t = sample.split(t, JOB.holdout, SEED)
+    model = classify.lr_fit(t.where(F.col("split") == "train"))
+    return classify.lr_predict(t.where(F.col("split") == "eval"), model).select("row_id", "label_id", "prediction")
 
 
 def argmax_predictions(spark, sf):
@@ -366,15 +367,16 @@ def classification_metrics(spark, sf):
 
 
 def cross_domain_eval(spark, sf):
-    q = views.quality(spark, sf)
-    got = classify.cross_eval(q.where(F.col("domain") == 0), q.where(F.col("domain") == 1), QUALITY_LABELS)
+    q = views.quality(spark, sf)  # one language is the domain trained on, the others the one reported on
+    got = classify.cross_eval(q.where(F.col("lang") == "en"), q.where(F.col("lang") != "en"), QUALITY_LABELS)
     return _rounded(got, "accuracy", "precision", "recall", "f1")
 
 
 # ---- tagging -----------------------------------------------------------------
 
 def conll_sentences(spark, sf):
-    got = ner.conll_sentences(views.conll_lines(spark, sf), "test", LINES_PER_BUCKET)
+    lines = stage(views.conll_lines(spark, sf), "conll")  # stands for the input file, read twice
+    got = ner.conll_sentences(lines, "test", LINES_PER_BUCKET)
     return got.select("file", "guid", F.array_join("words", " ").alias("words"), F.array_join("labels", " ").alias("labels"))
 
 
@@ -391,9 +393,10 @@ def align_labels_left(spark, sf):
 
 
 def tag_tokens(spark, sf):
-    t = views.tokens(spark, sf)
-    lexicon = ner.fit_lexicon(t.where(F.col("row_id") % 2 == 0))
-    return ner.tag(t.where(F.col("row_id") % 2 == 1), lexicon).select("row_id", "line_no", "pos", "word", "tag", "pred")
+    halves = splits(spark, sf)
+    lexicon = ner.fit_lexicon(views.tokens_of(halves.where(F.col("split") == "train")))
+    return ner.tag(views.tokens_of(halves.where(F.col("split") == "eval")), lexicon).select(
+        "row_id", "line_no", "pos", "word", "tag", "pred")
 
 
 def bio_spans(spark, sf):

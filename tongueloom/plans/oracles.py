@@ -65,26 +65,31 @@ def _features(cls_at_end: bool, sep_extra: bool, pad_left: bool, cls_seg: int, p
           from tokens join word_ids using (word) group by lang, row_id, line_no))"""
 
 
-def _bayes() -> dict[str, str]:
+def _bayes(train: str, test: str) -> dict[str, str]:
+    """Naive Bayes over the rows of ``quality_split`` that meet either condition."""
     return {
-        "nb_train": f"select label, unnest({_all_words('input')}) as word from quality where domain = 0",
+        "quality_split": f"""
+            select *, case when pos <= ceil(0.2::double * total) then 'eval' else 'train' end as split from (
+              select *, row_number() over (partition by lang order by md5('{SEED}|' || row_id), row_id) as pos,
+                count(*) over (partition by lang) as total from quality)""",
+        "nb_train": f"select label, unnest({_all_words('input')}) as word from quality_split where {train}",
         "nb_counts": "select label, word, count(*) as c from nb_train where word <> '' group by all",
         "nb_words": "select distinct word from nb_counts",
         "nb_labels": f"""
             select l.label, coalesce(t.total, 0) + (select count(*) from nb_words) as denominator,
-              (select count(*) from quality where domain = 0 and label = l.label) / (select count(*)::double from quality where domain = 0) as prior
+              (select count(*) from quality_split where {train} and label = l.label) / (select count(*)::double from quality_split where {train}) as prior
             from (select unnest({QUALITY_LABELS}) as label) l
             left join (select label, sum(c) as total from nb_counts group by label) t using (label)""",
         "nb_test": f"""
             select row_id, word, count(*) as m from (
-              select row_id, unnest({_all_words('input')}) as word from quality where domain = 1) where word <> '' group by all""",
-        "nb_scores": """
+              select row_id, unnest({_all_words('input')}) as word from quality_split where {test}) where word <> '' group by all""",
+        "nb_scores": f"""
             select q.row_id, l.label, round(ln(l.prior) + coalesce(s.s, 0), 6) as score
-            from quality q cross join nb_labels l left join (
+            from quality_split q cross join nb_labels l left join (
               select t.row_id, l.label, sum(t.m * (ln(coalesce(c.c, 0) + 1) - ln(l.denominator))) as s
               from nb_test t join nb_words w using (word) cross join nb_labels l
               left join nb_counts c on c.word = t.word and c.label = l.label group by all) s on s.row_id = q.row_id and s.label = l.label
-            where q.domain = 1""",
+            where {test}""",
         "nb_best": """
             select row_id, label as prediction, score from (
               select *, row_number() over (partition by row_id order by score desc, label) as k from nb_scores) where k = 1""",
@@ -200,7 +205,7 @@ RUN_SCORES = "select task, lang, step, round(avg(value), 6) as value from runs g
 
 def build() -> dict[str, str]:
     v = with_views
-    bpe, bayes, conll = _bpe(), _bayes(), _conll()
+    bpe, conll = _bpe(), _conll()
     out = {
         "src_mono_corpus": v("select lang, input from corpus"),
         "src_lines": v("""
@@ -289,12 +294,12 @@ def build() -> dict[str, str]:
         "lang_batches": v("""
             select o.batch_id, b.batch_pos, b.lang, b.row_id, b.line_no from batch_rows b join batch_order o using (lang, j)""", _batches()),
         "bootstrap_sample": v("select lang, draw, row_id, line_no, line from sampled"),
-        "nb_classify": v("select row_id, prediction, round(score, 4) as score from nb_best", bayes),
+        "nb_classify": v("select row_id, prediction, round(score, 4) as score from nb_best", _bayes("split = 'train'", "split = 'eval'")),
         "argmax_predictions": v("select vec_id, cast(list_position(scores, list_max(scores)) - 1 as bigint) as prediction from scores"),
         "classification_metrics": v(_macro("select gold, cast(list_position(scores, list_max(scores)) - 1 as bigint) as prediction from scores").replace(
             "with pairs", "select * from (with pairs", 1) + ")"),
         "cross_domain_eval": v(_macro("select q.label as gold, b.prediction from quality q join nb_best b using (row_id)").replace(
-            "with pairs", "select * from (with pairs", 1) + ")", bayes),
+            "with pairs", "select * from (with pairs", 1) + ")", _bayes("lang = 'en'", "lang <> 'en'")),
         "conll_sentences": v("""
             select file, 'test-' || row_number() over (partition by file order by gap) as guid, words, labels from (
               select file, gap, string_agg(word, ' ' order by line_no) as words, string_agg(tag, ' ' order by line_no) as labels
@@ -304,8 +309,8 @@ def build() -> dict[str, str]:
         "tag_tokens": v("""
             select t.row_id, t.line_no, t.pos, t.word, t.tag, coalesce(x.tag, 'O') as pred from tokens t left join (
               select * from (select lang, word, tag, row_number() over (partition by lang, word order by count(*) desc, tag) as k
-                from tokens where row_id % 2 = 0 group by lang, word, tag) where k = 1) x on x.lang = t.lang and x.word = t.word
-            where t.row_id % 2 = 1"""),
+                from tokens join splits using (lang, row_id) where split = 'train' group by lang, word, tag) where k = 1) x on x.lang = t.lang and x.word = t.word
+            join splits s on s.lang = t.lang and s.row_id = t.row_id where s.split = 'eval'"""),
         "bio_spans": v("""select lang || '-' || row_id || '-' || line_no as guid, type, "start", "end" from p_spans""", _spans("p", "pred")),
         "ner_metrics": v("""
             with hits as (select g.type, count(*) as t from g_spans g join p_spans p using (row_id, line_no, type, "start", "end") group by g.type),

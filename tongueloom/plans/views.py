@@ -30,8 +30,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.split(strip(F.col("input")), "\n")[0]
-    return corpus(spark, sf_dir).select("lang", "row_id", first.alias("news_title"), F.upper("lang").alias("label"))
+    return corpus(spark, sf_dir).select("lang", "row_id", F.col("input").alias("news_title"), F.upper("lang").alias("label"))
 
 
 def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +44,7 @@ def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").cast("string").alias("label"))
-    return corpus(spark, sf_dir).join(marks, "row_id").withColumn("domain", F.col("row_id") % 2)
+    return corpus(spark, sf_dir).join(marks, "row_id")
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +66,12 @@ def _tag_array(w: Column) -> Column:
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagged_of(corpus(spark, sf_dir))
+
+
+def tagged_of(records: DataFrame) -> DataFrame:
     """(lang,row_id,line_no,guid,words,labels,pred) for lines of more than five words."""
-    lines_ = clean.min_words(sentences(spark, sf_dir))
+    lines_ = clean.min_words(clean.to_sentences(records))
     drop = lambda t, i: F.when(
         hash32("p", F.col("row_id"), F.col("line_no"), i) % 10 == 0, F.lit("O")).otherwise(t)
     return (
@@ -80,9 +83,13 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_of(corpus(spark, sf_dir))
+
+
+def tokens_of(records: DataFrame) -> DataFrame:
     """(lang,row_id,line_no,pos,word,tag)."""
     zipped = F.arrays_zip(F.col("words").alias("word"), F.col("labels").alias("tag"))
-    return tagged(spark, sf_dir).select("lang", "row_id", "line_no", F.posexplode(zipped).alias("pos", "z")).select(
+    return tagged_of(records).select("lang", "row_id", "line_no", F.posexplode(zipped).alias("pos", "z")).select(
         "lang", "row_id", "line_no", F.col("pos").cast("bigint"), "z.word", "z.tag")
 
 
@@ -136,15 +143,14 @@ SQL = {
         select lang, row_id, cast(i - 1 as bigint) as line_no, trim(l, {BLANK}) as line from (
           select lang, row_id, unnest(a) as l, generate_subscripts(a, 1) as i from (
             select lang, row_id, string_split(trim(input, {BLANK}), chr(10)) as a from corpus))""",
-    "topics": f"""
-        select lang, row_id, string_split(trim(input, {BLANK}), chr(10))[1] as news_title, upper(lang) as label from corpus""",
+    "topics": "select lang, row_id, input as news_title, upper(lang) as label from corpus",
     "missing": f"""
         select lang, row_id,
           case {h32('cast(row_id as varchar)')} % 11 when 0 then null when 1 then '  ' else news_title end as news_title,
           case {h32('cast(row_id as varchar)')} % 11 when 2 then null else label end as label
         from topics""",
     "quality": """
-        select c.lang, c.row_id, c.input, cast(l.quality as varchar) as label, c.row_id % 2 as domain
+        select c.lang, c.row_id, c.input, cast(l.quality as varchar) as label
         from corpus c join labels l on l.doc_id = c.row_id""",
     "scores": "select vec_id, embedding[1:10] as scores, cast(label as bigint) as gold from embeddings",
     "long_lines": f"select * from sentences where {wc('line')} > 5",
