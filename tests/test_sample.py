@@ -109,8 +109,10 @@ def test_lookup_join_beyond_the_broadcast_limit(spark):
     table = df.select("k").distinct().where("k <> 'k0'").withColumn("v", F.length("k"))
     key = lambda r: (r["id"], r["k"], r["v"])
     small = sorted(map(key, lookup_join(df, table, ["k"]).collect()), key=str)
-    salted = sorted(map(key, lookup_join(df, table, ["k"], limit=0).collect()), key=str)
-    assert small == salted and len(small) == 200
+    apart = sorted(map(key, lookup_join(df, table, ["k"], limit=0).collect()), key=str)
+    assert small == apart and len(small) == 200
+    inner = lookup_join(df, table, ["k"], "inner", limit=0).collect()
+    assert sorted(map(key, inner), key=str) == [r for r in small if r[2] is not None]
 
 
 def test_filters(spark):

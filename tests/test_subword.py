@@ -71,6 +71,15 @@ def test_safe_run_never_outruns_the_plain_order():
             done += run
 
 
+def test_batched_merges_are_disjoint_and_segment_alike(spark):
+    ranked = [("a", "b", 9), ("b", "c", 8), ("d", "e", 7), ("f", "f", 6), ("e", "g", 5)]
+    assert subword.disjoint_run(ranked, 3) == [("a", "b"), ("d", "e"), ("f", "f")]
+    counts = words(6, "abcdef")
+    merges, table = subword.train_bpe(spark.createDataFrame(list(counts.items()), "word string, n long"), 12, batch=4)
+    segment = subword.segmenter(merges)
+    assert len(merges) == 12 and all(r["sym"].strip().split("  ") == segment(r["word"]) for r in table.collect())
+
+
 def test_segmenter_equals_replaying_the_merges():
     counts = words(5, "abc", n=80)
     merges, _ = slow_bpe(counts, 25)

@@ -88,6 +88,22 @@ def test_export(spark):
     assert got[5] == (None, "no_prediction") and got[8] == (" ", "boundary")
 
 
+def test_text_sinks(spark, tmp_path):
+    rows = [("f.txt", i, f"w{i} O" if i % 7 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "file string, line_no long, out_line string").repartition(5)
+    sinks.write_predictions(df, str(tmp_path / "p"))
+    parts = sorted((tmp_path / "p" / "file=f.txt").glob("part-*"))
+    got = [x for part in parts for x in part.read_text().splitlines()]
+    assert got == [x for _, _, x in rows if x]
+    m = spark.createDataFrame([("r", "f1", 0.5), ("r", "accuracy", 0.25)], "run_id string, key string, value double")
+    sinks.write_metrics_text(m, str(tmp_path / "m"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "m" / "run_id=r")).collect()] == ["accuracy = 0.250000", "f1 = 0.500000"]
+    lines = spark.createDataFrame([("en", f"s {i}") for i in range(20)], "lang string, line string").withColumn("split", F.lit("eval"))
+    sinks.write_splits(lines, str(tmp_path / "s"), compact=True)
+    assert readers.read_lines(spark, str(tmp_path / "s"), "eval").count() == 20
+    assert spark.read.text(str(tmp_path / "s" / "all_eval.txt")).count() == 20
+
+
 def test_align_labels(spark):
     vocab = {"▁": 5, "a": 6, "b": 7, "ab": 8}
     df = spark.createDataFrame([("g", ["ab", "b", "q"], ["B-PER", "I-PER", "O"])], "guid string, words array<string>, labels array<string>")

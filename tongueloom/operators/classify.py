@@ -51,8 +51,7 @@ def nb_predict(test: DataFrame, model: BayesModel, key: str = "row_id", text: st
 
     Words never seen in training are ignored; a record without known words falls back to the priors.
     """
-    found = lookup_join(_doc_words(test, [key], text), model.counts, ["word"], "inner", staged=True,
-                        salt_by=[F.col(key)])
+    found = lookup_join(_doc_words(test, [key], text), model.counts, ["word"], "inner", staged=True)
     part = [
         F.sum(F.col("m") * (F.log(F.col("c")[i] + F.lit(1)) - F.lit(model.log_denominator[i]))).alias(f"s{i}")
         for i in range(len(model.labels))

@@ -126,8 +126,7 @@ def continuation_paths(top: DataFrame, levels: int = JUMP_LEVELS) -> DataFrame:
     for _ in range(levels):
         tails = paths.select("lang", F.col("tok").alias("_last"), F.col("path").alias("_tail"))
         longer = (
-            lookup_join(paths.withColumn("_last", F.element_at("path", -1)), tails, ["lang", "_last"], staged=True,
-                        salt_by=[F.col("tok")])
+            lookup_join(paths.withColumn("_last", F.element_at("path", -1)), tails, ["lang", "_last"], staged=True)
             .select("lang", "tok", _append("path", "_tail").alias("path"))
         )
         paths = stage(longer, "paths")

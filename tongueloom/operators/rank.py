@@ -64,7 +64,7 @@ def cut_points(keys: DataFrame, hex_digest: str, key: str, share: float) -> Data
         F.ceil(F.lit(float(share)) * F.sum("_size").over(in_lang)).cast("bigint").alias("_k"))
     holds = sizes.where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_size")))
     near = lookup_join(keys, holds.select("lang", "_bucket", (F.col("_k") - F.col("_before")).alias("_rank")),
-                       ["lang", "_bucket"], "inner", salt_by=[F.col(hex_digest)])
+                       ["lang", "_bucket"], "inner")
     at = F.row_number().over(W.partitionBy("lang", "_bucket").orderBy(hex_digest, key))
     return near.withColumn("_at", at).where(F.col("_at") == F.col("_rank")).select(
         "lang", F.col(hex_digest).alias("cut"), F.col(key).alias("cut_key"))

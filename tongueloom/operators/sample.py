@@ -35,7 +35,7 @@ def split(corpus: DataFrame, holdout: float, *seed) -> DataFrame:
     keyed = corpus.withColumn("digest", digest(*seed, F.col("row_id")))
     cuts = cut_points(keyed, "digest", "row_id", holdout)
     at_or_before = (F.col("digest") < F.col("cut")) | ((F.col("digest") == F.col("cut")) & (F.col("row_id") <= F.col("cut_key")))
-    return lookup_join(keyed, cuts, ["lang"], salt_by=[F.col("row_id")]).withColumn(
+    return lookup_join(keyed, cuts, ["lang"]).withColumn(
         "split", F.when(at_or_before, F.lit("eval")).otherwise(F.lit("train"))
     ).drop("cut", "cut_key")
 
@@ -132,4 +132,4 @@ def bootstrap(sentences: DataFrame, cap: int = 10000, k: int = 2000, *seed) -> D
         .select("lang", F.col("draw").cast("bigint"), (hash32(*seed, F.col("lang"), F.col("draw")) % n + 1).alias("idx"))
     )
     drawn = numbered.join(draws, ["lang", "idx"]).select(*keys, "draw")
-    return lookup_join(sentences.drop("digest"), drawn, keys, "inner", salt_by=[F.col("row_id")])
+    return lookup_join(sentences.drop("digest"), drawn, keys, "inner")

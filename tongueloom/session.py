@@ -5,10 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_ROWS = 500_000
-SALTS = 16
 
 
 def build_session(master: str = "local[*]", app: str = "tongueloom", **conf: str) -> SparkSession:
@@ -69,18 +68,24 @@ def buckets(spark: SparkSession) -> int:
 
 
 def lookup_join(
-    df: DataFrame, table: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_ROWS,
-    salts: int = SALTS, salt_by: list[Column] | None = None, staged: bool = False,
+    df: DataFrame, table: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_ROWS, staged: bool = False,
 ) -> DataFrame:
-    """Join a table with unique ``keys`` onto ``df`` whatever the key skew of ``df``.
+    """Join a table onto ``df`` (``left`` or ``inner``) whatever the key skew of ``df``.
 
-    The table is staged (unless it comes ``staged``) and counted. Up to ``limit`` rows it is
-    broadcast; above that ``df`` is salted and the table repeated once per salt, so no key lands
-    in a single task.
+    The table is staged (unless it comes ``staged``) and counted; up to ``limit`` rows it is
+    broadcast. Above that the keys of ``df`` are counted: fewer than P keys can hold more than 1/P of
+    the rows, so the table's rows for those are broadcast, and all other rows, now without a hot key,
+    meet the rest of the table in a shuffled join.
     """
+    if how not in ("left", "inner"):
+        raise ValueError(f"lookup_join cannot do a {how} join")
     table = table if staged else stage(table, "lookup")
     if table.count() <= limit:
         return df.join(F.broadcast(table), keys, how)
-    salt = F.pmod(F.xxhash64(*(salt_by or [F.col(c) for c in df.columns])), F.lit(salts)).cast("int")
-    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("_salt", salt).join(repeated, [*keys, "_salt"], how).drop("_salt")
+    spark = df.sparkSession
+    counts = stage(df.groupBy(*keys).agg(F.count("*").alias("_n")), "key-counts")
+    share = (counts.agg(F.sum("_n")).first()[0] or 0) / int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    hot = stage(counts.where(F.col("_n") > share).select(*keys), "hot-keys")
+    hot_rows = df.join(F.broadcast(hot), keys, "left_semi").join(
+        F.broadcast(table.join(F.broadcast(hot), keys, "left_semi")), keys, how)
+    return df.join(F.broadcast(hot), keys, "left_anti").join(table, keys, how).unionByName(hot_rows)

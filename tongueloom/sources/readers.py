@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from tongueloom.config import NER_TAGS
 from tongueloom.functions.text import LINE_BREAK, strip
+from tongueloom.session import lookup_join
+
+BLOCK_LIMIT = 2_000_000  # file blocks broadcast at most; a few hundred bytes each
 
 # pandas-compatible quoting: doubled quotes inside quoted fields, outer blanks kept
 TSV = {
@@ -43,17 +46,17 @@ def read_lines(spark: SparkSession, path: str, split: str = "train") -> DataFram
     )
 
 
-def number_file_lines(read: DataFrame) -> DataFrame:
-    """Dense 1-based ``line_no`` per language, files in name order.
+def number_file_lines(read: DataFrame, group: str = "lang") -> DataFrame:
+    """(lang, line_no, line): dense 1-based numbers per language, files in name order.
 
     Sequence numbers are consecutive inside a file block, so a block needs only its first number and
-    its offset: one small table, joined on (file, block); no window over the lines.
+    its offset: one row per block, looked up by the lines; no window over the lines.
     """
-    blocks = read.groupBy("lang", "file", "block").agg(F.count("*").alias("_n"), F.min("seq").alias("_first"))
-    before = F.sum("_n").over(W.partitionBy("lang").orderBy("file", "block")) - F.col("_n")
+    blocks = read.groupBy(group, "file", "block").agg(F.count("*").alias("_n"), F.min("seq").alias("_first"))
+    before = F.sum("_n").over(W.partitionBy(group).orderBy("file", "block")) - F.col("_n")
     blocks = blocks.select("file", "block", "_first", before.alias("_before"))
-    return read.join(blocks, ["file", "block"]).select(
-        "lang", (F.col("_before") + F.col("seq") - F.col("_first") + 1).alias("line_no"), "line"
+    return lookup_join(read, blocks, ["file", "block"], "inner", limit=BLOCK_LIMIT).select(
+        group, (F.col("_before") + F.col("seq") - F.col("_first") + 1).alias("line_no"), "line"
     )
 
 
@@ -79,17 +82,12 @@ def parse_conll(lines: DataFrame) -> DataFrame:
 
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
-    """Token files -> (file, line_no, line). ``line_no`` grows with the position in the file, with gaps
-    between blocks of a split file."""
+    """Token files -> (file, line_no, line) with dense line numbers per file."""
     read = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"),
-    ).withColumn("lang", F.col("file"))
-    blocks = read.groupBy("file", "block").agg(F.count("*").alias("_n"), F.min("seq").alias("_first"))
-    before = F.sum("_n").over(W.partitionBy("file").orderBy("block")) - F.col("_n")
-    return read.join(blocks.select("file", "block", "_first", before.alias("_before")), ["file", "block"]).select(
-        "file", (F.col("_before") + F.col("seq") - F.col("_first") + 1).alias("line_no"), "line"
     )
+    return number_file_lines(read.withColumn("_group", F.col("file")), "_group").withColumnRenamed("_group", "file")
 
 
 def read_labels(spark: SparkSession, path: str | None = None) -> DataFrame:
