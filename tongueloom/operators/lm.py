@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tongueloom.config import BOS_ID, EOS_ID, IGNORE_LABEL_ID, PAD_ID
 from tongueloom.functions.hashing import SPAN, digest, hash_word
 from tongueloom.functions.text import words
+from tongueloom.operators.clean import dedup
 from tongueloom.session import lookup_join, stage
 
 END = "</s>"
@@ -184,21 +185,24 @@ def predict(df: DataFrame, fn: Callable[[pd.Series], pd.Series], text: str = "pr
     return df.mapInPandas(run, schema)
 
 
-def augment(corpus: DataFrame, generated: DataFrame, round_no: int) -> DataFrame:
-    """Old and generated sentences, distinct inside a language; old rows win over generated copies.
+def fresh_sentences(corpus: DataFrame, generated: DataFrame, round_no: int) -> DataFrame:
+    """Generated sentences a corpus does not hold yet, once each: (lang, row_id, input, is_generated).
 
-    (lang, row_id, input, round_added, is_generated); ``row_id`` is a string, new ones are named after
-    their text. One aggregate: the smallest (round, row_id) of each distinct sentence is kept.
+    The corpus is only scanned and looked up in the few new sentences, never shuffled. ``row_id`` is
+    named after round and text.
     """
-    if "round_added" not in corpus.columns:
-        corpus = corpus.withColumn("round_added", F.lit(0))
-    old = corpus.select("lang", F.col("row_id").cast("string"), "input", F.col("round_added").cast("int"))
-    new = generated.select(
-        "lang", F.concat_ws(":", F.lit(f"r{round_no}"), F.md5("sentence")).alias("row_id"),
-        F.col("sentence").alias("input"), F.lit(round_no).alias("round_added"),
-    )
-    first = F.min(F.struct("round_added", "row_id"))
-    return (
-        old.unionByName(new).groupBy("lang", "input").agg(first.alias("f"))
-        .select("lang", "f.row_id", "input", "f.round_added", (F.col("f.round_added") > 0).cast("int").alias("is_generated"))
-    )
+    keys = ["lang", "input"]
+    new = stage(generated.select("lang", F.col("sentence").alias("input")).distinct(), "new")
+    known = lookup_join(corpus.select(*keys), new, keys, "inner", staged=True).distinct()
+    return new.join(known, keys, "left_anti").select(
+        "lang", F.concat_ws(":", F.lit(f"r{round_no}"), F.md5("input")).alias("row_id"), "input", F.lit(1).alias("is_generated"))
+
+
+def as_old(corpus: DataFrame) -> DataFrame:
+    """The distinct sentences of a first corpus in the columns of a grown one."""
+    return dedup(corpus).select("lang", F.col("row_id").cast("string"), "input", F.lit(0).alias("is_generated"))
+
+
+def augment(corpus: DataFrame, generated: DataFrame, round_no: int) -> DataFrame:
+    """Old and generated sentences, distinct inside a language; an old row wins over a generated copy."""
+    return as_old(corpus).unionByName(fresh_sentences(corpus, generated, round_no))

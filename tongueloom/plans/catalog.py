@@ -134,8 +134,7 @@ def sink_corpus_round(spark, sf):
     base = views.corpus(spark, sf)
     sinks.write_round(base, out, 0)
     sinks.write_round(clean.dedup(base), out, 1)
-    both = spark.read.parquet(out)
-    return both.select(F.col("round").cast("bigint"), "lang", "row_id", F.md5("input").alias("text_md5"))
+    return sinks.read_rounds(spark, out, 1).select(F.col("round").cast("bigint"), "lang", "row_id", F.md5("input").alias("text_md5"))
 
 
 def _run_metrics(spark, sf):

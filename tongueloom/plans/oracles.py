@@ -191,7 +191,7 @@ def _rounds(n: int) -> tuple[str, dict[str, str]]:
             ctes[f"{name}_{k}"] = re.sub(rf"\b({'|'.join(chain)})\b", rf"\1_{k}", one[name])
         ctes[f"corpus_{k + 1}"] = f"""
             select lang, row_id, input, added from (
-              select *, row_number() over (partition by lang, input order by added, row_id) as r from (
+              select *, row_number() over (partition by lang, input order by added, try_cast(row_id as bigint), row_id) as r from (
                 select * from corpus_{k}
                 union all select lang, 'r{k}:' || md5(sentence), sentence, {k} from completed_{k})) where r = 1"""
         rows.append(f"""
