@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tongueloom.functions import word_count, words
 from tongueloom.operators import clean, rank, sample
 from tongueloom.session import lookup_join
 
@@ -135,6 +136,15 @@ def test_sentences_follow_python(spark):
     assert got == {i: [x.strip() for x in t.strip().splitlines()] for i, t in enumerate(texts)}
 
 
+def test_words_split_on_every_python_space(spark):
+    spaces = [chr(i) for i in range(0x3100) if chr(i).isspace()]
+    texts = [f"{c}a{c}{c}b {c}c{c}" for c in spaces] + ["", " \u3000 ", "one"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = {r["i"]: (r["w"], r["n"]) for r in df.select("i", words(F.col("t")).alias("w"), word_count(F.col("t")).alias("n")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (t.split() or [""], len(t.split()))
+
+
 def test_cleaning_and_labels(spark):
     df = spark.createDataFrame([("t", "World"), (" ", "world"), (None, "x"), ("u", None)], "news_title string, label string")
     assert [r["label_id"] for r in clean.encode_labels(clean.drop_missing(df), ["africa", "world"]).collect()] == [1]
