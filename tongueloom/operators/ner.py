@@ -22,7 +22,12 @@ DOC_MARK = "-DOCSTART-"
 # ---- reading -----------------------------------------------------------------
 
 def mark_sentences(lines: DataFrame, lines_per_bucket: int = LINES_PER_BUCKET) -> DataFrame:
-    """Add ``gap``: how many break lines of the file come up to and including this line."""
+    """Add ``gap``: how many break lines of the file come up to and including this line.
+
+    Lines that carry it already are returned as they are.
+    """
+    if "gap" in lines.columns:
+        return lines
     is_break = (F.length(strip(F.col("line"))) < 2).cast("int")
     bucket = F.floor(F.col("line_no") / F.lit(lines_per_bucket))
     return running_sum(lines, ["file"], bucket, ["line_no"], "gap", is_break)

@@ -409,12 +409,12 @@ def ner_metrics(spark, sf):
 
 def prediction_export(spark, sf):
     lines = stage(views.conll_lines(spark, sf), "conll")  # stands for the input file, read twice
-    marked = ner.mark_sentences(lines, LINES_PER_BUCKET)
+    marked = stage(ner.mark_sentences(lines, LINES_PER_BUCKET), "marked")
     toks = readers.parse_conll(marked.withColumn("file", F.struct("file", "gap"))).select("file.*", "line_no", "tag")
     # stand-in predictions: the input tag of the first words of each sentence, as a length limit leaves them
     rows = toks.groupBy("file", "gap").agg(F.array_sort(F.collect_list(F.struct("line_no", "tag"))).alias("t"))
     pred = rows.select("file", "gap", F.posexplode(F.slice("t.tag", 1, EXPORT_MAX_WORDS)).alias("pos", "pred"))
-    return ner.export(lines, pred.withColumn("pos", F.col("pos").cast("bigint")), LINES_PER_BUCKET)
+    return ner.export(marked, pred.withColumn("pos", F.col("pos").cast("bigint")), LINES_PER_BUCKET)
 
 
 # ---- experiments -------------------------------------------------------------
