@@ -1,19 +1,77 @@
-"""The registered queries of this package: ``(spark, sf_dir)`` to a DataFrame."""
+"""The registered queries of this package: ``(spark, sf_dir)`` to a DataFrame.
+
+Each reads its whole table through the operator and derives the columns of the result from the operator's output.
+"""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tongueloom.llm.common import read
+from tongueloom.llm import bitplanes, decontaminate, lattice, pieces, toxicity
+from tongueloom.llm.common import crc_bucket, read
+from tongueloom.llm.lines import dedup_lines
 from tongueloom.llm.minhash import near_duplicates
 
+TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")  # a folder that every worker has
+END_ID = 2
+
+
+def piece_codec(**more) -> pieces.PieceCodec:
+    return pieces.PieceCodec(model=f"{TOKENIZERS}/piece_bpe_32k.model", **more)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = piece_codec()
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    both = pieces.decode(pieces.encode(docs, codec), codec)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        F.octet_length("decoded").cast("long").alias("n_bytes"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
+
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "text")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.find_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    n_hit = decontaminate.hit_words(F.col("spans"))
+    return hits.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "longest")
+
+
+def op6_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    folder = bitplanes.token_folder(docs)
+    shards = bitplanes.write_tokens(docs, folder, f"{TOKENIZERS}/word_bpe_49k.json", END_ID)
+    return bitplanes.read_tokens(shards, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_minhash": op2_minhash,
+    "op3_winnowing": op3_winnowing,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_bitplanes": op6_bitplanes,
+    "op7_lattice": op7_lattice,
+    "op8_toxicity": op8_toxicity,
 }
