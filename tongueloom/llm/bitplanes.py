@@ -10,8 +10,10 @@ Layout: magic, compressed planes, compressed document ids and lengths, JSON inde
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -143,34 +145,68 @@ class ShardReader:
             at, start = at + n, start + n
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level tokenizers write bytes as: printable Latin-1 as it is, the other bytes from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + k) for k, b in enumerate(hidden)}}
+
+
+_LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")  # all letters, stable under NFC
+
+
 class WordEncoder:
-    """Encodes whole texts with a ``tokenizers`` file, each distinct white-space-separated word once.
+    """Encodes whole texts with a ``tokenizers`` file, each distinct white-space-separated word once while it is remembered.
 
-    Holds for tokenizers that drop white space before their merges, as the default one does.
+    Holds for the kind of tokenizer it checks for: NFC and lower case, white space dropped, runs of letters split from all else, byte-level
+    merges. A word of plain letters is one such run and goes to the library's merges at once, one that ends in a single
+    mark after letters is both parts, and any other word goes through the library's whole encoding.
     """
 
     def __init__(self, path: str, cache: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), cache
+        self.direct = self._plain_letters_are_one_run()
+        self.letters = byte_letters()
         self.clear()
 
+    def _plain_letters_are_one_run(self) -> bool:
+        t = self.tokenizer
+        if t.normalizer is None or t.pre_tokenizer is None:
+            return False
+        probe = "AbÉñß"
+        return t.normalizer.normalize_str(probe) == probe.lower() and [x for x, _ in t.pre_tokenizer.pre_tokenize_str("abéñß,")] == [
+            "".join(byte_letters()[b] for b in "abéñß".encode()), ","]
+
     def clear(self) -> None:
         self.at: dict[bytes, int] = {}
         self.flat = np.empty(0, dtype=np.uint32)
         self.starts = np.zeros(1, dtype=np.int64)
 
+    def word(self, raw: bytes) -> list[int]:
+        text = raw.decode()
+        if self.direct:
+            stem, mark = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
+            if _LETTERS.fullmatch(stem):
+                low = stem.lower()
+                if not low.isascii():
+                    low = "".join(map(self.letters.__getitem__, low.encode()))
+                ids = [t.id for t in self.tokenizer.model.tokenize(low)]
+                return ids + [t.id for t in self.tokenizer.model.tokenize(mark)] if mark else ids
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.at) > self.limit:
             self.clear()
         words = [t.split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.at})
+        new = {w for ws in words for w in ws}.difference(self.at)
         if new:
-            got = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+            got = [self.word(w) for w in new]
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
             ends = self.starts[-1] + np.cumsum([len(g) for g in got])
             self.starts = np.concatenate((self.starts, ends))
-            self.flat = np.concatenate((self.flat, np.array([i for g in got for i in g], dtype=np.uint32)))
+            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(got), dtype=np.uint32)))
         out = []
         for ws in words:
             at = np.fromiter(map(self.at.__getitem__, ws), dtype=np.int64, count=len(ws))

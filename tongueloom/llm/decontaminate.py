@@ -254,7 +254,7 @@ def hit_words(spans: Column) -> Column:
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the given ranges of words; what stands between other words is left as it is."""
     raw = text.encode()
-    at = [m.span() for m in _WORD.finditer(raw)]
+    at = [m.span() for m in _WORD.finditer(raw.translate(_NORMAL))]
     out, pos = [], 0
     for a, b in spans:
         out.append(raw[pos:at[a][0]])

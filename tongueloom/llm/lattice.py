@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tongueloom.llm.common import attach, components, prepare, smallest_member
-from tongueloom.llm.wordhash import keys, mix
+from tongueloom.llm.wordhash import grouped, keys, mix, spanning
 from tongueloom.session import stage
 
 
@@ -150,20 +150,6 @@ def _blocks(members: DataFrame, p: Lattice) -> DataFrame:
     return rows.withColumn("x", F.least("salt", "other")).withColumn("y", F.greatest("salt", "other")).drop("nb", "other")
 
 
-def _forest(ids: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the symmetric matrix ``link`` connects, from each vertex to the least of its component."""
-    label = np.arange(len(ids))
-    while True:
-        low = np.where(link, label[None, :], len(ids)).min(axis=1)
-        new = np.minimum(label, low)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            break
-        label = new
-    at = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[at], ids[label[at]]
-
-
 _FOUND = "kind int, a long, b long, n long"
 
 
@@ -198,7 +184,7 @@ def _compare(p: Lattice):
             matrix[i[here], j[here]] = matrix[j[here], i[here]] = True
             n = matrix @ weight
             out += [(0, a, a, c) for a, c in zip(ids.tolist(), n.tolist()) if c]
-            out += [(1, a, b, 0) for a, b in zip(*(e.tolist() for e in _forest(ids, matrix)))]
+            out += [(1, a, b, 0) for a, b in zip(*(e.tolist() for e in spanning(ids, matrix)))]
         far = (first < 0) & (probe[i] + probe[j] == 1)
         out += [(2, min(a, b), max(a, b), 0) for a, b in zip(ids[i[far]].tolist(), ids[j[far]].tolist())]
         return out
@@ -208,26 +194,10 @@ def _compare(p: Lattice):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=kind) for k, kind in enumerate(kinds)], names=["kind", "a", "b", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        name = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell, x, y = (batch.column(c).to_numpy() for c in ("cell", "x", "y"))
-            new = np.flatnonzero((cell[1:] != cell[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
-            edges = [0, *new.tolist(), len(cell)]
-            out: list[tuple[int, int, int, int]] = []
-            for a, b in zip(edges, edges[1:]):
-                key = (cell[a], x[a], y[a])
-                if held and key != name:
-                    out += group(held)
-                    held = []
-                name = key
-                held.append(batch.slice(a, b - a))
+        for rows in grouped(batches, ("cell", "x", "y")):
+            out = group(rows)
             if out:
                 yield batch_of(out)
-        if held:
-            yield batch_of(group(held))
 
     return run
 

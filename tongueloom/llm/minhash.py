@@ -4,9 +4,9 @@ Two small collections of sketches are computed per document, each sketch made of
 one sketch from either collection is the key of one table, so ``m * m`` tables cost ``2 * m`` sketches. Documents that
 share a key are candidates and are confirmed on their full shingle sets.
 
-A bucket is never expanded into all its pairs: rows of a bucket are ordered, neighbours are verified,
-and the links found are contracted to components. Only pairs of one bucket that are still in different components are then
-compared, so that no link between documents of a bucket is lost for the result.
+A bucket is never expanded into pairs. Each of its documents is tied to the first one, and what hangs together that way is a family. The
+documents of a family are compared in blocks of bounded size, and a block yields only the links that connect its
+similar documents, so that no link between documents of a bucket is lost for the result.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tongueloom.llm.common import attach, components, smallest_member
-from tongueloom.llm.wordhash import Words, keys, long_lists, mix, shingle_hashes, slices
+from tongueloom.llm.wordhash import Words, grouped, keys, long_lists, mix, shingle_hashes, slices, spanning
 from tongueloom.session import stage
 
 
@@ -31,6 +31,7 @@ class MinHash:
     percent: int = 75
     sketches: int = 12
     width: int = 2
+    block: int = 64
     seed: int = 7
 
 
@@ -81,7 +82,7 @@ def signatures(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
 
 
 def table_rows(classes: DataFrame, p: MinHash) -> DataFrame:
-    """``(bucket, doc, n)``: one row per table, its key made of one sketch of either collection."""
+    """``(bucket, doc)``: one row per table, its key made of one sketch of either collection."""
     m = p.sketches
     salt = keys(m * m, p.seed + 1)
 
@@ -94,66 +95,97 @@ def table_rows(classes: DataFrame, p: MinHash) -> DataFrame:
             with np.errstate(over="ignore"):
                 key = mix(mix(s[:, :m, None] + salt.reshape(1, m, m)) + s[:, None, m:]).reshape(-1)
             doc = np.repeat(batch.column("doc").to_numpy(zero_copy_only=False), m * m)
-            size = np.repeat(batch.column("n").to_numpy(zero_copy_only=False), m * m)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(doc), pa.array(size.astype(np.int32))], names=["bucket", "doc", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc)], names=["bucket", "doc"])
 
-    return classes.select("doc", "n", "sketches").mapInArrow(run, "bucket long, doc long, n int")
+    return classes.select("doc", "sketches").mapInArrow(run, "bucket long, doc long")
 
 
-def shared_buckets(rows: DataFrame) -> DataFrame:
-    """Keep the rows whose bucket has another row; ``before`` is the row ahead of it in the bucket's order.
+def bucket_heads(rows: DataFrame) -> DataFrame:
+    """``(a, b)``: each row of a bucket with the bucket's first row.
 
     Streams over sorted partitions and holds one Arrow batch, whatever the size of a bucket.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # the row read last, and the row before it of the same bucket
+        last_bucket = last_head = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "doc", "n")]
-            if last is not None:
-                cols = [np.concatenate((np.array([x], dtype=c.dtype), c)) for x, c in zip(last[:3], cols)]
-            bucket, doc, n = cols
-            same = bucket[1:] == bucket[:-1]
-            before = np.where(np.concatenate(([False], same)), np.concatenate(([0], doc[:-1])), -1)
-            linked = np.concatenate(([False], same))
-            if last is not None and last[3] is not None:
-                before[0], linked[0] = last[3], True
-            keep = linked.copy()
-            keep[:-1] |= same
-            keep[-1] = False
-            last = (bucket[-1], doc[-1], n[-1], before[-1] if linked[-1] else None)
-            yield _bucket_batch(bucket[keep], doc[keep], n[keep], before[keep], linked[keep])
-        if last is not None and last[3] is not None:
-            yield _bucket_batch(*(np.array([x]) for x in (*last, True)))
-
-    return rows.mapInArrow(run, "bucket long, doc long, n int, before long")
-
-
-def _bucket_batch(bucket, doc, n, before, linked) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket, type=pa.int64()), pa.array(doc, type=pa.int64()), pa.array(n.astype(np.int32)),
-         pa.array(before.astype(np.int64), mask=~linked.astype(bool))], names=["bucket", "doc", "n", "before"])
-
-
-def verified(docs: DataFrame, pairs: DataFrame, p: MinHash) -> DataFrame:
-    """The pairs ``(a, b)`` of document ids whose full shingle sets are similar enough."""
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-nodes")
+            bucket, doc = (batch.column(c).to_numpy() for c in ("bucket", "doc"))
+            new = np.concatenate(([last_bucket is None or bucket[0] != last_bucket], bucket[1:] != bucket[:-1]))
+            at = np.maximum.accumulate(np.where(new, np.arange(len(doc)), -1))
+            head = np.where(at >= 0, doc[np.maximum(at, 0)], -1 if last_head is None else last_head)
+            last_bucket, last_head = bucket[-1], head[-1]
+            own, head = doc[~new], head[~new]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(head)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of 0/1 matrices over ``width`` shared elements at a time."""
+    size = [len(s) for s in sets]
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    column = np.cumsum(shared) - 1
+    use = shared[at]
+    owner, at = owner[use], column[at[use]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(sets), len(sets)))
+    for low in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(at, (low, low + width))
+        part = np.zeros((len(sets), width), dtype=np.float32)
+        part[owner[a:b], at[a:b] - low] = 1
+        out += part @ part.T
+    return out
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def verified(docs: DataFrame, families: DataFrame, p: MinHash) -> DataFrame:
+    """Links ``(a, b)`` that connect all similar documents of each family ``(node, component)``, found on their full shingle sets.
+
+    A family is dealt to pairs of blocks, so that each pair of its documents meets in one group of bounded size; a
+    group yields a spanning forest of its links.
+    """
+    size = families.groupBy("component").agg(F.ceil(F.count("*") / p.block).cast("int").alias("nb"))
+    named = families.join(stage(size, "family-sizes"), "component").select(
+        F.col("node").alias("doc_id"), F.col("component").alias("family"), F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("salt"), "nb")
+    named = stage(named, "families")
+
+    def shingle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
             words = Words(_lower(texts))
             sets = shingle_hashes(words.hashes, words.bounds, p.words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), long_lists(sets)], names=["doc_id", "sh"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "family", "salt", "nb")), long_lists(sets)], names=["doc_id", "family", "salt", "nb", "sh"])
+
+    texts = attach(docs.select(F.col("doc_id").cast("long"), "text"), named, ["doc_id"]).select("doc_id", "text", "family", "salt", "nb")
+    sets = stage(texts.mapInArrow(shingle, "doc_id long, family long, salt int, nb int, sh array<long>"), "shingles")
+    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
+        "family", F.least("salt", "other").alias("x"), F.greatest("salt", "other").alias("y"), "doc_id", "salt", "sh")
+
+    def links(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        ids, first = np.unique(t.column("doc_id").to_numpy(), return_index=True)  # a repeated id is one document
+        lists = t.column("sh").combine_chunks()
+        edges, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        sets = [values[edges[k]: edges[k + 1]] for k in first]
+        size, salt = np.array([len(s) for s in sets], dtype=np.float64), t.column("salt").to_numpy()[first]
+        both = overlaps(sets)
+        link = 100 * both >= p.percent * (size[:, None] + size[None, :] - both)
+        if t.column("x")[0].as_py() != t.column("y")[0].as_py():  # pairs inside a block meet in that block's own group
+            link &= salt[:, None] != salt[None, :]
+        np.fill_diagonal(link, False)
+        return spanning(ids, link)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, ("family", "x", "y")):
+            if sum(b.num_rows for b in group) > 1:
+                a, b = links(group)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    texts = attach(docs.select("doc_id", "text"), wanted, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    sets = stage(texts.mapInArrow(run, "doc_id long, sh array<long>"), "shingles")
-    sa, sb = (sets.select(F.col("doc_id").alias(c), F.col("sh").alias(f"s{c}")) for c in ("a", "b"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return (pairs.select("a", "b").join(sa, "a").join(sb, "b")
-            .where(100 * both >= p.percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+    return dealt.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
@@ -170,36 +202,12 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
         sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
         .agg(F.min("doc_id").alias("doc"), F.first("sketches").alias("sketches"))
         .withColumnRenamed("n_shingles", "n"), "classes")
-    shared = stage(shared_buckets(table_rows(classes, p).repartition("bucket").sortWithinPartitions("bucket", "n", "doc")), "buckets")
-    near = shared.where("before is not null").select(F.least("doc", "before").alias("a"), F.greatest("doc", "before").alias("b")).distinct()
-    size = classes.select(F.col("doc"), F.col("n"))
-    alike = stage(_size_bound(near, size, p), "neighbours")
-    links = stage(verified(docs, alike, p), "verified")
-    # what the neighbours did not decide: pairs of one bucket in different components
-    named = stage(smallest_member(components(links)), "components")
-    placed = stage(
-        shared.select("bucket", "doc", "n").join(named.withColumnRenamed("node", "doc"), "doc", "left")
-        .withColumn("part", F.coalesce("component", "doc")).drop("component"), "placed")
-    mixed = stage(placed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket"), "mixed")
-    open_rows = stage(placed.join(mixed, "bucket"), "open")
-    x, y = (open_rows.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "part")]) for s in "xy")
-    rest = x.join(y, "bucket").where(
-        f"part_x < part_y and 100 * least(n_x, n_y) >= {p.percent} * greatest(n_x, n_y)")
-    rest = stage(rest.select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).distinct(), "open-pairs")
-    rest = stage(rest.join(alike, ["a", "b"], "left_anti"), "untested")
-    more = stage(verified(docs, rest, p), "verified")
-    if not more.isEmpty():
-        named = stage(smallest_member(components(links.unionByName(more))), "components")
+    rows = table_rows(classes, p).repartition("bucket").sortWithinPartitions("bucket", "doc")
+    families = stage(smallest_member(components(bucket_heads(rows))), "families")
+    named = smallest_member(components(verified(docs, families, p)))
     of_class = stage(
         classes.join(named.withColumnRenamed("node", "doc"), "doc", "left")
         .select("set_a", "set_b", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id")), "class-components")
     out = sig.drop("sketches").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
-
-
-def _size_bound(pairs: DataFrame, size: DataFrame, p: MinHash) -> DataFrame:
-    """Pairs whose set sizes alone do not rule the similarity out."""
-    at = lambda c: size.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"))
-    return (pairs.join(at("a"), "a").join(at("b"), "b")
-            .where(f"100 * least(na, nb) >= {p.percent} * greatest(na, nb)").select("a", "b"))

@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tongueloom.llm import bitplanes, decontaminate, lattice, pieces, toxicity
+from tongueloom.llm import bitplanes, decontaminate, lattice, pieces, pseudonyms, toxicity
 from tongueloom.llm.common import crc_bucket, read
+from tongueloom.llm.gru import language_scores
 from tongueloom.llm.lines import dedup_lines
 from tongueloom.llm.minhash import near_duplicates
 
@@ -41,6 +42,10 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "text")
 
 
+def op4_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(read(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.find_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     n_hit = decontaminate.hit_words(F.col("spans"))
@@ -66,12 +71,21 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op10_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pseudonyms.pseudonymise(docs, os.environ.get("PSEUDONYM_KEY", "a key of the job"))
+    kinds = [F.expr(f"cast(size(filter(found, v -> v.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pseudonyms.KINDS]
+    return out.select("doc_id", *kinds, F.transform("found", lambda v: v["pseudonym"]).alias("pseudonyms"), "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_minhash": op2_minhash,
     "op3_winnowing": op3_winnowing,
+    "op4_gru": op4_gru,
     "op5_decontaminate": op5_decontaminate,
     "op6_bitplanes": op6_bitplanes,
     "op7_lattice": op7_lattice,
     "op8_toxicity": op8_toxicity,
+    "op10_feistel": op10_feistel,
 }

@@ -129,8 +129,44 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, size: int = CHUNK_BYTES
             yield batch.slice(a, b - a), texts[a:b]
 
 
+def spanning(ids: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the symmetric matrix ``link`` connects, from each vertex to the first of its component."""
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label, np.where(link, label[None, :], len(ids)).min(axis=1))
+        low = np.minimum(low, low[low])
+        if (low == label).all():
+            break
+        label = low
+    at = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[at], ids[label[at]]
+
+
 def long_lists(arrays: list[np.ndarray]) -> pa.ListArray:
     """Numpy arrays of 64-bit values as one Arrow list<int64> column."""
     offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
     values = np.concatenate(arrays) if arrays else np.empty(0, dtype=np.uint64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+
+
+def grouped(batches: Iterable[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of rows with equal keys, from batches sorted by them; holds one run."""
+    held: list[pa.RecordBatch] = []
+    name = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
+        new = np.zeros(batch.num_rows - 1, dtype=bool)
+        for k in key:
+            new |= k[1:] != k[:-1]
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            this = tuple(k[a] for k in key)
+            if held and this != name:
+                yield held
+                held = []
+            name = this
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held
