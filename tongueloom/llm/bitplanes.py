@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tongueloom.llm.common import prepare
-from tongueloom.llm.wordhash import slices
+from tongueloom.llm.wordhash import Words, slices
 from tongueloom.session import fresh_path, stage
 
 MAGIC = b"IDPLANE1"
@@ -36,7 +36,7 @@ class PlaneFile:
     chunk: int = 65536
     bits: int = 1
     level: int = 3
-    cache: int = 300_000
+    cache: int = 400_000
 
 
 def to_planes(ids: np.ndarray, bits: int) -> list[bytes]:
@@ -152,68 +152,74 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in shown}, **{b: chr(256 + k) for k, b in enumerate(hidden)}}
 
 
-_LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")  # all letters, stable under NFC
+# runs that the pre-tokenizer splits plain words into: letters stable under NFC, single digits, other marks but the apostrophe
+_RUNS = re.compile("[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
+_PLAIN = re.compile("(?:[a-zA-ZÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+)+")
 
 
 class WordEncoder:
     """Encodes whole texts with a ``tokenizers`` file, each distinct white-space-separated word once while it is remembered.
 
-    Holds for the kind of tokenizer it checks for: NFC and lower case, white space dropped, runs of letters split from all else, byte-level
-    merges. A word of plain letters is one such run and goes to the library's merges at once, one that ends in a single
-    mark after letters is both parts, and any other word goes through the library's whole encoding.
+    Holds for the kind of tokenizer it checks for: NFC and lower case, white space dropped, runs of letters, single digits and runs of
+    marks split, byte-level merges. A word of plain characters goes to the library's merges run by run, any other word
+    through the library's whole encoding.
     """
 
     def __init__(self, path: str, cache: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), cache
-        self.direct = self._plain_letters_are_one_run()
-        self.letters = byte_letters()
+        self.merges, self.letters = self.tokenizer.model, byte_letters()
+        self.direct = self._splits_as_expected()
         self.clear()
 
-    def _plain_letters_are_one_run(self) -> bool:
-        t = self.tokenizer
-        if t.normalizer is None or t.pre_tokenizer is None:
+    def _splits_as_expected(self) -> bool:
+        t, probe = self.tokenizer, "abÉñß,-9x07.(é)"
+        if t.normalizer is None or t.pre_tokenizer is None or t.normalizer.normalize_str(probe) != probe.lower():
             return False
-        probe = "AbÉñß"
-        return t.normalizer.normalize_str(probe) == probe.lower() and [x for x, _ in t.pre_tokenizer.pre_tokenize_str("abéñß,")] == [
-            "".join(byte_letters()[b] for b in "abéñß".encode()), ","]
+        return [x for x, _ in t.pre_tokenizer.pre_tokenize_str(probe.lower())] == [self._bytes(x) for x in _RUNS.findall(probe.lower())]
 
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.at: dict[int, int] = {}  # by the word's hash
+        self.runs: dict[str, list[int]] = {}
         self.flat = np.empty(0, dtype=np.uint32)
         self.starts = np.zeros(1, dtype=np.int64)
 
-    def word(self, raw: bytes) -> list[int]:
-        text = raw.decode()
-        if self.direct:
-            stem, mark = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
-            if _LETTERS.fullmatch(stem):
-                low = stem.lower()
-                if not low.isascii():
-                    low = "".join(map(self.letters.__getitem__, low.encode()))
-                ids = [t.id for t in self.tokenizer.model.tokenize(low)]
-                return ids + [t.id for t in self.tokenizer.model.tokenize(mark)] if mark else ids
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _bytes(self, run: str) -> str:
+        return run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
+
+    def word(self, text: str) -> list[int]:
+        if not self.direct or "<|" in text or not _PLAIN.fullmatch(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        out: list[int] = []
+        for run in _RUNS.findall(text.lower()):
+            ids = self.runs.get(run)
+            if ids is None:
+                ids = self.runs[run] = [t.id for t in self.merges.tokenize(self._bytes(run))]
+            out += ids
+        return out
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.at) > self.limit:
             self.clear()
-        words = [t.split() for t in texts]
-        new = {w for ws in words for w in ws}.difference(self.at)
-        if new:
-            got = [self.word(w) for w in new]
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-            ends = self.starts[-1] + np.cumsum([len(g) for g in got])
-            self.starts = np.concatenate((self.starts, ends))
+        words = Words(texts)
+        distinct, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+        have = self.at.get
+        rows = np.array([have(h, -1) for h in distinct.tolist()], dtype=np.int64)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            spans = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist())
+            got = [self.word(words.raw[a:b].decode()) for a, b in spans]
+            rows[new] = np.arange(len(self.at), len(self.at) + len(new))
+            self.at.update(zip(distinct[new].tolist(), rows[new].tolist()))
+            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum([len(g) for g in got])))
             self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(got), dtype=np.uint32)))
-        out = []
-        for ws in words:
-            at = np.fromiter(map(self.at.__getitem__, ws), dtype=np.int64, count=len(ws))
-            first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
-            shift = first - np.concatenate(([0], np.cumsum(n)[:-1])) if len(ws) else first
-            out.append(self.flat[np.repeat(shift, n) + np.arange(n.sum())])
-        return out
+        at = rows[inverse]
+        n = self.starts[at + 1] - self.starts[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = self.flat[np.repeat(self.starts[at] - ends[:-1], n) + np.arange(ends[-1])]
+        cut = ends[words.bounds]
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}

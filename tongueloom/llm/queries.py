@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tongueloom.llm import bitplanes, decontaminate, lattice, pieces, pseudonyms, toxicity
+from tongueloom.llm import bitplanes, decontaminate, lattice, pieces, pseudonyms, toxicity, urlfilter
 from tongueloom.llm.common import crc_bucket, read
 from tongueloom.llm.gru import language_scores
 from tongueloom.llm.lines import dedup_lines
@@ -78,6 +78,12 @@ def op10_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *kinds, F.transform("found", lambda v: v["pseudonym"]).alias("pseudonyms"), "text")
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    out = urlfilter.judge(urlfilter.captures_of(pages), urlfilter.log_of(pages))
+    return out.select("page_id", F.col("day").cast("string").alias("day"), "n_active", F.concat_ws(",", "active").alias("active"), "blocked")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_minhash": op2_minhash,
@@ -87,5 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bitplanes": op6_bitplanes,
     "op7_lattice": op7_lattice,
     "op8_toxicity": op8_toxicity,
+    "op9_urls": op9_urls,
     "op10_feistel": op10_feistel,
 }
