@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tongueloom.llm.common import attach
 from tongueloom.llm.wordhash import slices
 from tongueloom.session import stage
 
@@ -270,8 +271,18 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam())
     hits = find_hits(docs, benchmark, p).where("size(spans) > 0 and doc_id is not null")
     hits = stage(hits.select("doc_id", "n_words", F.col("spans").alias("_spans")).dropDuplicates(["doc_id"]), "hits")
     share = hit_words(F.col("_spans")) / F.col("n_words")
-    hits = hits.select("doc_id", "_spans", (share > p.max_coverage).alias("_over"))
-    rows = docs.join(hits, "doc_id", "left").where("_over is null or not _over")
-    cut = F.udf(lambda text, spans: text if not spans else cut_words(text, [(s["first"], s["last"]) for s in spans]), "string")
-    return rows.select(*[F.when(F.col("_spans").isNull(), F.col(c)).otherwise(cut(c, "_spans")).alias(c) if c == "text" else F.col(c)
-                         for c in docs.columns])
+    hits = stage(hits.select("doc_id", "_spans", (share > p.max_coverage).alias("_over")), "cuts")
+    names = docs.columns
+    place = names.index("text")
+    rows = attach(docs, hits, ["doc_id"], "left").where("_over is null or not _over").select(*names, "_spans")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, spans = batch.columns[:-1], batch.column("_spans")
+            if spans.null_count < len(spans):
+                texts = [t if not s else cut_words(t, [(x["first"], x["last"]) for x in s])
+                         for t, s in zip(columns[place].to_pylist(), spans.to_pylist())]
+                columns[place] = pa.array(texts, type=pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(run, docs.schema)

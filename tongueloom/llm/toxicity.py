@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tongueloom.llm.common import crc_bucket, prepare
-from tongueloom.llm.wordhash import slices
+from tongueloom.llm.wordhash import Words, slices
 from tongueloom.session import stage
 
 CODES = 64  # character classes; 0 is a mere gap, the last one stands before every word
@@ -56,10 +56,9 @@ _TABLE = _code_table()
 _APART = re.compile(rb"(?<![^ \t])(?:[^\s][ \t]){2,}[^\s](?![^\s])")
 
 
-def units_of(text: bytes) -> list[bytes]:
-    """Lower-cased words of a text; runs of three or more single characters set apart count as one word."""
-    text = text.lower()
-    return _APART.sub(lambda m: m.group().replace(b" ", b"").replace(b"\t", b""), text).split()
+def joined(text: bytes) -> bytes:
+    """The text in lower case, runs of three or more single characters set apart made one word."""
+    return _APART.sub(lambda m: m.group().replace(b" ", b"").replace(b"\t", b""), text.lower())
 
 
 class Subsequences:
@@ -114,22 +113,28 @@ class Scorer:
 
     def __init__(self, weights: np.ndarray, bias: float, p: Toxicity):
         self.weights, self.bias, self.p = weights, bias, p
-        self.known: dict[bytes, float] = {}
+        self.known: dict[int, float] = {}  # by the word's hash
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         """Per text the greatest positive margin and the log of one plus the sum of positive margins."""
         if len(self.known) > self.p.cache:
             self.known = {}
-        words = [units_of(t) for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
-        for k in range(0, len(new), 50_000):
-            part = new[k:k + 50_000]
-            self.known.update(zip(part, np.maximum(Subsequences(part, self.p).against(self.weights) + self.bias, 0).tolist()))
+        words = Words([joined(t) for t in texts])
         out = np.zeros((len(texts), 2))
-        for i, ws in enumerate(words):
-            if ws:
-                margin = np.fromiter(map(self.known.__getitem__, ws), dtype=np.float64, count=len(ws))
-                out[i] = margin.max(), np.log1p(margin.sum())
+        distinct, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+        if not len(distinct):
+            return out
+        have = self.known.get
+        margin = np.array([have(h, np.nan) for h in distinct.tolist()])
+        new = np.flatnonzero(np.isnan(margin))
+        for part in np.array_split(new, len(new) // 50_000 + 1) if len(new) else ():
+            spans = zip(words.starts[first[part]].tolist(), words.ends[first[part]].tolist())
+            margin[part] = np.maximum(Subsequences([words.raw[a:b] for a, b in spans], self.p).against(self.weights) + self.bias, 0)
+        self.known.update(zip(distinct[new].tolist(), margin[new].tolist()))
+        each = margin[inverse]
+        full = np.flatnonzero(np.diff(words.bounds))
+        out[full, 0] = np.maximum.reduceat(each, words.bounds[full])
+        out[full, 1] = np.log1p(np.add.reduceat(each, words.bounds[full]))
         return out
 
 
@@ -183,7 +188,7 @@ def _word_counts(sample: DataFrame, p: Toxicity) -> list:
         for batch, texts in slices(batches, "text"):
             words, label = [], []
             for text, toxic in zip(texts, batch.column("toxic").to_pylist()):
-                own = {w[:200].decode("utf-8", "ignore") for w in units_of(text)}  # training units only; scoring takes whole words
+                own = {w[:200].decode("utf-8", "ignore") for w in joined(text).split()}  # training units only; scoring takes whole words
                 words += own
                 label += [toxic] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(words, type=pa.string()), pa.array(label, type=pa.int32())], names=["word", "toxic"])
@@ -254,6 +259,15 @@ def _landmarks(words: list[bytes], order: np.ndarray, p: Toxicity) -> list[int]:
 _scorers: dict[int, tuple[object, Scorer]] = {}
 
 
+def _scorer(shared, token: int) -> tuple[ToxicModel, Scorer]:
+    model = shared.value
+    held = _scorers.get(token)
+    if held is None or held[0] is not model:
+        _scorers.clear()
+        held = _scorers[token] = (model, Scorer(model.weights, model.bias, model.params))
+    return held
+
+
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """``(doc_id, score, predicted)`` of every row of ``docs(doc_id, text)``; other columns are ignored.
 
@@ -264,15 +278,24 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     token = id(shared)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        held = _scorers.get(token)
-        if held is None or held[0] is not model:
-            _scorers.clear()
-            held = _scorers[token] = (model, Scorer(model.weights, model.bias, model.params))
+        model, scorer = _scorer(shared, token)
         for batch, texts in slices(batches, "text"):
-            s = model.score(held[1].features(texts))
+            s = model.score(scorer.features(texts))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(s), pa.array((s >= model.params.threshold).astype(np.int32))],
                 names=["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def reject(docs: DataFrame, model: ToxicModel) -> DataFrame:
+    """The rows of ``docs`` that the model does not predict as toxic, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    token = id(shared)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, scorer = _scorer(shared, token)
+        for batch, texts in slices(batches, "text"):
+            yield batch.filter(pa.array(model.score(scorer.features(texts)) < model.params.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
