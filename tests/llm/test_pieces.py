@@ -24,6 +24,24 @@ def test_without_dropout_equals_the_library():
             assert plain.encode(1, text) == lib.encode(text), text[:60]
 
 
+def test_words_side_by_side_equal_the_agenda_one_by_one():
+    for dropout in (0.0, 0.1, 0.5):
+        encoder = PieceEncoder(piece_codec(dropout=dropout, draws=1))
+        for text in sample(seed=5):
+            words, out = [], []
+            for c in " " + text if text else "":
+                stranger = encoder.model.char[ord(c)] < 0
+                if not words or stranger or encoder.model.char[ord(words[-1][-1])] < 0 or (c == " " and words[-1][-1] != " "):
+                    words.append("")
+                words[-1] += c
+            for w in words:
+                if encoder.model.char[ord(w[0])] < 0:
+                    out += [encoder.model.byte[x] for x in w.encode()]
+                else:
+                    out += encoder.model.segment(w.replace(" ", "▁"), int(encoder.draw_keys[0]), encoder.cut)
+            assert encoder.encode(1, text) == out
+
+
 def test_round_trip_nulls_and_other_columns(docs_of):
     rows = [*enumerate(sample()), (None, "no id at all"), (900, None), (7, TEXTS[7])]
     codec = piece_codec(dropout=0.3)

@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from tongueloom.llm.common import prepare
-from tongueloom.llm.wordhash import keys, mix, slices
+from tongueloom.llm.wordhash import keys, mix, slices, span_hashes
 
 MARK = "▁"
 _MASK = (1 << 64) - 1
+_A, _B, _C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9  # spread the place of a candidate over 64 bits
+_SIDE_BY_SIDE = 48  # longer words are segmented one by one
 
 
 @dataclass(frozen=True)
@@ -62,8 +64,28 @@ class PieceModel:
                 self.surface.append(piece.piece.replace(MARK, " ").encode())
             else:
                 self.surface.append(b"")
-        if any(MARK in p.lstrip(MARK) for p in self.id):
-            raise ValueError("a piece of this model joins a mark onto text")
+        if any(MARK in p.lstrip(MARK) for p in self.id) or any(c not in self.id for p in self.id for c in p):
+            raise ValueError("a piece of this model joins a mark onto text, or has a character without a piece")
+        self.n = len(self.surface)
+        self.char = np.full(0x110000, -1, dtype=np.int32)  # piece of a character; -1: spelt in bytes
+        self.length = np.zeros(self.n, dtype=np.int64)
+        made: dict[int, int] = {}
+        for piece, i in self.id.items():
+            self.length[i] = len(piece)
+            if len(piece) == 1:
+                self.char[ord(piece)] = i
+            for k in range(1, len(piece)):
+                left, right = self.id.get(piece[:k]), self.id.get(piece[k:])
+                if left is not None and right is not None:
+                    made[left * self.n + right] = i
+        self.char[ord(" ")] = self.id[MARK]
+        self.char[ord(MARK)] = -1  # a mark that the text itself holds, so that it is not read back as a space
+        self.pairs = np.array(sorted(made), dtype=np.int64)
+        self.pair_piece = np.array([made[k] for k in self.pairs.tolist()], dtype=np.int32)
+        cost = np.zeros(self.n)
+        for piece, i in self.id.items():
+            cost[i] = -self.score[piece]
+        self.pair_cost = cost[self.pair_piece]
 
     def segment(self, unit: str, key: int, cut: int) -> tuple[int, ...]:
         """Ids of one word. ``key`` names the draw; a candidate whose keyed hash is below ``cut`` (of 2**32) is skipped."""
@@ -82,7 +104,7 @@ class PieceModel:
             if not text[a] or not text[b] or after[a] != b or len(text[a]) + len(text[b]) != len(pair):
                 continue
             if cut:
-                h = (key ^ (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + len(pair) * 0x165667B19E3779F9)) & _MASK
+                h = (key ^ (a * _A + b * _B + len(pair) * _C)) & _MASK
                 h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & _MASK
                 h = ((h ^ (h >> 29)) * 0x94D049BB133111EB) & _MASK
                 if h >> 32 < cut:
@@ -106,19 +128,59 @@ class PieceModel:
                 out.extend([known] if known is not None else [self.byte[x] for x in t.encode()])
         return tuple(out)
 
-    def unit(self, word: str, key: int, cut: int) -> tuple[int, ...]:
-        """Ids of a marked word. A mark that the text itself holds is spelt in bytes, so that it is not read back as a space."""
-        lead = len(word) - len(word.lstrip(" "))
-        rest = word[lead:]
-        if MARK not in rest:
-            return self.segment(MARK * lead + rest, key, cut)
-        spelt = [self.byte[x] for x in MARK.encode()]
-        first, *others = rest.split(MARK)
-        out = list(self.segment(MARK * lead + first, key, cut))
-        for part in others:
-            out += spelt
-            out += self.segment(part, key, cut)
-        return tuple(out)
+    def segment_many(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys_: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
+        """``segment`` of many words side by side: ids one after the other, and how many each word has.
+
+        ``chars`` are ids of single characters. A step takes the best waiting candidate of every word: it is skipped, or its two symbols are
+        joined and the candidates next to them renewed.
+        """
+        n, width = len(starts), int((ends - starts).max())
+        at = starts[:, None] + np.arange(width)
+        alive = at < ends[:, None]
+        sym = np.where(alive, chars[np.minimum(at, len(chars) - 1)], -1)
+        after = np.where(alive, np.arange(1, width + 1), width)
+        after = np.where(after >= (ends - starts)[:, None], width, after)
+        before = np.tile(np.arange(-1, width - 1), (n, 1))
+        sym = np.concatenate((sym, np.full((n, 1), -1, dtype=sym.dtype)), axis=1)  # the column past the last one stands for no symbol
+        joined, cost = self._joined(sym[:, :-1], sym[:, 1:])
+        live = np.flatnonzero(np.isfinite(cost).any(axis=1))
+        while len(live):
+            p = cost[live].argmin(axis=1)
+            some = np.isfinite(cost[live, p])
+            live, p = live[some], p[some]
+            if cut:
+                skip = self._skipped(keys_[live], p, after[live, p], self.length[joined[live, p]], cut)
+                cost[live[skip], p[skip]] = np.inf
+                r, p = live[~skip], p[~skip]
+            else:
+                r = live
+            q = after[r, p]
+            new, far, near = joined[r, p], after[r, q], before[r, p]
+            sym[r, p] = new
+            alive[r, q] = False
+            cost[r, q] = np.inf
+            after[r, p] = far
+            has = far < width
+            before[r[has], far[has]] = p[has]
+            joined[r, p], cost[r, p] = self._joined(new, sym[r, far])
+            has = near >= 0
+            joined[r[has], near[has]], cost[r[has], near[has]] = self._joined(sym[r[has], near[has]], new[has])
+        return sym[:, :-1][alive], alive.sum(axis=1)
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece that two symbols make and its cost, infinite where they make none."""
+        pair = left.astype(np.int64) * self.n + right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        hit = (self.pairs[at] == pair) & (right >= 0) & (left >= 0)
+        return np.where(hit, self.pair_piece[at], 0), np.where(hit, self.pair_cost[at], np.inf)
+
+    @staticmethod
+    def _skipped(key: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, cut: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = key ^ (a.astype(np.uint64) * np.uint64(_A) + b.astype(np.uint64) * np.uint64(_B) + size.astype(np.uint64) * np.uint64(_C))
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return (h >> np.uint64(32)) < np.uint64(cut)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of the ids; what is no valid UTF-8 (never the case for encoded texts) becomes replacement characters."""
@@ -126,50 +188,86 @@ class PieceModel:
 
 
 class PieceEncoder:
+    """Encodes texts; the segmentations of words are remembered by hash of word and draw."""
+
     def __init__(self, codec: PieceCodec):
         self.model, self.codec = PieceModel(codec.model), codec
         self.cut = int(codec.dropout * (1 << 32))
-        self.draw_keys = [int(k) for k in keys(codec.draws, codec.seed)]
-        self.new: list[dict[str, tuple[int, ...]]] = [{} for _ in self.draw_keys]
-        self.old: list[dict[str, tuple[int, ...]]] = [{} for _ in self.draw_keys]
-        self.n = 0
-
-    def _word(self, word: str, draw: int) -> tuple[int, ...]:
-        ids = self.old[draw].get(word)
-        if ids is None:
-            ids = self.model.unit(word, self.draw_keys[draw], self.cut)
-        self.new[draw][word] = ids
-        self.n += 1
-        if self.n > self.codec.cache // 2:  # the older half of the words is forgotten
-            self.old, self.new, self.n = self.new, [{} for _ in self.draw_keys], 0
-        return ids
-
-    def encode(self, doc_id: int | None, text: str) -> list[int]:
-        """Ids of a text; the draws of its words follow from the seed, the document and the word's place."""
-        if not text:
-            return []
-        words = [" " + w for w in text.split(" ")]
-        if " " in words:  # runs of spaces: their marks belong to the word behind them
-            joined, lead = [], ""
-            for w in words:
-                lead += w
-                if w != " ":
-                    joined.append(lead)
-                    lead = ""
-            words = [*joined, lead] if lead else joined
-        draws = draw_numbers(self.codec.seed, doc_id, len(words), len(self.draw_keys)) if self.cut else [0] * len(words)
-        out: list[int] = []
-        add, one = out.extend, self._word
-        for word, draw in zip(words, draws):
-            ids = self.new[draw].get(word)
-            add(one(word, draw) if ids is None else ids)
-        return out
+        self.draw_keys = keys(codec.draws, codec.seed)
+        self.clear()
 
+    def clear(self) -> None:
+        self.at: dict[int, int] = {}
+        self.flat = np.empty(0, dtype=np.int32)
+        self.starts = np.zeros(1, dtype=np.int64)
 
-def draw_numbers(seed: int, doc_id: int | None, n: int, draws: int) -> list[int]:
-    with np.errstate(over="ignore"):
-        base = mix(np.array([-1 if doc_id is None else doc_id], dtype=np.int64).view(np.uint64) ^ keys(1, seed))[0]
-        return (mix(base + np.arange(n, dtype=np.uint64)) % np.uint64(draws)).tolist()
+    def encode(self, doc_id: int | None, text: str) -> list[int]:
+        return self.encode_all([doc_id], [text])[0].tolist()
+
+    def encode_all(self, doc_ids: list[int | None], texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts; the draws of a text's words follow from the seed, the document and the word's place."""
+        if len(self.at) > self.codec.cache:
+            self.clear()
+        # every text has the leading mark of the model, but an empty one has no pieces
+        joined = "".join(" " + t if t else "" for t in texts)
+        if not joined:
+            return [np.empty(0, dtype=np.int32) for _ in texts]
+        code = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+        edge = np.concatenate(([0], np.cumsum([len(t) + 1 if t else 0 for t in texts])))
+        chars = self.model.char[code]
+        # a word is a run of spaces and what follows it; a character without a piece stands alone
+        space, alone = code == 32, chars < 0
+        new = np.ones(len(code), dtype=bool)
+        new[1:] = (space[1:] & ~space[:-1]) | alone[1:] | alone[:-1]
+        new[edge[:-1][edge[:-1] < len(code)]] = True
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(code))
+        bounds = np.searchsorted(starts, edge)
+        draw = np.zeros(len(starts), dtype=np.int64)
+        with np.errstate(over="ignore"):
+            if self.cut:
+                ids = np.array([-1 if d is None else d for d in doc_ids], dtype=np.int64).view(np.uint64)
+                of = np.repeat(np.arange(len(texts)), np.diff(bounds))
+                place = (np.arange(len(starts)) - bounds[of]).astype(np.uint64)
+                draw = (mix(mix(ids ^ keys(1, self.codec.seed))[of] + place) % np.uint64(self.codec.draws)).astype(np.int64)
+            unit = mix(span_hashes(code, starts, ends, mix(code)) + self.draw_keys[draw])
+        distinct, first, inverse = np.unique(unit, return_index=True, return_inverse=True)
+        have = self.at.get
+        rows = np.array([have(h, -1) for h in distinct.tolist()], dtype=np.int64)
+        todo = np.flatnonzero(rows < 0)
+        if len(todo):
+            rows[todo] = np.arange(len(self.at), len(self.at) + len(todo))
+            self.at.update(zip(distinct[todo].tolist(), rows[todo].tolist()))
+            self._segment(code, chars, starts[first[todo]], ends[first[todo]], draw[first[todo]])
+        at = rows[inverse]
+        n = self.starts[at + 1] - self.starts[at]
+        stop = np.concatenate(([0], np.cumsum(n)))
+        ids = self.flat[np.repeat(self.starts[at] - stop[:-1], n) + np.arange(stop[-1])]
+        cut = stop[bounds]
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+    def _segment(self, code: np.ndarray, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, draw: np.ndarray) -> None:
+        """Append the segmentations of new words, in their order."""
+        size = ends - starts
+        parts: list = [None] * len(starts)
+        limit = 1
+        while limit < _SIDE_BY_SIDE:
+            low, limit = limit if limit > 1 else 0, min(_SIDE_BY_SIDE, limit * 2)
+            fits = np.flatnonzero((size > low) & (size <= limit) & (chars[starts] >= 0))
+            for k in range(0, len(fits), 20_000):
+                use = fits[k:k + 20_000]
+                ids, n = self.model.segment_many(chars, starts[use], ends[use], self.draw_keys[draw[use]], self.cut)
+                for i, part in zip(use.tolist(), np.split(ids, np.cumsum(n)[:-1])):
+                    parts[i] = part
+        for i in [i for i, x in enumerate(parts) if x is None]:
+            word = code[starts[i]: ends[i]].tobytes().decode("utf-32-le")
+            if chars[starts[i]] < 0:
+                ids = [self.model.byte[x] for x in word.encode()]
+            else:
+                ids = self.model.segment(word.replace(" ", MARK), int(self.draw_keys[draw[i]]), self.cut)
+            parts[i] = np.array(ids, dtype=np.int32)
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum([len(x) for x in parts])))
+        self.flat = np.concatenate((self.flat, *parts)).astype(np.int32)
 
 
 _encoders: dict[PieceCodec, PieceEncoder] = {}
@@ -197,12 +295,13 @@ def encode(docs: DataFrame, codec: PieceCodec) -> DataFrame:
     names = [*docs.columns, "ids"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoder(codec).encode
+        one = encoder(codec)
         for batch, texts in slices(batches, "text"):
-            null = batch.column("text").is_null().to_pylist()
-            ids = [None if gone else one(doc, text.decode())
-                   for doc, text, gone in zip(batch.column("doc_id").to_pylist(), texts, null)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, type=pa.list_(pa.int32()))], names=names)
+            ids = one.encode_all(batch.column("doc_id").to_pylist(), [t.decode() for t in texts])
+            edges = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+            null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
+            lists = pa.ListArray.from_arrays(pa.array(edges, mask=np.append(null, False)), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=names)
 
     return docs.mapInArrow(run, _more(docs, "ids", "array<int>"))
 

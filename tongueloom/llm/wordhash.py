@@ -50,11 +50,11 @@ def word_spans(buf: np.ndarray, is_gap: np.ndarray) -> tuple[np.ndarray, np.ndar
     return edge[::2], edge[1::2]
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, from one running sum over the buffer."""
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span of bytes (or of ``values``, one for each place), from one running sum over the buffer."""
     with np.errstate(over="ignore"):
         total = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[buf] * _power(_BASE, len(buf), "up")[: len(buf)], out=total[1:])
+        np.cumsum((_BYTE[buf] if values is None else values) * _power(_BASE, len(buf), "up")[: len(buf)], out=total[1:])
         return mix((total[ends] - total[starts]) * _power(_BASE_INV, len(buf), "down")[starts])
 
 
