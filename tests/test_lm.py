@@ -74,8 +74,8 @@ def test_perplexity(spark):
 
 
 def test_mask_shares_and_untouched_positions(spark):
-    df = spark.createDataFrame([("a", i, 0, [0, *range(10, 260), 2]) for i in range(40)],
-                               "lang string, row_id long, line_no long, input_ids array<long>")
+    df = spark.createDataFrame([("a", i, 0, 0, [0, *range(10, 260), 2]) for i in range(40)],
+                               "lang string, row_id long, line_no long, chunk_no long, input_ids array<long>")
     kinds = Counter()
     for r in lm.mlm_mask(df, 1000, 1000, 0.15, 4).collect():
         assert r["labels"][0] == r["labels"][-1] == -100 and (r["input_ids"][0], r["input_ids"][-1]) == (0, 2)

@@ -92,17 +92,23 @@ def test_batches_use_each_line_once_and_one_language(spark):
 
 def test_bootstrap_counts_and_membership(spark):
     df = lines(spark, {"a": 50, "b": 300})
-    got = sample.bootstrap(df, 100, 20, 8).collect()
-    assert Counter(r["lang"] for r in got) == {"a": 50, "b": 20}
+    got = sample.bootstrap(df, 8).collect()
+    assert Counter(r["lang"] for r in got) == {"a": 50, "b": 300}
     order = sorted(range(300), key=lambda i: (md5(1, i // 3), i // 3, i % 3))
-    h = int(md5(8, "b", 1)[:8], 16) % 300
+    h = int(md5(8, "b", 1)[:15], 16) % 300
     first = next(r for r in got if r["lang"] == "b" and r["draw"] == 1)
     assert first["line"] == f"line {order[h]}"
 
 
+def test_bootstrap_has_no_cap(spark):
+    df = spark.range(12_500).selectExpr("'a' as lang", "id as row_id", "0L as line_no", "cast(id as string) as line", "md5(cast(id as string)) as digest")
+    got = sample.bootstrap(df, 8)
+    assert got.count() == 12_500 and got.select("draw").distinct().count() == 12_500
+
+
 def test_empty_input(spark):
     empty = lines(spark, {})
-    assert sample.bootstrap(empty, 10, 5, 1).count() == 0 and sample.batch_plan(empty, 4).count() == 0
+    assert sample.bootstrap(empty, 1).count() == 0 and sample.batch_plan(empty, 4).count() == 0
 
 
 def test_lookup_join_beyond_the_broadcast_limit(spark):

@@ -109,10 +109,13 @@ def test_encode_and_pad(spark):
     df = spark.createDataFrame([("x", 1, 0, "ab a"), ("x", 2, 0, "abz"), ("y", 3, 0, "a a a a")],
                                "lang string, row_id long, line_no long, line string")
     enc = subword.encode_sequences(df, merges, vocab, 7)
-    assert {r["row_id"]: r["input_ids"] for r in enc.collect()} == {
-        1: [0, 5, 4, 5, 6, 2], 2: [0, 5, 4, 3, 2], 3: [0, 5, 6, 5, 6, 5, 2]}
-    longest = {r["row_id"]: (r["input_ids"], r["attention_mask"]) for r in subword.pad_sequences(enc).collect()}
-    assert longest[2] == ([0, 5, 4, 3, 2, 1], [1, 1, 1, 1, 1, 0]) and len(longest[3][0]) == 7
+    assert {(r["row_id"], r["chunk_no"]): r["input_ids"] for r in enc.collect()} == {
+        (1, 0): [0, 5, 4, 5, 6, 2], (2, 0): [0, 5, 4, 3, 2], (3, 0): [0, 5, 6, 5, 6, 5, 2], (3, 1): [0, 6, 5, 6, 2]}
+    long = df.selectExpr("lang", "row_id", "line_no", "repeat('ab a ', 9) as line")  # five times the length and more
+    rows = subword.encode_sequences(long, merges, vocab, 7).where("row_id = 1").orderBy("chunk_no").collect()
+    assert [i for r in rows for i in r["input_ids"][1:-1]] == [5, 4, 5, 6] * 9 and max(len(r["input_ids"]) for r in rows) == 7
+    longest = {(r["row_id"], r["chunk_no"]): (r["input_ids"], r["attention_mask"]) for r in subword.pad_sequences(enc).collect()}
+    assert longest[2, 0] == ([0, 5, 4, 3, 2, 1], [1, 1, 1, 1, 1, 0]) and len(longest[3, 1][0]) == 7
     fixed = subword.pad_sequences(enc, "max_length", 9).select(F.size("input_ids").alias("n")).distinct().collect()
     assert [r["n"] for r in fixed] == [9]
 
@@ -120,5 +123,5 @@ def test_encode_and_pad(spark):
 def test_vocab_has_no_piece_twice(spark):
     letters = spark.createDataFrame([("a", 5, 1), ("b", 4, 2)], "ch string, n long, rk long")
     rows = subword.vocab_table(spark, [("a", "b"), ("ab", "c"), ("a", "bc")], letters).orderBy("id").collect()
-    assert [r["piece"] for r in rows] == ["<s>", "<pad>", "</s>", "<unk>", "ab", "abc", "a", "b"]
-    assert [r["id"] for r in rows] == list(range(8))
+    assert [r["piece"] for r in rows] == ["<s>", "<pad>", "</s>", "<unk>", "ab", "abc", "a", "b", "<mask>"]
+    assert [r["id"] for r in rows] == list(range(9))

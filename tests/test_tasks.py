@@ -2,7 +2,6 @@ import random
 from collections import defaultdict
 
 import pytest
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tongueloom.operators import classify, ner, runs
@@ -82,8 +81,8 @@ def test_conll_sentences(spark, per_bucket):
 
 def test_export(spark):
     df = spark.createDataFrame([("f", i, x) for i, x in enumerate(CONLL.split("\n"))], "file string, line_no long, line string")
-    pred = spark.createDataFrame([("f", 1, 0, "B-X"), ("f", 1, 1, "I-X")], "file string, gap long, pos long, pred string")
-    got = [(r["out_line"], r["status"]) for r in ner.export(df, pred, 4).orderBy("line_no").collect()]
+    pred = spark.createDataFrame([("f", 2, "B-X"), ("f", 3, "I-X")], "file string, line_no long, pred string")
+    got = [(r["out_line"], r["status"]) for r in ner.export(df, pred).orderBy("line_no").collect()]
     assert got[:5] == [("-DOCSTART- O", "document"), ("", "boundary"), ("John B-X", "token"), ("Smith I-X", "token"), (".", "boundary")]
     assert got[5] == (None, "no_prediction") and got[8] == (" ", "boundary")
 
@@ -111,8 +110,13 @@ def test_align_labels(spark):
     assert plain["input_ids"] == [0, 5, 8, 5, 7, 5, 3, 2, 1, 1]
     assert plain["label_ids"] == [-100, 1, -100, 2, -100, 0, -100, -100, -100, -100]
     assert plain["input_mask"] == [1] * 8 + [0] * 2
-    other = ner.align_labels(df, [("a", "b")], vocab, TAGS, 8, cls_at_end=True, sep_extra=True, pad_left=True, cls_segment=2, pad_segment=4).first()
-    assert other["input_ids"] == [5, 8, 5, 7, 5, 2, 2, 0] and other["segment_ids"] == [0] * 7 + [2]
+    framing = dict(cls_at_end=True, sep_extra=True, pad_left=True, cls_segment=2, pad_segment=4)
+    two = ner.align_labels(df, [("a", "b")], vocab, TAGS, 8, **framing).orderBy("chunk_no").collect()
+    assert [r["input_ids"] for r in two] == [[1, 5, 8, 5, 7, 2, 2, 0], [1, 1, 1, 5, 3, 2, 2, 0]]
+    assert two[1]["segment_ids"] == [4, 4, 4, 0, 0, 0, 0, 2]
+    many = spark.createDataFrame([("g", ["ab", "b", "abababab"] * 30, ["B-PER", "I-PER", "O"] * 30)], df.schema)
+    kept = [y for r in ner.align_labels(many, [("a", "b")], vocab, TAGS, 10).orderBy("chunk_no").collect() for y in r["label_ids"] if y != -100]
+    assert kept == [TAGS.index(x) for x in ["B-PER", "I-PER", "O"] * 30]
     with pytest.raises(Exception, match="unknown tag: B-PER"):
         ner.align_labels(df, [], vocab, ["O"], 10).collect()
 
@@ -190,8 +194,11 @@ def test_split_blocks_keep_line_numbers(spark, tmp_path):
 def test_guard_and_cache(spark, tmp_path):
     df = spark.range(3)
     sinks.save(df, str(tmp_path / "o"))
-    with pytest.raises(AnalysisException):
+    with pytest.raises(FileExistsError):
         sinks.save(df, str(tmp_path / "o"))
+    (tmp_path / "none").mkdir()
+    sinks.save(df, str(tmp_path / "none"))
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 3
     sinks.save(spark.range(5), str(tmp_path / "o"), overwrite=True)
     assert spark.read.parquet(str(tmp_path / "o")).count() == 5
     calls = []

@@ -18,6 +18,7 @@ SENTIMENT_LABELS = ["positive", "neutral", "negative"]
 RESERVED_PIECES = ["<s>", "<pad>", "</s>", "<unk>"]
 BOS_ID, PAD_ID, EOS_ID, UNK_ID = 0, 1, 2, 3
 IGNORE_LABEL_ID = -100
+MASK_PIECE = "<mask>"
 WORD_MARK = "\u2581"
 # -----------------------------------------------------------------------------
 
@@ -33,8 +34,6 @@ class CorpusJob:
     window_hi: int = 256
     mask_rate: float = 0.15
     rounds: int = 3
-    draw_cap: int = 10000
-    draw_k: int = 2000
     batch_size: int = 64
     workers: int = 6
     alpha: float = 1.0

@@ -25,6 +25,11 @@ def hash32(*parts) -> Column:
     return hash_word(digest(*parts))
 
 
+def hash60(*parts) -> Column:
+    """The first 60 bits of the digest as a bigint: an index without wrap-around for any table size."""
+    return F.conv(F.substring(digest(*parts), 1, 15), 16, 10).cast("bigint")
+
+
 def uniform(h: Column) -> Column:
     """A 32-bit hash as a number strictly inside (0, 1), safe under a logarithm."""
     return (h + F.lit(1)) / F.lit(float(SPAN + 1))

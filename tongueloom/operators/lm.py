@@ -36,9 +36,9 @@ def mlm_mask(encoded: DataFrame, mask_id: int, vocab_size: int, rate: float = 0.
         kept = F.struct(x.alias("id"), F.lit(IGNORE_LABEL_ID).cast("bigint").alias("label"))
         return F.when(chosen, F.struct(masked.alias("id"), x.alias("label"))).otherwise(kept)
 
-    digests = F.transform("input_ids", lambda x, i: digest(seed, F.col("row_id"), F.col("line_no"), i))
+    digests = F.transform("input_ids", lambda x, i: digest(seed, F.col("row_id"), F.col("line_no"), F.col("chunk_no"), i))
     return encoded.withColumn("_z", F.zip_with("input_ids", digests, at)).select(
-        "lang", "row_id", "line_no", F.col("_z.id").alias("input_ids"), F.col("_z.label").alias("labels")
+        "lang", "row_id", "line_no", "chunk_no", F.col("_z.id").alias("input_ids"), F.col("_z.label").alias("labels")
     )
 
 
@@ -141,20 +141,20 @@ def _append(path: str, tail: str) -> Column:
 def complete(prompted: DataFrame, top: DataFrame, max_tokens: int, levels: int = JUMP_LEVELS) -> DataFrame:
     """Append the best next token ``n_tokens`` times, stopping where there is none: adds ``sentence``.
 
-    ``max_tokens`` bounds n_tokens. Prompts are few (bounded draws), so the model side is only
-    probed: first token directly, the rest in jumps of 2^levels.
+    ``max_tokens`` bounds n_tokens. The model is probed by the last word of a prompt, which may be a hot key: first token directly, the
+    rest in jumps of 2^levels.
     """
     top = stage(top.select("lang", "prev", "next"), "top")
     first = top.select("lang", F.col("prev").alias("_last"), F.array("next").alias("_tail"))
     reach = 1
     out = prompted.withColumn("_path", F.array().cast("array<string>"))
-    out = out.withColumn("_last", F.element_at(words(F.col("prompt")), -1)).join(first, ["lang", "_last"], "left")
+    out = lookup_join(out.withColumn("_last", F.element_at(words(F.col("prompt")), -1)), first, ["lang", "_last"], staged=True)
     out = out.withColumn("_path", _append("_path", "_tail")).drop("_tail", "_last")
     if max_tokens > 1:
         jumps = continuation_paths(top, levels).select("lang", F.col("tok").alias("_last"), F.col("path").alias("_tail"))
         while reach < max_tokens:
             last = F.when(F.size("_path") > 0, F.element_at("_path", -1))
-            out = out.withColumn("_last", last).join(jumps, ["lang", "_last"], "left")
+            out = lookup_join(out.withColumn("_last", last), jumps, ["lang", "_last"], staged=True)
             out = out.withColumn("_path", _append("_path", "_tail")).drop("_tail", "_last")
             reach += 2 ** levels
     added = F.slice("_path", F.lit(1), F.col("n_tokens"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tongueloom.config import BOS_ID, EOS_ID, IGNORE_LABEL_ID, NER_TAGS, PAD_ID
 from tongueloom.functions.arrays import label_index
 from tongueloom.functions.text import strip
 from tongueloom.operators.classify import ratio
 from tongueloom.operators.rank import running_sum
-from tongueloom.operators.subword import word_encoder
+from tongueloom.operators.subword import word_chunks
 from tongueloom.session import lookup_join, stage
 from tongueloom.sources.readers import parse_conll
 
@@ -53,20 +53,22 @@ def align_labels(
     cls_at_end: bool = False, sep_extra: bool = False, pad_left: bool = False, cls_segment: int = 0,
     pad_segment: int = 0, keep: Sequence[str] = ("guid",),
 ) -> DataFrame:
-    """First piece of a word carries the tag id, its other pieces -100; truncated, framed and padded.
+    """First piece of a word carries the tag id, its other pieces -100; cut into chunks between words, framed and padded.
 
-    Four arrays of exactly ``max_len``: input_ids, input_mask, segment_ids, label_ids. A word without
-    pieces becomes ``<unk>``, so no sentence is lost.
+    ``chunk_no`` and four arrays of exactly ``max_len``: input_ids, input_mask, segment_ids, label_ids. A word without
+    pieces becomes ``<unk>``. No id and no label is lost: a sentence takes as many chunks as it needs.
     """
     big = lambda v: F.lit(v).cast("bigint")
     room = max_len - (3 if sep_extra else 2)
-    per_word = F.zip_with(
-        "_pieces", F.transform("labels", lambda x: label_index(x, labels, "tag")),
-        lambda p, y: F.concat(F.array(y), F.array_repeat(big(IGNORE_LABEL_ID), F.size(p) - 1)),
-    )
-    body = sentences.withColumn("_pieces", word_encoder(merges, vocab)("words")).select(
-        *keep, F.slice(F.flatten("_pieces"), 1, room).alias("_ids"), F.slice(F.flatten(per_word), 1, room).alias("_tags")
-    )
+    cut = sentences.select(*keep, F.transform("labels", lambda x: label_index(x, labels, "tag")).alias("_y"),
+                           word_chunks(merges, vocab, room)("words").alias("_parts"))
+    many = cut.withColumn("chunk_no", F.explode(F.sequence(big(0), F.greatest(F.array_max("_parts.chunk"), big(0)))))
+    own = F.filter("_parts", lambda p: p["chunk"] == F.col("chunk_no"))
+    tags_of = lambda p: F.concat(
+        F.array(F.when(p["first"], F.get("_y", p["word"])).otherwise(big(IGNORE_LABEL_ID))),
+        F.array_repeat(big(IGNORE_LABEL_ID), F.size(p["ids"]) - 1))
+    body = many.withColumn("_own", own).select(
+        *keep, "chunk_no", F.flatten("_own.ids").alias("_ids"), F.flatten(F.transform("_own", tags_of)).alias("_tags"))
     seps = 2 if sep_extra else 1
     eos, cls, ign = [big(EOS_ID)] * seps, [big(BOS_ID)], [big(IGNORE_LABEL_ID)]
     zeros = F.array_repeat(big(0), F.size("_ids") + seps)
@@ -85,7 +87,7 @@ def align_labels(
 
     mask = F.transform(ids, lambda _: big(1))
     return body.select(
-        *keep, padded(ids, PAD_ID).alias("input_ids"), padded(mask, 0).alias("input_mask"),
+        *keep, "chunk_no", padded(ids, PAD_ID).alias("input_ids"), padded(mask, 0).alias("input_mask"),
         padded(segments, pad_segment).alias("segment_ids"), padded(tags, IGNORE_LABEL_ID).alias("label_ids"),
     )
 
@@ -118,7 +120,7 @@ def spans(tags: Column) -> Column:
     next start or ``O``. Starts and ends pair up in order, so no shuffle and no window is needed.
     """
     none = F.array(F.lit(None).cast("string"))
-    kind = lambda t: F.substring(t, 3, 1000)
+    kind = lambda t: F.substring(t, 3, 2**31 - 1)
     before = F.slice(F.concat(none, tags), F.lit(1), F.size(tags))
     after = F.slice(F.concat(tags, none), F.lit(2), F.size(tags))
 
@@ -172,20 +174,15 @@ def ner_report(sentences: DataFrame, gold: str = "labels", pred: str = "pred") -
 
 # ---- export ------------------------------------------------------------------
 
-def export(lines: DataFrame, predicted: DataFrame, lines_per_bucket: int = LINES_PER_BUCKET) -> DataFrame:
+def export(lines: DataFrame, predicted: DataFrame) -> DataFrame:
     """Line predictions up with the input lines: (file, line_no, out_line, status).
 
-    ``predicted`` is (file, gap, pos, pred) with ``gap`` from ``mark_sentences`` and pos from 0. Breaks and document
-    marks pass through; a token without a prediction (cut off by the length limit) has a null line
-    and status ``no_prediction``.
+    ``predicted`` is (file, line_no, pred), the line a token was read from. Breaks and document marks pass through; a token
+    without a prediction has a null line and status ``no_prediction``. One keyed join, so a file without breaks is no burden.
     """
-    marked = mark_sentences(lines, lines_per_bucket).withColumn("_s", strip(F.col("line")))
+    marked = lines.withColumn("_s", strip(F.col("line")))
     is_break = F.length("_s") < 2
-    pos = F.row_number().over(W.partitionBy("file", "gap").orderBy("line_no")) - 1
-    # a gap opens with its break line, so tokens count from 0 behind it
-    lead = F.max(is_break.cast("int")).over(W.partitionBy("file", "gap"))
-    placed = marked.withColumn("pos", (pos - lead).cast("bigint"))
-    joined = placed.join(predicted, ["file", "gap", "pos"], "left")
+    joined = marked.join(predicted, ["file", "line_no"], "left")
     passed = is_break | F.col("_s").startswith(DOC_MARK)
     status = (F.when(is_break, F.lit("boundary")).when(passed, F.lit("document"))
               .when(F.col("pred").isNull(), F.lit("no_prediction")).otherwise(F.lit("token")))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tongueloom.functions.hashing import SPAN, digest, hash32, hash_word, uniform
+from tongueloom.functions.hashing import SPAN, digest, hash32, hash60, hash_word, uniform
 from tongueloom.operators.rank import cut_points, exact_rank, running_sum
 from tongueloom.session import buckets, lookup_join, stage
 
 MICRO = 1_000_000
 TICKS_PER_BUCKET = 4096
+DRAW_BLOCK = 100_000  # draws listed by one row
 
 
 def shuffle(corpus: DataFrame, *seed) -> DataFrame:
@@ -116,20 +117,25 @@ def batch_plan(sentences: DataFrame, batch_size: int, alpha: float = 1.0, seed=1
     return lines.join(order, ["lang", "_j"]).select("batch_id", "batch_pos", "lang", "row_id", "line_no")
 
 
-def bootstrap(sentences: DataFrame, cap: int = 10000, k: int = 2000, *seed) -> DataFrame:
-    """Draw lines with replacement, per language: n draws if n <= cap, else k.
+def bootstrap(sentences: DataFrame, *seed) -> DataFrame:
+    """Draw lines with replacement, per language: as many draws as it has lines, whatever its size.
 
-    The draw table has at most max(cap, k) rows per language and is built from the counts alone. Only
-    keys are ranked; the few drawn keys then pick their lines, so the texts are never shuffled.
+    The draw table is a list of numbers, spread over the cluster before they are hashed; an index takes 60 bits of
+    the hash. Only keys are ranked and joined; the drawn keys then pick their lines, so the texts are never shuffled.
     """
     keys = ["lang", "row_id", "line_no"]
     listed = stage(sentences.select(*keys, "digest"), "keys")
     numbered = number_lines(listed).drop("digest", "total")
     n = F.col("n")
-    draws = (
+    block = F.lit(DRAW_BLOCK).cast("bigint")
+    blocks = (
         listed.groupBy("lang").agg(F.count("*").alias("n"))
-        .withColumn("draw", F.explode(F.sequence(F.lit(1), F.when(n <= cap, n).otherwise(F.lit(k)).cast("int"))))
-        .select("lang", F.col("draw").cast("bigint"), (hash32(*seed, F.col("lang"), F.col("draw")) % n + 1).alias("idx"))
+        .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / block))))
+        .repartition("lang", "_b")
+    )
+    draws = (
+        blocks.withColumn("draw", F.explode(F.sequence(F.col("_b") * block + 1, F.least(n, (F.col("_b") + 1) * block))))
+        .select("lang", "draw", (hash60(*seed, F.col("lang"), F.col("draw")) % n + 1).alias("idx"))
     )
     drawn = numbered.join(draws, ["lang", "idx"]).select(*keys, "draw")
     return lookup_join(sentences.drop("digest"), drawn, keys, "inner")

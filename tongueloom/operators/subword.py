@@ -13,7 +13,7 @@ from heapq import heapify, heappop, heappush
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from tongueloom.config import BOS_ID, EOS_ID, PAD_ID, RESERVED_PIECES, UNK_ID, WORD_MARK
+from tongueloom.config import BOS_ID, EOS_ID, MASK_PIECE, PAD_ID, RESERVED_PIECES, UNK_ID, WORD_MARK
 from tongueloom.functions.text import words
 from tongueloom.session import lookup_join, stage
 
@@ -159,13 +159,14 @@ def train_bpe(
 
 
 def vocab_table(spark: SparkSession, merges: Sequence[Pair], letters: DataFrame) -> DataFrame:
-    """(piece, id): reserved pieces, then merges in order, then the alphabet by frequency."""
+    """(piece, id): reserved pieces, merges in order, the alphabet by frequency, and the mask at the end."""
     head = [(p, i) for i, p in enumerate(RESERVED_PIECES)]
     made = dict.fromkeys(a + b for a, b in merges)  # two merges can make one piece
     head += [(p, len(head) + i) for i, p in enumerate(made)]
     fixed = spark.createDataFrame(head, "piece string, id bigint")
     own = letters.select(F.col("ch").alias("piece"), (F.lit(len(head) - 1) + F.col("rk")).alias("id"))
-    return fixed.unionByName(own)
+    mask = letters.agg((F.count("*") + len(head)).alias("id")).select(F.lit(MASK_PIECE).alias("piece"), "id")
+    return fixed.unionByName(own).unionByName(mask)
 
 
 def vocab_dict(vocab: DataFrame) -> dict[str, int]:
@@ -257,27 +258,45 @@ def line_encoder(merges: Sequence[Pair], vocab: dict[str, int]):
     return encode_line
 
 
-def word_encoder(merges: Sequence[Pair], vocab: dict[str, int]):
-    """Column function: array of words -> array of id arrays, one per word."""
+def word_chunks(merges: Sequence[Pair], vocab: dict[str, int], room: int):
+    """Column function: array of words -> parts ``(chunk, word, first, ids)`` that hold every id.
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+    A word of more than half a chunk is cut into parts of that size. A part goes to the chunk of its first id, in
+    steps that leave the room of the sentence's longest part, so no part crosses the end of a chunk.
+    """
+    half = room // 2
+
+    def parts(words: Sequence[str], ids: Callable[[str], list[int]]) -> list[tuple[int, int, bool, list[int]]]:
+        cut = [(w, k == 0, own[k:k + half]) for w, own in enumerate(ids(x) or [UNK_ID] for x in words) for k in range(0, len(own), half)]
+        step = room - max((len(p) for _, _, p in cut), default=0) + 1
+        out, start = [], 0
+        for w, first, p in cut:
+            out.append((start // step, w, first, p))
+            start += len(p)
+        return out
+
+    @F.pandas_udf("array<struct<chunk:bigint,word:int,first:boolean,ids:array<bigint>>>")
     def encode_each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ids = _id_lists(merges, vocab)
         for batch in batches:
-            yield batch.map(lambda ws: [ids(w) or [UNK_ID] for w in ws])
+            yield batch.map(lambda ws: parts(ws, ids))
 
     return encode_each
 
 
-def with_specials(ids: Column, max_len: int) -> Column:
-    """``<s>`` ids ``</s>``, at most ``max_len`` long."""
-    return F.concat(F.array(F.lit(BOS_ID).cast("bigint")), F.slice(ids, 1, max_len - 2),
-                    F.array(F.lit(EOS_ID).cast("bigint")))
+def chunks(ids: Column, max_len: int) -> Column:
+    """All ids in pieces ``<s>`` ids ``</s>`` of at most ``max_len``; no ids make one piece."""
+    room = max_len - 2
+    n = F.greatest(F.ceil(F.size(ids) / F.lit(room)), F.lit(1)).cast("int")
+    ends = [F.array(F.lit(x).cast("bigint")) for x in (BOS_ID, EOS_ID)]
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.concat(ends[0], F.slice(ids, k * room + 1, F.lit(room)), ends[1]))
 
 
 def encode_sequences(sentences: DataFrame, merges: Sequence[Pair], vocab: dict[str, int], max_len: int = 256) -> DataFrame:
-    raw = sentences.withColumn("ids", line_encoder(merges, vocab)("line"))
-    return raw.select("lang", "row_id", "line_no", with_specials(F.col("ids"), max_len).alias("input_ids"))
+    """(lang, row_id, line_no, chunk_no, input_ids): a sentence longer than ``max_len`` goes on in further chunks; no id is lost."""
+    raw = sentences.select("lang", "row_id", "line_no", line_encoder(merges, vocab)("line").alias("ids"))
+    cut = raw.select("lang", "row_id", "line_no", F.posexplode(chunks(F.col("ids"), max_len)).alias("chunk_no", "input_ids"))
+    return cut.withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
 
 
 def pad_sequences(encoded: DataFrame, mode: str = "longest", max_len: int = 256) -> DataFrame:
@@ -293,7 +312,7 @@ def pad_sequences(encoded: DataFrame, mode: str = "longest", max_len: int = 256)
         raise ValueError(f"unknown padding mode {mode!r}")
     gap = F.col("_to") - size
     return wide.select(
-        "lang", "row_id", "line_no",
+        "lang", "row_id", "line_no", "chunk_no",
         F.concat("input_ids", F.array_repeat(F.lit(PAD_ID).cast("bigint"), gap)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), size), F.array_repeat(F.lit(0), gap)).alias("attention_mask"),
     )

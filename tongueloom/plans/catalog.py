@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.errors import AnalysisException
 
-from tongueloom.config import CorpusJob, NER_TAGS
+from tongueloom.config import CorpusJob, MASK_PIECE, NER_TAGS
 from tongueloom.functions.arrays import argmax_index
 from tongueloom.functions.text import words
 from tongueloom.operators import classify, clean, lm, ner, runs, sample, subword
@@ -21,7 +20,6 @@ N_MERGES = 8
 TOPIC_LABELS = ["de", "en", "es", "fr"]
 QUALITY_LABELS = ["0", "1"]
 NER_MAX_LEN = 164
-EXPORT_MAX_WORDS = 20
 LINES_PER_BUCKET = 64 * DOC_SHIFT
 SEEDS = [1, 2, 3, 4, 5]
 TASKS = ["ner", "topic", "sentiment"]
@@ -68,7 +66,7 @@ def window_lines(spark, sf):
 
 
 def drawn(spark, sf):
-    return sample.bootstrap(window_lines(spark, sf), JOB.draw_cap, JOB.draw_k, SEED, "draw")
+    return sample.bootstrap(window_lines(spark, sf), SEED, "draw")
 
 
 def long_lines(spark, sf):
@@ -152,11 +150,11 @@ def sink_metrics(spark, sf):
 def sink_guarded(spark, sf):
     out = fresh_path(spark, "guarded")
     base = views.corpus(spark, sf).select("lang", "row_id")
-    sinks.save(base.limit(0), out, overwrite=True)
+    sinks.save(base, out)
     try:
         sinks.save(base, out)
         refused = False
-    except AnalysisException:
+    except FileExistsError:
         refused = True
     sinks.save(base, out, overwrite=True)
     return spark.read.parquet(out).withColumn("refused", F.lit(int(refused)))
@@ -165,11 +163,12 @@ def sink_guarded(spark, sf):
 def feature_cache(spark, sf):
     folder = fresh_path(spark, "cache")
     merges, vocab = learned(spark, sf)
-    key = ("test", "bigram", JOB.max_len, merges, sorted(vocab.items()))
+    rows = long_lines(spark, sf).agg(F.count("*"), F.sum(F.xxhash64("lang", "row_id", "line_no", "line").cast("decimal(38,0)"))).first()
+    key = ("test", "bigram", JOB.max_len, merges, sorted(vocab.items()), *rows)  # and over the input rows
     build = lambda: encoded(spark, sf)
     sinks.cached(spark, folder, build, key)
     hit = sinks.cached(spark, folder, build, key)  # read, not rebuilt
-    return hit.select("lang", "row_id", "line_no", _joined("input_ids"))
+    return hit.select("lang", "row_id", "line_no", "chunk_no", _joined("input_ids"))
 
 
 # ---- cleaning ----------------------------------------------------------------
@@ -200,8 +199,7 @@ def dedup_corpus(spark, sf):
 
 def concat_corpora(spark, sf):
     base = views.corpus(spark, sf)
-    parts = [base.where(F.col("lang") == x) for x in TOPIC_LABELS]  # one corpus per language, as files hold them
-    return sample.stack_order(clean.concat_corpora(parts), SEED).select("pos", "lang", "row_id")
+    return sample.stack_order(clean.concat_corpora([base]), SEED).select("pos", "lang", "row_id")  # every language in one scan
 
 
 # ---- sampling ----------------------------------------------------------------
@@ -274,20 +272,20 @@ def subword_encode(spark, sf):
 
 
 def encode_sequences(spark, sf):
-    return encoded(spark, sf).select("lang", "row_id", "line_no", _joined("input_ids"))
+    return encoded(spark, sf).select("lang", "row_id", "line_no", "chunk_no", _joined("input_ids"))
 
 
 def pad_sequences(spark, sf):
     padded = subword.pad_sequences(encoded(spark, sf), "longest", JOB.max_len)
-    return padded.select("lang", "row_id", "line_no", _joined("input_ids"), _joined("attention_mask"))
+    return padded.select("lang", "row_id", "line_no", "chunk_no", _joined("input_ids"), _joined("attention_mask"))
 
 
 # ---- masking, model, growth --------------------------------------------------
 
 def mlm_mask(spark, sf):
-    n = len(learned(spark, sf)[1])
-    masked = lm.mlm_mask(encoded(spark, sf), n, n, JOB.mask_rate, SEED)
-    return masked.select("lang", "row_id", "line_no", _joined("input_ids"), _joined("labels"))
+    mask = learned(spark, sf)[1][MASK_PIECE]  # the last piece: random ids are drawn among those before it
+    masked = lm.mlm_mask(encoded(spark, sf), mask, mask, JOB.mask_rate, SEED)
+    return masked.select("lang", "row_id", "line_no", "chunk_no", _joined("input_ids"), _joined("labels"))
 
 
 def ngram_fit(spark, sf):
@@ -381,14 +379,14 @@ def conll_sentences(spark, sf):
 
 def align_labels(spark, sf):
     got = ner.align_labels(views.tagged(spark, sf), *learned(spark, sf), NER_TAGS, NER_MAX_LEN)
-    return got.select("guid", *[_joined(c) for c in FEATURE_COLUMNS])
+    return got.select("guid", "chunk_no", *[_joined(c) for c in FEATURE_COLUMNS])
 
 
 def align_labels_left(spark, sf):
     """The other framing: class token last, extra separator, padding on the left."""
     got = ner.align_labels(views.tagged(spark, sf), *learned(spark, sf), NER_TAGS, NER_MAX_LEN, cls_at_end=True,
                            sep_extra=True, pad_left=True, cls_segment=2, pad_segment=4)
-    return got.select("guid", *[_joined(c) for c in FEATURE_COLUMNS])
+    return got.select("guid", "chunk_no", *[_joined(c) for c in FEATURE_COLUMNS])
 
 
 def tag_tokens(spark, sf):
@@ -409,12 +407,10 @@ def ner_metrics(spark, sf):
 
 def prediction_export(spark, sf):
     lines = stage(views.conll_lines(spark, sf), "conll")  # stands for the input file, read twice
-    marked = stage(ner.mark_sentences(lines, LINES_PER_BUCKET), "marked")
-    toks = readers.parse_conll(marked.withColumn("file", F.struct("file", "gap"))).select("file.*", "line_no", "tag")
-    # stand-in predictions: the input tag of the first words of each sentence, as a length limit leaves them
-    rows = toks.groupBy("file", "gap").agg(F.array_sort(F.collect_list(F.struct("line_no", "tag"))).alias("t"))
-    pred = rows.select("file", "gap", F.posexplode(F.slice("t.tag", 1, EXPORT_MAX_WORDS)).alias("pos", "pred"))
-    return ner.export(marked, pred.withColumn("pos", F.col("pos").cast("bigint")), LINES_PER_BUCKET)
+    toks = readers.parse_conll(lines)
+    named = toks.withColumn("lang", F.col("file"))
+    pred = ner.tag(named, ner.fit_lexicon(named)).select("file", "line_no", "pred")
+    return ner.export(lines, pred)
 
 
 # ---- experiments -------------------------------------------------------------

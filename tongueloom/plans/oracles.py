@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 
-from tongueloom.plans.catalog import EXPORT_MAX_WORDS, N_MERGES, NER_MAX_LEN, QUALITY_LABELS, SEEDS, TASKS, TOPIC_LABELS
-from tongueloom.plans.views import BLANK, RECURSIVE, SEED, SQL, h32, wc, with_views, ws
+from tongueloom.plans.catalog import N_MERGES, NER_MAX_LEN, QUALITY_LABELS, SEEDS, TASKS, TOPIC_LABELS
+from tongueloom.plans.views import BLANK, RECURSIVE, SEED, SQL, h32, h60, wc, with_views, ws
 
 TAG_LIST = "['O','B-DATE','I-DATE','B-PER','I-PER','B-ORG','I-ORG','B-LOC','I-LOC']"
 
@@ -26,17 +26,20 @@ def _bpe() -> dict[str, str]:
     out["vocab"] = f"""
         select '<s>' as piece, 0::bigint as id union all select '<pad>', 1 union all select '</s>', 2 union all select '<unk>', 3
         union all select "left" || "right", rk + 3 from merges
-        union all select ch, rk + {N_MERGES + 3} from alphabet"""
+        union all select ch, rk + {N_MERGES + 3} from alphabet
+        union all select '<mask>', count(*) + {N_MERGES + 4} from alphabet"""
     out["word_pieces"] = f"select word, string_split(trim(sym), '  ') as p from words{N_MERGES}"
     out["word_ids"] = """
         select word, list(coalesce(v.id, 3) order by k) as ids from (
           select word, unnest(p) as piece, generate_subscripts(p, 1) as k from word_pieces) left join vocab v using (piece)
         group by word"""
     out["encoded"] = f"""
-        select lang, row_id, line_no, [0::bigint] || flatten(list(ids order by pos))[1:254] || [2::bigint] as ids from (
-          select lang, row_id, line_no, unnest(w) as word, generate_subscripts(w, 1) as pos
-          from (select *, {ws('line')} as w from long_lines)) join word_ids using (word)
-        group by lang, row_id, line_no"""
+        select lang, row_id, line_no, k as chunk_no, [0::bigint] || whole[254 * k + 1:254 * k + 254] || [2::bigint] as ids from (
+          select *, unnest(range(0, greatest(1, (len(whole) + 253) // 254))) as k from (
+            select lang, row_id, line_no, flatten(list(ids order by pos)) as whole from (
+              select lang, row_id, line_no, unnest(w) as word, generate_subscripts(w, 1) as pos
+              from (select *, {ws('line')} as w from long_lines)) join word_ids using (word)
+            group by lang, row_id, line_no))"""
     return out
 
 
@@ -57,12 +60,18 @@ def _features(cls_at_end: bool, sep_extra: bool, pad_left: bool, cls_seg: int, p
         return f"array_to_string({gap + ' || ' + expr if pad_left else expr + ' || ' + gap}, ',')"
 
     return f"""
-        select guid, {pad('i', 1)} as input_ids, {pad('list_transform(range(n), lambda x: 1)', 0)} as input_mask,
+        select guid, chunk_no, {pad('i', 1)} as input_ids, {pad('list_transform(range(n), lambda x: 1)', 0)} as input_mask,
           {pad('s', pad_seg)} as segment_ids, {pad('t', -100)} as label_ids
-        from (select guid, {ids} as i, {tags} as t, {seg} as s, len(ids) + {1 + seps} as n from (
-          select lang || '-' || row_id || '-' || line_no as guid, flatten(list(ids order by pos))[1:{room}] as ids,
-            flatten(list([cast(list_position({TAG_LIST}, tag) - 1 as bigint)] || list_transform(range(len(ids) - 1), lambda x: -100::bigint) order by pos))[1:{room}] as tags
-          from tokens join word_ids using (word) group by lang, row_id, line_no))"""
+        from (select guid, chunk_no, {ids} as i, {tags} as t, {seg} as s, len(ids) + {1 + seps} as n from (
+          select guid, start // ({room} - longest + 1) as chunk_no, flatten(list(ids order by pos, part)) as ids,
+            flatten(list([case when part = 0 then y else -100 end] || list_transform(range(len(ids) - 1), lambda x: -100::bigint) order by pos, part)) as tags
+          from (
+            select *, sum(len(ids)) over (partition by guid order by pos, part) - len(ids) as start, max(len(ids)) over (partition by guid) as longest
+            from (select guid, pos, part, y, whole[part * {room // 2} + 1:(part + 1) * {room // 2}] as ids from (
+              select lang || '-' || row_id || '-' || line_no as guid, pos, cast(list_position({TAG_LIST}, tag) - 1 as bigint) as y,
+                ids as whole, unnest(range(0, (len(ids) + {room // 2 - 1}) // {room // 2})) as part
+              from tokens join word_ids using (word))))
+          group by all))"""
 
 
 def _bayes(train: str, test: str) -> dict[str, str]:
@@ -171,8 +180,8 @@ def _round_one() -> dict[str, str]:
             select *, row_number() over (partition by lang order by digest, row_id) as pos, count(*) over (partition by lang) as total
             from (select *, md5('{SEED}|1|' || row_id) as digest from corpus)""",
         "draws": f"""
-            select lang, draw, {h32(f"'{SEED}|1|draw|' || lang || '|' || draw")} % n + 1 as idx from (
-              select lang, n, unnest(range(1, 1 + case when n <= 10000 then n else 2000 end)) as draw
+            select lang, draw, {h60(f"'{SEED}|1|draw|' || lang || '|' || draw")} % n + 1 as idx from (
+              select lang, n, unnest(range(1, 1 + n)) as draw
               from (select lang, count(*) as n from window_lines group by lang))""",
     }
 
@@ -228,7 +237,7 @@ def build() -> dict[str, str]:
                 || chr(10) || 'n = ' || printf('%.6f', count(*)::double) as text
             from runs group by task, lang, seed"""),
         "sink_guarded": v("select lang, row_id, 1 as refused from corpus"),
-        "feature_cache": v("select lang, row_id, line_no, array_to_string(ids, ',') as input_ids from encoded", bpe),
+        "feature_cache": v("select lang, row_id, line_no, chunk_no, array_to_string(ids, ',') as input_ids from encoded", bpe),
         "normalise_lines": v("select * from sentences"),
         "filter_min_words": v("select * from long_lines"),
         "filter_len_window": v(f"select * from sentences where {wc('line')} >= 5 and {wc('line')} < 256"),
@@ -248,22 +257,22 @@ def build() -> dict[str, str]:
         "bpe_train": v('select rk::bigint as rk, "left", "right" from merges', bpe),
         "vocab_table": v("select piece, id from vocab", bpe),
         "subword_encode": v("select word, array_to_string(p, ' ') as pieces from word_pieces", bpe),
-        "encode_sequences": v("select lang, row_id, line_no, array_to_string(ids, ',') as input_ids from encoded", bpe),
+        "encode_sequences": v("select lang, row_id, line_no, chunk_no, array_to_string(ids, ',') as input_ids from encoded", bpe),
         "pad_sequences": v("""
-            select lang, row_id, line_no,
+            select lang, row_id, line_no, chunk_no,
               array_to_string(ids || list_transform(range(m - len(ids)), lambda x: 1), ',') as input_ids,
               array_to_string(list_transform(range(len(ids)), lambda x: 1) || list_transform(range(m - len(ids)), lambda x: 0), ',') as attention_mask
             from (select *, max(len(ids)) over (partition by lang) as m from encoded)""", bpe),
         "mlm_mask": v(f"""
-            select lang, row_id, line_no, string_agg(case when not chosen then x
+            select lang, row_id, line_no, chunk_no, string_agg(case when not chosen then x
                 when h2 < floor(0.8::double * 4294967296) then size when h2 < floor(0.9::double * 4294967296) then h3 % size else x end, ',' order by i) as input_ids,
               string_agg(case when chosen then x else -100 end, ',' order by i) as labels
             from (select *, x not in (0, 1, 2) and h1 < floor(0.15::double * 4294967296) as chosen from (
               select *, {h32('d', 0).replace('md5(d)', 'd')} as h1, {h32('d', 1).replace('md5(d)', 'd')} as h2, {h32('d', 2).replace('md5(d)', 'd')} as h3 from (
-                select lang, row_id, line_no, i, x, size, md5('{SEED}|' || row_id || '|' || line_no || '|' || i) as d from (
-                  select lang, row_id, line_no, unnest(ids) as x, generate_subscripts(ids, 1) - 1 as i, (select count(*) from vocab) as size
+                select lang, row_id, line_no, chunk_no, i, x, size, md5('{SEED}|' || row_id || '|' || line_no || '|' || chunk_no || '|' || i) as d from (
+                  select lang, row_id, line_no, chunk_no, unnest(ids) as x, generate_subscripts(ids, 1) - 1 as i, (select count(*) - 1 from vocab) as size
                   from encoded))))
-            group by lang, row_id, line_no""", bpe),
+            group by lang, row_id, line_no, chunk_no""", bpe),
         "ngram_fit": v("select lang, prev, next, n from bigram_counts"),
         "ngram_top": v("""
             select t.lang, t.prev, t.next, t.n, c.n_prev, c.n_next from top_next t join (
@@ -327,10 +336,13 @@ def build() -> dict[str, str]:
             """.replace("with hits", "select * from (with hits", 1) + ")", {**_spans("p", "pred"), **_spans("g", "tag")}),
         "prediction_export": v(f"""
             select m.file, m.line_no, case when length(trim(m.line)) < 2 or m.line like '-DOCSTART-%' then m.line
-                when t.pos < {EXPORT_MAX_WORDS} then t.word || ' ' || t.tag end as out_line,
-              case when length(trim(m.line)) < 2 then 'boundary' when m.line like '-DOCSTART-%' then 'document'
-                when t.pos < {EXPORT_MAX_WORDS} then 'token' else 'no_prediction' end as status
-            from conll_marked m left join conll_tokens t using (file, line_no)""", conll),
+                else t.word || ' ' || x.tag end as out_line,
+              case when length(trim(m.line)) < 2 then 'boundary' when m.line like '-DOCSTART-%' then 'document' else 'token' end as status
+            from conll_marked m left join conll_tokens t using (file, line_no)
+            left join (select file, word, min(tag) as tag from (
+              select file, word, tag, n, max(n) over (partition by file, word) as most from (
+                select file, word, tag, count(*) as n from conll_tokens group by all)) where n = most group by file, word) x
+              on x.file = t.file and x.word = t.word""", conll),
         "run_grid": v(f"""
             select task, lang, seed::bigint as seed from (select distinct lang from corpus),
               (select unnest({TASKS}) as task), (select unnest({SEEDS}) as seed)"""),

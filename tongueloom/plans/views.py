@@ -49,7 +49,7 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.slice("embedding", 1, 10).alias("scores"), F.col("label").cast("bigint").alias("gold"))
+        "vec_id", F.col("embedding").alias("scores"), F.col("label").cast("bigint").alias("gold"))
 
 
 def _tag_array(w: Column) -> Column:
@@ -126,6 +126,10 @@ def h32(expr: str, word: int = 0) -> str:
     return f"cast('0x' || substr(md5({expr}), {1 + 8 * word}, 8) as bigint)"
 
 
+def h60(expr: str) -> str:
+    return f"cast('0x' || substr(md5({expr}), 1, 15) as bigint)"
+
+
 def wc(expr: str) -> str:
     return f"(case when trim({expr}) = '' then 0 else len(regexp_split_to_array(trim({expr}), ' +')) end)"
 
@@ -152,7 +156,7 @@ SQL = {
     "quality": """
         select c.lang, c.row_id, c.input, cast(l.quality as varchar) as label
         from corpus c join labels l on l.doc_id = c.row_id""",
-    "scores": "select vec_id, embedding[1:10] as scores, cast(label as bigint) as gold from embeddings",
+    "scores": "select vec_id, embedding as scores, cast(label as bigint) as gold from embeddings",
     "long_lines": f"select * from sentences where {wc('line')} > 5",
     "raw_tokens": f"""
         select lang, row_id, line_no, line, cast(i - 1 as bigint) as pos, word, {KIND}[{h32('word')} % 10 + 1] as kind from (
@@ -196,8 +200,8 @@ SQL = {
         select *, row_number() over (partition by lang order by digest, row_id, line_no) as idx,
           count(*) over (partition by lang) as total from window_lines""",
     "draws": f"""
-        select lang, draw, {h32(f"'{SEED}|draw|' || lang || '|' || draw")} % n + 1 as idx from (
-          select lang, n, unnest(range(1, 1 + case when n <= 10000 then n else 2000 end)) as draw
+        select lang, draw, {h60(f"'{SEED}|draw|' || lang || '|' || draw")} % n + 1 as idx from (
+          select lang, n, unnest(range(1, 1 + n)) as draw
           from (select lang, count(*) as n from window_lines group by lang))""",
     "sampled": "select n.lang, d.draw, n.row_id, n.line_no, n.line from numbered n join draws d using (lang, idx)",
     "prompts": """
@@ -225,6 +229,10 @@ RECURSIVE = {
 }
 
 
+# referenced more than once, or costly to expand in place
+MATERIALIZED = ("top_next", "prompts", "sentences", "corpus_", "splits", "tokens", "raw_tokens", "long_lines", "word", "pairs", "encoded", "alphabet")
+
+
 def _needs(body: str, defs: dict[str, str]) -> list[str]:
     return [n for n in defs if re.search(rf"\b{n}\b", body)]
 
@@ -244,5 +252,5 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     visit(body)
     if not order:
         return body
-    once = lambda n: " MATERIALIZED" if n.startswith(("top_next", "prompts", "sentences", "corpus_")) else ""
+    once = lambda n: " MATERIALIZED" if n.startswith(MATERIALIZED) else ""
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS{once(n)} ({defs[n]})" for n in order) + "\n" + body

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,19 +27,9 @@ def build_session(master: str = "local[*]", app: str = "tongueloom", **conf: str
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``).
-
-    Only a local session may fall back to a temporary folder of this machine.
-    """
+    """The shared folder: ``spark.checkpoint.dir``, or where that is unset one below the warehouse, on every master."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    where = tempfile.mkdtemp(prefix="tongueloom-")
-    spark.conf.set("spark.checkpoint.dir", where)
-    spark.sparkContext.setCheckpointDir(where)
-    return where
+    return (where or spark.conf.get("spark.sql.warehouse.dir") + "/_work").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

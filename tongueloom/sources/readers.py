@@ -62,11 +62,15 @@ def number_file_lines(read: DataFrame, group: str = "lang") -> DataFrame:
 
 def read_labelled(
     spark: SparkSession, path: str, sep: str = "\t", text: str = "news_title", label: str = "label",
-    multi_line: bool = True,
+    multi_line: bool = True, complete: bool = False,
 ) -> DataFrame:
-    """Labelled file with a header; other columns are tolerated and not returned."""
+    """Labelled file with a header; other columns are tolerated and not returned.
+
+    ``complete`` drops rows that miss a value in any column of the file, those not returned included.
+    """
     opts = {**TSV, "sep": sep}
-    return spark.read.options(**opts, multiLine=multi_line).csv(path).select(text, label)
+    rows = spark.read.options(**opts, multiLine=multi_line).csv(path)
+    return (rows.na.drop("any") if complete else rows).select(text, label)
 
 
 def parse_conll(lines: DataFrame) -> DataFrame:
