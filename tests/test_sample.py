@@ -158,3 +158,18 @@ def test_cleaning_and_labels(spark):
         clean.encode_labels(clean.drop_missing(df), ["africa"]).collect()
     dup = spark.createDataFrame([("a", 3, "x"), ("a", 1, "x"), ("b", 2, "x")], "lang string, row_id long, input string")
     assert sorted(map(tuple, clean.dedup(dup).collect())) == [("a", 1, "x"), ("b", 2, "x")]
+
+
+def test_hold_out_does_not_depend_on_file_splits(spark, tmp_path):
+    from tongueloom.sources import readers, sinks
+
+    df = spark.range(6000).selectExpr("if(id % 3 = 0, 'b', 'a') as lang", "id as row_id", "concat('sentence ', id, repeat(' x', 40)) as input")
+    sinks.write_corpus(df.repartition(3, "row_id"), str(tmp_path / "mono"))
+    held = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("20k", "64m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = readers.read_corpus(spark, str(tmp_path / "mono"), multi_line=False)
+        held.append({(r.lang, r.row_id, r.input) for r in sample.split(rows, 0.2, 7).where("split = 'eval'").select("lang", "row_id", "input").collect()})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert held[0] == held[1] and len(held[0]) == 1200

@@ -20,6 +20,7 @@ from tongueloom.session import lookup_join, stage
 Pair = tuple[str, str]
 CANDIDATES = 256  # pairs looked at per pass; bounds what reaches the driver
 PASSES_PER_STAGE = 8
+KEYS = ("lang", "row_id", "line_no")
 VOCAB_LIMIT = 1_000_000
 
 
@@ -176,12 +177,14 @@ def vocab_dict(vocab: DataFrame) -> dict[str, int]:
     return {r["piece"]: r["id"] for r in rows}
 
 
-def learn(sentences: DataFrame, n_merges: int, coverage: float = 0.9995):
-    """Vocabulary of a corpus in one go: (merges, vocab table)."""
+def learn(sentences: DataFrame, n_merges: int | None = None, coverage: float = 0.9995, vocab_size: int | None = None):
+    """Vocabulary of a corpus in one go: (merges, vocab table), with ``n_merges`` merges or up to ``vocab_size`` pieces in all."""
     spark = sentences.sparkSession
     counts = stage(word_counts(sentences), "words")
     letters = stage(alphabet(counts, coverage), "alphabet")
     allowed = {r["ch"] for r in letters.select("ch").collect()}  # at most all of Unicode
+    if n_merges is None:
+        n_merges = max(0, vocab_size - len(RESERVED_PIECES) - 1 - len(allowed))
     merges, _ = train_bpe(counts, n_merges, allowed)
     return merges, vocab_table(spark, merges, letters)
 
@@ -292,14 +295,16 @@ def chunks(ids: Column, max_len: int) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.concat(ends[0], F.slice(ids, k * room + 1, F.lit(room)), ends[1]))
 
 
-def encode_sequences(sentences: DataFrame, merges: Sequence[Pair], vocab: dict[str, int], max_len: int = 256) -> DataFrame:
-    """(lang, row_id, line_no, chunk_no, input_ids): a sentence longer than ``max_len`` goes on in further chunks; no id is lost."""
-    raw = sentences.select("lang", "row_id", "line_no", line_encoder(merges, vocab)("line").alias("ids"))
-    cut = raw.select("lang", "row_id", "line_no", F.posexplode(chunks(F.col("ids"), max_len)).alias("chunk_no", "input_ids"))
+def encode_sequences(
+    sentences: DataFrame, merges: Sequence[Pair], vocab: dict[str, int], max_len: int = 256, keep: Sequence[str] = KEYS,
+) -> DataFrame:
+    """(*keep, chunk_no, input_ids): a sentence longer than ``max_len`` goes on in further chunks; no id is lost."""
+    raw = sentences.select(*keep, line_encoder(merges, vocab)("line").alias("ids"))
+    cut = raw.select(*keep, F.posexplode(chunks(F.col("ids"), max_len)).alias("chunk_no", "input_ids"))
     return cut.withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
 
 
-def pad_sequences(encoded: DataFrame, mode: str = "longest", max_len: int = 256) -> DataFrame:
+def pad_sequences(encoded: DataFrame, mode: str = "longest", max_len: int = 256, keep: Sequence[str] = KEYS) -> DataFrame:
     """Pad on the right to the longest sequence of the language, or to ``max_len``; add the 1/0 mask."""
     size = F.size("input_ids")
     if mode == "longest":
@@ -312,7 +317,7 @@ def pad_sequences(encoded: DataFrame, mode: str = "longest", max_len: int = 256)
         raise ValueError(f"unknown padding mode {mode!r}")
     gap = F.col("_to") - size
     return wide.select(
-        "lang", "row_id", "line_no", "chunk_no",
+        *keep, "chunk_no",
         F.concat("input_ids", F.array_repeat(F.lit(PAD_ID).cast("bigint"), gap)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), size), F.array_repeat(F.lit(0), gap)).alias("attention_mask"),
     )

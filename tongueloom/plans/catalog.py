@@ -107,7 +107,9 @@ def src_labelled_tsv(spark, sf):
 
 
 def src_conll(spark, sf):
-    return readers.parse_conll(views.conll_lines(spark, sf))
+    out = fresh_path(spark, "conll-files")
+    sinks.write_conll(views.conll_lines(spark, sf), out)
+    return readers.parse_conll(readers.read_conll(spark, f"{out}/*", r"/file=([^/]+)/"))
 
 
 def src_label_list(spark, sf):
@@ -275,6 +277,14 @@ def encode_sequences(spark, sf):
     return encoded(spark, sf).select("lang", "row_id", "line_no", "chunk_no", _joined("input_ids"))
 
 
+def labelled_features(spark, sf):
+    """Ids, mask and label of every title: what a classifier is trained on."""
+    titles = clean.encode_labels(views.topics(spark, sf), TOPIC_LABELS).withColumnRenamed("news_title", "line")
+    keep = ("row_id", "label_id")
+    padded = subword.pad_sequences(subword.encode_sequences(titles, *learned(spark, sf), JOB.max_len, keep), "max_length", JOB.max_len, keep)
+    return padded.select(*keep, "chunk_no", _joined("input_ids"), _joined("attention_mask"))
+
+
 def pad_sequences(spark, sf):
     padded = subword.pad_sequences(encoded(spark, sf), "longest", JOB.max_len)
     return padded.select("lang", "row_id", "line_no", "chunk_no", _joined("input_ids"), _joined("attention_mask"))
@@ -436,7 +446,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         shuffle_seeded, split_holdout, holdout_union, lang_stats, lang_probs, lang_probs_smoothed, worker_shards,
         lang_batches, bootstrap_sample,
         word_counts, char_coverage, bpe_pair_counts, bpe_train, vocab_table, subword_encode, encode_sequences,
-        pad_sequences,
+        labelled_features, pad_sequences,
         mlm_mask, ngram_fit, ngram_top, heldout_perplexity, build_prompts, complete_prompts, predict_batches,
         augment_corpus, active_rounds, active_rounds_all,
         nb_classify, linear_classify, argmax_predictions, classification_metrics, cross_domain_eval,

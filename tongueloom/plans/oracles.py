@@ -221,7 +221,9 @@ def build() -> dict[str, str]:
             select lang, count(*) as n_lines, 1::bigint as first_no, count(*) as last_no, count(*) as n_numbers,
               count(distinct line) as n_texts from split_lines where split = 'train' group by lang"""),
         "src_labelled_tsv": v("select news_title, label from topics"),
-        "src_conll": v("select file, line_no, word, tag from conll_tokens", conll),
+        "src_conll": v("""
+            select file, n as line_no, word, tag from conll_tokens join (
+              select file, line_no, row_number() over (partition by file order by line_no) as n from conll_lines) using (file, line_no)""", conll),
         "src_label_list": v("""
             select label, row_number() over (order by label <> 'O', label) - 1 as label_id from (
               select tag as label from tokens where tag <> 'O' union select 'O')"""),
@@ -241,7 +243,7 @@ def build() -> dict[str, str]:
         "normalise_lines": v("select * from sentences"),
         "filter_min_words": v("select * from long_lines"),
         "filter_len_window": v(f"select * from sentences where {wc('line')} >= 5 and {wc('line')} < 256"),
-        "drop_missing": v("select * from missing where news_title is not null and label is not null and trim(news_title) <> ''"),
+        "drop_missing": v("select * from missing where news_title is not null and label is not null and date is not null and trim(news_title) <> ''"),
         "label_encode": v(f"select row_id, label, cast(list_position({TOPIC_LABELS}, lower(label)) - 1 as bigint) as label_id from topics"),
         "dedup_corpus": v("select lang, min(row_id) as row_id, input from corpus group by lang, input"),
         "concat_corpora": v("select row_number() over (order by lang, digest, row_id) as pos, lang, row_id from shuffled"),
@@ -263,6 +265,18 @@ def build() -> dict[str, str]:
               array_to_string(ids || list_transform(range(m - len(ids)), lambda x: 1), ',') as input_ids,
               array_to_string(list_transform(range(len(ids)), lambda x: 1) || list_transform(range(m - len(ids)), lambda x: 0), ',') as attention_mask
             from (select *, max(len(ids)) over (partition by lang) as m from encoded)""", bpe),
+        "labelled_features": v(f"""
+            select row_id, cast(list_position({TOPIC_LABELS}, lower(label)) - 1 as bigint) as label_id, chunk_no,
+              array_to_string(ids || list_transform(range(256 - len(ids)), lambda x: 1), ',') as input_ids,
+              array_to_string(list_transform(range(len(ids)), lambda x: 1) || list_transform(range(256 - len(ids)), lambda x: 0), ',') as attention_mask
+            from (
+              select row_id, label, k as chunk_no, [0::bigint] || whole[254 * k + 1:254 * k + 254] || [2::bigint] as ids from (
+                select *, unnest(range(0, greatest(1, (len(whole) + 253) // 254))) as k from (
+                  select t.row_id, t.label, coalesce(whole, []) as whole from topics t left join (
+                    select row_id, flatten(list(ids order by pos)) as whole from (
+                      select row_id, unnest(w) as word, generate_subscripts(w, 1) as pos
+                      from (select row_id, {_all_words('news_title')} as w from topics)) join word_ids using (word)
+                    group by row_id) using (row_id))))""", bpe),
         "mlm_mask": v(f"""
             select lang, row_id, line_no, chunk_no, string_agg(case when not chosen then x
                 when h2 < floor(0.8::double * 4294967296) then size when h2 < floor(0.9::double * 4294967296) then h3 % size else x end, ',' order by i) as input_ids,

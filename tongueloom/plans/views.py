@@ -38,7 +38,7 @@ def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics(spark, sf_dir).select(
         "lang", "row_id",
         F.when(h == 0, F.lit(None)).when(h == 1, F.lit("  ")).otherwise(F.col("news_title")).alias("news_title"),
-        F.when(h == 2, F.lit(None)).otherwise(F.col("label")).alias("label"),
+        F.when(h == 2, F.lit(None)).otherwise(F.col("label")).alias("label"), F.when(h != 3, F.lit("1 Oṣù")).alias("date"),
     )
 
 
@@ -151,7 +151,8 @@ SQL = {
     "missing": f"""
         select lang, row_id,
           case {h32('cast(row_id as varchar)')} % 11 when 0 then null when 1 then '  ' else news_title end as news_title,
-          case {h32('cast(row_id as varchar)')} % 11 when 2 then null else label end as label
+          case {h32('cast(row_id as varchar)')} % 11 when 2 then null else label end as label,
+          case {h32('cast(row_id as varchar)')} % 11 when 3 then null else '1 Oṣù' end as date
         from topics""",
     "quality": """
         select c.lang, c.row_id, c.input, cast(l.quality as varchar) as label

@@ -21,17 +21,23 @@ def _lang_from_path(pattern: str) -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
 
 
+def _places() -> list[Column]:
+    """Where a row was read: its file, the block of the file, and a number that is consecutive inside a block."""
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("seq")]
+
+
 def read_corpus(spark: SparkSession, path: str, column: str = "input", multi_line: bool = True) -> DataFrame:
     """``{lang}_mono.tsv`` files (or folders of parts) under ``path`` -> (lang, row_id, input).
 
     ``multi_line`` allows quoted line breaks but reads each file in one task; turn it off for large
-    single-line files, which then split. ``row_id`` is unique and grows within a file.
+    single-line files, which then split. ``row_id`` is the number of the record in its language, files in name order, so a
+    record has the same id however the files are split.
     """
     df = spark.read.options(**TSV, multiLine=multi_line).csv(f"{path}/*_mono.tsv")
-    return df.select(
-        _lang_from_path(r"([^/=]+)_mono\.tsv").alias("lang"),
-        F.monotonically_increasing_id().alias("row_id"), F.col(column).alias("input"),
-    ).where(F.col("input").isNotNull())
+    read = df.select(_lang_from_path(r"([^/=]+)_mono\.tsv").alias("lang"), *_places(), F.col(column).alias("line"))
+    return number_file_lines(read).select("lang", F.col("line_no").alias("row_id"), F.col("line").alias("input")).where(
+        F.col("input").isNotNull())
 
 
 def read_lines(spark: SparkSession, path: str, split: str = "train") -> DataFrame:
@@ -41,8 +47,7 @@ def read_lines(spark: SparkSession, path: str, split: str = "train") -> DataFram
     """
     return spark.read.text(f"{path}/{{part=,}}{split}.*").select(
         _lang_from_path(rf"[/=]{split}\.([^/]+?)(?:/|$)").alias("lang"),
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"),
+        *_places(), F.col("value").alias("line"),
     )
 
 
@@ -85,13 +90,13 @@ def parse_conll(lines: DataFrame) -> DataFrame:
     return lines.where(F.length(line) >= 2).select("file", "line_no", fields[0].alias("word"), tag.alias("tag"))
 
 
-def read_conll(spark: SparkSession, path: str) -> DataFrame:
-    """Token files -> (file, line_no, line) with dense line numbers per file."""
-    read = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"),
-    )
-    return number_file_lines(read.withColumn("_group", F.col("file")), "_group").withColumnRenamed("_group", "file")
+def read_conll(spark: SparkSession, path: str, name: str = "^(.*)$") -> DataFrame:
+    """Token files -> (file, line_no, line) with dense line numbers per file.
+
+    ``name`` takes the file's name from its path; parts of a folder that share a name count as one file, in name order.
+    """
+    read = spark.read.text(path).select(_lang_from_path(name).alias("_group"), *_places(), F.col("value").alias("line"))
+    return number_file_lines(read, "_group").withColumnRenamed("_group", "file")
 
 
 def read_labels(spark: SparkSession, path: str | None = None) -> DataFrame:
