@@ -8,6 +8,7 @@ from tongueloom.session import stage
 
 ARROW_ROWS = "1000"  # rows of one Arrow batch: long texts must fit a Python worker
 BROADCAST_ROWS = 100_000  # narrow rows; a table with more of them is shuffled
+BROADCAST_CELLS = 1_000_000  # values in arrays of such a table
 
 
 def prepare(spark: SparkSession) -> None:
@@ -20,9 +21,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a staged table of narrow rows: broadcast behind a count, else a shuffled join that may be split where skewed."""
-    return df.join(F.broadcast(table), on, how) if table.count() <= rows else df.join(table, on, how)
+def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "inner", cells: Column | None = None) -> DataFrame:
+    """Join a staged table: broadcast if it is proven small, else a shuffled join that may be split where skewed.
+
+    ``cells`` is the number of values in a row's arrays, so that few rows with long arrays are not taken for small.
+    """
+    size = table.agg(F.count("*").alias("rows"), F.sum(F.lit(0) if cells is None else cells).alias("cells")).first()
+    small = size.rows <= BROADCAST_ROWS and (size.cells or 0) <= BROADCAST_CELLS
+    return df.join(F.broadcast(table) if small else table, on, how)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -274,7 +274,7 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam())
     hits = stage(hits.select("doc_id", "_spans", (share > p.max_coverage).alias("_over")), "cuts")
     names = docs.columns
     place = names.index("text")
-    rows = attach(docs, hits, ["doc_id"], "left").where("_over is null or not _over").select(*names, "_spans")
+    rows = attach(docs, hits, ["doc_id"], "left", F.size("_spans")).where("_over is null or not _over").select(*names, "_spans")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

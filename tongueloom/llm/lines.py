@@ -103,7 +103,7 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     """
     docs = docs.drop("n_lines", "removed")
     spans = stage(repeated_runs(docs, p), "spans").withColumnRenamed("spans", "_spans")
-    rows = attach(docs, spans, ["doc_id"], "left").select(*docs.columns, "_spans")
+    rows = attach(docs, spans, ["doc_id"], "left", F.size("_spans")).select(*docs.columns, "_spans")
     names = docs.columns
     place = names.index("text")
 
