@@ -191,6 +191,15 @@ def test_split_blocks_keep_line_numbers(spark, tmp_path):
     assert got == {i + 1: f"line {i}" for i in range(5000)}
 
 
+def test_metrics_are_appended_once(spark, tmp_path):
+    schema = "run_id string, task string, lang string, seed long, key string, value double"
+    one = spark.createDataFrame([("r", "t", "en", 1, "f1", 0.5), ("r", "t", "en", 1, "n", 3.0)], schema)
+    more = spark.createDataFrame([("r", "t", "en", 1, "f1", 0.5), ("s", "t", "en", 2, "f1", 0.6)], schema)
+    for df in (one, one, more):
+        sinks.write_metrics(df, str(tmp_path / "metrics"))
+    assert sorted((r.run_id, r.key) for r in spark.read.parquet(str(tmp_path / "metrics")).collect()) == [("r", "f1"), ("r", "n"), ("s", "f1")]
+
+
 def test_guard_and_cache(spark, tmp_path):
     df = spark.range(3)
     sinks.save(df, str(tmp_path / "o"))

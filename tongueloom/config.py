@@ -5,16 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 # ---- fixed values -----------------------------------------------------------
-LANGUAGES = [
-    "amh", "hau", "lug", "luo", "pcm", "sna", "tsn", "wol", "ewe", "bam", "bbj", "mos", "zul", "lin", "nya", "twi",
-    "fon", "ibo", "kin", "swa", "xho", "yor", "oro",
-]
 NER_TAGS = ["O", "B-DATE", "I-DATE", "B-PER", "I-PER", "B-ORG", "I-ORG", "B-LOC", "I-LOC"]
-TOPIC_LABELS = {
+LABEL_SETS = {
     "yoruba": ["nigeria", "africa", "world", "entertainment", "health", "sport", "politics"],
     "hausa": ["africa", "world", "health", "nigeria", "politics"],
+    "sentiment": ["positive", "neutral", "negative"],
 }
-SENTIMENT_LABELS = ["positive", "neutral", "negative"]
 RESERVED_PIECES = ["<s>", "<pad>", "</s>", "<unk>"]
 BOS_ID, PAD_ID, EOS_ID, UNK_ID = 0, 1, 2, 3
 IGNORE_LABEL_ID = -100

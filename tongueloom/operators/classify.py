@@ -65,7 +65,7 @@ def nb_predict(test: DataFrame, model: BayesModel, key: str = "row_id", text: st
     return scored.select(key, best["label"].alias("prediction"), (-best["neg"]).alias("score"))
 
 
-def lr_fit(train: DataFrame, text: str = "news_title", label: str = "label_id", features: int = 1 << 12, max_iter: int = 10):
+def lr_fit(train: DataFrame, text: str = "news_title", label: str = "label_id", features: int = 1 << 17, max_iter: int = 100):
     """Hashed TF-IDF and multinomial logistic regression as one Spark ML pipeline."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -76,7 +76,11 @@ def lr_fit(train: DataFrame, text: str = "news_title", label: str = "label_id",
         IDF(inputCol="tf", outputCol="features"),
         LogisticRegression(labelCol=label, featuresCol="features", family="multinomial", maxIter=max_iter),
     ]
-    return Pipeline(stages=stages).fit(train.withColumn("words", words(F.col(text))))
+    rows = train.select(label, words(F.col(text)).alias("words")).persist()  # read by the weights and by every step of the solver
+    try:
+        return Pipeline(stages=stages).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def lr_predict(test: DataFrame, model, text: str = "news_title") -> DataFrame:

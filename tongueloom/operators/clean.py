@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from tongueloom.config import LABEL_SETS
 from tongueloom.functions.arrays import label_index
 from tongueloom.functions.text import lines, strip, words
 
@@ -36,9 +37,9 @@ def drop_missing(df: DataFrame, text: str = "news_title") -> DataFrame:
     return df.na.drop("any").where(strip(F.col(text)) != "")
 
 
-def encode_labels(df: DataFrame, labels: Sequence[str], col: str = "label") -> DataFrame:
-    """Lower-cased label -> its position in ``labels``; an unknown label fails the job."""
-    return df.withColumn("label_id", label_index(F.lower(F.col(col)), labels))
+def encode_labels(df: DataFrame, labels: Sequence[str] | str, col: str = "label") -> DataFrame:
+    """Lower-cased label -> its position in ``labels`` (a list, or the name of one of ``LABEL_SETS``); an unknown label fails the job."""
+    return df.withColumn("label_id", label_index(F.lower(F.col(col)), LABEL_SETS[labels] if isinstance(labels, str) else labels))
 
 
 def dedup(corpus: DataFrame) -> DataFrame:

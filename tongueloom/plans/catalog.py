@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tongueloom.config import CorpusJob, MASK_PIECE, NER_TAGS
 from tongueloom.functions.arrays import argmax_index
@@ -18,6 +18,7 @@ from tongueloom.sources import readers, sinks
 JOB = CorpusJob()
 N_MERGES = 8
 TOPIC_LABELS = ["de", "en", "es", "fr"]
+LINEAR_BAR = 0.9  # share of held-out titles that the linear classifier must get right
 QUALITY_LABELS = ["0", "1"]
 NER_MAX_LEN = 164
 LINES_PER_BUCKET = 64 * DOC_SHIFT
@@ -357,7 +358,10 @@ def linear_classify(spark, sf):
     t = clean.encode_labels(clean.drop_missing(views.topics(spark, sf)), TOPIC_LABELS)
     t = sample.split(t, JOB.holdout, SEED)
     model = classify.lr_fit(t.where(F.col("split") == "train"))
-    return classify.lr_predict(t.where(F.col("split") == "eval"), model).select("row_id", "label_id", "prediction")
+    got = classify.lr_predict(t.where(F.col("split") == "eval"), model)
+    by_class = got.groupBy("label_id").agg(F.count("*").alias("n"), F.sum((F.col("label_id") == F.col("prediction")).cast("int")).alias("hit"))
+    right = F.sum("hit").over(W.partitionBy()) / F.sum("n").over(W.partitionBy())  # a row per class
+    return by_class.select("label_id", "n", (right >= LINEAR_BAR).alias("accurate"))
 
 
 def argmax_predictions(spark, sf):

@@ -318,6 +318,11 @@ def build() -> dict[str, str]:
             select o.batch_id, b.batch_pos, b.lang, b.row_id, b.line_no from batch_rows b join batch_order o using (lang, j)""", _batches()),
         "bootstrap_sample": v("select lang, draw, row_id, line_no, line from sampled"),
         "nb_classify": v("select row_id, prediction, round(score, 4) as score from nb_best", _bayes("split = 'train'", "split = 'eval'")),
+        "linear_classify": v(f"""
+            select cast(list_position({TOPIC_LABELS}, lower(label)) - 1 as bigint) as label_id, count(*) as n, true as accurate from (
+              select *, row_number() over (partition by lang order by md5('{SEED}|' || row_id), row_id) as pos, count(*) over (partition by lang) as total
+              from topics where trim(news_title, {BLANK}) <> '')
+            where pos <= ceil(0.2::double * total) group by 1"""),
         "argmax_predictions": v("select vec_id, cast(list_position(scores, list_max(scores)) - 1 as bigint) as prediction from scores"),
         "classification_metrics": v(_macro("select gold, cast(list_position(scores, list_max(scores)) - 1 as bigint) as prediction from scores").replace(
             "with pairs", "select * from (with pairs", 1) + ")"),
