@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tongueloom.llm.common import prepare
-from tongueloom.llm.wordhash import Words, slices
+from tongueloom.llm.wordhash import Remembered, Words, slices
 from tongueloom.session import fresh_path, stage
 
 MAGIC = b"IDPLANE1"
@@ -36,7 +36,7 @@ class PlaneFile:
     chunk: int = 65536
     bits: int = 1
     level: int = 3
-    cache: int = 400_000
+    cache: int = 2_000_000
 
 
 def to_planes(ids: np.ndarray, bits: int) -> list[bytes]:
@@ -171,7 +171,11 @@ class WordEncoder:
         self.tokenizer, self.limit = Tokenizer.from_file(path), cache
         self.merges, self.letters = self.tokenizer.model, byte_letters()
         self.direct = self._splits_as_expected()
-        self.clear()
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = Remembered(np.uint32)
+        self.runs: dict[str, list[int]] = {}
 
     def _splits_as_expected(self) -> bool:
         t, probe = self.tokenizer, "abÉñß,-9x07.(é)"
@@ -179,45 +183,41 @@ class WordEncoder:
             return False
         return [x for x, _ in t.pre_tokenizer.pre_tokenize_str(probe.lower())] == [self._bytes(x) for x in _RUNS.findall(probe.lower())]
 
-    def clear(self) -> None:
-        self.at: dict[int, int] = {}  # by the word's hash
-        self.runs: dict[str, list[int]] = {}
-        self.flat = np.empty(0, dtype=np.uint32)
-        self.starts = np.zeros(1, dtype=np.int64)
-
     def _bytes(self, run: str) -> str:
         return run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
 
-    def word(self, text: str) -> list[int]:
+    def _run(self, run: str) -> list[int]:
+        ids = self.runs.get(run)
+        if ids is None:
+            ids = self.runs[run] = [t.id for t in self.merges.tokenize(self._bytes(run))]
+        return ids
+
+    def word(self, raw: bytes) -> list[int]:
+        if self.direct:
+            if raw.isalpha():  # A-Z and a-z only
+                return self._run(raw.lower().decode())
+            if raw[:-1].isalpha() and raw[-1] in b".,":
+                return self._run(raw[:-1].lower().decode()) + self._run(chr(raw[-1]))
+        text = raw.decode()
         if not self.direct or "<|" in text or not _PLAIN.fullmatch(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for run in _RUNS.findall(text.lower()):
-            ids = self.runs.get(run)
-            if ids is None:
-                ids = self.runs[run] = [t.id for t in self.merges.tokenize(self._bytes(run))]
-            out += ids
-        return out
+        return [i for run in _RUNS.findall(text.lower()) for i in self._run(run)]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.at) > self.limit:
-            self.clear()
         words = Words(texts)
         distinct, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-        have = self.at.get
-        rows = np.array([have(h, -1) for h in distinct.tolist()], dtype=np.int64)
+        if len(self.known) > self.limit:
+            self.known.keep(distinct)
+        if len(self.runs) > 200_000:
+            self.runs = {}
+        rows = self.known.find(distinct)
         new = np.flatnonzero(rows < 0)
         if len(new):
             spans = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist())
-            got = [self.word(words.raw[a:b].decode()) for a, b in spans]
-            rows[new] = np.arange(len(self.at), len(self.at) + len(new))
-            self.at.update(zip(distinct[new].tolist(), rows[new].tolist()))
-            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum([len(g) for g in got])))
-            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(got), dtype=np.uint32)))
-        at = rows[inverse]
-        n = self.starts[at + 1] - self.starts[at]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        ids = self.flat[np.repeat(self.starts[at] - ends[:-1], n) + np.arange(ends[-1])]
+            got = [self.word(words.raw[a:b]) for a, b in spans]
+            rows[new] = self.known.add(
+                distinct[new], np.fromiter(chain.from_iterable(got), dtype=np.uint32), np.fromiter(map(len, got), dtype=np.int64))
+        ids, ends = self.known.take(rows[inverse])
         cut = ends[words.bounds]
         return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
@@ -245,14 +245,15 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, p: P
         store, root = fs.FileSystem.from_uri(folder)
         path = f"{root}/shard-{task.partitionId():06d}.planes"
         own = f"{path}.{task.taskAttemptId()}"
-        encode, writer, out = encoder(tokenizer, p.cache).encode, None, None
+        words, writer, out = encoder(tokenizer, p.cache), None, None
         for batch, texts in slices(batches, "text"):
             if writer is None:
                 store.create_dir(root)
                 out = store.open_output_stream(own)
                 writer = ShardWriter(out, p)
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), words.encode(texts)):
                 writer.add(doc, np.append(ids, np.uint32(end_id)))
+        words.forget()  # a worker lives on and goes to other operators
         if writer is not None:
             writer.close()
             out.close()
@@ -283,7 +284,7 @@ def read_tokens(shards: DataFrame, folder: str) -> DataFrame:
                             rows, size = [], 0
                     yield _documents(rows)
 
-    spread = shards.select("path", "offset").repartition(F.col("path"))
+    spread = shards.select("path", "offset").repartition(max(1, shards.count()), "path")  # a row per file
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
@@ -294,6 +295,8 @@ def _documents(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def token_folder(docs: DataFrame) -> str:
-    """A new folder for a set of files, in the shared folder."""
-    path = fresh_path(docs.sparkSession, "planes")
-    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+    """A new folder for a set of files, in the shared folder: a URI, or a plain path where that is a file system all machines mount."""
+    spark = docs.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(fresh_path(spark, "planes"))
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "/", whole)

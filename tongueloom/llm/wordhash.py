@@ -170,3 +170,60 @@ def grouped(batches: Iterable[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[
             held.append(batch.slice(a, b - a))
     if held:
         yield held
+
+
+class Remembered:
+    """Results by word hash: each a short row of numbers; compact, so that millions of words fit a worker.
+
+    Most hashes lie in one sorted array, those added last in a dictionary that is merged into it now and then.
+    """
+
+    def __init__(self, kind: type, merge_at: int = 80_000):
+        self.merge_at = merge_at
+        self.hashes, self.rows = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        self.fresh: dict[int, int] = {}
+        self.flat, self.starts = np.empty(0, dtype=kind), np.zeros(1, dtype=np.int64)
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows of distinct hashes, -1 where there is none."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            hit = self.hashes[at] == hashes
+            out[hit] = self.rows[at[hit]]
+        if self.fresh:
+            left = np.flatnonzero(out < 0)
+            have = self.fresh.get
+            out[left] = [have(h, -1) for h in hashes[left].tolist()]
+        return out
+
+    def add(self, hashes: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Remember rows of new hashes; ``flat`` holds them one after the other."""
+        rows = np.arange(len(self), len(self) + len(hashes))
+        self.fresh.update(zip(hashes.tolist(), rows.tolist()))
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
+        self.flat = np.concatenate((self.flat, flat.astype(self.flat.dtype)))
+        if len(self.fresh) > self.merge_at:
+            new_h = np.fromiter(self.fresh.keys(), dtype=np.uint64, count=len(self.fresh))
+            new_r = np.fromiter(self.fresh.values(), dtype=np.int64, count=len(self.fresh))
+            h, r = np.concatenate((self.hashes, new_h)), np.concatenate((self.rows, new_r))
+            order = np.argsort(h, kind="stable")
+            self.hashes, self.rows, self.fresh = h[order], r[order], {}
+        return rows
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of rows one after the other, and where each row ends (a zero put first)."""
+        n = self.starts[rows + 1] - self.starts[rows]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        return self.flat[np.repeat(self.starts[rows] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+    def keep(self, hashes: np.ndarray) -> None:
+        """Forget all but the given hashes, as far as they are known."""
+        rows = self.find(hashes)
+        hashes, rows = hashes[rows >= 0], rows[rows >= 0]
+        flat, ends = self.take(rows)
+        self.__init__(self.flat.dtype, self.merge_at)
+        self.add(hashes, flat, np.diff(ends))
