@@ -44,7 +44,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document and the text that they decode to."""
     codec = piece_codec()
-    both = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text"), codec), codec)
+    both = pieces.round_trip(docs.select("doc_id", "lang", "source", "text"), codec)
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("decoded").alias("text"))
 
 

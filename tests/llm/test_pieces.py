@@ -4,7 +4,7 @@ import random
 
 import sentencepiece
 
-from tongueloom.llm.pieces import PieceEncoder, decode, encode
+from tongueloom.llm.pieces import PieceEncoder, decode, encode, round_trip
 from tongueloom.llm.queries import piece_codec
 
 TEXTS = ["", " ", "  two  spaces ", "tabs\tand\nlines\n\n", "Straße déjà-vu 12,345.67 Ünïcödé", "日本語テキスト 👍🏽 مرحبا", "a b  c", "<s> </s> <unk> <0x0A>",
@@ -47,6 +47,7 @@ def test_round_trip_nulls_and_other_columns(docs_of):
     codec = piece_codec(dropout=0.3)
     df = docs_of(rows).selectExpr("*", "1 as ids", "2 as decoded", "3 as draw")
     got = decode(encode(df, codec), codec).collect()
+    assert sorted(map(str, round_trip(df, codec).collect())) == sorted(map(str, got))
     assert len(got) == len(rows) and all(r.text == r.decoded and r.draw == 3 for r in got)
     assert [r.ids for r in got if r.text is None] == [None] and [r.ids for r in got if r.text == ""] == [[]]
     assert encode(docs_of([]), codec).count() == 0

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from tongueloom.llm.common import prepare
-from tongueloom.llm.wordhash import keys, mix, slices, span_hashes
+from tongueloom.llm.wordhash import Remembered, keys, mix, slices, span_hashes
 
 MARK = "▁"
 _MASK = (1 << 64) - 1
@@ -34,7 +34,7 @@ class PieceCodec:
     dropout: float = 0.1
     seed: int = 17
     draws: int = 8
-    cache: int = 400_000
+    cache: int = 2_000_000
 
 
 class PieceModel:
@@ -194,20 +194,16 @@ class PieceEncoder:
         self.model, self.codec = PieceModel(codec.model), codec
         self.cut = int(codec.dropout * (1 << 32))
         self.draw_keys = keys(codec.draws, codec.seed)
-        self.clear()
+        self.forget()
 
-    def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.flat = np.empty(0, dtype=np.int32)
-        self.starts = np.zeros(1, dtype=np.int64)
+    def forget(self) -> None:
+        self.known = Remembered(np.int32)
 
     def encode(self, doc_id: int | None, text: str) -> list[int]:
         return self.encode_all([doc_id], [text])[0].tolist()
 
     def encode_all(self, doc_ids: list[int | None], texts: list[str]) -> list[np.ndarray]:
         """Ids of texts; the draws of a text's words follow from the seed, the document and the word's place."""
-        if len(self.at) > self.codec.cache:
-            self.clear()
         # every text has the leading mark of the model, but an empty one has no pieces
         joined = "".join(" " + t if t else "" for t in texts)
         if not joined:
@@ -232,22 +228,18 @@ class PieceEncoder:
                 draw = (mix(mix(ids ^ keys(1, self.codec.seed))[of] + place) % np.uint64(self.codec.draws)).astype(np.int64)
             unit = mix(span_hashes(code, starts, ends, mix(code)) + self.draw_keys[draw])
         distinct, first, inverse = np.unique(unit, return_index=True, return_inverse=True)
-        have = self.at.get
-        rows = np.array([have(h, -1) for h in distinct.tolist()], dtype=np.int64)
+        if len(self.known) > self.codec.cache:
+            self.known.keep(distinct)
+        rows = self.known.find(distinct)
         todo = np.flatnonzero(rows < 0)
         if len(todo):
-            rows[todo] = np.arange(len(self.at), len(self.at) + len(todo))
-            self.at.update(zip(distinct[todo].tolist(), rows[todo].tolist()))
-            self._segment(code, chars, starts[first[todo]], ends[first[todo]], draw[first[todo]])
-        at = rows[inverse]
-        n = self.starts[at + 1] - self.starts[at]
-        stop = np.concatenate(([0], np.cumsum(n)))
-        ids = self.flat[np.repeat(self.starts[at] - stop[:-1], n) + np.arange(stop[-1])]
+            rows[todo] = self.known.add(distinct[todo], *self._segment(code, chars, starts[first[todo]], ends[first[todo]], draw[first[todo]]))
+        ids, stop = self.known.take(rows[inverse])
         cut = stop[bounds]
         return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
-    def _segment(self, code: np.ndarray, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, draw: np.ndarray) -> None:
-        """Append the segmentations of new words, in their order."""
+    def _segment(self, code: np.ndarray, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Segmentations of new words one after the other, and how many ids each has."""
         size = ends - starts
         parts: list = [None] * len(starts)
         limit = 1
@@ -266,8 +258,7 @@ class PieceEncoder:
             else:
                 ids = self.model.segment(word.replace(" ", MARK), int(self.draw_keys[draw[i]]), self.cut)
             parts[i] = np.array(ids, dtype=np.int32)
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum([len(x) for x in parts])))
-        self.flat = np.concatenate((self.flat, *parts)).astype(np.int32)
+        return np.concatenate(parts), np.array([len(x) for x in parts])
 
 
 _encoders: dict[PieceCodec, PieceEncoder] = {}
@@ -284,26 +275,46 @@ def _more(df: DataFrame, name: str, kind: str) -> StructType:
     return df.limit(0).withColumn(name, F.lit(None).cast(kind)).schema
 
 
+def _lists(ids: list[np.ndarray], null: np.ndarray) -> pa.ListArray:
+    edges = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges, mask=np.append(null, False)), pa.array(np.concatenate(ids)))
+
+
+def _encoded(docs: DataFrame, codec: PieceCodec, into: str | None) -> DataFrame:
+    """``docs`` with ``ids``, and with their decoded text in ``into`` if that is named."""
+    prepare(docs.sparkSession)
+    docs = docs.drop("ids", into) if into else docs.drop("ids")
+    names = [*docs.columns, "ids", *([into] if into else [])]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = encoder(codec)
+        try:
+            for batch, texts in slices(batches, "text"):
+                ids = one.encode_all(batch.column("doc_id").to_pylist(), [t.decode() for t in texts])
+                null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
+                columns = [*batch.columns, _lists(ids, null)]
+                if into:
+                    columns.append(pa.array([None if gone else one.model.decode(x.tolist()) for x, gone in zip(ids, null)], type=pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+        finally:
+            one.forget()  # a worker lives on and goes to other operators
+
+    schema = _more(docs, "ids", "array<int>")
+    return docs.mapInArrow(run, schema.add(into, "string") if into else schema)
+
+
 def encode(docs: DataFrame, codec: PieceCodec) -> DataFrame:
     """``docs`` with a column ``ids array<int>``; a column of that name is replaced, all others are kept.
 
     The same seed, ``doc_id`` and text give the same ids wherever they run, so a repeated row gives the same ids. A null text
     gives null ids, an empty one no ids. A null ``doc_id`` draws like the id -1. Texts are encoded whole.
     """
-    prepare(docs.sparkSession)
-    docs = docs.drop("ids")
-    names = [*docs.columns, "ids"]
+    return _encoded(docs, codec, None)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoder(codec)
-        for batch, texts in slices(batches, "text"):
-            ids = one.encode_all(batch.column("doc_id").to_pylist(), [t.decode() for t in texts])
-            edges = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
-            lists = pa.ListArray.from_arrays(pa.array(edges, mask=np.append(null, False)), pa.array(np.concatenate(ids)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=names)
-
-    return docs.mapInArrow(run, _more(docs, "ids", "array<int>"))
+
+def round_trip(docs: DataFrame, codec: PieceCodec, into: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the texts."""
+    return _encoded(docs, codec, into)
 
 
 def decode(encoded: DataFrame, codec: PieceCodec, into: str = "decoded") -> DataFrame:

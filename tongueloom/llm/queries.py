@@ -27,7 +27,7 @@ def piece_codec(**more) -> pieces.PieceCodec:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = piece_codec()
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    both = pieces.decode(pieces.encode(docs, codec), codec)
+    both = pieces.round_trip(docs, codec)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
         F.octet_length("decoded").cast("long").alias("n_bytes"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))

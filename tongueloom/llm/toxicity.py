@@ -284,6 +284,7 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(s), pa.array((s >= model.params.threshold).astype(np.int32))],
                 names=["doc_id", "score", "predicted"])
+        scorer.known = {}
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
@@ -297,5 +298,6 @@ def reject(docs: DataFrame, model: ToxicModel) -> DataFrame:
         model, scorer = _scorer(shared, token)
         for batch, texts in slices(batches, "text"):
             yield batch.filter(pa.array(model.score(scorer.features(texts)) < model.params.threshold))
+        scorer.known = {}  # a worker lives on and goes to other operators
 
     return docs.mapInArrow(run, docs.schema)
