@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import sentencepiece
 
 from tongueloom.llm.pieces import PieceEncoder, decode, encode, round_trip
 from tongueloom.llm.queries import piece_codec
+from tongueloom.llm.wordhash import mix
 
 TEXTS = ["", " ", "  two  spaces ", "tabs\tand\nlines\n\n", "Straße déjà-vu 12,345.67 Ünïcödé", "日本語テキスト 👍🏽 مرحبا", "a b  c", "<s> </s> <unk> <0x0A>",
          "the cat " * 400, "x" * 3000, "NUL\x00 and \x1f", "▁literal a▁b ▁▁"]
@@ -68,3 +70,39 @@ def test_a_small_cache_changes_nothing():
     big, small = PieceEncoder(piece_codec()), PieceEncoder(piece_codec(cache=6))
     for d, text in enumerate(sample()):
         assert big.encode(d, text) == small.encode(d, text)
+
+
+def test_occurrences_are_drawn_one_by_one_at_the_rate_asked_for():
+    one = PieceEncoder(piece_codec())
+    word = "understanding"
+    unit, n = "▁" + word, 4000
+    plain = PieceEncoder(piece_codec(dropout=0.0)).encode(0, word)
+    text = " ".join([word] * n)
+    ids = one.encode(3, text)
+    forms, now = [], []
+    for k in ids:  # a word ends when its characters are all there
+        now.append(k)
+        if len(one.model.decode(now).strip()) == len(word):
+            forms.append(tuple(now))
+            now = []
+    assert len(forms) == n and len(set(forms)) > 30  # eight keys give at most eight
+    chars = one.model.char[[ord(c) for c in " " + word]]
+    taken = one.model.segment_many(chars, np.array([0]), np.array([len(unit)]), np.empty((1, 0), dtype=np.int64))[2]
+    alone = [one.model.segment(unit, k, one.cut) for k in mix(np.arange(n, dtype=np.uint64) + np.uint64(77)).tolist()]
+    assert abs(sum(f == tuple(plain) for f in forms) - sum(f == tuple(plain) for f in alone)) / n < 0.05
+    # every step of the undisturbed agenda is skipped in about a tenth of the draws, whatever the places
+    draws = mix(np.arange(n, dtype=np.uint64))
+    for c in taken.tolist():
+        a, b, size = (np.full(n, x) for x in (c & 255, c >> 8 & 255, c >> 16))
+        assert abs(one.model._skipped(draws, a, b, size, one.cut).mean() - 0.1) < 0.02
+
+
+def test_each_occurrence_equals_the_agenda_with_its_own_key():
+    one = PieceEncoder(piece_codec(dropout=0.3))
+    keyed = []
+    real = one.model._skipped
+    one.model._skipped = lambda key, *rest: keyed.append(key) or real(key, *rest)
+    words = "tokenization of the international understanding understanding of the".split()
+    ids, draws = one.encode(8, " ".join(words)), keyed[0]
+    of = list(dict.fromkeys(draws.tolist()))  # words of more than one candidate have one key each, in order
+    assert len(of) == len(words) and ids == [k for w, key in zip(words, of) for k in one.model.segment("▁" + w, key, one.cut)]

@@ -3,7 +3,8 @@
 A BPE model of the ``sentencepiece`` format is applied as its agenda: candidate merges wait in a queue by score, then
 position; each one taken from the queue is skipped when a keyed hash of the draw and the candidate's place falls below ``dropout``.
 With no dropout the pieces are those of the library. Pieces of the model never join a white-space mark onto what
-stands before it, so the agenda runs per word; a word's occurrences take one of ``draws`` segmentations.
+stands before it, so the agenda runs per word. Every occurrence of a word has a draw of its own; what is remembered are segmentations by
+word and skipped places of the agenda, so an occurrence only hashes the candidates that it meets.
 """
 
 from __future__ import annotations
@@ -28,13 +29,16 @@ _SIDE_BY_SIDE = 48  # longer words are segmented one by one
 
 @dataclass(frozen=True)
 class PieceCodec:
-    """``model``: path of the model file on every worker; ``dropout``: share of candidate merges skipped; ``cache``: words kept."""
+    """``model``: path of the model file on every worker; ``dropout``: share of candidate merges skipped; ``cache``: segmentations kept.
+
+    ``draws`` None: the key of a draw is made of word, document and place; a number: all words share so many keys.
+    """
 
     model: str
     dropout: float = 0.1
     seed: int = 17
-    draws: int = 8
-    cache: int = 2_000_000
+    draws: int | None = None
+    cache: int = 1_000_000
 
 
 class PieceModel:
@@ -128,11 +132,11 @@ class PieceModel:
                 out.extend([known] if known is not None else [self.byte[x] for x in t.encode()])
         return tuple(out)
 
-    def segment_many(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys_: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
-        """``segment`` of many words side by side: ids one after the other, and how many each word has.
+    def segment_many(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``segment`` of many words side by side: ids one after the other, how many each has, and the same of the candidates taken (place, place and length, 8 bits each).
 
-        ``chars`` are ids of single characters. A step takes the best waiting candidate of every word: it is skipped, or its two symbols are
-        joined and the candidates next to them renewed.
+        ``chars`` are ids of single characters. A step takes the best waiting candidate of every word: it is skipped if ``skips`` (a row of
+        steps for each word) has the step, or its two symbols are joined and the candidates next to them renewed.
         """
         n, width = len(starts), int((ends - starts).max())
         at = starts[:, None] + np.arange(width)
@@ -144,16 +148,17 @@ class PieceModel:
         sym = np.concatenate((sym, np.full((n, 1), -1, dtype=sym.dtype)), axis=1)  # the column past the last one stands for no symbol
         joined, cost = self._joined(sym[:, :-1], sym[:, 1:])
         live = np.flatnonzero(np.isfinite(cost).any(axis=1))
+        owners, taken, step = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)], 0
         while len(live):
             p = cost[live].argmin(axis=1)
             some = np.isfinite(cost[live, p])
             live, p = live[some], p[some]
-            if cut:
-                skip = self._skipped(keys_[live], p, after[live, p], self.length[joined[live, p]], cut)
-                cost[live[skip], p[skip]] = np.inf
-                r, p = live[~skip], p[~skip]
-            else:
-                r = live
+            owners.append(live)
+            taken.append((p | after[live, p] << 8 | self.length[joined[live, p]] << 16).astype(np.int32))
+            skip = (skips[live] == step).any(axis=1)
+            step += 1
+            cost[live[skip], p[skip]] = np.inf
+            r, p = live[~skip], p[~skip]
             q = after[r, p]
             new, far, near = joined[r, p], after[r, q], before[r, p]
             sym[r, p] = new
@@ -165,7 +170,8 @@ class PieceModel:
             joined[r, p], cost[r, p] = self._joined(new, sym[r, far])
             has = near >= 0
             joined[r[has], near[has]], cost[r[has], near[has]] = self._joined(sym[r[has], near[has]], new[has])
-        return sym[:, :-1][alive], alive.sum(axis=1)
+        owner = np.concatenate(owners)
+        return sym[:, :-1][alive], alive.sum(axis=1), np.concatenate(taken)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=n)
 
     def _joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The piece that two symbols make and its cost, infinite where they make none."""
@@ -188,12 +194,12 @@ class PieceModel:
 
 
 class PieceEncoder:
-    """Encodes texts; the segmentations of words are remembered by hash of word and draw."""
+    """Encodes texts; the segmentations of words are remembered by hash of word and skipped steps."""
 
     def __init__(self, codec: PieceCodec):
         self.model, self.codec = PieceModel(codec.model), codec
         self.cut = int(codec.dropout * (1 << 32))
-        self.draw_keys = keys(codec.draws, codec.seed)
+        self.draw_keys = None if codec.draws is None else keys(codec.draws, codec.seed)
         self.forget()
 
     def forget(self) -> None:
@@ -219,27 +225,56 @@ class PieceEncoder:
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], len(code))
         bounds = np.searchsorted(starts, edge)
-        draw = np.zeros(len(starts), dtype=np.int64)
         with np.errstate(over="ignore"):
-            if self.cut:
-                ids = np.array([-1 if d is None else d for d in doc_ids], dtype=np.int64).view(np.uint64)
-                of = np.repeat(np.arange(len(texts)), np.diff(bounds))
-                place = (np.arange(len(starts)) - bounds[of]).astype(np.uint64)
-                draw = (mix(mix(ids ^ keys(1, self.codec.seed))[of] + place) % np.uint64(self.codec.draws)).astype(np.int64)
-            unit = mix(span_hashes(code, starts, ends, mix(code)) + self.draw_keys[draw])
-        distinct, first, inverse = np.unique(unit, return_index=True, return_inverse=True)
+            unit = mix(span_hashes(code, starts, ends, mix(code)))
+            ids = np.array([-1 if d is None else d for d in doc_ids], dtype=np.int64).view(np.uint64)
+            of = np.repeat(np.arange(len(texts)), np.diff(bounds))
+            place = (np.arange(len(starts)) - bounds[of]).astype(np.uint64)
+            draw = mix(mix(ids ^ keys(1, self.codec.seed))[of] + place)
+            draw = mix(draw ^ unit) if self.draw_keys is None else self.draw_keys[(draw % np.uint64(len(self.draw_keys))).astype(np.int64)]
+            if self.cut:  # a long word's segmentation is its occurrence's alone
+                unit = np.where(ends - starts > _SIDE_BY_SIDE, mix(unit ^ draw), unit)
         if len(self.known) > self.codec.cache:
-            self.known.keep(distinct)
-        rows = self.known.find(distinct)
-        todo = np.flatnonzero(rows < 0)
-        if len(todo):
-            rows[todo] = self.known.add(distinct[todo], *self._segment(code, chars, starts[first[todo]], ends[first[todo]], draw[first[todo]]))
-        ids, stop = self.known.take(rows[inverse])
-        cut = stop[bounds]
+            self.known.keep(np.unique(unit))
+        rows = np.empty(len(starts), dtype=np.int64)
+        left, skips = np.arange(len(starts)), np.empty((len(starts), 0), dtype=np.int64)
+        while len(left):  # the occurrences with one more skipped step than before
+            distinct, first, inverse = np.unique(unit, return_index=True, return_inverse=True)
+            at = self.known.find(distinct)
+            todo = np.flatnonzero(at < 0)
+            if len(todo):
+                use = left[first[todo]]
+                at[todo] = self.known.add(distinct[todo], *self._segment(code, chars, starts[use], ends[use], draw[use], skips[first[todo]]))
+            rows[left] = at[inverse]
+            if not self.cut:
+                break
+            flat, stop = self.known.take(rows[left])
+            heads = flat[stop[:-1]]
+            size = np.diff(stop) - heads - 1
+            edges = np.concatenate(([0], np.cumsum(size)))
+            owner = np.repeat(np.arange(len(left)), size)
+            step = np.arange(edges[-1]) - edges[owner]
+            if skips.shape[1]:  # the steps up to the last skip are settled
+                new = step > skips[owner, -1]
+                owner, step = owner[new], step[new]
+            packed = flat[(stop[:-1] + 1 + heads)[owner] + step]
+            hit = self.model._skipped(draw[left[owner]], packed & 255, packed >> 8 & 255, packed >> 16, self.cut)
+            again, at = np.unique(owner[hit], return_index=True)
+            skips = np.column_stack((skips[again], step[hit][at]))
+            left = left[again]
+            with np.errstate(over="ignore"):
+                unit = mix(unit[again] + skips[:, -1].astype(np.uint64) + np.uint64(1))
+        flat, stop = self.known.take(rows)
+        heads = flat[stop[:-1]].astype(np.int64)
+        ends_ = np.concatenate(([0], np.cumsum(heads)))
+        ids = flat[np.repeat(stop[:-1] + 1 - ends_[:-1], heads) + np.arange(ends_[-1])]
+        cut = ends_[bounds]
         return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
-    def _segment(self, code: np.ndarray, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Segmentations of new words one after the other, and how many ids each has."""
+    def _segment(
+        self, code: np.ndarray, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, draw: np.ndarray, skips: np.ndarray,
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of new segmentations one after the other, and their lengths: the number of ids, the ids, the candidates taken."""
         size = ends - starts
         parts: list = [None] * len(starts)
         limit = 1
@@ -248,16 +283,22 @@ class PieceEncoder:
             fits = np.flatnonzero((size > low) & (size <= limit) & (chars[starts] >= 0))
             for k in range(0, len(fits), 20_000):
                 use = fits[k:k + 20_000]
-                ids, n = self.model.segment_many(chars, starts[use], ends[use], self.draw_keys[draw[use]], self.cut)
-                for i, part in zip(use.tolist(), np.split(ids, np.cumsum(n)[:-1])):
-                    parts[i] = part
+                ids, n, taken, m = self.model.segment_many(chars, starts[use], ends[use], skips[use])
+                both = np.empty(len(use) + len(ids) + len(taken), dtype=np.int32)
+                stop = np.cumsum(n + m + 1)
+                begin = stop - (n + m + 1)
+                both[begin] = n
+                both[np.repeat(begin + 1 - np.cumsum(n) + n, n) + np.arange(len(ids))] = ids
+                both[np.repeat(begin + 1 + n - np.cumsum(m) + m, m) + np.arange(len(taken))] = taken
+                for i, a, b in zip(use.tolist(), begin.tolist(), stop.tolist()):
+                    parts[i] = both[a:b]
         for i in [i for i, x in enumerate(parts) if x is None]:
             word = code[starts[i]: ends[i]].tobytes().decode("utf-32-le")
             if chars[starts[i]] < 0:
                 ids = [self.model.byte[x] for x in word.encode()]
             else:
-                ids = self.model.segment(word.replace(" ", MARK), int(self.draw_keys[draw[i]]), self.cut)
-            parts[i] = np.array(ids, dtype=np.int32)
+                ids = self.model.segment(word.replace(" ", MARK), int(draw[i]), self.cut)
+            parts[i] = np.array([len(ids), *ids], dtype=np.int32)
         return np.concatenate(parts), np.array([len(x) for x in parts])
 
 
