@@ -49,3 +49,16 @@ def test_empty_and_repeated(spark):
     assert [r.blocked for r in judge(cap, log).collect()] == [False, False] and judge(cap.limit(0), log).count() == 0
     one = spark.createDataFrame([("l", "block", "a.b", dt.date(2023, 1, 1), "add")], log.schema)
     assert [(r.page_id, r.pattern, r.blocked) for r in judge(cap.selectExpr("*", "7 as pattern"), one).collect()] == [(1, 7, True)] * 2
+
+
+def test_entries_of_any_depth(spark):
+    day = dt.date(2024, 1, 1)
+    urls = ["http://h.com/a/b/c/d/e.html?q", "http://h.com/a/b/c", "http://H.com//A/b/", "http://h.com/a/b/cc", "http://h.com", "http://h.com/" + "s/" * 40]
+    cap = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, day date")
+    schema = "list string, kind string, pattern string, day date, action string"
+    entries = ["h.com/a/b/c", "h.com/A/b/c/d/e.html", "h.com/" + "/".join("s" * 40)]
+    got = {r.page_id: r.active for r in judge(cap, spark.createDataFrame([("l", "block", e, day, "add") for e in entries], schema)).collect()}
+    assert got == {0: ["l:block:h.com/a/b/c", "l:block:h.com/a/b/c/d/e.html"], 1: ["l:block:h.com/a/b/c"], 2: [], 3: [], 4: [],
+                   5: ["l:block:h.com/" + "/".join("s" * 40)]}
+    host = [("l", "block", "h.com", day, "add")]
+    assert all(r.blocked for r in judge(cap, spark.createDataFrame(host, schema)).collect())

@@ -1,7 +1,7 @@
 """URL filters with dated lists: every capture is judged by the entries that were active when it was fetched.
 
 A log of dated additions and removals becomes validity intervals, one per stay of an entry on its list. Each URL stands for a few
-patterns (its host, the parent domains, the host with leading path segments); patterns and the time bucket are the key of
+patterns (its host, the parent domains, the host with each leading path, however deep); patterns and the time bucket are the key of
 an as-of join with the intervals, so a host with a third of all captures is spread over the buckets, and
 equal captures are judged once.
 """
@@ -30,16 +30,17 @@ def intervals(log: DataFrame) -> DataFrame:
             .where("valid_to is null or valid_to > valid_from"))
 
 
-def patterns(url: Column) -> Column:
-    """The patterns a URL stands for; null and what has no host stand for none."""
+def patterns(url: Column, deepest: int | None = None) -> Column:
+    """The patterns a URL stands for; null and what has no host stand for none. Of its leading paths those up to ``deepest`` segments, or all."""
     whole = "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)"
     host = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, whole, 1), "^.*@", ""), r"\.?(:[0-9]*)?$", "")
     labels = F.split(F.lower(host), r"\.")
     path = F.filter(F.split(F.regexp_extract(url, whole, 2), "/"), lambda s: s != "")
     n = F.greatest(F.size(labels) - 1, F.lit(1))
     domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    deeper = F.when(F.size(path) > 0, F.transform(
-        F.sequence(F.lit(1), F.least(F.size(path), F.lit(2))), lambda i: F.concat_ws("/", F.lower(host), F.lower(F.concat_ws("/", F.slice(path, 1, i))))))
+    depth = F.size(path) if deepest is None else F.least(F.size(path), F.lit(deepest))
+    deeper = F.when(depth > 0, F.transform(
+        F.sequence(F.lit(1), depth), lambda i: F.concat_ws("/", F.lower(host), F.lower(F.concat_ws("/", F.slice(path, 1, i))))))
     none = F.array().cast("array<string>")
     return F.when(url.isNotNull() & (host != ""), F.array_distinct(F.concat(domains, F.coalesce(deeper, none)))).otherwise(none)
 
@@ -54,7 +55,6 @@ def judge(captures: DataFrame, log: DataFrame) -> DataFrame:
     captures = captures.drop("n_active", "active", "blocked")
     bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / BUCKET_DAYS)
     seen = captures.select("url", "day").dropna().distinct()
-    asked = seen.select("url", "day", bucket(F.col("day")).alias("bucket"), F.explode(patterns(F.col("url"))).alias("pattern"))
     horizon = seen.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
     spans = intervals(log)
     if horizon.lo is None:
@@ -64,6 +64,8 @@ def judge(captures: DataFrame, log: DataFrame) -> DataFrame:
         last = F.least(F.coalesce(F.date_sub("valid_to", 1), F.lit(horizon.hi)), F.lit(horizon.hi))
         spans = spans.where(first <= last).withColumn("bucket", F.explode(F.sequence(bucket(first), bucket(last))))
     spans = stage(spans, "intervals")
+    deepest = spans.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0  # no entry has a longer path, so none is missed
+    asked = seen.select("url", "day", bucket(F.col("day")).alias("bucket"), F.explode(patterns(F.col("url"), deepest)).alias("pattern"))
     met = attach(asked, spans, ["pattern", "bucket"]).where("day >= valid_from and (valid_to is null or day < valid_to)")
     entry = F.concat_ws(":", "list", "kind", "pattern")
     rank = F.struct(F.length("pattern").alias("n"), (F.col("kind") == "allow").alias("allow"))
