@@ -70,3 +70,14 @@ def test_removal(spark, docs_of):
 def test_empty_tables(spark, docs_of):
     assert find_hits(docs_of([]), bench(spark, [(1, "a b")])).count() == 0
     assert find_hits(docs_of([(1, "a b")]), bench(spark, [])).first().spans == []
+
+
+def test_null_and_repeated_ids_over_many_blocks(spark, docs_of):
+    rows, items = data()
+    rows = [(None if i % 4 == 0 else 7 if i % 4 == 1 else i, t) for i, t in rows] + rows[40:44] * 3
+    for blocks in (1_000_000, 60):
+        p = Decontam(window=4, block_bytes=blocks)
+        alone = [(i, brute([(0, t)], items, 4)[0]) for i, t in rows]
+        want = [(i, n, sorted(hit), found) for i, (n, hit, found) in alone]
+        got = [(r.doc_id, r.n_words, sorted(spread(r.spans)), r.items) for r in find_hits(docs_of(rows), bench(spark, items), p).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want)), blocks

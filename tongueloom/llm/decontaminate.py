@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tongueloom.llm.common import attach
@@ -193,7 +194,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam()) -
     ``spans`` are maximal ranges of hit words (numbered from 0), ``items`` the distinct ids (as strings, sorted) of the items whose windows
     occur, ``longest`` the longest match that holds a window. A null, empty or wordless text has no words and no hits; null
     or wordless items match nothing; an item without an id is named ``""``; items that share an id count once. Rows that repeat a ``doc_id``
-    are each returned. Empty tables give no rows, or rows without hits.
+    are each returned with their own hits, whatever the number of blocks: the blocks' hits meet by a 128-bit hash of id and text. Empty tables
+    give no rows, or rows without hits.
     """
     spark = docs.sparkSession
     passes = []
@@ -208,20 +210,21 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam()) -
                     words = words_of(text)
                     spans, found, longest = auto.scan(words)
                     if spans or number == 0:
-                        rows.append({"doc_id": doc, "n_words": len(words), "spans": [{"first": a, "last": b} for a, b in spans],
+                        key = xxhash.xxh3_128_digest(text + (b"|" if doc is None else b"|%d" % doc))
+                        rows.append({"key": key, "doc_id": doc, "n_words": len(words), "spans": [{"first": a, "last": b} for a, b in spans],
                                      "items": sorted(found), "longest": longest})
                 yield pa.RecordBatch.from_pylist(rows, schema=_HITS)
 
         passes.append(docs.select("doc_id", "text").mapInArrow(run, _HITS_DDL))
     if len(passes) == 1:
-        return passes[0]
+        return passes[0].drop("key")
     rest = passes[1]
     for more in passes[2:]:
         rest = rest.unionByName(more)
     rest = stage(
-        rest.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.flatten(F.collect_list("items")).alias("_items"),
+        rest.groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("_spans"), F.flatten(F.collect_set("items")).alias("_items"),
                                    F.max("longest").alias("_longest")), "block-hits")
-    both = passes[0].join(rest, "doc_id", "left")
+    both = passes[0].join(rest, "key", "left")  # rows of equal id and text have equal hits
     none = F.array()
     return both.select(
         "doc_id", "n_words", _merged(F.concat("spans", F.coalesce("_spans", none.cast(_SPANS_DDL)))).alias("spans"),
@@ -230,9 +233,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam()) -
 
 
 _SPANS_DDL = "array<struct<first:int,last:int>>"
-_HITS_DDL = f"doc_id long, n_words long, spans {_SPANS_DDL}, items array<string>, longest int"
+_HITS_DDL = f"key binary, doc_id long, n_words long, spans {_SPANS_DDL}, items array<string>, longest int"
 _HITS = pa.schema([
-    ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
+    ("key", pa.binary()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
     ("items", pa.list_(pa.string())), ("longest", pa.int32())])
 
 
