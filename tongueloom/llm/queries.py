@@ -8,13 +8,15 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tongueloom.llm import bitplanes, decontaminate, lattice, pieces, pseudonyms, toxicity, urlfilter
+from tongueloom.llm import bitplanes, bytebpe, decontaminate, lattice, pieces, pseudonyms, toxicity, urlfilter
 from tongueloom.llm.common import crc_bucket, read
 from tongueloom.llm.gru import language_scores
 from tongueloom.llm.lines import dedup_lines
 from tongueloom.llm.minhash import near_duplicates
+from tongueloom.llm.spelling import spelling_groups
 
 TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")  # a folder that every worker has
 END_ID = 2
@@ -24,6 +26,10 @@ def piece_codec(**more) -> pieces.PieceCodec:
     return pieces.PieceCodec(model=f"{TOKENIZERS}/piece_bpe_32k.model", **more)
 
 
+def byte_codec(**more) -> bytebpe.ByteCodec:
+    return bytebpe.ByteCodec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, **more)
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = piece_codec()
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -84,6 +90,19 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", F.col("day").cast("string").alias("day"), "n_active", F.concat_ws(",", "active").alias("active"), "blocked")
 
 
+def op11_bytetree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = byte_codec()
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    both = bytebpe.decode(bytebpe.encode(docs, codec, keep=["doc_id"]), codec)
+    return both.select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_minhash": op2_minhash,
@@ -95,4 +114,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_urls": op9_urls,
     "op10_feistel": op10_feistel,
+    "op11_bytetree": op11_bytetree,
+    "op12_spelling": op12_spelling,
 }
