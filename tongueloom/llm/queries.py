@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tongueloom.llm import bitplanes, bytebpe, decontaminate, lattice, pieces, pseudonyms, toxicity, urlfilter
+from tongueloom.llm import alignment, bitplanes, bytebpe, decontaminate, lattice, pieces, pseudonyms, toxicity, urlfilter
 from tongueloom.llm.common import crc_bucket, read
 from tongueloom.llm.gru import language_scores
 from tongueloom.llm.lines import dedup_lines
@@ -30,6 +30,10 @@ def byte_codec(**more) -> bytebpe.ByteCodec:
     return bytebpe.ByteCodec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, **more)
 
 
+def pairing(**more) -> alignment.Pairing:
+    return alignment.Pairing(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), **more)
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = piece_codec()
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -103,6 +107,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(read(spark, sf_dir, "documents"))
 
 
+def op13_gallop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(read(spark, sf_dir, "documents"), pairing())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_minhash": op2_minhash,
@@ -116,4 +124,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_feistel": op10_feistel,
     "op11_bytetree": op11_bytetree,
     "op12_spelling": op12_spelling,
+    "op13_gallop": op13_gallop,
 }
