@@ -5,26 +5,31 @@ from a first guess the step doubles until the offset is bracketed, then the brac
 into groups, and the ranks of a token's two ends differ by the range of tokens of the other side that it overlaps. All documents of a
 chunk are searched side by side.
 
-Counts of id pairs come from a first pass over the texts. The second pass has the pairs of largest count at hand, at most ``hot`` of
+Texts are encoded once and their ids staged. Counts of id pairs come from a first pass over the ids. The second pass has the pairs of largest count at hand, at most ``hot`` of
 them, whatever the corpus; the links of other pairs are joined with their counts in Spark.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from tongueloom.llm.bytebpe import Memory, units
+from tongueloom.llm.bytebpe import units
 from tongueloom.llm.common import attach, prepare
-from tongueloom.llm.wordhash import slices
+from tongueloom.llm.wordhash import chunks as byte_chunks, slices
 from tongueloom.session import stage
 
 MARK = "▁"
+CHUNK_BYTES = 250_000  # bytes of text, or of ids, aligned together; a longer text is one chunk
+_LONG = 64  # longer words are not remembered
 
 
 @dataclass(frozen=True)
@@ -38,8 +43,8 @@ class Pairing:
     first: str
     second: str
     hot: int = 1_000_000
-    cache: int = 300_000
-    buffer: int = 3_000_000
+    cache: int = 100_000
+    buffer: int = 1_000_000
 
 
 # ---- tokens ------------------------------------------------------------------
@@ -58,6 +63,7 @@ class TokenPair:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own cost it memory
         self.a = Tokenizer.from_file(p.first)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=p.second)
@@ -77,39 +83,47 @@ class TokenPair:
         self.forget()
 
     def forget(self) -> None:
-        self.words = Memory(lambda unit: self._both([unit])[0])
-
-    def _both(self, new: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        out = []
-        found = zip(new, self.a.encode_batch_fast([" " + u for u in new], add_special_tokens=False), self.b.encode(new, num_threads=1))
-        for unit, a, b in found:
-            a, b = a.ids, b if unit else [self.blank]
-            raw = (" " + unit).encode()
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            out.append((np.array(a, dtype=np.int32).tobytes(), np.array(b, dtype=np.int32).tobytes(), same))
-        return out
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of blank + text by either tokenizer, one text after the other, and how many each text has; none for an empty text, or one not spelt by both."""
-        if len(self.words) > self.limit:
-            self.words.clear()
+        self.words: dict[str, tuple[bytes, bytes, bool]] = {}
+
+    def _both(self, new: list[str]) -> Iterator[tuple[bytes, bytes, bool]]:
+        """Ids of words by either tokenizer, and whether both spell blank + word."""
+        raw = [(" " + u).encode() for u in new]
+        found_a = [x.ids for x in self.a.encode_batch_fast([" " + u for u in new], add_special_tokens=False)]
+        found_b = [x if u else [self.blank] for u, x in zip(new, self.b.encode(new, num_threads=1))]
+        size, good, sides = np.fromiter(map(len, raw), np.int64, len(raw)), np.ones(len(new), dtype=bool), []
+        for found, spelt, length in ((found_a, self.bytes_a, self.length_a), (found_b, self.bytes_b, self.length_b)):
+            stop = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+            ids = np.fromiter(chain.from_iterable(found), np.int32, int(stop[-1]))
+            upto = np.concatenate(([0], np.cumsum(length[ids])))
+            same = np.diff(upto[stop], prepend=0) == size
+            if not same.all() or b"".join(map(spelt.__getitem__, ids.tolist())) != b"".join(raw):
+                same &= [b"".join(map(spelt.__getitem__, x)) == r for x, r in zip(found, raw)]
+            good &= same
+            flat, edge = ids.tobytes(), [0, *(4 * stop).tolist()]
+            sides.append([flat[i:j] for i, j in zip(edge, edge[1:])])
+        return zip(*sides, good.tolist())
+
+    def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Ids of blank + text by either tokenizer, as 32-bit integers; none for an empty text, or one that is not spelt back by both."""
         cut = []
         for raw in texts:
             try:
                 cut.append(units(raw.decode()) if raw else [])
             except UnicodeDecodeError:
                 cut.append([])
-        new = list(dict.fromkeys(u for own in cut for u in own if u not in self.words and len(u) <= 64))
-        self.words.update(zip(new, self._both(new)) if new else ())
-        flat_a, flat_b = [], []
+        if len(self.words) > self.limit:
+            self.words.clear()
+        new = list(set(chain.from_iterable(cut)).difference(self.words))
+        if new:
+            self.words.update(zip(new, self._both(new)))
+        out = []
         for own in cut:
-            rows = list(map(self.words.__getitem__, own))
-            good = all(r[2] for r in rows)
-            flat_a.append(b"".join([r[0] for r in rows]) if good else b"")
-            flat_b.append(b"".join([r[1] for r in rows]) if good else b"")
-        size = lambda flat: np.array([len(x) // 4 for x in flat], dtype=np.int64)
-        ids = lambda flat: np.frombuffer(b"".join(flat), dtype=np.int32).astype(np.int64)
-        return ids(flat_a), ids(flat_b), size(flat_a), size(flat_b)
+            a, b, good = zip(*map(self.words.__getitem__, own)) if own else ((), (), ())
+            out.append((b"".join(a), b"".join(b)) if all(good) else (b"", b""))
+        for unit in new:
+            if len(unit) > _LONG:
+                del self.words[unit]
+        return out
 
     def named(self) -> list[bytes]:
         """Every id in decimal behind each of the four separators: of groups, of tokens of the first, between the sides, of tokens of the second."""
@@ -203,11 +217,12 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray, doc_a: np.ndarray, doc_b: np.n
 
 
 class Chunk:
-    """The aligned tokens of several texts."""
+    """The aligned tokens of several texts, from the ids that ``encode`` gives."""
 
-    def __init__(self, pair: TokenPair, texts: list[bytes]):
+    def __init__(self, pair: TokenPair, ids: list[tuple[bytes, bytes]]):
         self.pair = pair
-        self.a, self.b, self.n_a, self.n_b = pair.encode(texts)
+        self.a, self.b = (np.frombuffer(b"".join([x[k] for x in ids]), dtype=np.int32).astype(np.int64) for k in (0, 1))
+        self.n_a, self.n_b = (np.array([len(x[k]) // 4 for x in ids], dtype=np.int64) for k in (0, 1))
         self.at_a, self.at_b = (np.concatenate(([0], np.cumsum(n))) for n in (self.n_a, self.n_b))
         self.aligned = align(np.cumsum(pair.length_a[self.a]), np.cumsum(pair.length_b[self.b]), self.at_a, self.at_b)
         x = self.aligned
@@ -260,29 +275,60 @@ def loaded(p: Pairing) -> TokenPair:
 
 # ---- Spark -------------------------------------------------------------------
 
-def pair_counts(docs: DataFrame, p: Pairing) -> DataFrame:
-    """``(pair, n)``: in how many rows of ``docs(text)`` an id pair is linked; ``pair`` is first id * 2**32 + second id."""
+def tokens(docs: DataFrame, p: Pairing) -> DataFrame:
+    """``(doc_id, a, b)``: the ids of every row of ``docs(doc_id, text)`` by either tokenizer."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, waiting, size = loaded(p), [], 0
-
-        def counted() -> pa.RecordBatch:
-            own, n = np.unique(np.concatenate(waiting), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], names=["pair", "n"])
-
+        pair = loaded(p)
         try:
-            for _, texts in slices(batches, "text"):
-                waiting.append(Chunk(pair, texts).distinct()[1])
-                size += len(waiting[-1])
-                if size > p.buffer:
-                    yield counted()
-                    waiting, size = [], 0
-            if size:
-                yield counted()
+            for batch, texts in slices(batches, "text", CHUNK_BYTES):
+                ids = pair.encode(texts)
+                lists = [_lists([x[k] for x in ids]) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *lists], names=["doc_id", "a", "b"])
         finally:
             pair.forget()  # a worker lives on and goes to other operators
 
-    return docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, a array<int>, b array<int>")
+
+
+def _lists(flat: list[bytes]) -> pa.ListArray:
+    edge = np.concatenate(([0], np.cumsum([len(x) // 4 for x in flat]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edge), pa.array(np.frombuffer(b"".join(flat), dtype=np.int32)))
+
+
+def _chunks(pair: TokenPair, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
+    """Rows of ``tokens`` a chunk at a time."""
+    for batch in batches:
+        sides = []
+        for name in ("a", "b"):
+            lists = batch.column(name)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
+            edge = [0, *np.cumsum(4 * lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()]
+            sides.append([flat[i:j] for i, j in zip(edge, edge[1:])])
+        ids = list(zip(*sides))
+        for i, j in byte_chunks([x[0] + x[1] for x in ids], 4 * CHUNK_BYTES):
+            yield batch.slice(i, j - i), Chunk(pair, ids[i:j])
+
+
+def pair_counts(ids: DataFrame, p: Pairing) -> DataFrame:
+    """``(pair, n)``: in how many rows of ``tokens`` an id pair is linked; ``pair`` is first id * 2**32 + second id."""
+
+    def counted(waiting: list[np.ndarray]) -> pa.RecordBatch:
+        own, n = np.unique(np.concatenate(waiting), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], names=["pair", "n"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, waiting, size = loaded(p), [], 0
+        for _, c in _chunks(pair, batches):
+            waiting.append(c.distinct()[1])
+            size += len(waiting[-1])
+            if size > p.buffer:
+                yield counted(waiting)
+                waiting, size = [], 0
+        if size:
+            yield counted(waiting)
+
+    return ids.select("a", "b").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def with_best(counts: DataFrame) -> DataFrame:
@@ -313,33 +359,27 @@ def counts_from(bin_: int) -> int:
     return n
 
 
-def scored(docs: DataFrame, p: Pairing, known: Broadcast) -> DataFrame:
-    """Rows of ``docs(doc_id, text)`` with their columns, sums over the hot pairs, and the pairs that are not hot with their numbers of links."""
+def scored(ids: DataFrame, p: Pairing, known: Broadcast) -> DataFrame:
+    """The rows of ``tokens`` with their columns, sums over the hot pairs, and the pairs that are not hot with their numbers of links."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         pair, (hot, count, best) = loaded(p), known.value
-        try:
-            for batch, texts in slices(batches, "text"):
-                c = Chunk(pair, texts)
-                doc, own, times = c.distinct()
-                at = np.minimum(np.searchsorted(hot, own), max(len(hot) - 1, 0))
-                hit = hot[at] == own if len(hot) else np.zeros(len(own), dtype=bool)
-                sums = [np.bincount(doc[hit], weights=w, minlength=len(texts)).astype(np.int64) for w in (
-                    times[hit] * count[at[hit]], times[hit] * best[at[hit]])]
-                cold_doc, cold, cold_times = doc[~hit], own[~hit], times[~hit]
-                edge = pa.array(np.searchsorted(cold_doc, np.arange(len(texts) + 1)).astype(np.int32))
-                sha = [hashlib.sha256(g).hexdigest() if g else "" for g in c.groups()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), *map(pa.array, (c.n_a, c.n_b, c.n_groups, c.n_links, sums[1], sums[0])),
-                     pa.array(sha, type=pa.string()), pa.ListArray.from_arrays(edge, pa.array(cold)), pa.ListArray.from_arrays(edge, pa.array(cold_times))],
-                    names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "cold", "times"])
-        finally:
-            pair.forget()
-
-    kinds = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, cold array<long>, times array<long>"
-    return docs.select("doc_id", "text").mapInArrow(run, kinds)
+        for batch, c in _chunks(pair, batches):
+            doc, own, times = c.distinct()
+            at = np.minimum(np.searchsorted(hot, own), max(len(hot) - 1, 0))
+            hit = hot[at] == own if len(hot) else np.zeros(len(own), dtype=bool)
+            sums = [np.bincount(doc[hit], weights=w, minlength=batch.num_rows).astype(np.int64) for w in (
+                times[hit] * best[at[hit]], times[hit] * count[at[hit]])]
+            cold_doc, cold, cold_times = doc[~hit], own[~hit], times[~hit]
+            edge = pa.array(np.searchsorted(cold_doc, np.arange(batch.num_rows + 1)).astype(np.int32))
+            sha = [hashlib.sha256(g).hexdigest() if g else "" for g in c.groups()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *map(pa.array, (c.n_a, c.n_b, c.n_groups, c.n_links, *sums)),
+                 pa.array(sha, type=pa.string()), pa.ListArray.from_arrays(edge, pa.array(cold)), pa.ListArray.from_arrays(edge, pa.array(cold_times))],
+                names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "cold", "times"])
+
+    return ids.mapInArrow(
+        run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, cold array<long>, times array<long>")
 
 
 def alignments(docs: DataFrame, p: Pairing) -> DataFrame:
@@ -351,12 +391,13 @@ def alignments(docs: DataFrame, p: Pairing) -> DataFrame:
     """
     spark = docs.sparkSession
     prepare(spark)
-    counts = stage(with_best(stage(pair_counts(docs, p), "pair-counts")), "pair-bests")
+    ids = stage(tokens(docs, p), "token-pairs")
+    counts = stage(with_best(stage(pair_counts(ids, p), "pair-counts")), "pair-bests")
     rows = counts.where(F.col("n") >= hottest(counts, p.hot)).toArrow()  # at most ``hot`` rows
     hot = rows.column("pair").to_numpy()
     order = np.argsort(hot)
     known = spark.sparkContext.broadcast((hot[order], rows.column("n").to_numpy()[order], rows.column("best").to_numpy(zero_copy_only=False)[order].astype(np.int64)))
-    found = stage(scored(docs, p, known).withColumn("row", F.monotonically_increasing_id()), "aligned")  # written once: the numbers stay
+    found = stage(scored(ids, p, known).withColumn("row", F.monotonically_increasing_id()), "aligned")  # written once: the numbers stay
     known.unpersist()
     links = found.where("size(cold) > 0").select("row", F.explode(F.arrays_zip("cold", "times")).alias("z")).select("row", F.col("z.cold").alias("pair"), F.col("z.times").alias("times"))
     rest = links.join(counts, "pair").groupBy("row").agg(
