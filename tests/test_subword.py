@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tongueloom.config import WORD_MARK
-from tongueloom.operators import subword
+from tongueloom.operators import merges, subword
+from tongueloom.operators.merges import MergePlan
 
 
 def merge_once(syms, a, b):
@@ -41,52 +42,63 @@ def words(seed, letters, n=60, longest=7):
     return {"".join(rng.choice(letters) for _ in range(rng.randint(1, longest))): rng.randint(1, 30) for _ in range(n)}
 
 
-@pytest.mark.parametrize("seed,letters,candidates", [(1, "ab", 256), (2, "abcde", 256), (3, "abcdéñ", 4)])
-def test_training_equals_one_merge_at_a_time(spark, seed, letters, candidates):
+@pytest.mark.parametrize("seed,letters,plan", [
+    (1, "ab", MergePlan(candidates=4, sample=0)), (2, "abcde", MergePlan(sample=30, logs=1, bucket=20)), (3, "abcdéñ", MergePlan(ahead=3)), (4, "a", MergePlan())])
+def test_training_equals_one_merge_at_a_time(spark, seed, letters, plan):
     counts = words(seed, letters)
     df = spark.createDataFrame(list(counts.items()), "word string, n long")
     want, state = slow_bpe(counts, 14)
-    got, table = subword.train_bpe(df, 14, candidates=candidates)
+    got, table = subword.train_bpe(df, 14, plan=plan)
     assert got == want
-    assert {r["word"]: r["sym"].strip().split("  ") for r in table.collect()} == state
-
-
-def test_safe_run_never_outruns_the_plain_order():
-    for seed in range(60):
-        counts = words(seed, "abcd"[: 2 + seed % 3], n=12, longest=6)
-        want, _ = slow_bpe(counts, 30)
-        state = {w: [WORD_MARK, *w] for w in counts}
-        done = []
-        while len(done) < len(want):
-            pairs = Counter()
-            for w, s in state.items():
-                for p in zip(s, s[1:]):
-                    pairs[p] += counts[w]
-            ranked = sorted(((a, b, n) for (a, b), n in pairs.items()), key=lambda x: (-x[2], x[0], x[1]))
-            cut = ranked[:5]
-            run = subword.safe_run(cut, len(ranked) <= 5)
-            assert run and run == want[len(done): len(done) + len(run)] or len(done) + len(run) > len(want)
-            for a, b in run:
-                state = {w: merge_once(s, a, b) for w, s in state.items()}
-            done += run
-
-
-def test_batched_merges_are_disjoint_and_segment_alike(spark):
-    ranked = [("a", "b", 9), ("b", "c", 8), ("d", "e", 7), ("f", "f", 6), ("e", "g", 5)]
-    assert subword.disjoint_run(ranked, 3) == [("a", "b"), ("d", "e"), ("f", "f")]
-    counts = words(6, "abcdef")
-    merges, table = subword.train_bpe(spark.createDataFrame(list(counts.items()), "word string, n long"), 12, batch=4)
-    segment = subword.segmenter(merges)
-    assert len(merges) == 12 and all(r["sym"].strip().split("  ") == segment(r["word"]) for r in table.collect())
+    assert {r["word"]: r["pieces"] for r in table.collect()} == state
+
+
+def test_a_thousand_merges_equal_one_at_a_time(spark):
+    counts = words(9, "abcdefgh", 2500, 9)
+    want, state = slow_bpe(counts, 1000)
+    got, table = subword.train_bpe(spark.createDataFrame(list(counts.items()), "word string, n long"), 1000)
+    assert len(want) == 1000 and got == want
+    assert {r["word"]: r["pieces"] for r in table.collect()} == state
+
+
+def test_only_words_with_a_merged_pair_are_touched(spark):
+    counts = {"abab": 50, "ab": 9, "xyxy": 40, "zz": 1}
+    df = subword.with_symbols(spark.createDataFrame(list(counts.items()), "word string, n long"))
+    index = merges.PairIndex(spark, df, None, MergePlan(logs=2))
+    run = [("a", "b"), ("ab", "ab")]
+    held = index.holders(run)
+    assert {r["word"] for r in held.collect()} == {"abab", "ab"}
+    index.log(held, run)
+    assert {r["word"]: r["sym"] for r in index.holders([(WORD_MARK, "abab"), (WORD_MARK, "ab")]).collect()} == {
+        "abab": f" {WORD_MARK}  abab ", "ab": f" {WORD_MARK}  ab "}
+    assert index.holders([("a", "b"), ("ab", "ab"), ("b", "a")]).count() == 0
+    index.log(index.holders([("x", "y")]), [("x", "y")])  # the second log writes the base anew
+    assert not index.logs and {r["word"] for r in index.holders([("xy", "xy"), ("z", "z")]).collect()} == {"xyxy", "zz"}
+
+
+def test_a_wrong_plan_is_cut_at_its_first_wrong_step(spark):
+    totals = spark.createDataFrame([("a", "b", 9), ("c", "d", 7), ("e", "f", 7), ("b", "c", 6)], "left string, right string, n long")
+    changes = spark.createDataFrame([(0, "a", "b", -9), (0, "b", "c", -2), (1, "e", "f", -7)], "step int, left string, right string, change long")
+    assert merges.first_wrong(totals, changes, [("a", "b"), ("e", "f"), ("c", "d")], [9, 7, 7]) == 1  # c d comes first among equals
+    changes = spark.createDataFrame([(0, "a", "b", -9), (0, "b", "c", 1), (1, "c", "d", -7)], "step int, left string, right string, change long")
+    assert merges.first_wrong(totals, changes, [("a", "b"), ("b", "c")], [9, 7]) == 2
+    assert merges.first_wrong(totals, changes, [("a", "b"), ("c", "d")], [9, 7]) == 1
+
+
+def test_a_pair_may_be_merged_twice():
+    assert merges.replay(["a", "b", "x"], merges.places([("a", "b"), ("ab", "x")]), None)[0] == ["abx"]
+    twice = [("b", "c"), ("a", "bc"), ("d", "e"), ("b", "c")]
+    assert subword.segmenter(twice)("abcbc") == [WORD_MARK, "abc", "bc"]
+    assert merges.next_step(merges.places(twice), ("b", "c"), 0) == 3 and merges.next_step(merges.places(twice), ("b", "c"), 3) is None
 
 
 def test_segmenter_equals_replaying_the_merges():
     counts = words(5, "abc", n=80)
-    merges, _ = slow_bpe(counts, 25)
-    segment = subword.segmenter(merges)
+    learned, _ = slow_bpe(counts, 25)
+    segment = subword.segmenter(learned)
     for w in [*counts, "aaaaaaa", "cabcabcab", "x", "", "abx" * 200]:
         syms = [WORD_MARK, *w]
-        for a, b in merges:
+        for a, b in learned:
             syms = merge_once(syms, a, b)
         assert segment(w) == syms
         assert "".join(segment(w)) == WORD_MARK + w
@@ -94,8 +106,8 @@ def test_segmenter_equals_replaying_the_merges():
 
 def test_allowed_alphabet_keeps_rare_letters_apart(spark):
     df = spark.createDataFrame([("zz", 50), ("ab", 20)], "word string, n long")
-    merges, _ = subword.train_bpe(df, 2, allowed={WORD_MARK, "a", "b"}, candidates=1)
-    assert merges == [("a", "b"), (WORD_MARK, "ab")]
+    got, _ = subword.train_bpe(df, 2, allowed={WORD_MARK, "a", "b"}, plan=MergePlan(candidates=1))
+    assert got == [("a", "b"), (WORD_MARK, "ab")]
 
 
 def test_alphabet_stops_at_coverage(spark):
@@ -104,15 +116,15 @@ def test_alphabet_stops_at_coverage(spark):
 
 
 def test_encode_and_pad(spark):
-    merges = [("a", "b")]
+    pairs = [("a", "b")]
     vocab = {"<s>": 0, "<pad>": 1, "</s>": 2, "<unk>": 3, "ab": 4, WORD_MARK: 5, "a": 6}
     df = spark.createDataFrame([("x", 1, 0, "ab a"), ("x", 2, 0, "abz"), ("y", 3, 0, "a a a a")],
                                "lang string, row_id long, line_no long, line string")
-    enc = subword.encode_sequences(df, merges, vocab, 7)
+    enc = subword.encode_sequences(df, pairs, vocab, 7)
     assert {(r["row_id"], r["chunk_no"]): r["input_ids"] for r in enc.collect()} == {
         (1, 0): [0, 5, 4, 5, 6, 2], (2, 0): [0, 5, 4, 3, 2], (3, 0): [0, 5, 6, 5, 6, 5, 2], (3, 1): [0, 6, 5, 6, 2]}
     long = df.selectExpr("lang", "row_id", "line_no", "repeat('ab a ', 9) as line")  # five times the length and more
-    rows = subword.encode_sequences(long, merges, vocab, 7).where("row_id = 1").orderBy("chunk_no").collect()
+    rows = subword.encode_sequences(long, pairs, vocab, 7).where("row_id = 1").orderBy("chunk_no").collect()
     assert [i for r in rows for i in r["input_ids"][1:-1]] == [5, 4, 5, 6] * 9 and max(len(r["input_ids"]) for r in rows) == 7
     longest = {(r["row_id"], r["chunk_no"]): (r["input_ids"], r["attention_mask"]) for r in subword.pad_sequences(enc).collect()}
     assert longest[2, 0] == ([0, 5, 4, 3, 2, 1], [1, 1, 1, 1, 1, 0]) and len(longest[3, 1][0]) == 7

@@ -7,7 +7,6 @@ is a plain ``replace`` that runs left to right without overlap inside generated
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
@@ -15,11 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from tongueloom.config import BOS_ID, EOS_ID, MASK_PIECE, PAD_ID, RESERVED_PIECES, UNK_ID, WORD_MARK
 from tongueloom.functions.text import words
+from tongueloom.operators.merges import MergePlan, next_step, places, train
 from tongueloom.session import lookup_join, stage
 
 Pair = tuple[str, str]
-CANDIDATES = 256  # pairs looked at per pass; bounds what reaches the driver
-PASSES_PER_STAGE = 8
 KEYS = ("lang", "row_id", "line_no")
 VOCAB_LIMIT = 1_000_000
 
@@ -82,81 +80,16 @@ def pair_counts(state: DataFrame) -> DataFrame:
 
 # ---- training ----------------------------------------------------------------
 
-def apply_merges(sym: Column, merges: Sequence[Pair]) -> Column:
-    return reduce(lambda c, m: F.replace(c, F.lit(f" {m[0]}  {m[1]} "), F.lit(f" {m[0]}{m[1]} ")), merges, sym)
-
-
-def safe_run(ranked: Sequence[tuple[str, str, int]], whole: bool) -> list[Pair]:
-    """The leading pairs of a ranking that one-at-a-time merging would pick in the same order.
-
-    Pairs are taken down the ranking while none shares a symbol with one already taken: such merges
-    leave each other's counts alone. A pair made by a taken merge holds one of its symbols, so it
-    cannot count more than the first sharing pair did; pairs above that count are safe. A symbol
-    paired with itself is taken alone. ``whole`` says that the ranking ends because no pairs are left.
-    """
-    taken: list[tuple[str, str, int]] = []
-    used: set[str] = set()
-    floor_n = 0 if whole else (ranked[-1][2] if ranked else 0)
-    for left, right, n in ranked:
-        if left in used or right in used or (left == right and taken):
-            floor_n = n
-            break
-        if left == right:
-            return [(left, right)]
-        taken.append((left, right, n))
-        used |= {left, right}
-    return [(a, b) for i, (a, b, n) in enumerate(taken) if i == 0 or n > floor_n]
-
-
-def disjoint_run(ranked: Sequence[tuple[str, str, int]], size: int) -> list[Pair]:
-    """Up to ``size`` pairs down the ranking, skipping those that share a symbol with one taken.
-
-    They commute, so one pass applies them all, but the strict order might have put a pair made by an
-    early one before a later one: an approximation for very large vocabularies.
-    """
-    taken: list[Pair] = []
-    used: set[str] = set()
-    for left, right, _ in ranked:
-        if len(taken) < size and left not in used and right not in used:
-            taken.append((left, right))
-            used |= {left, right}
-    return taken
-
-
 def train_bpe(
-    counts: DataFrame, n_merges: int, allowed: set[str] | None = None, candidates: int = CANDIDATES, batch: int = 1,
+    counts: DataFrame, n_merges: int, allowed: set[str] | None = None, plan: MergePlan = MergePlan(),
 ) -> tuple[list[Pair], DataFrame]:
-    """Exact byte-pair merges, most frequent first (ties: left, then right piece ascending).
+    """Exact byte-pair merges, most frequent first (ties: left, then right piece ascending), see ``merges``.
 
-    Returns the merge list and the segmented word types (word, n, sym). Each pass takes as many
-    merges as ``safe_run`` proves independent; only ``candidates`` ranked pairs reach the driver.
-    ``allowed`` limits merges to an alphabet. ``batch`` > 1 merges that many disjoint pairs per pass
-    instead, which is faster and approximate, see ``disjoint_run``.
+    Returns the merge list and the segmented word types (word, n, pieces). ``allowed`` limits merges to an alphabet.
     """
-    state = stage(with_symbols(counts), "bpe")
-    merges: list[Pair] = []
-    passes = 0
-    while len(merges) < n_merges:
-        pairs = pair_counts(state)
-        top = pairs.orderBy(F.desc("n"), "left", "right").limit(candidates).collect()
-        ranked = [(r["left"], r["right"], r["n"]) for r in top]
-        whole = len(ranked) < candidates
-        if allowed is not None:
-            usable = [r for r in ranked if set(r[0] + r[1]) <= allowed]
-            if not usable and not whole:
-                candidates *= 2
-                continue
-            ranked = usable
-        run = safe_run(ranked, whole) if batch == 1 else disjoint_run(ranked, batch)
-        chosen = run[: n_merges - len(merges)]
-        if not chosen:
-            break
-        merges += chosen
-        state = state.withColumn("sym", apply_merges(F.col("sym"), chosen))
-        passes += 1
-        if passes % PASSES_PER_STAGE == 0:
-            state = stage(state, "bpe")
-    return merges, state
+    words_ = stage(with_symbols(counts), "bpe")
+    merges = train(words_, n_merges, allowed, plan)
+    return merges, encode_words(words_, merges, keep=["n"])
 
 
 def vocab_table(spark: SparkSession, merges: Sequence[Pair], letters: DataFrame) -> DataFrame:
@@ -193,15 +126,13 @@ def learn(sentences: DataFrame, n_merges: int | None = None, coverage: float = 0
 
 def segmenter(merges: Sequence[Pair]) -> Callable[[str], list[str]]:
     """Word -> pieces by replaying the merges in rank order; one heap, so long words stay cheap."""
-    rank = {}
-    for i, m in enumerate(merges):
-        rank.setdefault(m, i)
+    steps = places(merges)
 
     def segment(word: str) -> list[str]:
         syms: list[str | None] = [WORD_MARK, *word]
         size = len(syms)
         nxt, prv = list(range(1, size + 1)), list(range(-1, size - 1))
-        heap = [(rank[p], i, p) for i, p in enumerate(zip(syms, syms[1:])) if p in rank]
+        heap = [(steps[p][0], i, p) for i, p in enumerate(zip(syms, syms[1:])) if p in steps]
         heapify(heap)
         while heap:
             now, i, (a, b) = heappop(heap)
@@ -215,15 +146,16 @@ def segmenter(merges: Sequence[Pair]) -> Callable[[str], list[str]]:
             for k in (prv[i], i):
                 if k >= 0 and nxt[k] < size:
                     pair = (syms[k], syms[nxt[k]])
-                    if rank.get(pair, -1) > now:
-                        heappush(heap, (rank[pair], k, pair))
+                    due = next_step(steps, pair, now)
+                    if due is not None:
+                        heappush(heap, (due, k, pair))
         return [s for s in syms if s is not None]
 
     return segment
 
 
-def encode_words(counts: DataFrame, merges: Sequence[Pair]) -> DataFrame:
-    """(word) -> (word, pieces): each distinct word once, in Arrow batches."""
+def encode_words(counts: DataFrame, merges: Sequence[Pair], keep: Sequence[str] = ()) -> DataFrame:
+    """(word, *keep) -> (word, *keep, pieces): each distinct word once, in Arrow batches."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -231,7 +163,7 @@ def encode_words(counts: DataFrame, merges: Sequence[Pair]) -> DataFrame:
         for batch in batches:
             yield batch.map(segment)
 
-    return counts.select("word", pieces("word").alias("pieces"))
+    return counts.select("word", *keep, pieces("word").alias("pieces"))
 
 
 def _id_lists(merges: Sequence[Pair], vocab: dict[str, int]) -> Callable[[str], list[int]]:

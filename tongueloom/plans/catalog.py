@@ -16,7 +16,8 @@ from tongueloom.session import fresh_path, stage
 from tongueloom.sources import readers, sinks
 
 JOB = CorpusJob()
-N_MERGES = 8
+N_MERGES = 64
+VOCAB_SIZE = 140  # pieces of the vocabulary query: reserved ones, merges, letters and the mask
 TOPIC_LABELS = ["de", "en", "es", "fr"]
 LINEAR_BAR = 0.9  # share of held-out titles that the linear classifier must get right
 QUALITY_LABELS = ["0", "1"]
@@ -26,13 +27,16 @@ SEEDS = [1, 2, 3, 4, 5]
 TASKS = ["ner", "topic", "sentiment"]
 FEATURE_COLUMNS = ("input_ids", "input_mask", "segment_ids", "label_ids")
 
-_learned: dict[tuple[str, str], tuple] = {}
+_learned: dict[tuple, tuple] = {}
 
 
 def learned(spark: SparkSession, sf_dir: str) -> tuple[list, dict[str, int]]:
-    """Merges and vocabulary of a table folder; trained once per application, then reused as a
-    stored vocabulary file would be."""
-    at = (spark.sparkContext.applicationId, sf_dir)
+    """Merges and vocabulary of a corpus, trained once per application and reused as a stored vocabulary file would be.
+
+    The corpus is known by its number of rows and an order-free sum of their hashes, so another or changed table is trained anew.
+    """
+    rows = views.corpus(spark, sf_dir).agg(F.count("*"), F.sum(F.xxhash64("lang", "row_id", "input").cast("decimal(38,0)"))).first()
+    at = (spark.sparkContext.applicationId, *rows)
     if at not in _learned:
         merges, vocab = subword.learn(views.sentences(spark, sf_dir), N_MERGES, JOB.coverage)
         _learned[at] = (merges, subword.vocab_dict(vocab))
@@ -264,7 +268,7 @@ def bpe_train(spark, sf):
 
 
 def vocab_table(spark, sf):
-    merges, vocab = subword.learn(views.sentences(spark, sf), N_MERGES, JOB.coverage)
+    _, vocab = subword.learn(views.sentences(spark, sf), coverage=JOB.coverage, vocab_size=VOCAB_SIZE)
     return vocab
 
 

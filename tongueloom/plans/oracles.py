@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tongueloom.plans.catalog import N_MERGES, NER_MAX_LEN, QUALITY_LABELS, SEEDS, TASKS, TOPIC_LABELS
+from tongueloom.plans.catalog import N_MERGES, NER_MAX_LEN, QUALITY_LABELS, SEEDS, TASKS, TOPIC_LABELS, VOCAB_SIZE
 from tongueloom.plans.views import BLANK, RECURSIVE, SEED, SQL, h32, h60, wc, with_views, ws
 
 TAG_LIST = "['O','B-DATE','I-DATE','B-PER','I-PER','B-ORG','I-ORG','B-LOC','I-LOC']"
@@ -257,7 +257,12 @@ def build() -> dict[str, str]:
               select s, n, unnest(range(1, len(s))) as k from (select string_split(trim(sym), '  ') as s, n from words0))
             group by 1, 2""", bpe),
         "bpe_train": v('select rk::bigint as rk, "left", "right" from merges', bpe),
-        "vocab_table": v("select piece, id from vocab", bpe),
+        "vocab_table": v(f"""
+            select piece, id from (
+              select '<s>' as piece, 0::bigint as id union all select '<pad>', 1 union all select '</s>', 2 union all select '<unk>', 3
+              union all select "left" || "right", rk + 3 from merges where rk <= {VOCAB_SIZE} - 5 - (select count(*) from alphabet)
+              union all select ch, {VOCAB_SIZE} - 2 - (select count(*) from alphabet) + rk from alphabet
+              union all select '<mask>', {VOCAB_SIZE} - 1)""", bpe),
         "subword_encode": v("select word, array_to_string(p, ' ') as pieces from word_pieces", bpe),
         "encode_sequences": v("select lang, row_id, line_no, chunk_no, array_to_string(ids, ',') as input_ids from encoded", bpe),
         "pad_sequences": v("""

@@ -51,9 +51,13 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores, *by)
 
 
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def buckets(spark: SparkSession) -> int:
     """How many ways a hot group is cut; follows the session's shuffle width."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return 4 * shuffle_width(spark)
 
 
 def lookup_join(
@@ -73,7 +77,7 @@ def lookup_join(
         return df.join(F.broadcast(table), keys, how)
     spark = df.sparkSession
     counts = stage(df.groupBy(*keys).agg(F.count("*").alias("_n")), "key-counts")
-    share = (counts.agg(F.sum("_n")).first()[0] or 0) / int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    share = (counts.agg(F.sum("_n")).first()[0] or 0) / shuffle_width(spark)
     hot = stage(counts.where(F.col("_n") > share).select(*keys), "hot-keys")
     hot_rows = df.join(F.broadcast(hot), keys, "left_semi").join(
         F.broadcast(table.join(F.broadcast(hot), keys, "left_semi")), keys, how)
