@@ -132,6 +132,16 @@ def test_encode_and_pad(spark):
     assert [r["n"] for r in fixed] == [9]
 
 
+@pytest.mark.parametrize("more", [0, 2000])
+def test_dictionary_join_gives_the_same_rows(spark, more):
+    pairs = [("a", "b"), (WORD_MARK, "ab"), ("c", "c")]
+    vocab = {"<s>": 0, "<pad>": 1, "</s>": 2, "<unk>": 3, "ab": 4, WORD_MARK: 5, "a": 6, "b": 7, WORD_MARK + "ab": 8, **{f"x{i}": 9 + i for i in range(more)}}
+    lines = ["ab a", "", "  ", "abz ab ab", "cc ab\u00a0b", "ab a " * 40, "hot " * 30]
+    df = spark.createDataFrame([("x", i, 0, t) for i, t in enumerate(lines)], "lang string, row_id long, line_no long, line string")
+    rows = lambda e: sorted((r["row_id"], r["chunk_no"], r["input_ids"]) for r in e.collect())
+    assert rows(subword.encode_by_dictionary(df, pairs, vocab, 9)) == rows(subword.encode_sequences(df, pairs, vocab, 9))
+
+
 def test_vocab_has_no_piece_twice(spark):
     letters = spark.createDataFrame([("a", 5, 1), ("b", 4, 2)], "ch string, n long, rk long")
     rows = subword.vocab_table(spark, [("a", "b"), ("ab", "c"), ("a", "bc")], letters).orderBy("id").collect()

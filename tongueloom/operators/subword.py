@@ -236,6 +236,32 @@ def encode_sequences(
     return cut.withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
 
 
+def encode_by_dictionary(
+    sentences: DataFrame, merges: Sequence[Pair], vocab: dict[str, int], max_len: int = 256, keep: Sequence[str] = KEYS,
+) -> DataFrame:
+    """``encode_sequences`` by a join with the dictionary of distinct words, each segmented once.
+
+    Every token is shuffled twice, to its word and back to its line, so this pays only where segmenting costs more than moving. ``keep`` must name
+    a line.
+    """
+    tokens = sentences.select(*keep, F.posexplode(words(F.col("line"))).alias("pos", "word"))
+    known = stage(encode_words(tokens.select("word").distinct(), merges), "word-pieces")
+    ids = F.create_map(*[F.lit(x) for pair in vocab.items() for x in pair]) if len(vocab) <= 1000 else None
+    if ids is not None:
+        of_piece = F.transform("pieces", lambda p: F.coalesce(F.element_at(ids, p), F.lit(UNK_ID)).cast("bigint"))
+        dictionary = known.select("word", F.when(F.col("word") != "", of_piece).otherwise(F.array().cast("array<bigint>")).alias("ids"))
+    else:
+        pieces = known.where("word <> ''").select("word", F.posexplode("pieces").alias("k", "piece"))
+        table = sentences.sparkSession.createDataFrame(list(vocab.items()), "piece string, id bigint")
+        row = F.struct("k", F.coalesce("id", F.lit(UNK_ID).cast("bigint")).alias("id"))
+        dictionary = lookup_join(pieces, table, ["piece"]).groupBy("word").agg(F.array_sort(F.collect_list(row))["id"].alias("ids"))
+    joined = lookup_join(tokens, dictionary, ["word"])
+    line = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))))
+    lines = joined.groupBy(*keep).agg(F.flatten(line["ids"]).alias("ids"))
+    cut = lines.select(*keep, F.posexplode(chunks(F.col("ids"), max_len)).alias("chunk_no", "input_ids"))
+    return cut.withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
+
+
 def pad_sequences(encoded: DataFrame, mode: str = "longest", max_len: int = 256, keep: Sequence[str] = KEYS) -> DataFrame:
     """Pad on the right to the longest sequence of the language, or to ``max_len``; add the 1/0 mask."""
     size = F.size("input_ids")
