@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -15,7 +16,7 @@ from tongueloom.session import lookup_join, stage
 
 END = "</s>"
 START = "<s>"
-JUMP_LEVELS = 3
+UNROLL = 8  # steps of a frontier in one job
 
 
 def mlm_mask(encoded: DataFrame, mask_id: int, vocab_size: int, rate: float = 0.15, seed=1234) -> DataFrame:
@@ -114,23 +115,42 @@ def prompts(drawn: DataFrame, rate: float = 0.15) -> DataFrame:
     )
 
 
-def continuation_paths(top: DataFrame, levels: int = JUMP_LEVELS) -> DataFrame:
-    """(lang, tok, path): the next 2^levels tokens from each token that follows some context.
+def reachable(start: DataFrame, top: DataFrame, max_steps: int, unroll: int = UNROLL) -> DataFrame:
+    """The contexts (lang, tok) of ``start`` and all that following ``top`` leads to within ``max_steps``.
+
+    Only the frontier walks: each pass follows it for ``unroll`` steps, joined with the model's unique contexts, and goes on with the contexts not
+    met before, until there are none.
+    """
+    step = top.select("lang", F.col("prev").alias("tok"), "next")
+    seen = frontier = stage(start.select("lang", "tok").distinct(), "frontier")
+    done = 0
+    while done < max_steps and not frontier.isEmpty():
+        walk, now = [], frontier
+        for _ in range(min(unroll, max_steps - done)):
+            now = now.join(step, ["lang", "tok"]).select("lang", F.col("next").alias("tok"))  # one row each: a context has one best token
+            walk.append(now)
+            done += 1
+        frontier = stage(reduce(DataFrame.unionByName, walk).distinct().join(seen, ["lang", "tok"], "left_anti"), "frontier")
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def continuation_paths(top: DataFrame, contexts: DataFrame, tokens: int) -> DataFrame:
+    """(lang, tok, path): the next ``tokens`` tokens or more from each of the ``contexts`` (lang, tok), which holds all that it leads to.
 
     Path doubling: a path of length m joined with the path of its last token has length 2m. A path
     whose token has no continuation stays short. Many paths end in the same few tokens, hence the
     skew-safe lookup. Each level is staged, so plans do not nest.
     """
     steps = top.select("lang", F.col("prev").alias("tok"), F.array("next").alias("path"))
-    reached = top.select("lang", F.col("next").alias("tok")).distinct()
-    paths = stage(steps.join(reached, ["lang", "tok"], "left_semi"), "paths")
-    for _ in range(levels):
+    paths, length = stage(steps.join(contexts, ["lang", "tok"], "left_semi"), "paths"), 1
+    while length < tokens:
         tails = paths.select("lang", F.col("tok").alias("_last"), F.col("path").alias("_tail"))
         longer = (
             lookup_join(paths.withColumn("_last", F.element_at("path", -1)), tails, ["lang", "_last"], staged=True)
             .select("lang", "tok", _append("path", "_tail").alias("path"))
         )
-        paths = stage(longer, "paths")
+        paths, length = stage(longer, "paths"), 2 * length
     return paths
 
 
@@ -138,27 +158,26 @@ def _append(path: str, tail: str) -> Column:
     return F.concat(F.col(path), F.coalesce(F.col(tail), F.array().cast("array<string>")))
 
 
-def complete(prompted: DataFrame, top: DataFrame, max_tokens: int, levels: int = JUMP_LEVELS) -> DataFrame:
+def complete(prompted: DataFrame, top: DataFrame, max_tokens: int) -> DataFrame:
     """Append the best next token ``n_tokens`` times, stopping where there is none: adds ``sentence``.
 
-    ``max_tokens`` bounds n_tokens. The model is probed by the last word of a prompt, which may be a hot key: first token directly, the
-    rest in jumps of 2^levels.
+    ``max_tokens`` bounds n_tokens. The model is probed by the last word of a prompt, which may be a hot key: the first token directly, all
+    others by one lookup of a path. Paths are made only for contexts that some prompt reaches. ``prompted`` is read twice.
     """
     top = stage(top.select("lang", "prev", "next"), "top")
-    first = top.select("lang", F.col("prev").alias("_last"), F.array("next").alias("_tail"))
-    reach = 1
-    out = prompted.withColumn("_path", F.array().cast("array<string>"))
-    out = lookup_join(out.withColumn("_last", F.element_at(words(F.col("prompt")), -1)), first, ["lang", "_last"], staged=True)
-    out = out.withColumn("_path", _append("_path", "_tail")).drop("_tail", "_last")
-    if max_tokens > 1:
-        jumps = continuation_paths(top, levels).select("lang", F.col("tok").alias("_last"), F.col("path").alias("_tail"))
-        while reach < max_tokens:
-            last = F.when(F.size("_path") > 0, F.element_at("_path", -1))
-            out = lookup_join(out.withColumn("_last", last), jumps, ["lang", "_last"], staged=True)
-            out = out.withColumn("_path", _append("_path", "_tail")).drop("_tail", "_last")
-            reach += 2 ** levels
-    added = F.slice("_path", F.lit(1), F.col("n_tokens"))
-    return out.withColumn("sentence", F.array_join(F.concat(F.array("prompt"), added), " ")).drop("_path")
+    first = top.select("lang", F.col("prev").alias("_last"), F.col("next").alias("_first"))
+    out = lookup_join(prompted.withColumn("_last", F.element_at(words(F.col("prompt")), -1)), first, ["lang", "_last"], staged=True)
+    out = stage(out.drop("_last"), "first-tokens")
+    asked = out.where((F.col("n_tokens") > 1) & F.col("_first").isNotNull())
+    longest = min(max_tokens, asked.agg(F.max("n_tokens")).first()[0] or 1)
+    follows = top.select("lang", F.col("next").alias("prev")).distinct()
+    inner = stage(top.join(follows, ["lang", "prev"], "left_semi"), "inner-contexts")  # all that a step can lead on from
+    contexts = reachable(asked.select("lang", F.col("_first").alias("tok")), inner, longest - 2)
+    paths = continuation_paths(inner, contexts, longest - 1).select("lang", F.col("tok").alias("_first"), F.col("path").alias("_tail"))
+    out = lookup_join(out, paths, ["lang", "_first"], staged=True)
+    path = F.concat(F.filter(F.array("_first"), lambda x: x.isNotNull()), F.coalesce("_tail", F.array().cast("array<string>")))
+    added = F.slice(path, F.lit(1), F.col("n_tokens"))
+    return out.withColumn("sentence", F.array_join(F.concat(F.array("prompt"), added), " ")).drop("_first", "_tail")
 
 
 def predict(df: DataFrame, fn: Callable[[pd.Series], pd.Series], text: str = "prompt", out: str = "prediction") -> DataFrame:
