@@ -2,7 +2,10 @@
 
 import random
 
-from tongueloom.llm.minhash import near_duplicates
+import pytest
+
+from tongueloom.llm.minhash import MinHash, near_duplicates
+from tongueloom.llm.queries import QUERIES
 
 
 def shingles(text, k=5):
@@ -27,8 +30,8 @@ def brute(rows):
     return {i: (len(s), find(i), find(i) == i) for i, s in sets}
 
 
-def run(df):
-    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect()}
+def run(df, p=MinHash()):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, p).collect()}
 
 
 def corpus(seed=1):
@@ -63,3 +66,32 @@ def test_empty_table_clashing_columns_and_repeated_rows(docs_of):
     assert near_duplicates(docs_of([])).count() == 0
     df = docs_of([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]).selectExpr("*", "1 as component_id", "2 as bucket", "3 as n")
     assert sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(df).collect()) == [(1, 1, True), (1, 1, True), (2, 1, False)]
+
+
+@pytest.mark.parametrize("p", [MinHash(block=5, heads=1, rounds=1), MinHash(block=7, heads=2, rounds=2), MinHash(block=20)])
+def test_large_families_in_small_blocks(docs_of, p):
+    """Chains of ever larger changes: one family with links of all kinds, some of which only the last step compares."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=5))
+    rows, base = [], [word() for _ in range(100)]
+    for i in range(120):
+        base[rnd.randrange(len(base))] = word()
+        text = list(base)
+        for _ in range(rnd.choice([0, 0, 1, 2, 5])):
+            text[rnd.randrange(len(text))] = word()
+        rows.append((1000 - i, " ".join(text)))
+    assert run(docs_of(rows), p) == brute(rows)
+
+
+def test_rows_that_repeat_an_id_with_other_texts(docs_of):
+    a, b, c = "a b c d e f g h", "one two three four five six", "x y z"
+    rows = [(2, a), (2, b), (1, b), (3, a), (2, c), (2, c), (None, a)]
+    want = sorted([(2, 4, 2, True), (2, 2, 1, False), (1, 2, 1, True), (3, 4, 2, False), (2, 1, 2, True), (2, 1, 2, True), (None, 4, None, None)], key=str)
+    for order in (rows, rows[::-1]):
+        assert sorted((tuple(r) for r in near_duplicates(docs_of(order)).collect()), key=str) == want
+
+
+def test_registered_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in QUERIES["op2_minhash"](spark, sf).collect()} == brute(rows)

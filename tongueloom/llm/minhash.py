@@ -4,9 +4,11 @@ Two small collections of sketches are computed per document, each sketch made of
 one sketch from either collection is the key of one table, so ``m * m`` tables cost ``2 * m`` sketches. Documents that
 share a key are candidates and are confirmed on their full shingle sets.
 
-A bucket is never expanded into pairs. Each of its documents is tied to the first one, and what hangs together that way is a family. The
-documents of a family are compared in blocks of bounded size, and a block yields only the links that connect its
-similar documents, so that no link between documents of a bucket is lost for the result.
+A bucket is never expanded into pairs. Each of its sets is tied to the first one, and what hangs together that way is a family. A family is
+dealt to blocks of bounded size, and a few heads of the family are sent to each: a block compares all its sets and yields the links that
+connect the similar ones. In a family of copies that settles nearly all, at a cost that grows with its size. What does not
+hang together with the largest group yet sends new heads, and what is left after that is compared with all of the family,
+block by block, so that no link between documents of a bucket is lost for the result.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tongueloom.llm.common import attach, components, smallest_member
 from tongueloom.llm.wordhash import Words, grouped, keys, long_lists, mix, shingle_hashes, slices, spanning
@@ -25,13 +27,18 @@ from tongueloom.session import stage
 
 @dataclass(frozen=True)
 class MinHash:
-    """``sketches`` per collection of ``width`` minima each; links have Jaccard >= ``percent`` / 100."""
+    """``sketches`` per collection of ``width`` minima each; links have Jaccard >= ``percent`` / 100.
+
+    ``block`` sets are compared with ``heads`` others of their family at a time, in ``rounds`` rounds.
+    """
 
     words: int = 5
     percent: int = 75
     sketches: int = 12
     width: int = 2
     block: int = 64
+    heads: int = 8
+    rounds: int = 2
     seed: int = 7
 
 
@@ -56,7 +63,7 @@ def sketch_batch(sets: list[np.ndarray], p: MinHash) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
-    """``(doc_id, n_shingles, set_a, set_b, sketches)`` of every document; the set hashes name the exact set."""
+    """``(doc_id, text_hash, n_shingles, set_a, set_b, sketches)`` of every document; the set hashes name the exact set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
@@ -74,15 +81,15 @@ def signatures(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
                         sketches[i] = rows[k]
                         a[i], b[i] = sets[i].sum(dtype=np.uint64), mix(sets[i] + np.uint64(1)).sum(dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
+                [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
                  pa.array(sketches, type=pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "sketches"])
+                names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "sketches"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sketches array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, sketches array<long>")
 
 
 def table_rows(classes: DataFrame, p: MinHash) -> DataFrame:
-    """``(bucket, doc)``: one row per table, its key made of one sketch of either collection."""
+    """``(bucket, node)``: one row per table, its key made of one sketch of either collection."""
     m = p.sketches
     salt = keys(m * m, p.seed + 1)
 
@@ -94,10 +101,10 @@ def table_rows(classes: DataFrame, p: MinHash) -> DataFrame:
             s = np.array(batch.column("sketches").flatten().to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64).reshape(n, 2 * m)
             with np.errstate(over="ignore"):
                 key = mix(mix(s[:, :m, None] + salt.reshape(1, m, m)) + s[:, None, m:]).reshape(-1)
-            doc = np.repeat(batch.column("doc").to_numpy(zero_copy_only=False), m * m)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc)], names=["bucket", "doc"])
+            node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), m * m)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], names=["bucket", "node"])
 
-    return classes.select("doc", "sketches").mapInArrow(run, "bucket long, doc long")
+    return classes.select("node", "sketches").mapInArrow(run, "bucket long, node long")
 
 
 def bucket_heads(rows: DataFrame) -> DataFrame:
@@ -111,7 +118,7 @@ def bucket_heads(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket, doc = (batch.column(c).to_numpy() for c in ("bucket", "doc"))
+            bucket, doc = (batch.column(c).to_numpy() for c in ("bucket", "node"))
             new = np.concatenate(([last_bucket is None or bucket[0] != last_bucket], bucket[1:] != bucket[:-1]))
             at = np.maximum.accumulate(np.where(new, np.arange(len(doc)), -1))
             head = np.where(at >= 0, doc[np.maximum(at, 0)], -1 if last_head is None else last_head)
@@ -142,42 +149,32 @@ def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     return out
 
 
-def verified(docs: DataFrame, families: DataFrame, p: MinHash) -> DataFrame:
-    """Links ``(a, b)`` that connect all similar documents of each family ``(node, component)``, found on their full shingle sets.
-
-    A family is dealt to pairs of blocks, so that each pair of its documents meets in one group of bounded size; a
-    group yields a spanning forest of its links.
-    """
-    size = families.groupBy("component").agg(F.ceil(F.count("*") / p.block).cast("int").alias("nb"))
-    named = families.join(stage(size, "family-sizes"), "component").select(
-        F.col("node").alias("doc_id"), F.col("component").alias("family"), F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("salt"), "nb")
-    named = stage(named, "families")
+def shingled(texts: DataFrame, p: MinHash) -> DataFrame:
+    """``(node, family, nb, sh)`` for ``(node, family, nb, text)``: the full shingle sets."""
 
-    def shingle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "text"):
-            words = Words(_lower(texts))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw in slices(batches, "text"):
+            words = Words(_lower(raw))
             sets = shingle_hashes(words.hashes, words.bounds, p.words)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "family", "salt", "nb")), long_lists(sets)], names=["doc_id", "family", "salt", "nb", "sh"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "family", "nb")), long_lists(sets)], names=["node", "family", "nb", "sh"])
 
-    texts = attach(docs.select(F.col("doc_id").cast("long"), "text"), named, ["doc_id"]).select("doc_id", "text", "family", "salt", "nb")
-    sets = stage(texts.mapInArrow(shingle, "doc_id long, family long, salt int, nb int, sh array<long>"), "shingles")
-    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "family", F.least("salt", "other").alias("x"), F.greatest("salt", "other").alias("y"), "doc_id", "salt", "sh")
+    return texts.select("node", "family", "nb", "text").mapInArrow(run, "node long, family long, nb int, sh array<long>")
+
+
+def linked(dealt: DataFrame, p: MinHash) -> DataFrame:
+    """Links ``(a, b)`` that connect all similar sets of each group ``(family, x, y)`` of ``(node, sh)``: a spanning forest per group."""
 
     def links(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         t = pa.Table.from_batches(rows).combine_chunks()
-        ids, first = np.unique(t.column("doc_id").to_numpy(), return_index=True)  # a repeated id is one document
+        nodes, first = np.unique(t.column("node").to_numpy(), return_index=True)  # a head may stand in its own block, too
         lists = t.column("sh").combine_chunks()
         edges, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
         sets = [values[edges[k]: edges[k + 1]] for k in first]
-        size, salt = np.array([len(s) for s in sets], dtype=np.float64), t.column("salt").to_numpy()[first]
+        size = np.array([len(s) for s in sets], dtype=np.float64)
         both = overlaps(sets)
         link = 100 * both >= p.percent * (size[:, None] + size[None, :] - both)
-        if t.column("x")[0].as_py() != t.column("y")[0].as_py():  # pairs inside a block meet in that block's own group
-            link &= salt[:, None] != salt[None, :]
         np.fill_diagonal(link, False)
-        return spanning(ids, link)
+        return spanning(nodes, link)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ("family", "x", "y")):
@@ -185,7 +182,56 @@ def verified(docs: DataFrame, families: DataFrame, p: MinHash) -> DataFrame:
                 a, b = links(group)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return dealt.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(run, "a long, b long")
+    columns = ["family", "x", "y", "node", "sh"]
+    return dealt.select(*columns).repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _block(seed: int, n: str) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+
+
+def _upto(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def verified(docs: DataFrame, classes: DataFrame, families: DataFrame, p: MinHash) -> DataFrame:
+    """Links ``(a, b)`` that connect all similar sets of each family ``(node, component)``, found on their full shingle sets."""
+    size = families.groupBy("component").agg(F.ceil(F.count("*") / p.block).cast("int").alias("nb"))
+    named = stage(families.join(stage(size, "family-sizes"), "component").join(classes.select("node", "doc_id", "text_hash"), "node").select(
+        "doc_id", "text_hash", "node", F.col("component").alias("family"), "nb"), "families")
+    texts = attach(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text"), named, ["doc_id", "text_hash"])
+    sets = stage(shingled(texts, p), "shingles")  # rows that repeat an id and its text come several times, and count once in a group
+    open_, heads_of = sets, named.select("node", "family")
+    links: DataFrame | None = None
+    for r in range(p.rounds):
+        chosen = heads_of.groupBy("family", F.pmod(F.xxhash64("node"), F.lit(p.heads)).alias("h")).agg(F.min(F.struct(F.xxhash64("node", F.lit(r)), "node")).alias("m"))
+        heads = attach(open_, stage(chosen.select(F.col("m.node").alias("node")), "heads"), ["node"], "left_semi").select("family", _upto("nb").alias("x"), "node", "sh")
+        dealt = open_.select("family", _block(r, "nb").alias("x"), "node", "sh").unionByName(heads).withColumn("y", F.lit(0))
+        found = stage(linked(dealt, p), "links")
+        links = found if links is None else links.unionByName(found)
+        # only families of several blocks can have links that no block has seen
+        large = named.where("nb > 1").select("node", "family")
+        if large.isEmpty():
+            return links
+        root = components(links)
+        group = stage(large.join(root, "node", "left").select("node", "family", F.coalesce("root", "node").alias("root")), "groups")
+        sizes = stage(group.groupBy("family", "root").agg(F.count("*").alias("n")), "group-sizes")
+        top = stage(sizes.groupBy("family").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("k"), F.sum("n").alias("all")).where("k > 1").select(
+            "family", F.col("m.root").alias("top"), F.col("m.n").alias("n_top"), (F.col("all") - F.col("m.n")).alias("n_rest")), "top-groups")
+        if top.isEmpty():
+            return links
+        place = stage(attach(group, top, ["family"]).select("node", (F.col("root") != F.col("top")).alias("rest"), "n_top", "n_rest"), "places")
+        heads_of = group.select("node", "family").join(place.where("rest").select("node"), "node", "left_semi")
+        open_ = attach(sets, top.select("family"), ["family"], "left_semi")
+    parts = attach(open_, place, ["node"])
+    blocks = lambda n: F.ceil(F.col(n) / p.block).cast("int")
+    parts = parts.select("family", "node", "sh", "rest", blocks("n_rest").alias("nr"), blocks("n_top").alias("nt"))
+    rest = parts.where("rest").withColumn("own", _block(p.rounds, "nr"))
+    among = rest.withColumn("other", _upto("nr")).select("family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "sh")
+    # groups with the largest one's blocks are numbered below zero
+    against = rest.withColumn("other", _upto("nt")).select("family", F.col("own").alias("x"), (-1 - F.col("other")).alias("y"), "node", "sh")
+    tops = parts.where("not rest").withColumn("y", -1 - _block(p.rounds, "nt")).select("family", _upto("nr").alias("x"), "y", "node", "sh")
+    return links.unionByName(linked(among.unionByName(against).unionByName(tops), p))
 
 
 def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
@@ -193,21 +239,23 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
 
     Words are runs of bytes outside ``\\x20\\x09-\\x0D``, A-Z lower-cased. A text with fewer words than a shingle is one
     shingle; a null, empty or blank text has none and is linked with nothing. ``component_id`` is the
-    smallest ``doc_id`` reachable by links, ``kept`` marks that document. Rows that repeat a ``doc_id`` must carry the same text, as
-    links are between ids; each such row is returned. A null ``doc_id`` is returned with a null
-    component. An empty table gives an empty result.
+    smallest ``doc_id`` reachable by links, ``kept`` marks that document. Rows that repeat a ``doc_id`` are each returned, with the links of
+    their own text. A null ``doc_id`` is returned with a null component and links nothing. An empty table gives an empty result.
     """
     sig = stage(signatures(docs, p), "signatures")
+    least = F.min(F.struct("doc_id", "text_hash")).alias("least")
     classes = stage(
         sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
-        .agg(F.min("doc_id").alias("doc"), F.first("sketches").alias("sketches"))
-        .withColumnRenamed("n_shingles", "n"), "classes")
-    rows = table_rows(classes, p).repartition("bucket").sortWithinPartitions("bucket", "doc")
+        .agg(least, F.first("sketches").alias("sketches"))
+        .select("set_a", "set_b", F.col("n_shingles").alias("n"), "least.doc_id", "least.text_hash", "sketches",
+                F.monotonically_increasing_id().alias("node")), "classes")  # written once: the numbers stay
+    rows = table_rows(classes, p).repartition("bucket").sortWithinPartitions("bucket", "node")
     families = stage(smallest_member(components(bucket_heads(rows))), "families")
-    named = smallest_member(components(verified(docs, families, p)))
-    of_class = stage(
-        classes.join(named.withColumnRenamed("node", "doc"), "doc", "left")
-        .select("set_a", "set_b", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id")), "class-components")
-    out = sig.drop("sketches").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
+    named = components(verified(docs, classes, families, p))
+    of_node = stage(classes.join(named, "node", "left").select(
+        "set_a", "set_b", F.col("n").alias("n_shingles"), "doc_id", F.coalesce("root", "node").alias("root")), "class-roots")
+    first = stage(of_node.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first-documents")
+    of_class = stage(of_node.join(first, "root").select("set_a", "set_b", "n_shingles", "component_id"), "class-components")
+    out = sig.drop("sketches", "text_hash").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
