@@ -64,7 +64,7 @@ def test_removal(spark, docs_of):
     rows = [(1, f"one two three before, {item.upper()}! after"), (2, f"{item} x"), (3, "clean ü"), (4, None), (None, item), (5, f"{item[3:]} " + "y " * 40)]
     got = {r.doc_id: r.text for r in remove_hits(docs_of(rows), bench(spark, [(1, item)])).collect()}
     assert got[1] == "one two three before, ! after"
-    assert 2 not in got and got[3] == "clean ü" and got[4] is None and got[None] == item and "w5" not in got[5]
+    assert 2 not in got and got[3] == "clean ü" and got[4] is None and None not in got and "w5" not in got[5]
 
 
 def test_empty_tables(spark, docs_of):
@@ -81,3 +81,14 @@ def test_null_and_repeated_ids_over_many_blocks(spark, docs_of):
         want = [(i, n, sorted(hit), found) for i, (n, hit, found) in alone]
         got = [(r.doc_id, r.n_words, sorted(spread(r.spans)), r.items) for r in find_hits(docs_of(rows), bench(spark, items), p).collect()]
         assert sorted(map(repr, got)) == sorted(map(repr, want)), blocks
+
+
+def test_removal_goes_by_row(spark, docs_of):
+    item = " ".join(f"w{k}" for k in range(12))
+    long = "before " * 20 + item + " after" * 20
+    rows = [(2, long), (2, "short"), (2, "three other words"), (None, long), (None, "clean"), (2, long)]
+    df = docs_of(rows).selectExpr("*", "1 as row_key", "2 as hit_spans", "3 as Over_Limit")
+    got = remove_hits(df, bench(spark, [(1, item)]))
+    cut = "before " * 20 + " after" * 20
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(((i, cut if t == long else t) for i, t in rows), key=str)
+    assert got.columns == df.columns

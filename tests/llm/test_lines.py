@@ -53,7 +53,16 @@ def test_nulls_empty_long_and_extra_columns(docs_of):
     para = " ".join(f"w{k}" for k in range(60))
     df = docs_of([(1, None), (2, ""), (3, f"x\n{para}\nshort"), (4, f"short\n{para.upper()}"), (None, para), (5, (para + "\n") * 500)])
     got = {r.doc_id: r for r in dedup_lines(df.selectExpr("*", "9 as mark", "8 as spans", "7 as lo", "6 as removed")).collect()}
-    assert got[1].text is None and got[1].n_lines == 0 and got[2].text == "" and got[None].text == para
+    assert got[1].text is None and got[1].n_lines == 0 and got[2].text == "" and got[None].text == ""
     assert got[3].text == f"x\n{para}\nshort" and got[4].text == "short" and got[4].removed == [1]
     assert got[5].text == "" and got[5].n_lines == 501 and got[4].mark == 9 and got[4].spans == 8
     assert dedup_lines(docs_of([])).count() == 0
+
+
+def test_rows_that_repeat_an_id_keep_their_own_lines(docs_of):
+    para, other = (" ".join(f"{c}{k}" for k in range(55)) for c in "vw")
+    rows = [(1, para), (2, f"own\n{para}\nlast"), (2, f"unlike\nsecond\n{other}"), (2, f"own\n{para}\nlast"), (None, f"{other}\nno id"), (None, "short")]
+    want = sorted([(1, para), (2, "own\nlast"), (2, f"unlike\nsecond\n{other}"), (2, "own\nlast"), (None, "no id"), (None, "short")], key=str)
+    for order in (rows, rows[::-1]):
+        got = dedup_lines(docs_of(order).selectExpr("*", "1 as own_row", "2 as OWN_ID", "3 as gone_spans")).collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == want

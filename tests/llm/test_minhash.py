@@ -88,7 +88,7 @@ def test_rows_that_repeat_an_id_with_other_texts(docs_of):
     rows = [(2, a), (2, b), (1, b), (3, a), (2, c), (2, c), (None, a)]
     want = sorted([(2, 4, 2, True), (2, 2, 1, False), (1, 2, 1, True), (3, 4, 2, False), (2, 1, 2, True), (2, 1, 2, True), (None, 4, None, None)], key=str)
     for order in (rows, rows[::-1]):
-        assert sorted((tuple(r) for r in near_duplicates(docs_of(order)).collect()), key=str) == want
+        assert sorted((tuple(r)[:4] for r in near_duplicates(docs_of(order)).collect()), key=str) == want
 
 
 def test_registered_query(spark):

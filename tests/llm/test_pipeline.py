@@ -88,9 +88,21 @@ def test_whole_run_and_empty_table(spark, tmp_path):
         assert empty.count() == 0
 
 
+def test_rows_that_repeat_an_id_or_have_none(spark, planted):
+    docs, rows, passage, item = planted
+    rnd = random.Random(5)
+    own, more = words(rnd, 90), words(rnd, 70)
+    extra = [(9005, own), (9005, f"{words(rnd, 60)} {item} {words(rnd, 60)}"), (None, f"{more} {item} {words(rnd, 70)}"), (9003, more), (9003, None)]
+    mixed = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in extra], docs.schema))
+    for name, fn in corpus_pipeline.STAGES[1:]:
+        mixed = spark.createDataFrame(fn(spark, mixed, SF).collect(), fn(spark, mixed, SF).schema)
+    texts = [r.text for r in mixed.collect()]
+    assert own in texts and more in texts and not any(item in t for t in texts if t) and sum(r.doc_id is None for r in mixed.collect()) == 1
+
+
 def test_queries_are_registered_and_match_their_sql(spark):
     known = entry_points.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES} and "pipeline" in known
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES} and "pipeline" in known
     assert set(queries.QUERIES) <= set(known) and corpus_pipeline.ORACLE_SQL is None
     con = duck(SF)
     for name, sql in oracles.build().items():

@@ -31,6 +31,20 @@ def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "inner", c
     return df.join(F.broadcast(table) if small else table, on, how)
 
 
+def row_key() -> Column:
+    """128 bits that name a row's id and text: rows that share them are copies of one row. A null text counts as empty, a null id as no id."""
+    own = F.coalesce(F.concat(F.lit("#"), F.col("doc_id").cast("string")), F.lit(""))
+    return F.md5(F.concat(own, F.lit("|"), F.coalesce("text", F.lit(""))).cast("binary"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have (column names do not differ by case alone)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of links ``(a, b)``: returns ``(node, root)`` for every linked node.
 

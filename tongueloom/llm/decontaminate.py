@@ -15,10 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tongueloom.llm.common import attach
+from tongueloom.llm.common import attach, row_key, unused
 from tongueloom.llm.wordhash import slices
 from tongueloom.session import stage
 
@@ -197,6 +196,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam()) -
     are each returned with their own hits, whatever the number of blocks: the blocks' hits meet by a 128-bit hash of id and text. Empty tables
     give no rows, or rows without hits.
     """
+    return _find_hits(docs, benchmark, p).drop("key")
+
+
+def _find_hits(docs: DataFrame, benchmark: DataFrame, p: Decontam) -> DataFrame:
+    """``find_hits`` with the rows' ``key``."""
     spark = docs.sparkSession
     passes = []
     for number, items in enumerate(_blocks(benchmark, p)):
@@ -206,18 +210,17 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam()) -
             auto = _automaton(name, shared.value, p.window)
             for batch, texts in slices(batches, "text"):
                 rows = []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
+                for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), texts):
                     words = words_of(text)
                     spans, found, longest = auto.scan(words)
                     if spans or number == 0:
-                        key = xxhash.xxh3_128_digest(text + (b"|" if doc is None else b"|%d" % doc))
                         rows.append({"key": key, "doc_id": doc, "n_words": len(words), "spans": [{"first": a, "last": b} for a, b in spans],
                                      "items": sorted(found), "longest": longest})
                 yield pa.RecordBatch.from_pylist(rows, schema=_HITS)
 
-        passes.append(docs.select("doc_id", "text").mapInArrow(run, _HITS_DDL))
+        passes.append(docs.select("doc_id", "text", row_key().alias("key")).mapInArrow(run, _HITS_DDL))
     if len(passes) == 1:
-        return passes[0].drop("key")
+        return passes[0]
     rest = passes[1]
     for more in passes[2:]:
         rest = rest.unionByName(more)
@@ -227,15 +230,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam()) -
     both = passes[0].join(rest, "key", "left")  # rows of equal id and text have equal hits
     none = F.array()
     return both.select(
-        "doc_id", "n_words", _merged(F.concat("spans", F.coalesce("_spans", none.cast(_SPANS_DDL)))).alias("spans"),
+        "key", "doc_id", "n_words", _merged(F.concat("spans", F.coalesce("_spans", none.cast(_SPANS_DDL)))).alias("spans"),
         F.array_sort(F.array_distinct(F.concat("items", F.coalesce("_items", none.cast("array<string>"))))).alias("items"),
         F.greatest("longest", F.coalesce("_longest", F.lit(0))).cast("int").alias("longest"))
 
 
 _SPANS_DDL = "array<struct<first:int,last:int>>"
-_HITS_DDL = f"key binary, doc_id long, n_words long, spans {_SPANS_DDL}, items array<string>, longest int"
+_HITS_DDL = f"key string, doc_id long, n_words long, spans {_SPANS_DDL}, items array<string>, longest int"
 _HITS = pa.schema([
-    ("key", pa.binary()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
+    ("key", pa.string()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
     ("items", pa.list_(pa.string())), ("longest", pa.int32())])
 
 
@@ -269,19 +272,20 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 def remove_hits(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam()) -> DataFrame:
     """``docs`` with hit spans cut from ``text``; documents whose share of hit words is over ``max_coverage`` go.
 
-    All columns stay; a null ``doc_id`` is never matched and stays as it is. Rows that repeat a ``doc_id`` must hold one text.
+    All columns stay. Hits belong to a row's id and text, so rows that repeat an id, or have none, are cut by their own hits alone; copies of a row
+    share them. A null text stays null.
     """
-    hits = find_hits(docs, benchmark, p).where("size(spans) > 0 and doc_id is not null")
-    hits = stage(hits.select("doc_id", "n_words", F.col("spans").alias("_spans")).dropDuplicates(["doc_id"]), "hits")
-    share = hit_words(F.col("_spans")) / F.col("n_words")
-    hits = stage(hits.select("doc_id", "_spans", (share > p.max_coverage).alias("_over")), "cuts")
+    key, found, over = unused(docs, "row_key"), unused(docs, "hit_spans"), unused(docs, "over_limit")
+    hits = _find_hits(docs, benchmark, p).where("size(spans) > 0").dropDuplicates(["key"])
+    share = hit_words(F.col("spans")) / F.col("n_words")
+    hits = stage(hits.select(F.col("key").alias(key), F.col("spans").alias(found), (share > p.max_coverage).alias(over)), "cuts")
     names = docs.columns
     place = names.index("text")
-    rows = attach(docs, hits, ["doc_id"], "left", F.size("_spans")).where("_over is null or not _over").select(*names, "_spans")
+    rows = attach(docs.withColumn(key, row_key()), hits, [key], "left", F.size(found)).where(F.col(over).isNull() | ~F.col(over)).select(*names, found)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns, spans = batch.columns[:-1], batch.column("_spans")
+            columns, spans = batch.columns[:-1], batch.column(found)
             if spans.null_count < len(spans):
                 texts = [t if not s else cut_words(t, [(x["first"], x["last"]) for x in s])
                          for t, s in zip(columns[place].to_pylist(), spans.to_pylist())]

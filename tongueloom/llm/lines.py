@@ -14,9 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tongueloom.llm.common import attach
+from tongueloom.llm.common import attach, unused
 from tongueloom.llm.wordhash import keys, mix, slices
 from tongueloom.session import stage
 
@@ -53,20 +53,28 @@ def windows(size: np.ndarray, min_words: int) -> np.ndarray:
     return np.unique(spans, axis=0) if len(spans) else spans.reshape(0, 2)
 
 
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))  # rows without an id come last
+
+
 def fingerprints(docs: DataFrame, p: LineDedup) -> DataFrame:
-    """``(doc_id, lo, hi, mark, content)``: each window's lines, its fingerprint and the hash of its whole content."""
+    """``(doc_id, row, lo, hi, mark, content)``: each window's lines, its fingerprint and the hash of its whole content.
+
+    ``row`` is a hash of the text, so that rows which repeat an id stay apart; a row without an id has the largest one.
+    """
     step = keys(2, p.seed) | np.uint64(1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
-            ids, lo, hi, mark, content = [], [], [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
+            ids, row, lo, hi, mark, content = [], [], [], [], [], []
+            for doc, own, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), texts):
                 number, hashed, size = line_table(text)
                 spans = windows(size, p.min_words)
-                if doc is None or not len(spans):
+                if not len(spans):
                     continue
                 order = mix(hashed ^ step[0])
                 ids.append(np.full(len(spans), doc, dtype=np.int64))
+                row.append(np.full(len(spans), own, dtype=np.int64))
                 lo.append(number[spans[:, 0]])
                 hi.append(number[spans[:, 1]])
                 for a, b in spans.tolist():
@@ -75,21 +83,21 @@ def fingerprints(docs: DataFrame, p: LineDedup) -> DataFrame:
                     content.append(xxhash.xxh3_64_intdigest(inner.tobytes()))
             if ids:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(ids)), pa.array(np.concatenate(lo).astype(np.int32)), pa.array(np.concatenate(hi).astype(np.int32)),
+                    [pa.array(np.concatenate(ids)), pa.array(np.concatenate(row)), pa.array(np.concatenate(lo).astype(np.int32)), pa.array(np.concatenate(hi).astype(np.int32)),
                      pa.array(np.array(mark, dtype=np.uint64).view(np.int64)), pa.array(np.array(content, dtype=np.uint64).view(np.int64))],
-                    names=["doc_id", "lo", "hi", "mark", "content"])
+                    names=["doc_id", "row", "lo", "hi", "mark", "content"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lo int, hi int, mark long, content long")
+    return docs.select(_id().alias("doc_id"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, "doc_id long, row long, lo int, hi int, mark long, content long")
 
 
 def repeated_runs(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
-    """``(doc_id, spans)``: per document the line ranges that repeat an earlier position (smaller doc_id, or earlier line)."""
+    """``(doc_id, row, spans)``: per row the line ranges that repeat an earlier position (smaller doc_id, then smaller ``row``, then earlier line)."""
     found = stage(fingerprints(docs, p), "windows")
     first = stage(
-        found.groupBy("mark", "content").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("n"))
-        .where("n > 1").select("mark", "content", F.col("first.doc_id").alias("first_doc"), F.col("first.lo").alias("first_lo")), "first")
-    later = attach(found, first, ["mark", "content"]).where("doc_id <> first_doc or lo <> first_lo")
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+        found.groupBy("mark", "content").agg(F.min(F.struct("doc_id", "row", "lo")).alias("first"), F.count("*").alias("n"))
+        .where("n > 1").select("mark", "content", F.col("first.doc_id").alias("first_doc"), F.col("first.row").alias("first_row"), F.col("first.lo").alias("first_lo")), "first")
+    later = attach(found, first, ["mark", "content"]).where("doc_id <> first_doc or row <> first_row or lo <> first_lo")
+    return later.groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
@@ -97,22 +105,23 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
 
     The first occurrence of a run, by ``(doc_id, line)``, stays. Lines end at ``\\n``; blank lines neither match nor
     break a run, and those inside a deleted run go with it. Runs under ``min_words`` words stay, however often they repeat. A null text
-    stays null and has no lines; an empty text has one, blank. Rows of a null ``doc_id`` are neither matched nor changed. Rows
-    that repeat a ``doc_id`` count as one document and must hold one text. Columns named ``n_lines`` or
-    ``removed`` are replaced.
+    stays null and has no lines; an empty text has one, blank. Rows without a ``doc_id`` come after all others. Rows that repeat a ``doc_id`` are
+    matched each by its own text, in the order of a hash of it; copies of a row, id and text, count as one. Columns named
+    ``n_lines`` or ``removed`` are replaced.
     """
     docs = docs.drop("n_lines", "removed")
-    spans = stage(repeated_runs(docs, p), "spans").withColumnRenamed("spans", "_spans")
-    rows = attach(docs, spans, ["doc_id"], "left", F.size("_spans")).select(*docs.columns, "_spans")
+    key, row, found = (unused(docs, c) for c in ("own_id", "own_row", "gone_spans"))
+    spans = stage(repeated_runs(docs, p).toDF(key, row, found), "spans")
+    rows = attach(docs.withColumns({key: _id(), row: F.xxhash64("text")}), spans, [key, row], "left", F.size(found)).select(*docs.columns, found)
     names = docs.columns
     place = names.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed, count = batch.column("text").to_pylist(), [], []
-            for i, (text, found) in enumerate(zip(texts, batch.column("_spans").to_pylist())):
+            for i, (text, own) in enumerate(zip(texts, batch.column(found).to_pylist())):
                 lines = [] if text is None else text.split("\n")
-                gone = sorted({k for s in found or () for k in range(s["lo"], s["hi"] + 1)})
+                gone = sorted({k for s in own or () for k in range(s["lo"], s["hi"] + 1)})
                 if gone:
                     drop = set(gone)
                     texts[i] = "\n".join(x for k, x in enumerate(lines) if k not in drop)

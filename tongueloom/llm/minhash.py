@@ -235,12 +235,12 @@ def verified(docs: DataFrame, classes: DataFrame, families: DataFrame, p: MinHas
 
 
 def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text)``; other columns are ignored.
+    """``(doc_id, n_shingles, component_id, kept, text_hash)`` for every row of ``docs(doc_id, text)``; other columns are ignored.
 
     Words are runs of bytes outside ``\\x20\\x09-\\x0D``, A-Z lower-cased. A text with fewer words than a shingle is one
     shingle; a null, empty or blank text has none and is linked with nothing. ``component_id`` is the
     smallest ``doc_id`` reachable by links, ``kept`` marks that document. Rows that repeat a ``doc_id`` are each returned, with the links of
-    their own text. A null ``doc_id`` is returned with a null component and links nothing. An empty table gives an empty result.
+    their own text; ``text_hash`` (xxhash64 of the text) tells them apart. A null ``doc_id`` is returned with a null component and links nothing. An empty table gives an empty result.
     """
     sig = stage(signatures(docs, p), "signatures")
     least = F.min(F.struct("doc_id", "text_hash")).alias("least")
@@ -256,6 +256,6 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
         "set_a", "set_b", F.col("n").alias("n_shingles"), "doc_id", F.coalesce("root", "node").alias("root")), "class-roots")
     first = stage(of_node.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first-documents")
     of_class = stage(of_node.join(first, "root").select("set_a", "set_b", "n_shingles", "component_id"), "class-components")
-    out = sig.drop("sketches", "text_hash").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
+    out = sig.drop("sketches").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), "text_hash")
