@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tongueloom.llm import decontaminate, pieces, toxicity
-from tongueloom.llm.common import attach, read
+from tongueloom.llm.common import attach, read, unused
 from tongueloom.llm.lines import dedup_lines
 from tongueloom.llm.minhash import near_duplicates
 from tongueloom.llm.queries import piece_codec
@@ -32,8 +32,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one of smallest id."""
-    gone = stage(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-copies")
-    return attach(docs, gone, ["doc_id"], "left_anti")
+    text_hash = unused(docs, "text_hash")
+    gone = near_duplicates(docs).where("not kept").select("doc_id", F.col("text_hash").alias(text_hash)).distinct()
+    return attach(docs.withColumn(text_hash, F.xxhash64("text")), stage(gone, "near-copies"), ["doc_id", text_hash], "left_anti").drop(text_hash).select(*docs.columns)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
