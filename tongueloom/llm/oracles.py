@@ -13,7 +13,7 @@ with parts as (
 stood as (
   select page_id, url, day, unnest(list_distinct(list_concat(
       list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
-      list_transform(range(1, least(len(path), 2) + 1), lambda i: host || '/' || lower(array_to_string(path[:i], '/')))))) as pattern
+      list_transform(range(1, len(path) + 1), lambda i: host || '/' || lower(array_to_string(path[:i], '/')))))) as pattern
   from parts where host <> ''),
 own as (select distinct pattern from stood),
 picked as (
