@@ -1,9 +1,42 @@
-"""Line dedup against brute force over all runs of lines."""
+"""Line dedup against brute force over all runs of words, and over all runs of whole lines."""
 
 import random
 
+import pytest
+
+import __spark_entry__ as entry_points
 from tongueloom.llm.lines import LineDedup, dedup_lines
 
+SF = "/root/testdata/sf0.001"
+
+
+def words_of(text):
+    return (text or "").encode().lower().split()
+
+
+def gone_words(rows, min_words):
+    """Per row, which words lie in a window that occurred before."""
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        w = words_of(t)
+        out[i] = set()
+        for a in range(len(w) - min_words + 1):
+            if first.setdefault(tuple(w[a:a + min_words]), (i, a)) != (i, a):
+                out[i] |= set(range(a, a + min_words))
+    return out
+
+
+def left_of(text, gone):
+    """The words that stay, line by line, without the lines that have none left; blank lines are not told."""
+    lines, at = [], 0
+    for line in (text or "").split("\n"):
+        own = line.encode().split()
+        stay = [x for k, x in enumerate(own, at) if k not in gone]
+        at += len(own)
+        if stay:
+            lines.append(stay)
+    return lines
+
 
 def brute(rows, min_words):
     """A line goes if some run of whole lines around it has enough words and starts at an earlier position too."""
@@ -45,8 +78,48 @@ def test_against_all_runs(docs_of):
         rows.append((i, "\n".join(lines)))
     got, want = run(docs_of(rows), LineDedup(min_words=12)), brute(rows, 12)
     for i, t in rows:
-        assert got[i][1] == want[i], i
-        assert got[i][0] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i])
+        assert got[i][1] >= want[i], i  # all runs of whole lines, and passages that end inside lines
+    gone = gone_words(rows, 12)
+    for i, t in rows:
+        assert left_of(got[i][0], ()) == left_of(t, gone[i]), i
+
+
+def test_passages_inside_lines(docs_of):
+    rnd = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(400)]
+    rows = []
+    for i in range(60):
+        w = rnd.choices(vocabulary, k=rnd.randint(0, 150))
+        for _ in range(rnd.randint(0, 3)):
+            src = rnd.choice(rows)[1].split() if rows else w
+            a = rnd.randrange(len(src) + 1)
+            at = rnd.randrange(len(w) + 1)
+            w[at:at] = src[a:a + rnd.randint(5, 40)]
+        rows.append((i, "".join(x + rnd.choice([" ", " ", " ", "\n", "  ", "\n\n"]) for x in w)))
+    for gram in (1, 4, 20):
+        out = dedup_lines(docs_of(rows), LineDedup(min_words=15, gram=gram)).collect()
+        gone = gone_words(rows, 15)
+        assert sum(map(len, gone.values())) > 500
+        text = dict(rows)
+        for r in out:
+            assert left_of(r.text, ()) == left_of(text[r.doc_id], gone[r.doc_id]) and r.n_cut == len(gone[r.doc_id])
+    one = docs_of([(1, " ".join(vocabulary[:60])), (2, "Before it  " + " ".join(vocabulary[:60]) + " and  after it")])
+    assert [r.text for r in dedup_lines(one).orderBy("doc_id").collect()] == [" ".join(vocabulary[:60]), "Before it  and  after it"]
+
+
+@pytest.mark.parametrize("times", [1, 30])
+def test_a_period_stays_once(docs_of, times):
+    got = dedup_lines(docs_of([(1, "ha " * 50 * times)])).first()
+    assert got.text.split() == ["ha"] * (50 if times == 1 else 1)
+
+
+def test_registered_query(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    gone, text = gone_words(rows, 50), dict(rows)
+    got = entry_points.queries()["op3_winnowing"](spark, SF).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.n_cut == len(gone[r.doc_id]) and left_of(r.text, ()) == left_of(text[r.doc_id], gone[r.doc_id])
 
 
 def test_nulls_empty_long_and_extra_columns(docs_of):

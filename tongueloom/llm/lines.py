@@ -1,9 +1,10 @@
-"""Repeated runs of lines, found by winnowing over line hashes.
+"""Repeated passages of lines, found by winnowing.
 
-A window starts (or ends) at a line and takes as many whole lines as hold ``min_words`` words. The least line hash of a
-window is its fingerprint, so any run of at least ``min_words`` words that two documents share has a fingerprint in common.
-Positions that share a fingerprint are joined, the windows around them are compared whole, and windows that
-were seen before mark their lines; windows start and end at every line, so a match extends both ways to its full run.
+Lines are hashed as the words they hold, so that a passage is found also where it begins or ends inside a line. Every run of ``min_words``
+words is a window of overlapping grams of ``gram`` words; the gram of least hash is the window's fingerprint, so two equal windows
+have a fingerprint in common wherever they stand. Only the minima are counted over the corpus: a document learns which of its
+positions hold a fingerprint that occurs again, and compares the windows around those alone. All windows that reach from such a position to
+either side are compared whole, so that a match extends word by word both ways to its full length.
 """
 
 from __future__ import annotations
@@ -13,124 +14,186 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tongueloom.llm.common import attach, unused
-from tongueloom.llm.wordhash import keys, mix, slices
+from tongueloom.llm.wordhash import Words, keys, mix, slices
 from tongueloom.session import stage
 
+_PLACE = np.uint64((1 << 28) - 1)  # bits of a word's place in texts worked on together; the others are of a hash
+
 
 @dataclass(frozen=True)
 class LineDedup:
-    """A run is deleted if it holds at least ``min_words`` words in whole lines and occurred before."""
+    """A passage is deleted if it holds at least ``min_words`` words and occurred before. ``gram`` changes no result."""
 
     min_words: int = 50
+    gram: int = 20
     seed: int = 3
 
 
-def line_table(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers, hashes and word counts of the lines that hold words; case (A-Z) and spacing do not count."""
-    number, hashed, size = [], [], []
-    for i, line in enumerate(text.lower().split(b"\n")):
-        words = line.split()
-        if words:
-            number.append(i)
-            hashed.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
-            size.append(len(words))
-    return np.array(number, dtype=np.int64), np.array(hashed, dtype=np.uint64), np.array(size, dtype=np.int64)
+def run_hashes(values: np.ndarray, size: int, odd: np.uint64) -> np.ndarray:
+    """A hash of every ``size`` consecutive values, from hashes of runs of doubled length; the last two overlap."""
+    n = 1
+    while n < size and len(values):
+        more = min(n, size - n)
+        values = mix(values[:-more] * odd + values[more:])
+        n += more
+    return values
+
+
+def run_minima(values: np.ndarray, size: int) -> np.ndarray:
+    """The least of every ``size`` consecutive values."""
+    n = 1
+    while n < size and len(values):
+        more = min(n, size - n)
+        values = np.minimum(values[:-more], values[more:])
+        n += more
+    return values
+
+
+class Windows:
+    """The windows of some texts: where each starts, which text it is of, and the place and hash of its fingerprint.
 
+    The hash's upper bits decide which gram is the least, the place decides between equal ones: relative places are the same in equal windows.
+    """
+
+    def __init__(self, texts: list[bytes], p: LineDedup):
+        words = Words([t.lower() for t in texts])
+        self.hashes, self.bounds, self.p = words.hashes, words.bounds, p
+        self.owner = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
+        n = max(0, len(self.hashes) - p.min_words + 1)
+        starts = np.arange(n)
+        self.starts = starts[self.bounds[self.owner[:n] + 1] - starts >= p.min_words]
+        gram, odd = min(p.gram, p.min_words), keys(1, p.seed)[0] | np.uint64(1)
+        grams = run_hashes(self.hashes, gram, odd)[: n + p.min_words - gram] if n else np.zeros(0, dtype=np.uint64)
+        ranked = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+        self.place = (run_minima(ranked, p.min_words - gram + 1)[self.starts] & _PLACE).astype(np.int64)
+        self.grams = grams
 
-def windows(size: np.ndarray, min_words: int) -> np.ndarray:
-    """Distinct ``(first, last)`` of the shortest windows that start, or end, at each line."""
-    total = np.concatenate(([0], np.cumsum(size)))
-    n = len(size)
-    last = np.searchsorted(total, total[:-1] + min_words)  # least j with total[j] - total[i] >= min_words
-    first = np.searchsorted(total, total[1:] - min_words, side="right") - 1  # greatest i with total[j] - total[i] >= min_words
-    ahead = np.flatnonzero(last <= n)
-    behind = np.flatnonzero(first >= 0)
-    spans = np.concatenate((np.stack((ahead, last[ahead] - 1), 1), np.stack((first[behind], behind), 1)))
-    return np.unique(spans, axis=0) if len(spans) else spans.reshape(0, 2)
+    def content(self) -> np.ndarray:
+        return run_hashes(self.hashes, self.p.min_words, keys(1, self.p.seed + 1)[0] | np.uint64(1))[self.starts]
 
 
 def _id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))  # rows without an id come last
 
 
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
 def fingerprints(docs: DataFrame, p: LineDedup) -> DataFrame:
-    """``(doc_id, row, lo, hi, mark, content)``: each window's lines, its fingerprint and the hash of its whole content.
+    """``(doc_id, row, place, mark)``: the window minima of each text, ``place`` counted in words.
 
     ``row`` is a hash of the text, so that rows which repeat an id stay apart; a row without an id has the largest one.
     """
-    step = keys(2, p.seed) | np.uint64(1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
-            ids, row, lo, hi, mark, content = [], [], [], [], [], []
-            for doc, own, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), texts):
-                number, hashed, size = line_table(text)
-                spans = windows(size, p.min_words)
-                if not len(spans):
-                    continue
-                order = mix(hashed ^ step[0])
-                ids.append(np.full(len(spans), doc, dtype=np.int64))
-                row.append(np.full(len(spans), own, dtype=np.int64))
-                lo.append(number[spans[:, 0]])
-                hi.append(number[spans[:, 1]])
-                for a, b in spans.tolist():
-                    inner = hashed[a: b + 1]
-                    mark.append(inner[np.argmin(order[a: b + 1])] if b > a else inner[0])
-                    content.append(xxhash.xxh3_64_intdigest(inner.tobytes()))
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(ids)), pa.array(np.concatenate(row)), pa.array(np.concatenate(lo).astype(np.int32)), pa.array(np.concatenate(hi).astype(np.int32)),
-                     pa.array(np.array(mark, dtype=np.uint64).view(np.int64)), pa.array(np.array(content, dtype=np.uint64).view(np.int64))],
-                    names=["doc_id", "row", "lo", "hi", "mark", "content"])
-
-    return docs.select(_id().alias("doc_id"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, "doc_id long, row long, lo int, hi int, mark long, content long")
-
-
-def repeated_runs(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
-    """``(doc_id, row, spans)``: per row the line ranges that repeat an earlier position (smaller doc_id, then smaller ``row``, then earlier line)."""
-    found = stage(fingerprints(docs, p), "windows")
+            w = Windows(texts, p)
+            at = np.unique(w.place)
+            own = w.owner[at]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_numbers(batch, "doc_id")[own]), pa.array(_numbers(batch, "row")[own]),
+                 pa.array((at - w.bounds[own]).astype(np.int32)), pa.array(w.grams[at].view(np.int64))], names=["doc_id", "row", "place", "mark"])
+
+    return docs.mapInArrow(run, "doc_id long, row long, place int, mark long")
+
+
+def windows_around(docs: DataFrame, p: LineDedup) -> DataFrame:
+    """``(doc_id, row, lo, mark, content)``: the windows whose fingerprint stands at one of the row's ``places``; ``lo`` is the first word."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, "text"):
+            w = Windows(texts, p)
+            wanted = np.zeros(len(w.hashes) + 1, dtype=bool)
+            for start, places in zip(w.bounds.tolist(), batch.column("places")):
+                wanted[start + places.values.to_numpy()] = True
+            take = wanted[w.place]
+            lo, place, own = w.starts[take], w.place[take], w.owner[w.starts[take]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_numbers(batch, "doc_id")[own]), pa.array(_numbers(batch, "row")[own]), pa.array((lo - w.bounds[own]).astype(np.int32)),
+                 pa.array(w.grams[place].view(np.int64)), pa.array(w.content()[take].view(np.int64))], names=["doc_id", "row", "lo", "mark", "content"])
+
+    return docs.mapInArrow(run, "doc_id long, row long, lo int, mark long, content long")
+
+
+def repeated_windows(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
+    """``(doc_id, row, starts)``: per row the first words of windows that repeat an earlier one (smaller doc_id, then smaller ``row``, then place)."""
+    keyed = docs.select(_id().alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    marks = stage(fingerprints(keyed, p), "fingerprints")
+    again = stage(marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "marks-again")
+    places = stage(attach(marks, again, ["mark"]).groupBy("doc_id", "row").agg(F.collect_set("place").alias("places")), "places")
+    found = stage(windows_around(attach(keyed, places, ["doc_id", "row"], cells=F.size("places")), p), "windows")
     first = stage(
         found.groupBy("mark", "content").agg(F.min(F.struct("doc_id", "row", "lo")).alias("first"), F.count("*").alias("n"))
         .where("n > 1").select("mark", "content", F.col("first.doc_id").alias("first_doc"), F.col("first.row").alias("first_row"), F.col("first.lo").alias("first_lo")), "first")
     later = attach(found, first, ["mark", "content"]).where("doc_id <> first_doc or row <> first_row or lo <> first_lo")
-    return later.groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return later.groupBy("doc_id", "row").agg(F.collect_set("lo").alias("starts"))
+
+
+def cut(text: str, starts: np.ndarray, min_words: int) -> tuple[str, list[int], int]:
+    """The text without the windows, the numbers of the lines that go whole, and how many words go."""
+    raw = text.encode()
+    words = Words([raw])
+    edges = np.bincount(starts, minlength=len(words.starts) + 1) - np.bincount(starts + min_words, minlength=len(words.starts) + 1)
+    gone = np.cumsum(edges)[:-1] > 0
+    lines = raw.split(b"\n")
+    breaks = np.cumsum([len(x) + 1 for x in lines])
+    line_of = np.searchsorted(breaks, words.starts, side="right")
+    at = np.searchsorted(line_of, np.arange(len(lines) + 1))  # the words of a line
+    padded = np.concatenate(([False], gone, [False]))
+    kept = np.concatenate(([0], np.cumsum(~gone)))
+    out, removed = [], []
+    for k, line in enumerate(lines):
+        a, b = int(at[k]), int(at[k + 1])
+        left = int(kept[b] - kept[a])
+        if left == b - a and (b > a or not (padded[a] and padded[a + 1])):
+            out.append(line)
+        elif not left:
+            removed.append(k)
+        else:
+            start = int(breaks[k]) - len(line) - 1
+            begin = [start, *words.starts[a + 1: b].tolist()]  # a word goes with the blanks after it
+            end = [*words.starts[a + 1: b].tolist(), start + len(line)]
+            part = b"".join(raw[i:j] for i, j, g in zip(begin, end, gone[a:b].tolist()) if not g)
+            out.append(part.rstrip() if gone[b - 1] else part)
+    return b"\n".join(out).decode(), removed, int(gone.sum())
 
 
 def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
-    """All rows and columns of ``docs``, ``text`` without its repeated runs, and ``n_lines``, ``removed`` (line numbers from 0).
+    """All rows and columns of ``docs``, ``text`` without its repeated passages, and ``n_lines``, ``removed`` (numbers from 0 of the lines that
+    go whole), ``n_cut`` (words that go, those of whole lines included).
 
-    The first occurrence of a run, by ``(doc_id, line)``, stays. Lines end at ``\\n``; blank lines neither match nor
-    break a run, and those inside a deleted run go with it. Runs under ``min_words`` words stay, however often they repeat. A null text
-    stays null and has no lines; an empty text has one, blank. Rows without a ``doc_id`` come after all others. Rows that repeat a ``doc_id`` are
+    Words are runs without ASCII white space; case (A-Z), spacing and line breaks do not count. A word goes if ``min_words`` consecutive words around
+    it occurred before, in another text or this one; the first occurrence, by ``(doc_id, place)``, stays. Shorter repeats stay, however often they occur. A line
+    without words left goes, also a blank one between words that go; of other lines the words that go are cut with the blanks after them. Lines end at ``\\n``.
+    A null text stays null and has no lines; an empty text has one, blank. Rows without a ``doc_id`` come after all others. Rows that repeat a ``doc_id`` are
     matched each by its own text, in the order of a hash of it; copies of a row, id and text, count as one. Columns named
-    ``n_lines`` or ``removed`` are replaced.
+    ``n_lines``, ``removed`` or ``n_cut`` are replaced.
     """
-    docs = docs.drop("n_lines", "removed")
-    key, row, found = (unused(docs, c) for c in ("own_id", "own_row", "gone_spans"))
-    spans = stage(repeated_runs(docs, p).toDF(key, row, found), "spans")
-    rows = attach(docs.withColumns({key: _id(), row: F.xxhash64("text")}), spans, [key, row], "left", F.size(found)).select(*docs.columns, found)
+    docs = docs.drop("n_lines", "removed", "n_cut")
+    key, row, found = (unused(docs, c) for c in ("own_id", "own_row", "gone_windows"))
+    starts = stage(repeated_windows(docs, p).toDF(key, row, found), "starts")
+    rows = attach(docs.withColumns({key: _id(), row: F.xxhash64("text")}), starts, [key, row], "left", F.size(found)).select(*docs.columns, found)
     names = docs.columns
     place = names.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, removed, count = batch.column("text").to_pylist(), [], []
-            for i, (text, own) in enumerate(zip(texts, batch.column(found).to_pylist())):
-                lines = [] if text is None else text.split("\n")
-                gone = sorted({k for s in own or () for k in range(s["lo"], s["hi"] + 1)})
-                if gone:
-                    drop = set(gone)
-                    texts[i] = "\n".join(x for k, x in enumerate(lines) if k not in drop)
-                count.append(len(lines))
+            texts, removed, count, n_cut = batch.column("text").to_pylist(), [], [], []
+            for i, (text, own) in enumerate(zip(texts, batch.column(found))):
+                count.append(0 if text is None else text.count("\n") + 1)
+                gone, n = [], 0
+                if own.is_valid:
+                    texts[i], gone, n = cut(text, own.values.to_numpy(), p.min_words)
                 removed.append(gone)
+                n_cut.append(n)
             columns = [pa.array(texts, type=pa.string()) if k == place else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(count, type=pa.int64()), pa.array(removed, type=pa.list_(pa.int32()))],
-                names=[*names, "n_lines", "removed"])
+                [*columns, pa.array(count, type=pa.int64()), pa.array(removed, type=pa.list_(pa.int32())), pa.array(n_cut, type=pa.int64())],
+                names=[*names, "n_lines", "removed", "n_cut"])
 
-    schema = docs.limit(0).withColumns({"n_lines": F.lit(0).cast("long"), "removed": F.array().cast("array<int>")}).schema
+    schema = docs.limit(0).withColumns({"n_lines": F.lit(0).cast("long"), "removed": F.array().cast("array<int>"), "n_cut": F.lit(0).cast("long")}).schema
     return rows.mapInArrow(run, schema)

@@ -49,7 +49,7 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "n_cut", "removed", "text")
 
 
 def op4_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
