@@ -2,9 +2,8 @@
 
 Lines are hashed as the words they hold, so that a passage is found also where it begins or ends inside a line. Every run of ``min_words``
 words is a window of overlapping grams of ``gram`` words; the gram of least hash is the window's fingerprint, so two equal windows
-have a fingerprint in common wherever they stand. Only the minima are counted over the corpus: a document learns which of its
-positions hold a fingerprint that occurs again, and compares the windows around those alone. All windows that reach from such a position to
-either side are compared whole, so that a match extends word by word both ways to its full length.
+have a fingerprint in common wherever they stand. Positions that share a fingerprint are joined: the windows that have it reach from it to either side, and
+are compared as one segment, or, where segments differ, one by one, so that a match extends both ways to its full length.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ class LineDedup:
     """A passage is deleted if it holds at least ``min_words`` words and occurred before. ``gram`` changes no result."""
 
     min_words: int = 50
-    gram: int = 20
+    gram: int = 10
     seed: int = 3
 
 
@@ -83,35 +82,43 @@ def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
 
-def fingerprints(docs: DataFrame, p: LineDedup) -> DataFrame:
-    """``(doc_id, row, place, mark)``: the window minima of each text, ``place`` counted in words.
+def segments(docs: DataFrame, p: LineDedup) -> DataFrame:
+    """``(doc_id, row, lo, n, mark, seg)``: each fingerprint of a text with the ``n`` windows that have it, the first one at word ``lo``.
 
-    ``row`` is a hash of the text, so that rows which repeat an id stay apart; a row without an id has the largest one.
+    ``seg`` is a hash of all their words. ``row`` is a hash of the text, so that rows which repeat an id stay apart; a row without an id has the
+    largest one.
     """
+    odd = keys(1, p.seed + 2)[0] | np.uint64(1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
             w = Windows(texts, p)
-            at = np.unique(w.place)
-            own = w.owner[at]
+            first = np.flatnonzero(np.diff(w.place, prepend=-1))
+            n = np.diff(np.append(first, len(w.place)))
+            content, lo = w.content(), w.starts[first]
+            own = w.owner[lo]
+            seg = mix(mix(content[first] * odd + content[first + n - 1]) + n.astype(np.uint64))  # the two overlap, so they hold every word
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_numbers(batch, "doc_id")[own]), pa.array(_numbers(batch, "row")[own]),
-                 pa.array((at - w.bounds[own]).astype(np.int32)), pa.array(w.grams[at].view(np.int64))], names=["doc_id", "row", "place", "mark"])
+                [pa.array(_numbers(batch, "doc_id")[own]), pa.array(_numbers(batch, "row")[own]), pa.array((lo - w.bounds[own]).astype(np.int32)),
+                 pa.array(n.astype(np.int32)), pa.array(w.grams[w.place[first]].view(np.int64)), pa.array(seg.view(np.int64))],
+                names=["doc_id", "row", "lo", "n", "mark", "seg"])
 
-    return docs.mapInArrow(run, "doc_id long, row long, place int, mark long")
+    return docs.mapInArrow(run, "doc_id long, row long, lo int, n int, mark long, seg long")
 
 
-def windows_around(docs: DataFrame, p: LineDedup) -> DataFrame:
-    """``(doc_id, row, lo, mark, content)``: the windows whose fingerprint stands at one of the row's ``places``; ``lo`` is the first word."""
+def windows_of(docs: DataFrame, p: LineDedup) -> DataFrame:
+    """``(doc_id, row, lo, mark, content)``: the windows of the row's ``segs`` (first words and numbers of windows); ``lo`` is the first word."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
             w = Windows(texts, p)
-            wanted = np.zeros(len(w.hashes) + 1, dtype=bool)
-            for start, places in zip(w.bounds.tolist(), batch.column("places")):
-                wanted[start + places.values.to_numpy()] = True
-            take = wanted[w.place]
-            lo, place, own = w.starts[take], w.place[take], w.owner[w.starts[take]]
+            edges = np.zeros(len(w.hashes) + 1, dtype=np.int64)
+            for start, segs in zip(w.bounds.tolist(), batch.column("segs")):
+                lo, n = (segs.values.field(k).to_numpy() for k in ("lo", "n"))
+                edges += np.bincount(start + lo, minlength=len(edges)) - np.bincount(start + lo + n, minlength=len(edges))
+            take = np.cumsum(edges)[w.starts] > 0
+            lo, place = w.starts[take], w.place[take]
+            own = w.owner[lo]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_numbers(batch, "doc_id")[own]), pa.array(_numbers(batch, "row")[own]), pa.array((lo - w.bounds[own]).astype(np.int32)),
                  pa.array(w.grams[place].view(np.int64)), pa.array(w.content()[take].view(np.int64))], names=["doc_id", "row", "lo", "mark", "content"])
@@ -119,25 +126,41 @@ def windows_around(docs: DataFrame, p: LineDedup) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, row long, lo int, mark long, content long")
 
 
+def _firsts(found: DataFrame, on: list[str], name: str) -> DataFrame:
+    """Where each thing that occurs more than once occurs first."""
+    first = found.groupBy(*on).agg(F.min(F.struct("doc_id", "row", "lo")).alias("first"), F.count("*").alias("times"))
+    return stage(first.where("times > 1").select(*on, *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "row", "lo")]), name)
+
+
+_IS_FIRST = "(first_doc_id is null or (doc_id = first_doc_id and row = first_row and lo = first_lo))"
+
+
 def repeated_windows(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
-    """``(doc_id, row, starts)``: per row the first words of windows that repeat an earlier one (smaller doc_id, then smaller ``row``, then place)."""
+    """``(doc_id, row, segs)``: per row the windows that repeat an earlier one (smaller doc_id, then smaller ``row``, then place).
+
+    Segments are compared whole first: all windows of one that occurred before are repeats. Windows are compared one by one only where
+    differing segments share a fingerprint, at the borders of passages, and there in the first occurrence of each segment.
+    """
     keyed = docs.select(_id().alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-    marks = stage(fingerprints(keyed, p), "fingerprints")
-    again = stage(marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "marks-again")
-    places = stage(attach(marks, again, ["mark"]).groupBy("doc_id", "row").agg(F.collect_set("place").alias("places")), "places")
-    found = stage(windows_around(attach(keyed, places, ["doc_id", "row"], cells=F.size("places")), p), "windows")
-    first = stage(
-        found.groupBy("mark", "content").agg(F.min(F.struct("doc_id", "row", "lo")).alias("first"), F.count("*").alias("n"))
-        .where("n > 1").select("mark", "content", F.col("first.doc_id").alias("first_doc"), F.col("first.row").alias("first_row"), F.col("first.lo").alias("first_lo")), "first")
-    later = attach(found, first, ["mark", "content"]).where("doc_id <> first_doc or row <> first_row or lo <> first_lo")
-    return later.groupBy("doc_id", "row").agg(F.collect_set("lo").alias("starts"))
-
-
-def cut(text: str, starts: np.ndarray, min_words: int) -> tuple[str, list[int], int]:
-    """The text without the windows, the numbers of the lines that go whole, and how many words go."""
+    found = stage(segments(keyed, p), "segments")
+    marks = stage(found.groupBy("mark").agg(F.count("*").alias("times"), F.min("seg").alias("low"), F.max("seg").alias("high"))
+                  .where("times > 1").select("mark", (F.col("low") != F.col("high")).alias("differ")), "marks")
+    again = stage(attach(found, marks, ["mark"]), "segments-again")
+    told = stage(attach(again, _firsts(again, ["mark", "seg"], "first-segments"), ["mark", "seg"], "left"), "told")
+    span = F.struct("lo", "n")
+    edges = stage(told.where(f"differ and {_IS_FIRST}").groupBy("doc_id", "row").agg(F.collect_set(span).alias("segs")), "borders")
+    windows = stage(windows_of(attach(keyed, edges, ["doc_id", "row"], cells=F.size("segs")), p), "windows")
+    on = ["mark", "content"]
+    singles = attach(windows, _firsts(windows, on, "first-windows"), on).where(f"not {_IS_FIRST}")
+    gone = told.where(f"not {_IS_FIRST}").select("doc_id", "row", "lo", "n").unionByName(singles.select("doc_id", "row", "lo", F.lit(1).alias("n")))
+    return gone.groupBy("doc_id", "row").agg(F.collect_set(span).alias("segs"))
+
+
+def cut(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[str, list[int], int]:
+    """The text without the words from ``starts`` up to ``ends``, the numbers of the lines that go whole, and how many words go."""
     raw = text.encode()
     words = Words([raw])
-    edges = np.bincount(starts, minlength=len(words.starts) + 1) - np.bincount(starts + min_words, minlength=len(words.starts) + 1)
+    edges = np.bincount(starts, minlength=len(words.starts) + 1) - np.bincount(ends, minlength=len(words.starts) + 1)
     gone = np.cumsum(edges)[:-1] > 0
     lines = raw.split(b"\n")
     breaks = np.cumsum([len(x) + 1 for x in lines])
@@ -175,8 +198,8 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     """
     docs = docs.drop("n_lines", "removed", "n_cut")
     key, row, found = (unused(docs, c) for c in ("own_id", "own_row", "gone_windows"))
-    starts = stage(repeated_windows(docs, p).toDF(key, row, found), "starts")
-    rows = attach(docs.withColumns({key: _id(), row: F.xxhash64("text")}), starts, [key, row], "left", F.size(found)).select(*docs.columns, found)
+    gone = stage(repeated_windows(docs, p).toDF(key, row, found), "gone")
+    rows = attach(docs.withColumns({key: _id(), row: F.xxhash64("text")}), gone, [key, row], "left", F.size(found)).select(*docs.columns, found)
     names = docs.columns
     place = names.index("text")
 
@@ -185,10 +208,11 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
             texts, removed, count, n_cut = batch.column("text").to_pylist(), [], [], []
             for i, (text, own) in enumerate(zip(texts, batch.column(found))):
                 count.append(0 if text is None else text.count("\n") + 1)
-                gone, n = [], 0
+                lost, n = [], 0
                 if own.is_valid:
-                    texts[i], gone, n = cut(text, own.values.to_numpy(), p.min_words)
-                removed.append(gone)
+                    lo, size = (own.values.field(c).to_numpy() for c in ("lo", "n"))
+                    texts[i], lost, n = cut(text, lo, lo + size - 1 + p.min_words)
+                removed.append(lost)
                 n_cut.append(n)
             columns = [pa.array(texts, type=pa.string()) if k == place else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(
