@@ -199,7 +199,7 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     docs = docs.drop("n_lines", "removed", "n_cut")
     key, row, found = (unused(docs, c) for c in ("own_id", "own_row", "gone_windows"))
     gone = stage(repeated_windows(docs, p).toDF(key, row, found), "gone")
-    rows = attach(docs.withColumns({key: _id(), row: F.xxhash64("text")}), gone, [key, row], "left", F.size(found)).select(*docs.columns, found)
+    rows = docs.withColumns({key: _id(), row: F.xxhash64("text")}).join(gone.hint("merge"), [key, row], "left").select(*docs.columns, found)
     names = docs.columns
     place = names.index("text")
 
