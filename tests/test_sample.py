@@ -169,7 +169,7 @@ def test_hold_out_does_not_depend_on_file_splits(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     for size in ("20k", "64m"):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-        rows = readers.read_corpus(spark, str(tmp_path / "mono"), multi_line=False)
+        rows = readers.read_corpus(spark, str(tmp_path / "mono"))
         held.append({(r.lang, r.row_id, r.input) for r in sample.split(rows, 0.2, 7).where("split = 'eval'").select("lang", "row_id", "input").collect()})
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert held[0] == held[1] and len(held[0]) == 1200

@@ -179,6 +179,28 @@ def test_plain_files(spark, tmp_path):
     assert ner.conll_sentences(readers.read_conll(spark, str(tmp_path / "dev.txt"))).count() == len(slow_conll(CONLL))
 
 
+def test_quoted_breaks_over_split_blocks(spark, tmp_path):
+    rnd = random.Random(3)
+    pieces = ["word", "two words", '"', '""', "\n", "\n\n", "\t", " ", "x" * 90, 'end"', "\\"]
+    rows = {lang: ["".join(rnd.choices(pieces, k=rnd.randint(1, 6))) for _ in range(150)] for lang in ("hau", "yor")}
+    quoted = lambda x: '"' + x.replace('"', '""') + '"' if rnd.random() < 0.3 or set(x) & set('"\n\t') or not x.strip() else x
+    for lang, texts in rows.items():
+        for part in range(3):
+            own = texts[50 * part: 50 * part + 50]
+            body = "\n".join(f"{k}\t{quoted(x)}" + ("\n" if k % 7 == 0 else "") for k, x in enumerate(own))
+            (tmp_path / f"{lang}_mono.tsv").mkdir(exist_ok=True)
+            (tmp_path / f"{lang}_mono.tsv" / f"part-{part}.csv").write_text(f"id\tinput\n{body}\n", encoding="utf-8", newline="")
+    (tmp_path / "odd_mono.tsv").write_text('id\tinput\n1\t5" pipe\n2\ta "b" c\n3\tplain\r\n', encoding="utf-8", newline="")
+    for size in ("64", "333", "64m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = {(r.lang, r.row_id): r.input for r in readers.read_corpus(spark, str(tmp_path)).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        want = {(lang, k): x for lang, texts in rows.items() for k, x in enumerate(texts, 1)}
+        assert got == want | {("odd", 1): '5" pipe', ("odd", 2): 'a "b" c', ("odd", 3): "plain"}, size
+
+
 def test_split_blocks_keep_line_numbers(spark, tmp_path):
     (tmp_path / "train.xx").write_text("\n".join(f"line {i}" for i in range(5000)), encoding="utf-8")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")

@@ -86,15 +86,15 @@ def encoded(spark, sf):
 
 def src_mono_corpus(spark, sf):
     out = fresh_path(spark, "mono")
-    sinks.write_corpus(views.corpus(spark, sf), out)
-    return readers.read_corpus(spark, out).select("lang", "input")
+    sinks.write_corpus(views.corpus(spark, sf), out, order="row_id")
+    return readers.read_corpus(spark, out)
 
 
 def src_lines(spark, sf):
     out = fresh_path(spark, "lines")
     sinks.write_splits(_named_lines(spark, sf), out)
-    read = readers.read_lines(spark, out, "train")
-    return readers.number_file_lines(read).select("lang", "line_no", F.md5("line").alias("line_md5")).groupBy("lang").agg(
+    parts = [readers.number_file_lines(readers.read_lines(spark, out, part)).withColumn("part", F.lit(part)) for part in ("train", "eval")]
+    return parts[0].unionByName(parts[1]).select("part", "lang", "line_no", F.md5("line").alias("line_md5")).groupBy("part", "lang").agg(
         F.count("*").alias("n_lines"), F.min("line_no").alias("first_no"), F.max("line_no").alias("last_no"),
         F.countDistinct("line_no").alias("n_numbers"), F.countDistinct("line_md5").alias("n_texts"))
 

@@ -216,10 +216,10 @@ def build() -> dict[str, str]:
     v = with_views
     bpe, conll = _bpe(), _conll()
     out = {
-        "src_mono_corpus": v("select lang, input from corpus"),
+        "src_mono_corpus": v("select lang, row_number() over (partition by lang order by row_id) as row_id, input from corpus"),
         "src_lines": v("""
-            select lang, count(*) as n_lines, 1::bigint as first_no, count(*) as last_no, count(*) as n_numbers,
-              count(distinct line) as n_texts from split_lines where split = 'train' group by lang"""),
+            select split as part, lang, count(*) as n_lines, 1::bigint as first_no, count(*) as last_no, count(*) as n_numbers,
+              count(distinct line) as n_texts from split_lines group by split, lang"""),
         "src_labelled_tsv": v("select news_title, label from topics"),
         "src_conll": v("""
             select file, n as line_no, word, tag from conll_tokens join (

@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from tongueloom.config import NER_TAGS
 from tongueloom.functions.text import LINE_BREAK, strip
 from tongueloom.session import lookup_join
-
-BLOCK_LIMIT = 2_000_000  # file blocks broadcast at most; a few hundred bytes each
+from tongueloom.sources.records import BLOCK_LIMIT, places, read_records
 
 # pandas-compatible quoting: doubled quotes inside quoted fields, outer blanks kept
 TSV = {
@@ -21,23 +20,14 @@ def _lang_from_path(pattern: str) -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
 
 
-def _places() -> list[Column]:
-    """Where a row was read: its file, the block of the file, and a number that is consecutive inside a block."""
-    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("seq")]
-
-
-def read_corpus(spark: SparkSession, path: str, column: str = "input", multi_line: bool = True) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, column: str = "input") -> DataFrame:
     """``{lang}_mono.tsv`` files (or folders of parts) under ``path`` -> (lang, row_id, input).
 
-    ``multi_line`` allows quoted line breaks but reads each file in one task; turn it off for large
-    single-line files, which then split. ``row_id`` is the number of the record in its language, files in name order, so a
-    record has the same id however the files are split.
+    Quoted fields may hold line breaks; files are split all the same. ``row_id`` is the number of the record in its language, files in
+    name order, so a record has the same id however the files are split. Records without a text have a number, but are not returned.
     """
-    df = spark.read.options(**TSV, multiLine=multi_line).csv(f"{path}/*_mono.tsv")
-    read = df.select(_lang_from_path(r"([^/=]+)_mono\.tsv").alias("lang"), *_places(), F.col(column).alias("line"))
-    return number_file_lines(read).select("lang", F.col("line_no").alias("row_id"), F.col("line").alias("input")).where(
-        F.col("input").isNotNull())
+    rows = read_records(spark, f"{path}/*_mono.tsv", TSV, _lang_from_path(r"([^/=]+)_mono\.tsv"))
+    return rows.select(F.col("grp").alias("lang"), "row_id", F.col("record")[column].alias("input")).where(F.col("input").isNotNull())
 
 
 def read_lines(spark: SparkSession, path: str, split: str = "train") -> DataFrame:
@@ -47,7 +37,7 @@ def read_lines(spark: SparkSession, path: str, split: str = "train") -> DataFram
     """
     return spark.read.text(f"{path}/{{part=,}}{split}.*").select(
         _lang_from_path(rf"[/=]{split}\.([^/]+?)(?:/|$)").alias("lang"),
-        *_places(), F.col("value").alias("line"),
+        *places(), F.col("value").alias("line"),
     )
 
 
@@ -66,15 +56,13 @@ def number_file_lines(read: DataFrame, group: str = "lang") -> DataFrame:
 
 
 def read_labelled(
-    spark: SparkSession, path: str, sep: str = "\t", text: str = "news_title", label: str = "label",
-    multi_line: bool = True, complete: bool = False,
+    spark: SparkSession, path: str, sep: str = "\t", text: str = "news_title", label: str = "label", complete: bool = False,
 ) -> DataFrame:
-    """Labelled file with a header; other columns are tolerated and not returned.
+    """Labelled file with a header; other columns are tolerated and not returned. Quoted fields may hold line breaks.
 
     ``complete`` drops rows that miss a value in any column of the file, those not returned included.
     """
-    opts = {**TSV, "sep": sep}
-    rows = spark.read.options(**opts, multiLine=multi_line).csv(path)
+    rows = read_records(spark, path, {**TSV, "sep": sep}).select("record.*")
     return (rows.na.drop("any") if complete else rows).select(text, label)
 
 
@@ -95,7 +83,7 @@ def read_conll(spark: SparkSession, path: str, name: str = "^(.*)$") -> DataFram
 
     ``name`` takes the file's name from its path; parts of a folder that share a name count as one file, in name order.
     """
-    read = spark.read.text(path).select(_lang_from_path(name).alias("_group"), *_places(), F.col("value").alias("line"))
+    read = spark.read.text(path).select(_lang_from_path(name).alias("_group"), *places(), F.col("value").alias("line"))
     return number_file_lines(read, "_group").withColumnRenamed("_group", "file")
 
 
