@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +180,33 @@ def test_plain_files(spark, tmp_path):
     assert ner.conll_sentences(readers.read_conll(spark, str(tmp_path / "dev.txt"))).count() == len(slow_conll(CONLL))
 
 
+def test_scores_to_tags(spark):
+    labels = ["O", "B-X", "I-X"]
+    rows = [("b", 0, [0, 5, 6, 2], [1, 1, 1, 1], [-100, 1, 2, -100]), ("b", 1, [0, 7, 2, 1], [1, 1, 1, 0], [-100, 0, -100, -100]),
+            ("a", 0, [0, 8, 9, 2], [1, 1, 1, 1], [-100, 0, -100, -100]), ("c", 0, [0, 2, 1, 1], [1, 1, 0, 0], [-100] * 4)]
+    df = spark.createDataFrame(rows, "guid string, chunk_no long, input_ids array<long>, input_mask array<long>, label_ids array<long>").repartition(3)
+    table = ner.fit_piece_scores(df, 10, 3)
+    assert table.sum() == 4 and table[5, 1] == table[6, 2] == table[7, 0] == table[8, 0] == 1
+    flat = np.zeros((10, 3))
+    flat[5] = [0, 2, 2]  # a tie: the first label
+    flat[8] = [1, 0, 3]
+    scored = ner.predict_scores(df, lambda ids, mask: flat[ids], 3, rows=2)
+    assert all(len(r.scores) == 4 and len(r.scores[0]) == 3 for r in scored.collect())
+    got = {r.guid: (r.labels, r.pred) for r in ner.decoded(scored, labels).collect()}
+    assert got == {"a": (["O"], ["I-X"]), "b": (["B-X", "I-X", "O"], ["B-X", "O", "O"]), "c": ([], [])}
+    with pytest.raises(Exception, match="the predictor returned"):
+        ner.predict_scores(df, lambda ids, mask: flat[ids][:, :2], 3).collect()
+    assert ner.decoded(ner.predict_scores(df.limit(0), lambda ids, mask: flat[ids], 3), labels).count() == 0
+
+
+def test_words_for_missing_values(spark):
+    from tongueloom.operators import clean
+
+    df = spark.createDataFrame([("t", "a", 1), ("NA", "a", 1), ("t", "nan", 1), ("t", "a", None), ("nation", "null ", 2)], "news_title string, label string, n int")
+    assert [tuple(r) for r in clean.drop_missing(df).collect()] == [("t", "a", 1), ("nation", "null ", 2)]
+    assert clean.drop_missing(df, missing=()).count() == 4
+
+
 def test_quoted_breaks_over_split_blocks(spark, tmp_path):
     rnd = random.Random(3)
     pieces = ["word", "two words", '"', '""', "\n", "\n\n", "\t", " ", "x" * 90, 'end"', "\\"]

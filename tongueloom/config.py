@@ -15,6 +15,9 @@ RESERVED_PIECES = ["<s>", "<pad>", "</s>", "<unk>"]
 BOS_ID, PAD_ID, EOS_ID, UNK_ID = 0, 1, 2, 3
 IGNORE_LABEL_ID = -100
 MASK_PIECE = "<mask>"
+MISSING_WORDS = [
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]  # what a table reader takes for no value
 WORD_MARK = "\u2581"
 # -----------------------------------------------------------------------------
 

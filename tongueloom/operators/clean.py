@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
-from tongueloom.config import LABEL_SETS
+from tongueloom.config import LABEL_SETS, MISSING_WORDS
 from tongueloom.functions.arrays import label_index
 from tongueloom.functions.text import lines, strip, words
 
@@ -28,13 +29,14 @@ def min_words(sentences: DataFrame, n: int = 5) -> DataFrame:
 def len_window(sentences: DataFrame, lo: int = 5, hi: int = 256) -> DataFrame:
     """Generator filter: at least ``lo`` and fewer than ``hi`` words."""
     line = F.col("line")
-    off_centre = F.abs(2 * F.size(words(line)) - F.lit(lo + hi - 1))  # one split for both ends
-    return sentences.where((strip(line) != "") & (off_centre <= hi - 1 - lo))
+    return sentences.where((strip(line) != "") & F.size(words(line)).between(lo, hi - 1))
 
 
-def drop_missing(df: DataFrame, text: str = "news_title") -> DataFrame:
-    """Drop rows with a null in any column, then rows with a blank text."""
-    return df.na.drop("any").where(strip(F.col(text)) != "")
+def drop_missing(df: DataFrame, text: str = "news_title", missing: Sequence[str] = tuple(MISSING_WORDS)) -> DataFrame:
+    """Drop rows with a null, or a word that stands for one, in any text column or a null in any other, then rows with a blank text."""
+    texts = [c for c, kind in df.dtypes if kind == "string"]
+    told = reduce(and_, [~F.col(f"`{c}`").isin(list(missing)) for c in texts], F.lit(True))
+    return df.na.drop("any").where(told & (strip(F.col(text)) != ""))
 
 
 def encode_labels(df: DataFrame, labels: Sequence[str] | str, col: str = "label") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tongueloom.config import BOS_ID, EOS_ID, IGNORE_LABEL_ID, NER_TAGS, PAD_ID
-from tongueloom.functions.arrays import label_index
+from tongueloom.functions.arrays import argmax_index, label_index
 from tongueloom.functions.text import strip
 from tongueloom.operators.classify import ratio
 from tongueloom.operators.rank import running_sum
@@ -113,6 +115,52 @@ def decode_tags(label_ids: Column, values: Column, labels: Sequence[str] = tuple
     return F.transform(kept, lambda z: F.element_at(names, (z["v"] + 1).cast("int")))
 
 
+def fit_piece_scores(features: DataFrame, n_pieces: int, n_labels: int) -> np.ndarray:
+    """How often each piece, as the first one of a word, carries each label: a table of vocabulary size, the model of a simple tagger."""
+    pairs = features.select(F.explode(F.arrays_zip("input_ids", "label_ids")).alias("z")).where(F.col("z.label_ids") != IGNORE_LABEL_ID)
+    table = np.zeros((n_pieces, n_labels))
+    for r in pairs.groupBy("z.input_ids", "z.label_ids").count().collect():  # at most one row per piece and label
+        table[r[0], r[1]] = r[2]
+    return table
+
+
+def predict_scores(features: DataFrame, predictor: Callable[[np.ndarray, np.ndarray], np.ndarray], n_labels: int, rows: int = 256) -> DataFrame:
+    """Add ``scores``: for every position of a row a score per label.
+
+    ``predictor`` takes ``input_ids`` and ``input_mask`` of up to ``rows`` rows as matrices and returns an array (rows, positions, labels); all
+    rows of ``features`` must be padded to one length. A predictor that fails, or returns another shape, ends the job.
+    """
+    schema = features.withColumn("scores", F.array().cast("array<array<double>>")).schema
+    names = features.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, rows):
+                batch = whole.slice(a, rows)
+                n = batch.num_rows
+                ids, mask = (batch.column(c).flatten().to_numpy().reshape(n, -1) for c in ("input_ids", "input_mask"))
+                scores = np.asarray(predictor(ids, mask), dtype=np.float64)
+                if scores.shape != (*ids.shape, n_labels):
+                    raise ValueError(f"the predictor returned {scores.shape}, not {(*ids.shape, n_labels)}")
+                each = pa.ListArray.from_arrays(pa.array(np.arange(ids.size + 1, dtype=np.int32) * n_labels), pa.array(scores.ravel()))
+                by_row = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * ids.shape[1]), each)
+                yield pa.RecordBatch.from_arrays([*batch.columns, by_row], names=[*names, "scores"])
+
+    return features.mapInArrow(run, schema)
+
+
+def decoded(scored: DataFrame, labels: Sequence[str] = tuple(NER_TAGS), keep: Sequence[str] = ("guid",)) -> DataFrame:
+    """``(keep, labels, pred)``: gold and predicted tags of whole sentences, from the chunks' ``label_ids`` and ``scores``.
+
+    The best score of a position is its label, the first one on ties; positions whose ``label_ids`` is -100 are left out; chunks are joined in order.
+    """
+    best = F.transform("scores", argmax_index)
+    parts = scored.select(*keep, "chunk_no", decode_tags(F.col("label_ids"), F.col("label_ids"), labels).alias("y"),
+                          decode_tags(F.col("label_ids"), best, labels).alias("p"))
+    each = parts.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("chunk_no", "y", "p"))).alias("c"))
+    return each.select(*keep, F.flatten("c.y").alias("labels"), F.flatten("c.p").alias("pred"))
+
+
 def spans(tags: Column) -> Column:
     """Tag array -> array of (type, start, end), 0-based and inclusive.
 

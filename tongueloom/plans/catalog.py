@@ -414,20 +414,33 @@ def tag_tokens(spark, sf):
         "row_id", "line_no", "pos", "word", "tag", "pred")
 
 
+def held_tags(spark, sf):
+    """Gold and predicted tags of the held-out sentences: features, a tagger fitted on the other half, scores, best labels, decoded."""
+    merges, vocab = learned(spark, sf)
+    halves = splits(spark, sf)
+    train, held = (ner.align_labels(views.tagged_of(halves.where(F.col("split") == part)), merges, vocab, NER_TAGS, NER_MAX_LEN) for part in ("train", "eval"))
+    table = spark.sparkContext.broadcast(ner.fit_piece_scores(train, len(vocab), len(NER_TAGS)))
+    return ner.decoded(ner.predict_scores(held, lambda ids, mask: table.value[ids], len(NER_TAGS)))
+
+
+def decode_tags(spark, sf):
+    return held_tags(spark, sf).select("guid", F.array_join("labels", " ").alias("labels"), F.array_join("pred", " ").alias("pred"))
+
+
 def bio_spans(spark, sf):
     got = ner.bio_spans(views.tagged(spark, sf), "pred")
     return got.select("guid", "type", F.col("start").cast("bigint"), F.col("end").cast("bigint"))
 
 
 def ner_metrics(spark, sf):
-    return _rounded(ner.ner_report(views.tagged(spark, sf)), "precision", "recall", "f1")
+    return _rounded(ner.ner_report(stage(held_tags(spark, sf), "held-tags")), "precision", "recall", "f1")
 
 
 def prediction_export(spark, sf):
-    lines = stage(views.conll_lines(spark, sf), "conll")  # stands for the input file, read twice
-    toks = readers.parse_conll(lines)
-    named = toks.withColumn("lang", F.col("file"))
-    pred = ner.tag(named, ner.fit_lexicon(named)).select("file", "line_no", "pred")
+    halves = splits(spark, sf)
+    lexicon = ner.fit_lexicon(views.tokens_of(halves.where(F.col("split") == "train")))
+    lines = stage(views.conll_lines_of(halves.where(F.col("split") == "eval")), "conll")  # stands for the input file, read twice
+    pred = ner.tag(readers.parse_conll(lines).withColumn("lang", F.col("file")), lexicon).select("file", "line_no", "pred")
     return ner.export(lines, pred)
 
 
@@ -458,7 +471,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mlm_mask, ngram_fit, ngram_top, heldout_perplexity, build_prompts, complete_prompts, predict_batches,
         augment_corpus, active_rounds, active_rounds_all,
         nb_classify, linear_classify, argmax_predictions, classification_metrics, cross_domain_eval,
-        conll_sentences, align_labels, align_labels_left, tag_tokens, bio_spans, ner_metrics, prediction_export,
+        conll_sentences, align_labels, align_labels_left, tag_tokens, decode_tags, bio_spans, ner_metrics, prediction_export,
         run_grid, seed_summary, checkpoint_compare,
     )
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from tongueloom.plans.catalog import N_MERGES, NER_MAX_LEN, QUALITY_LABELS, SEEDS, TASKS, TOPIC_LABELS, VOCAB_SIZE
-from tongueloom.plans.views import BLANK, RECURSIVE, SEED, SQL, h32, h60, wc, with_views, ws
+from tongueloom.plans.views import BLANK, DOC_SHIFT, RECURSIVE, SEED, SQL, h32, h60, wc, with_views, ws
 
 TAG_LIST = "['O','B-DATE','I-DATE','B-PER','I-PER','B-ORG','I-ORG','B-LOC','I-LOC']"
 
@@ -135,12 +135,27 @@ def _conll() -> dict[str, str]:
     }
 
 
-def _spans(name: str, col: str) -> dict[str, str]:
+def _held() -> dict[str, str]:
+    """Held-out tokens with the label that the first piece of their word carries most often in the other half (ties: the first label)."""
+    return {**_bpe(),
+        "first_pieces": """
+            select t.lang, t.row_id, t.line_no, t.pos, t.tag, w.ids[1] as piece, s.split
+            from tokens t join word_ids w using (word) join splits s on s.lang = t.lang and s.row_id = t.row_id""",
+        "held_best": f"""
+            select piece, tag from (
+              select piece, tag, row_number() over (partition by piece order by count(*) desc, list_position({TAG_LIST}, tag)) as k
+              from first_pieces where split = 'train' group by piece, tag) where k = 1""",
+        "held_tokens": """
+            select f.lang, f.row_id, f.line_no, f.pos, f.tag, coalesce(b.tag, 'O') as pred
+            from first_pieces f left join held_best b using (piece) where f.split = 'eval'"""}
+
+
+def _spans(name: str, col: str, tokens: str = "tokens") -> dict[str, str]:
     return {
         f"{name}_flags": f"""
             select lang, row_id, line_no, pos, {col} as t, case when {col} <> 'O' and (
                 {col} like 'B-%' or before is null or before = 'O' or substr(before, 3) <> substr({col}, 3)) then 1 else 0 end as opens
-            from (select *, lag({col}) over (partition by row_id, line_no order by pos) as before from tokens)""",
+            from (select *, lag({col}) over (partition by row_id, line_no order by pos) as before from {tokens})""",
         f"{name}_spans": f"""
             select lang, row_id, line_no, substr(min(t), 3) as type, min(pos) as "start", max(pos) as "end" from (
               select *, sum(opens) over (partition by row_id, line_no order by pos) as k from {name}_flags)
@@ -243,7 +258,7 @@ def build() -> dict[str, str]:
         "normalise_lines": v("select * from sentences"),
         "filter_min_words": v("select * from long_lines"),
         "filter_len_window": v(f"select * from sentences where {wc('line')} >= 5 and {wc('line')} < 256"),
-        "drop_missing": v("select * from missing where news_title is not null and label is not null and date is not null and trim(news_title) <> ''"),
+        "drop_missing": v("select * from missing where news_title is not null and label is not null and date is not null and trim(news_title) <> '' and news_title not in ('NA', 'null')"),
         "label_encode": v(f"select row_id, label, cast(list_position({TOPIC_LABELS}, lower(label)) - 1 as bigint) as label_id from topics"),
         "dedup_corpus": v("select lang, min(row_id) as row_id, input from corpus group by lang, input"),
         "concat_corpora": v("select row_number() over (order by lang, digest, row_id) as pos, lang, row_id from shuffled"),
@@ -340,10 +355,12 @@ def build() -> dict[str, str]:
         "align_labels": v(_features(False, False, False, 0, 0), bpe),
         "align_labels_left": v(_features(True, True, True, 2, 4), bpe),
         "tag_tokens": v("""
-            select t.row_id, t.line_no, t.pos, t.word, t.tag, coalesce(x.tag, 'O') as pred from tokens t left join (
-              select * from (select lang, word, tag, row_number() over (partition by lang, word order by count(*) desc, tag) as k
-                from tokens join splits using (lang, row_id) where split = 'train' group by lang, word, tag) where k = 1) x on x.lang = t.lang and x.word = t.word
-            join splits s on s.lang = t.lang and s.row_id = t.row_id where s.split = 'eval'"""),
+            select t.row_id, t.line_no, t.pos, t.word, t.tag, coalesce(x.tag, 'O') as pred
+            from tokens t join splits s on s.lang = t.lang and s.row_id = t.row_id left join lexicon x on x.lang = t.lang and x.word = t.word
+            where s.split = 'eval'"""),
+        "decode_tags": v("""
+            select lang || '-' || row_id || '-' || line_no as guid, string_agg(tag, ' ' order by pos) as labels, string_agg(pred, ' ' order by pos) as pred
+            from held_tokens group by lang, row_id, line_no""", _held()),
         "bio_spans": v("""select lang || '-' || row_id || '-' || line_no as guid, type, "start", "end" from p_spans""", _spans("p", "pred")),
         "ner_metrics": v("""
             with hits as (select g.type, count(*) as t from g_spans g join p_spans p using (row_id, line_no, type, "start", "end") group by g.type),
@@ -357,16 +374,14 @@ def build() -> dict[str, str]:
             union all select 'micro avg', round(sum(t) / sum(p), 6), round(sum(t) / sum(g), 6), round(2 * sum(t) / (sum(g) + sum(p)), 6), sum(g)::bigint from r
             union all select 'macro avg', round(avg(pr), 6), round(avg(re), 6), round(avg(f), 6), sum(g)::bigint from r
             union all select 'weighted avg', round(sum(pr * g) / sum(g), 6), round(sum(re * g) / sum(g), 6), round(sum(f * g) / sum(g), 6), sum(g)::bigint from r
-            """.replace("with hits", "select * from (with hits", 1) + ")", {**_spans("p", "pred"), **_spans("g", "tag")}),
+            """.replace("with hits", "select * from (with hits", 1) + ")", {**_held(), **_spans("p", "pred", "held_tokens"), **_spans("g", "tag", "held_tokens")}),
         "prediction_export": v(f"""
             select m.file, m.line_no, case when length(trim(m.line)) < 2 or m.line like '-DOCSTART-%' then m.line
-                else t.word || ' ' || x.tag end as out_line,
+                else t.word || ' ' || coalesce(x.tag, 'O') end as out_line,
               case when length(trim(m.line)) < 2 then 'boundary' when m.line like '-DOCSTART-%' then 'document' else 'token' end as status
-            from conll_marked m left join conll_tokens t using (file, line_no)
-            left join (select file, word, min(tag) as tag from (
-              select file, word, tag, n, max(n) over (partition by file, word) as most from (
-                select file, word, tag, count(*) as n from conll_tokens group by all)) where n = most group by file, word) x
-              on x.file = t.file and x.word = t.word""", conll),
+            from conll_marked m join splits s on s.lang = m.file and s.row_id = m.line_no // {DOC_SHIFT}
+            left join conll_tokens t on t.file = m.file and t.line_no = m.line_no left join lexicon x on x.lang = t.file and x.word = t.word
+            where s.split = 'eval'""", conll),
         "run_grid": v(f"""
             select task, lang, seed::bigint as seed from (select distinct lang from corpus),
               (select unnest({TASKS}) as task), (select unnest({SEEDS}) as seed)"""),

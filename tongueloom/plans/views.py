@@ -37,7 +37,7 @@ def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hash32(F.col("row_id")) % 11
     return topics(spark, sf_dir).select(
         "lang", "row_id",
-        F.when(h == 0, F.lit(None)).when(h == 1, F.lit("  ")).otherwise(F.col("news_title")).alias("news_title"),
+        F.when(h == 0, F.lit(None)).when(h == 1, F.lit("  ")).when(h == 4, F.lit("NA")).when(h == 5, F.lit("null")).otherwise(F.col("news_title")).alias("news_title"),
         F.when(h == 2, F.lit(None)).otherwise(F.col("label")).alias("label"), F.when(h != 3, F.lit("1 Oṣù")).alias("date"),
     )
 
@@ -94,6 +94,10 @@ def tokens_of(records: DataFrame) -> DataFrame:
 
 
 def conll_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conll_lines_of(corpus(spark, sf_dir))
+
+
+def conll_lines_of(records: DataFrame) -> DataFrame:
     """(file,line_no,line): tagged sentences as token lines, one file per language.
 
     Some tokens carry no tag, some sentences end in two empty lines, some documents open with a mark.
@@ -110,7 +114,7 @@ def conll_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.filter(F.transform(lines(F.col("input")), strip), lambda x: F.size(words(x)) > 5)
     head = F.when(row % 100 == 0, F.array(F.lit("-DOCSTART- O"), F.lit(""))).otherwise(F.array().cast("array<string>"))
     body = F.concat(head, F.flatten(F.transform(kept, token_lines)))
-    return corpus(spark, sf_dir).select(F.col("lang").alias("file"), "row_id", F.posexplode(body).alias("i", "line")).select(
+    return records.select(F.col("lang").alias("file"), "row_id", F.posexplode(body).alias("i", "line")).select(
         "file", (row * F.lit(DOC_SHIFT) + F.col("i")).alias("line_no"), "line")
 
 
@@ -150,10 +154,14 @@ SQL = {
     "topics": "select lang, row_id, input as news_title, upper(lang) as label from corpus",
     "missing": f"""
         select lang, row_id,
-          case {h32('cast(row_id as varchar)')} % 11 when 0 then null when 1 then '  ' else news_title end as news_title,
+          case {h32('cast(row_id as varchar)')} % 11 when 0 then null when 1 then '  ' when 4 then 'NA' when 5 then 'null' else news_title end as news_title,
           case {h32('cast(row_id as varchar)')} % 11 when 2 then null else label end as label,
           case {h32('cast(row_id as varchar)')} % 11 when 3 then null else '1 Oṣù' end as date
         from topics""",
+    "lexicon": """
+        select lang, word, tag from (
+          select lang, word, tag, row_number() over (partition by lang, word order by count(*) desc, tag) as k
+          from tokens join splits using (lang, row_id) where split = 'train' group by lang, word, tag) where k = 1""",
     "quality": """
         select c.lang, c.row_id, c.input, cast(l.quality as varchar) as label
         from corpus c join labels l on l.doc_id = c.row_id""",
@@ -231,7 +239,7 @@ RECURSIVE = {
 
 
 # referenced more than once, or costly to expand in place
-MATERIALIZED = ("top_next", "prompts", "sentences", "corpus_", "splits", "tokens", "raw_tokens", "long_lines", "word", "pairs", "encoded", "alphabet")
+MATERIALIZED = ("top_next", "prompts", "sentences", "corpus_", "splits", "tokens", "raw_tokens", "long_lines", "word", "pairs", "encoded", "alphabet", "lexicon", "held", "first_pieces")
 
 
 def _needs(body: str, defs: dict[str, str]) -> list[str]:
