@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tongueloom.config import CorpusJob
@@ -115,3 +116,21 @@ def test_three_rounds_grow_without_losing_text(spark):
         if k > 1:
             assert r["n_before"] == stats[k - 1, "a"]["n_after"] and r["n_after"] == r["n_before"] + r["n_new"]
     assert stats[1, "a"]["n_before"] == 60 and stats[3, "blank"]["n_after"] == 1
+
+
+def test_failed_predictions_are_kept_and_counted(spark, tmp_path):
+    df = spark.createDataFrame([("a",), ("bad",), ("c",), (None,)], "prompt string")
+
+    def fn(prompts):
+        if prompts.isna().any() or prompts.str.contains("bad").any():
+            raise ValueError("no such prompt")
+        return prompts.str.upper()
+
+    done = lm.predict_checked(df, fn, str(tmp_path / "ledger"))
+    assert {r.prompt: (r.prediction, r.error) for r in done.collect()} == {
+        "a": ("A", None), "c": ("C", None), "bad": ("", "ValueError: no such prompt"), None: ("", "ValueError: no such prompt")}
+    assert spark.read.parquet(str(tmp_path / "ledger")).count() == 2
+    with pytest.raises(lm.PredictionsFailed, match="4 of 4"):
+        lm.predict_checked(df, lambda p: p[:0], str(tmp_path / "ledger"))
+    assert spark.read.parquet(str(tmp_path / "ledger")).select("error").distinct().count() == 1
+    assert lm.predict_checked(df.limit(0), fn, str(tmp_path / "none")).count() == 0

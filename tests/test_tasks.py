@@ -269,3 +269,48 @@ def test_guard_and_cache(spark, tmp_path):
     for refresh in (False, False, True):
         assert sinks.cached(spark, str(tmp_path), build, ("dev", "m", 8), refresh).count() == 2
     assert len(calls) == 2 and sinks.cache_key("a", "b") != sinks.cache_key("ab")
+
+
+def test_only_changed_parts_are_built(spark, tmp_path):
+    built, folder = [], str(tmp_path / "cache")
+    rows = [(i, f"text {i}") for i in range(200)]
+
+    def build(df):
+        out = df.selectExpr("part", "id", "upper(text) as text").where("id <> 5")
+        if df.count():
+            built.append(sorted({r.part for r in df.collect()}))
+        return out
+
+    def run(rows):
+        df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+        return sorted(map(tuple, sinks.cached_parts(df, folder, build, ("v1",), ["id"], parts=16).collect()))
+
+    want = lambda rows: sorted((i, t.upper()) for i, t in rows if i != 5)
+    assert run(rows) == want(rows) and len(built) == 1 and len(built[0]) == 16
+    assert run(rows[::-1]) == want(rows) and len(built) == 1
+    changed = [(i, "other" if i == 9 else t) for i, t in rows]
+    assert run(changed) == want(changed) and len(built) == 2 and len(built[1]) == 1
+    fewer = changed[:3]
+    assert run(fewer) == want(fewer) and run([(5, "x")]) == [] and run([]) == []
+
+    n = len(built)
+
+    def dies(df):
+        out = build(df)
+        if built[n:]:
+            out.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/left-over")
+            raise RuntimeError("killed between files")
+        return out
+
+    df = spark.createDataFrame(rows, "id long, text string")
+    with pytest.raises(RuntimeError):
+        sinks.cached_parts(df, folder, dies, ("v1",), ["id"], parts=16).collect()
+    assert run(rows) == want(rows)
+
+
+def test_a_half_written_cache_is_no_hit(spark, tmp_path):
+    path = tmp_path / f"features-{sinks.cache_key('k')}"
+    spark.range(9).write.parquet(str(path))
+    (path / "_SUCCESS").unlink()
+    assert sinks.cached(spark, str(tmp_path), lambda: spark.range(2), ("k",)).count() == 2
+    assert sinks.cached(spark, str(tmp_path), lambda: spark.range(4), ("k",)).count() == 2

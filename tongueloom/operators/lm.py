@@ -180,30 +180,55 @@ def complete(prompted: DataFrame, top: DataFrame, max_tokens: int) -> DataFrame:
     return out.withColumn("sentence", F.array_join(F.concat(F.array("prompt"), added), " ")).drop("_first", "_tail")
 
 
-def predict(df: DataFrame, fn: Callable[[pd.Series], pd.Series], text: str = "prompt", out: str = "prediction") -> DataFrame:
-    """Run a user's batch predictor over ``text``; a row it fails on gets ``''``.
+def predict(df: DataFrame, fn: Callable[[pd.Series], pd.Series], text: str = "prompt", out: str = "prediction", error: str = "error") -> DataFrame:
+    """Run a user's batch predictor over ``text``; a row it fails on gets ``''`` and its message in ``error``, which is null elsewhere.
 
-    A failing batch is retried row by row, so one bad row does not blank its neighbours.
+    A failing batch, or one with another number of results, is retried row by row, so one bad row does not blank its neighbours.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField(error, T.StringType())])
 
-    def one(value: str) -> str:
+    def called(values: pd.Series) -> list:
+        got = list(fn(values))
+        if len(got) != len(values):
+            raise ValueError(f"{len(got)} predictions for {len(values)} rows")
+        return got
+
+    def one(value: str) -> tuple[str, str | None]:
         try:
-            return fn(pd.Series([value])).iloc[0]
-        except Exception:
-            return ""
+            return called(pd.Series([value]))[0], None
+        except Exception as e:
+            return "", f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             try:
-                got = pd.Series(fn(batch[text])).to_numpy()
+                got, errors = called(batch[text]), None
             except Exception:
-                got = [one(v) for v in batch[text]]
-            yield batch.assign(**{out: got})
+                both = [one(v) for v in batch[text]]
+                got, errors = [x for x, _ in both], [e for _, e in both]
+            yield batch.assign(**{out: pd.Series(got, index=batch.index, dtype=object), error: pd.Series(errors, index=batch.index, dtype=object)})
 
     return df.mapInPandas(run, schema)
 
 
+class PredictionsFailed(RuntimeError):
+    """More rows failed than a job allows."""
+
+
+def predict_checked(df: DataFrame, fn: Callable[[pd.Series], pd.Series], ledger: str, max_share: float = 0.5, **more) -> DataFrame:
+    """``predict``, with the failed rows and their messages written to the folder ``ledger``; above ``max_share`` of failed rows the job ends.
+
+    Predictions are staged once, so the predictor is not run again by what follows. The ledger is written before the job is ended.
+    """
+    done = stage(predict(df, fn, **more), "predictions")
+    failed = F.col(more.get("error", "error")).isNotNull()
+    done.where(failed).write.mode("overwrite").parquet(ledger)
+    n = done.agg(F.count("*").alias("rows"), F.count_if(failed).alias("failed")).first()
+    if n.failed > max_share * n.rows:
+        raise PredictionsFailed(f"{n.failed} of {n.rows} rows failed, see {ledger}")
+    return done
+
+
 def fresh_sentences(corpus: DataFrame, generated: DataFrame, round_no: int) -> DataFrame:
     """Generated sentences a corpus does not hold yet, once each: (lang, row_id, input, is_generated).
 

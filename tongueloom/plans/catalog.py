@@ -170,11 +170,12 @@ def sink_guarded(spark, sf):
 def feature_cache(spark, sf):
     folder = fresh_path(spark, "cache")
     merges, vocab = learned(spark, sf)
-    rows = long_lines(spark, sf).agg(F.count("*"), F.sum(F.xxhash64("lang", "row_id", "line_no", "line").cast("decimal(38,0)"))).first()
-    key = ("test", "bigram", JOB.max_len, merges, sorted(vocab.items()), *rows)  # and over the input rows
-    build = lambda: encoded(spark, sf)
-    sinks.cached(spark, folder, build, key)
-    hit = sinks.cached(spark, folder, build, key)  # read, not rebuilt
+    keep = ("lang", "row_id", "line_no")
+    build = lambda lines: subword.encode_sequences(lines, merges, vocab, JOB.max_len, (*keep, "part"))
+    key = ("test", "bigram", JOB.max_len, merges, sorted(vocab.items()))
+    lines = stage(long_lines(spark, sf), "lines")
+    sinks.cached_parts(lines.where(F.col("row_id") % 7 != 0), folder, build, key, keep[:2])  # an earlier state of the corpus
+    hit = sinks.cached_parts(lines, folder, build, key, keep[:2])  # only parts that got further rows are encoded again
     return hit.select("lang", "row_id", "line_no", "chunk_no", _joined("input_ids"))
 
 
@@ -333,7 +334,7 @@ def _echo_last_word(prompts):
 
 def predict_batches(spark, sf):
     asked = lm.prompts(drawn(spark, sf), JOB.mask_rate).select("lang", "draw", "prompt")
-    return lm.predict(asked, _echo_last_word)
+    return lm.predict_checked(asked, _echo_last_word, fresh_path(spark, "failed-prompts"), max_share=0.95)
 
 
 def augment_corpus(spark, sf):

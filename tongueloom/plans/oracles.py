@@ -318,7 +318,8 @@ def build() -> dict[str, str]:
         "complete_prompts": v("select lang, draw, n_tokens::bigint as n_tokens, sentence from completed"),
         "predict_batches": v("""
             select lang, draw, prompt, case when regexp_matches(prompt, '[^\\x00-\\x7f]') then ''
-              else prompt || ' ' || regexp_split_to_array(prompt, ' ')[-1] end as prediction from prompts"""),
+              else prompt || ' ' || regexp_split_to_array(prompt, ' ')[-1] end as prediction,
+              case when regexp_matches(prompt, '[^\\x00-\\x7f]') then 'ValueError: non-ASCII prompt' end as error from prompts"""),
         "augment_corpus": v("""
             select lang, md5(input) as text_md5, min(g) as is_generated from (
               select lang, input, 0 as g from corpus union all select lang, sentence, 1 from completed) group by lang, input"""),
