@@ -134,3 +134,16 @@ def test_failed_predictions_are_kept_and_counted(spark, tmp_path):
         lm.predict_checked(df, lambda p: p[:0], str(tmp_path / "ledger"))
     assert spark.read.parquet(str(tmp_path / "ledger")).select("error").distinct().count() == 1
     assert lm.predict_checked(df.limit(0), fn, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 1 << 20, 8])
+def test_filter_over_digests_loses_nothing(spark, bits):
+    corpus = spark.range(4000).selectExpr("if(id % 2 = 0, 'a', 'b') as lang", "concat('s', id) as input")
+    table = corpus.where("input like '%7'").selectExpr("md5(concat_ws('|', lang, input)) as digest")
+    got = lm.maybe_among(corpus.selectExpr("md5(concat_ws('|', lang, input)) as digest", "input"), table, "digest", bits)
+    texts = {r.input for r in got.collect()}
+    assert {f"s{i}" for i in range(4000) if i % 10 == 7} <= texts and (len(texts) < 420 if bits > 8 else len(texts) == 4000)
+    made = spark.createDataFrame([("a", "s2"), ("a", "s3"), ("a", "s3"), ("b", "s7"), ("b", "new"), ("a", "new")], "lang string, sentence string")
+    fresh = lm.fresh_sentences(corpus, made, 1, bits)
+    assert sorted((r.lang, r.input) for r in fresh.collect()) == [("a", "new"), ("a", "s3"), ("b", "new")]
+    assert lm.fresh_sentences(corpus.limit(0), made, 1, bits).count() == 5 and lm.fresh_sentences(corpus, made.limit(0), 1, bits).count() == 0

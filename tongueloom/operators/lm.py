@@ -229,15 +229,31 @@ def predict_checked(df: DataFrame, fn: Callable[[pd.Series], pd.Series], ledger:
     return done
 
 
-def fresh_sentences(corpus: DataFrame, generated: DataFrame, round_no: int) -> DataFrame:
+def maybe_among(df: DataFrame, table: DataFrame, digest: str, bits: int = 1 << 28) -> DataFrame:
+    """The rows of ``df`` whose md5 may be among those of ``table``: none that is among them is lost, few others stay.
+
+    A Bloom filter with one hash: ``table`` sets bits of at most ``bits``, in maps of 4 KB that are made and joined distributed, so what is broadcast
+    is bounded by ``bits`` (32 MB) whatever the tables. A filter that has become full only lets more rows through.
+    """
+    spot = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % bits
+    area, place = F.floor(spot / 32768), spot % 32768
+    maps = table.select(area.alias("_area"), place.alias("_place")).groupBy("_area").agg(F.bitmap_construct_agg("_place").alias("_map"))
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_place div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    hit = F.expr("cast(shiftleft(1, cast(_place % 8 as int)) as int)").bitwiseAND(byte) != 0
+    placed = df.withColumns({"_area": area, "_place": place})
+    return placed.join(F.broadcast(stage(maps, "bloom")), "_area").where(hit).select(*df.columns)
+
+
+def fresh_sentences(corpus: DataFrame, generated: DataFrame, round_no: int, bits: int = 1 << 28) -> DataFrame:
     """Generated sentences a corpus does not hold yet, once each: (lang, row_id, input, is_generated).
 
-    The corpus is only scanned and looked up in the few new sentences, never shuffled. ``row_id`` is
-    named after round and text.
+    Texts are compared by 128-bit digests. The corpus is scanned once and not shuffled: what passes a filter over the generated
+    digests is joined exactly, as digests. No sentence is broadcast. ``row_id`` is named after round and text.
     """
-    keys = ["lang", "input"]
-    new = stage(generated.select("lang", F.col("sentence").alias("input")).distinct(), "new")
-    known = lookup_join(corpus.select(*keys), new, keys, "inner", staged=True).distinct()
+    keys = ["lang", "digest"]
+    named = F.md5(F.concat_ws("|", "lang", "input")).alias("digest")
+    new = stage(generated.select("lang", F.col("sentence").alias("input")).distinct().select("lang", "input", named), "new")
+    known = maybe_among(corpus.select("lang", named), new, "digest", bits).distinct()
     return new.join(known, keys, "left_anti").select(
         "lang", F.concat_ws(":", F.lit(f"r{round_no}"), F.md5("input")).alias("row_id"), "input", F.lit(1).alias("is_generated"))
 
