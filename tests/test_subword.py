@@ -147,3 +147,21 @@ def test_vocab_has_no_piece_twice(spark):
     rows = subword.vocab_table(spark, [("a", "b"), ("ab", "c"), ("a", "bc")], letters).orderBy("id").collect()
     assert [r["piece"] for r in rows] == ["<s>", "<pad>", "</s>", "<unk>", "ab", "abc", "a", "b", "<mask>"]
     assert [r["id"] for r in rows] == list(range(9))
+
+
+def test_frequent_merges_need_few_parts_of_the_words(spark, monkeypatch):
+    rng = random.Random(3)
+    counts = {rng.choice(("the", "and", "ring")) + "".join(rng.choice("qxzjkvwpbmfy") for _ in range(5)) + rng.choice(("ing", "the", "")): 1 for _ in range(800)}
+    entered = []
+    whole = merges.PairIndex.__init__
+    monkeypatch.setattr(merges.PairIndex, "__init__", lambda self, spark, words, *more: entered.append(words.count()) or whole(self, spark, words, *more))
+    df = spark.createDataFrame(list(counts.items()), "word string, n long")
+    assert subword.train_bpe(df, 6)[0] == slow_bpe(counts, 6)[0]
+    assert sum(entered) < len(counts) // 4
+    monkeypatch.setattr(merges.Sample, "reach", lambda self, n: 400.0)  # too high a floor: the words are cut again, at lower ones
+    assert subword.train_bpe(df, 9)[0] == slow_bpe(counts, 9)[0]
+
+
+def test_cut_words_keep_every_pair_at_or_above_the_floor():
+    assert list(merges.cut("_abcab", {"ab", "ca"})) == ["ab", "cab"]
+    assert list(merges.cut("_a", {"ab"})) == [] and list(merges.cut("aab", {"aa", "ab"})) == ["aab"]
