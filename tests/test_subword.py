@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,18 @@ def test_frequent_merges_need_few_parts_of_the_words(spark, monkeypatch):
 def test_cut_words_keep_every_pair_at_or_above_the_floor():
     assert list(merges.cut("_abcab", {"ab", "ca"})) == ["ab", "cab"]
     assert list(merges.cut("_a", {"ab"})) == [] and list(merges.cut("aab", {"aa", "ab"})) == ["aab"]
+
+
+def test_words_are_encoded_by_their_few_parts():
+    rng = random.Random(8)
+    learned = [("a", "b"), ("ab", "c"), (WORD_MARK, "x"), ("b", "a"), ("c", "abc")]
+    some = ["".join(rng.choice("abcxñ\U0001f600") for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    of, segment, asked = subword.WordPieces(learned), subword.segmenter(learned), []
+    part_of = of.segment
+    of.segment = lambda part: asked.append(part) or part_of(part)
+    n, flat = of(pa.array(some))
+    want = [segment(w) for w in some]
+    assert n.tolist() == [len(x) for x in want] and flat.to_pylist() == [p for x in want for p in x]
+    assert len(asked) < len(set(some)) // 4
+    assert [len(x) for x in of(pa.array([], type=pa.string()))] == [0, 0]
+    assert subword.WordPieces([], {"a": 7})(pa.array(["ab", "a"]))[1].to_pylist() == [3, 7, 3, 3, 7]

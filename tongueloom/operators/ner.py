@@ -13,7 +13,7 @@ from tongueloom.functions.arrays import argmax_index, label_index
 from tongueloom.functions.text import strip
 from tongueloom.operators.classify import ratio
 from tongueloom.operators.rank import running_sum
-from tongueloom.operators.subword import word_chunks
+from tongueloom.operators.subword import labelled_chunks
 from tongueloom.session import lookup_join, stage
 from tongueloom.sources.readers import parse_conll
 
@@ -62,15 +62,9 @@ def align_labels(
     """
     big = lambda v: F.lit(v).cast("bigint")
     room = max_len - (3 if sep_extra else 2)
-    cut = sentences.select(*keep, F.transform("labels", lambda x: label_index(x, labels, "tag")).alias("_y"),
-                           word_chunks(merges, vocab, room)("words").alias("_parts"))
-    many = cut.withColumn("chunk_no", F.explode(F.sequence(big(0), F.greatest(F.array_max("_parts.chunk"), big(0)))))
-    own = F.filter("_parts", lambda p: p["chunk"] == F.col("chunk_no"))
-    tags_of = lambda p: F.concat(
-        F.array(F.when(p["first"], F.get("_y", p["word"])).otherwise(big(IGNORE_LABEL_ID))),
-        F.array_repeat(big(IGNORE_LABEL_ID), F.size(p["ids"]) - 1))
-    body = many.withColumn("_own", own).select(
-        *keep, "chunk_no", F.flatten("_own.ids").alias("_ids"), F.flatten(F.transform("_own", tags_of)).alias("_tags"))
+    tags_of = F.transform("labels", lambda x: label_index(x, labels, "tag"))
+    cut = sentences.select(*keep, F.posexplode(labelled_chunks(merges, vocab, room)("words", tags_of)).alias("chunk_no", "_c"))
+    body = cut.select(*keep, F.col("chunk_no").cast("bigint").alias("chunk_no"), F.col("_c.ids").alias("_ids"), F.col("_c.tags").alias("_tags"))
     seps = 2 if sep_extra else 1
     eos, cls, ign = [big(EOS_ID)] * seps, [big(BOS_ID)], [big(IGNORE_LABEL_ID)]
     zeros = F.array_repeat(big(0), F.size("_ids") + seps)
@@ -87,7 +81,7 @@ def align_labels(
         pad = F.array_repeat(big(fill), F.lit(max_len) - F.size(values))
         return F.concat(pad, values) if pad_left else F.concat(values, pad)
 
-    mask = F.transform(ids, lambda _: big(1))
+    mask = F.array_repeat(big(1), F.size(ids))
     return body.select(
         *keep, "chunk_no", padded(ids, PAD_ID).alias("input_ids"), padded(mask, 0).alias("input_mask"),
         padded(segments, pad_segment).alias("segment_ids"), padded(tags, IGNORE_LABEL_ID).alias("label_ids"),
