@@ -1,12 +1,13 @@
 """String-kernel toxicity: the kernel by brute force, held-out accuracy, gapped and changed insults."""
 
 import random
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
 
 from tongueloom.llm.common import crc_bucket
-from tongueloom.llm.toxicity import _TABLE, CODES, Subsequences, Toxicity, fit, joined, reject, score
+from tongueloom.llm.toxicity import _TABLE, CODES, Subsequences, Toxicity, _svm, fit, joined, reject, score
 
 
 def kernel(a, b, p):
@@ -71,3 +72,16 @@ def test_without_labels(spark, docs_of):
 
 def test_letters_set_apart():
     assert joined(b"x I D I O T y a b z") == b"xidioty a b z" or joined(b"xx I D I O T yy a b zz") == b"xx idiot yy a b zz"
+
+
+def test_the_fit_holds_its_features_once():
+    rng = np.random.default_rng(4)
+    z = np.column_stack((rng.normal(size=(30_000, 40)), np.ones(30_000)))
+    bad, good = rng.random(30_000) * (z[:, 0] > 0), rng.random(30_000)
+    tracemalloc.start()
+    w = _svm(z, bad, good, 1e-3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < z.nbytes / 2  # with every row twice and its active copies it was several times as much
+    slope = 1e-3 * w - (bad * np.maximum(1 - z @ w, 0)) @ z + (good * np.maximum(1 + z @ w, 0)) @ z
+    assert np.abs(slope[:-1]).max() < 1e-4

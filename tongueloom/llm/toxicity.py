@@ -23,6 +23,7 @@ from tongueloom.llm.common import crc_bucket, prepare
 from tongueloom.llm.wordhash import Words, slices
 from tongueloom.session import stage
 
+BLOCK = 4096  # words of the fit at a time
 CODES = 64  # character classes; 0 is a mere gap, the last one stands before every word
 
 
@@ -138,15 +139,22 @@ class Scorer:
         return out
 
 
-def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
-    """Linear SVM with squared hinge loss, by Newton steps on the active examples; the last feature is the constant."""
+def _svm(z: np.ndarray, bad: np.ndarray, good: np.ndarray, ridge: float) -> np.ndarray:
+    """Linear SVM with squared hinge loss, by Newton steps on the active examples; the last feature is the constant.
+
+    Every row is an example of either class, with the weights ``bad`` and ``good``. Sums go by blocks of rows: the driver holds ``z`` once.
+    """
     w = np.zeros(z.shape[1])
     penal = ridge * np.eye(z.shape[1])
     penal[-1, -1] = 1e-9
     for _ in range(50):
-        active = y * (z @ w) < 1
-        za, wa = z[active], weight[active]
-        new = np.linalg.solve(penal + (za * wa[:, None]).T @ za, (za * wa[:, None]).T @ y[active])
+        margin = z @ w
+        toxic, clean = bad * (margin < 1), good * (margin > -1)
+        left = penal.copy()
+        for a in range(0, len(z), BLOCK):
+            part = z[a:a + BLOCK]
+            left += (part * (toxic + clean)[a:a + BLOCK, None]).T @ part
+        new = np.linalg.solve(left, (toxic - clean) @ z)
         if np.abs(new - w).max() < 1e-8:
             break
         w = new
@@ -212,19 +220,24 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> ToxicMo
     words = [r.word.encode() for r in rows]
     bad = np.array([r.toxic for r in rows]) / sizes[1][0]
     good = np.array([r.clean for r in rows]) / sizes[0][0]
-    subs = Subsequences(words, p)
+    blocks = range(0, len(words), BLOCK)
+    subs = [Subsequences(words[a:a + BLOCK], p) for a in blocks]
     telling = np.log((bad + 1e-3) / (good + 1e-3)) * np.sqrt(bad)
     chosen = _landmarks(words, np.argsort(-telling, kind="stable"), p) + _landmarks(words, np.argsort(-good, kind="stable"), p)
     chosen = list(dict.fromkeys(chosen))
     marks = Subsequences([words[k] for k in chosen], p)
-    kernel, inner = np.empty((len(words), len(chosen))), np.empty((len(chosen), len(chosen)))
+    z, inner = np.ones((len(words), len(chosen) + 1)), np.empty((len(chosen), len(chosen)))  # kernel values, whitened in place, and the constant
     for k, unit in enumerate(np.eye(len(chosen))):
         table = marks.table(unit)
-        kernel[:, k], inner[:, k] = subs.against(table), marks.against(table)
+        for a, own in zip(blocks, subs):
+            z[a:a + BLOCK, k] = own.against(table)
+        inner[:, k] = marks.against(table)
+    del subs
     value, vector = np.linalg.eigh((inner + inner.T) / 2 + 1e-6 * np.eye(len(chosen)))
     whiten = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
-    z = np.column_stack((kernel @ whiten, np.ones(len(words))))
-    w = _svm(np.concatenate((z, z)), np.repeat([1.0, -1.0], len(words)), np.concatenate((bad, p.cost_clean * good)), p.ridge)
+    for a in blocks:
+        z[a:a + BLOCK, :-1] = z[a:a + BLOCK, :-1] @ whiten
+    w = _svm(z, bad, p.cost_clean * good, p.ridge)
     weights = marks.table(whiten @ w[:-1]).astype(np.float32)
     bias = float(w[-1])
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # CODES ** 3 numbers
