@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import Column, functions as F
 
 SPAN = 4294967296  # values of one 32-bit word
@@ -33,3 +35,8 @@ def hash60(*parts) -> Column:
 def uniform(h: Column) -> Column:
     """A 32-bit hash as a number strictly inside (0, 1), safe under a logarithm."""
     return (h + F.lit(1)) / F.lit(float(SPAN + 1))
+
+
+def hash_word32(text: str) -> int:
+    """``hash32`` of one text in Python; parts are joined by the caller."""
+    return int.from_bytes(md5(text.encode(), usedforsecurity=False).digest()[:4], "big")

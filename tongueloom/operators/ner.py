@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tongueloom.config import BOS_ID, EOS_ID, IGNORE_LABEL_ID, NER_TAGS, PAD_ID
-from tongueloom.functions.arrays import argmax_index, label_index
+from tongueloom.functions.arrays import argmax_index, label_indices
 from tongueloom.functions.text import strip
 from tongueloom.operators.classify import ratio
 from tongueloom.operators.rank import running_sum
@@ -62,7 +62,7 @@ def align_labels(
     """
     big = lambda v: F.lit(v).cast("bigint")
     room = max_len - (3 if sep_extra else 2)
-    tags_of = F.transform("labels", lambda x: label_index(x, labels, "tag"))
+    tags_of = label_indices(F.col("labels"), labels, "tag")
     cut = sentences.select(*keep, F.posexplode(labelled_chunks(merges, vocab, room)("words", tags_of)).alias("chunk_no", "_c"))
     body = cut.select(*keep, F.col("chunk_no").cast("bigint").alias("chunk_no"), F.col("_c.ids").alias("_ids"), F.col("_c.tags").alias("_tags"))
     seps = 2 if sep_extra else 1
@@ -111,10 +111,23 @@ def decode_tags(label_ids: Column, values: Column, labels: Sequence[str] = tuple
 
 def fit_piece_scores(features: DataFrame, n_pieces: int, n_labels: int) -> np.ndarray:
     """How often each piece, as the first one of a word, carries each label: a table of vocabulary size, the model of a simple tagger."""
-    pairs = features.select(F.explode(F.arrays_zip("input_ids", "label_ids")).alias("z")).where(F.col("z.label_ids") != IGNORE_LABEL_ID)
     table = np.zeros((n_pieces, n_labels))
-    for r in pairs.groupBy("z.input_ids", "z.label_ids").count().collect():  # at most one row per piece and label
-        table[r[0], r[1]] = r[2]
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(n_pieces * n_labels, dtype=np.int64)
+        for batch in batches:
+            ids, labels = (batch.column(c).flatten().to_numpy() for c in ("input_ids", "label_ids"))
+            kept = labels != IGNORE_LABEL_ID
+            ids, labels = ids[kept], labels[kept]
+            if len(ids) and not (0 <= ids.min() and ids.max() < n_pieces and 0 <= labels.min() and labels.max() < n_labels):
+                raise IndexError(f"an id or a label is outside the table of {n_pieces} pieces and {n_labels} labels")
+            seen += np.bincount(ids * n_labels + labels, minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at // n_labels), pa.array(at % n_labels), pa.array(seen[at])], names=["piece", "label", "n"])
+
+    each = features.select("input_ids", "label_ids").mapInArrow(count, "piece long, label long, n long")
+    for r in each.groupBy("piece", "label").agg(F.sum("n").alias("n")).collect():  # at most one row per piece and label
+        table[r.piece, r.label] = r.n
     return table
 
 
@@ -148,11 +161,14 @@ def decoded(scored: DataFrame, labels: Sequence[str] = tuple(NER_TAGS), keep: Se
 
     The best score of a position is its label, the first one on ties; positions whose ``label_ids`` is -100 are left out; chunks are joined in order.
     """
-    best = F.transform("scores", argmax_index)
-    parts = scored.select(*keep, "chunk_no", decode_tags(F.col("label_ids"), F.col("label_ids"), labels).alias("y"),
-                          decode_tags(F.col("label_ids"), best, labels).alias("p"))
-    each = parts.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("chunk_no", "y", "p"))).alias("c"))
-    return each.select(*keep, F.flatten("c.y").alias("labels"), F.flatten("c.p").alias("pred"))
+    names = F.array(*[F.lit(x) for x in labels])
+    tag_at = lambda i: F.element_at(names, (i + 1).cast("int"))
+    # positions are dropped before their scores are looked at: most of a padded row has no label
+    kept = F.filter(F.arrays_zip(F.col("label_ids").alias("y"), F.col("scores").alias("s")), lambda z: z["y"] != IGNORE_LABEL_ID)
+    both = F.transform(kept, lambda z: F.struct(tag_at(z["y"]).alias("y"), tag_at(argmax_index(z["s"])).alias("p")))
+    parts = scored.select(*keep, F.struct("chunk_no", both.alias("b")).alias("part"))
+    each = parts.groupBy(*keep).agg(F.array_sort(F.collect_list("part")).alias("c")).select(*keep, F.flatten("c.b").alias("b"))
+    return each.select(*keep, F.col("b.y").alias("labels"), F.col("b.p").alias("pred"))
 
 
 def spans(tags: Column) -> Column:
