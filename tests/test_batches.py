@@ -1,14 +1,16 @@
 """Steps that run on whole Arrow batches give what the expressions they replace give, and read their input once."""
 
 import contextlib
+import hashlib
 import io
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tongueloom.config import BOS_ID, EOS_ID, IGNORE_LABEL_ID, PAD_ID
 from tongueloom.functions.arrays import label_indices
-from tongueloom.operators import ner
+from tongueloom.operators import lm, ner
 from tongueloom.plans import views
 
 
@@ -32,6 +34,27 @@ def test_tags_of_sentences_hash_no_word_in_a_lambda(spark):
     assert "md5" not in plan_of(views.tagged_of(docs).select("guid", "labels"))
 
 
+def test_mask_equals_a_loop(spark):
+    rng = random.Random(2)
+    rows = [(i if i % 5 else None, i % 3, 0, [BOS_ID, *(rng.randint(5, 90) for _ in range(rng.randint(0, 30))), EOS_ID, PAD_ID]) for i in range(120)]
+    df = spark.createDataFrame([("en", *r) for r in rows], "lang string, row_id bigint, line_no bigint, chunk_no bigint, input_ids array<bigint>")
+    masked = lm.mlm_mask(df, 100, 100, 0.5, 7)
+    assert "md5" not in plan_of(masked)
+    want = []
+    for row_id, line_no, chunk_no, ids in rows:
+        new, labels = [], []
+        for i, x in enumerate(ids):
+            key = "|".join(str(p) for p in (7, row_id, line_no, chunk_no, i) if p is not None)
+            h = hashlib.md5(key.encode()).hexdigest()
+            a, b, c = (int(h[k:k + 8], 16) / 2**32 for k in (0, 8, 16))
+            hit = x not in (BOS_ID, PAD_ID, EOS_ID) and a < 0.5
+            new.append((100 if b < 0.8 else int(c * 2**32) % 100 if b < 0.9 else x) if hit else x)
+            labels.append(x if hit else IGNORE_LABEL_ID)
+        want.append((row_id, line_no, chunk_no, new, labels))
+    key = lambda r: tuple(map(str, r))
+    assert sorted((tuple(r)[1:] for r in masked.collect()), key=key) == sorted(want, key=key)
+
+
 def test_piece_counts_are_not_exploded(spark):
     rng = random.Random(4)
     rows = [([rng.randint(0, 6) for _ in range(8)], [rng.choice([-100, 0, 1, 2]) for _ in range(8)]) for _ in range(50)]

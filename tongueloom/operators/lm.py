@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from hashlib import md5
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tongueloom.config import BOS_ID, EOS_ID, IGNORE_LABEL_ID, PAD_ID
-from tongueloom.functions.hashing import SPAN, digest, hash_word
+from tongueloom.functions.hashing import SPAN
 from tongueloom.functions.text import words
 from tongueloom.operators.clean import dedup
 from tongueloom.session import lookup_join, stage
@@ -25,24 +29,41 @@ def mlm_mask(encoded: DataFrame, mask_id: int, vocab_size: int, rate: float = 0.
 
     One md5 per position: word 0 chooses, word 1 picks the action, word 2 the random id.
     """
-    def below(d: Column, k: int, share: float) -> Column:
-        return F.substring(d, 8 * k + 1, 8) < F.lit(f"{int(share * SPAN):08x}")  # hex words sort as numbers
-
-    def at(x: Column, d: Column) -> Column:
-        chosen = ~x.isin(BOS_ID, PAD_ID, EOS_ID) & below(d, 0, rate)
-        masked = (
-            F.when(below(d, 1, 0.8), F.lit(mask_id).cast("bigint"))
-            .when(below(d, 1, 0.9), hash_word(d, 2) % F.lit(vocab_size)).otherwise(x)
-        )
-        kept = F.struct(x.alias("id"), F.lit(IGNORE_LABEL_ID).cast("bigint").alias("label"))
-        return F.when(chosen, F.struct(masked.alias("id"), x.alias("label"))).otherwise(kept)
-
-    digests = F.transform("input_ids", lambda x, i: digest(seed, F.col("row_id"), F.col("line_no"), F.col("chunk_no"), i))
-    return encoded.withColumn("_z", F.zip_with("input_ids", digests, at)).select(
-        "lang", "row_id", "line_no", "chunk_no", F.col("_z.id").alias("input_ids"), F.col("_z.label").alias("labels")
+    words_of = _mask_udf(mask_id, vocab_size, rate)
+    key = F.concat_ws("|", *[F.lit(str(seed)), *[F.col(c).cast("string") for c in ("row_id", "line_no", "chunk_no")]])
+    return encoded.withColumn("_z", words_of(key, F.col("input_ids"))).select(
+        "lang", "row_id", "line_no", "chunk_no", F.col("_z.ids").alias("input_ids"), F.col("_z.labels").alias("labels")
     )
 
 
+def _mask_udf(mask_id: int, vocab_size: int, rate: float):
+    """Column function: key of a sequence, its ids -> ``(ids, labels)``; the md5 of position i is that of ``key|i``."""
+    limit = lambda share: int(share * SPAN)
+
+    def digests(key: str, n: int) -> bytes:
+        base, out = md5(f"{key}|".encode(), usedforsecurity=False), []
+        for i in range(n):
+            own = base.copy()
+            own.update(b"%d" % i)
+            out.append(own.digest())
+        return b"".join(out)
+
+    @F.arrow_udf("struct<ids:array<bigint>,labels:array<bigint>>")
+    def masked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for keys, lists in batches:
+            x = lists.flatten().to_numpy()
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            raw = b"".join(map(digests, keys.to_pylist(), sizes.tolist()))
+            word = np.frombuffer(raw, dtype=">u4").reshape(-1, 4).astype(np.int64)
+            chosen = ~np.isin(x, [BOS_ID, PAD_ID, EOS_ID]) & (word[:, 0] < limit(rate))
+            made = np.where(word[:, 1] < limit(0.8), mask_id, np.where(word[:, 1] < limit(0.9), word[:, 2] % vocab_size, x))
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), type=pa.int32())
+            both = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (np.where(chosen, made, x), np.where(chosen, x, IGNORE_LABEL_ID))]
+            yield pa.StructArray.from_arrays(both, names=["ids", "labels"])
+
+    return masked
+
+
 # ---- next-token model --------------------------------------------------------
 
 def _pair_rows(sentences: DataFrame, ends: bool) -> DataFrame:
