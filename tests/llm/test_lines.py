@@ -139,3 +139,26 @@ def test_rows_that_repeat_an_id_keep_their_own_lines(docs_of):
     for order in (rows, rows[::-1]):
         got = dedup_lines(docs_of(order).selectExpr("*", "1 as own_row", "2 as OWN_ID", "3 as gone_spans")).collect()
         assert sorted(((r.doc_id, r.text) for r in got), key=str) == want
+
+
+def test_blocks_of_their_own_words_are_not_compared(docs_of, monkeypatch):
+    """Only windows next to a repeated run are compared one by one, and no short window is lost with its block."""
+    from tongueloom.llm import lines
+
+    held, plain = {}, lines.stage
+    monkeypatch.setattr(lines, "stage", lambda df, name: held.setdefault(name, plain(df, name)))
+    rnd = random.Random(8)
+    fresh = iter(range(100_000))
+    own = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    passage = own(55)
+    rows = [(i, " ".join(own(40) + passage[rnd.randint(0, 2):] + own(40))) for i in range(20)]
+    got, want = run(docs_of(rows)), gone_words(rows, 50)
+    assert held["windows"].count() < 20 * 41 / 2  # of up to 41 windows a fingerprint, those near the passage
+    for i, t in rows:
+        assert [x.encode().split() for x in got[i][0].split("\n") if x.split()] == left_of(t, want[i])
+    for least in (1, 2, 7, 9, 17):
+        held.clear()
+        few = [(i, " ".join(rnd.choices("abcde", k=rnd.randint(0, 30)))) for i in range(30)]
+        got, want = run(docs_of(few), LineDedup(min_words=least, gram=4)), gone_words(few, least)
+        for i, t in few:
+            assert [x.encode().split() for x in got[i][0].split("\n") if x.split()] == left_of(t, want[i])

@@ -19,6 +19,7 @@ from tongueloom.llm.common import attach, unused
 from tongueloom.llm.wordhash import Words, keys, mix, slices
 from tongueloom.session import stage
 
+_BLOCK = 8  # windows compared first by the words that they have in common
 _PLACE = np.uint64((1 << 28) - 1)  # bits of a word's place in texts worked on together; the others are of a hash
 
 
@@ -73,6 +74,16 @@ class Windows:
     def content(self) -> np.ndarray:
         return run_hashes(self.hashes, self.p.min_words, keys(1, self.p.seed + 1)[0] | np.uint64(1))[self.starts]
 
+    def blocks(self) -> tuple[np.ndarray, np.ndarray]:
+        """The block of each window, and a hash of the words that all windows of a block have in common.
+
+        A block is up to ``_BLOCK`` consecutive windows of a fingerprint, counted from it, so that equal windows lie in blocks of equal words.
+        """
+        size, odd = min(_BLOCK, self.p.min_words), keys(1, self.p.seed + 3)[0] | np.uint64(1)
+        block = (self.place - self.starts) // size
+        common = run_hashes(self.hashes, self.p.min_words - size + 1, odd)[self.place - block * size]
+        return block, mix(mix(common * odd + self.grams[self.place]) + block.astype(np.uint64))
+
 
 def _id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))  # rows without an id come last
@@ -107,7 +118,10 @@ def segments(docs: DataFrame, p: LineDedup) -> DataFrame:
 
 
 def windows_of(docs: DataFrame, p: LineDedup) -> DataFrame:
-    """``(doc_id, row, lo, mark, content)``: the windows of the row's ``segs`` (first words and numbers of windows); ``lo`` is the first word."""
+    """``(doc_id, row, lo, mark, core, contents)``: the windows of the row's ``segs`` (first words and numbers of windows), a row for each block.
+
+    ``lo`` is the first word of the block's first window, ``core`` the hash of the words that its windows have in common.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
@@ -117,13 +131,18 @@ def windows_of(docs: DataFrame, p: LineDedup) -> DataFrame:
                 lo, n = (segs.values.field(k).to_numpy() for k in ("lo", "n"))
                 edges += np.bincount(start + lo, minlength=len(edges)) - np.bincount(start + lo + n, minlength=len(edges))
             take = np.cumsum(edges)[w.starts] > 0
-            lo, place = w.starts[take], w.place[take]
+            block, core = w.blocks()
+            place, block, content = w.place[take], block[take], w.content()[take]
+            first = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+            lo = w.starts[take][first]
             own = w.owner[lo]
+            contents = pa.ListArray.from_arrays(pa.array(np.append(first, len(place)).astype(np.int32)), pa.array(content.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_numbers(batch, "doc_id")[own]), pa.array(_numbers(batch, "row")[own]), pa.array((lo - w.bounds[own]).astype(np.int32)),
-                 pa.array(w.grams[place].view(np.int64)), pa.array(w.content()[take].view(np.int64))], names=["doc_id", "row", "lo", "mark", "content"])
+                 pa.array(w.grams[place[first]].view(np.int64)), pa.array(core[take][first].view(np.int64)), contents],
+                names=["doc_id", "row", "lo", "mark", "core", "contents"])
 
-    return docs.mapInArrow(run, "doc_id long, row long, lo int, mark long, content long")
+    return docs.mapInArrow(run, "doc_id long, row long, lo int, mark long, core long, contents array<long>")
 
 
 def _firsts(found: DataFrame, on: list[str], name: str) -> DataFrame:
@@ -139,7 +158,8 @@ def repeated_windows(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     """``(doc_id, row, segs)``: per row the windows that repeat an earlier one (smaller doc_id, then smaller ``row``, then place).
 
     Segments are compared whole first: all windows of one that occurred before are repeats. Windows are compared one by one only where
-    differing segments share a fingerprint, at the borders of passages, and there in the first occurrence of each segment.
+    differing segments share a fingerprint, at the borders of passages, and there in the first occurrence of each segment. A block of windows
+    whose common words occur nowhere else has no repeats and goes before that.
     """
     keyed = docs.select(_id().alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     found = stage(segments(keyed, p), "segments")
@@ -149,7 +169,10 @@ def repeated_windows(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     told = stage(attach(again, _firsts(again, ["mark", "seg"], "first-segments"), ["mark", "seg"], "left"), "told")
     span = F.struct("lo", "n")
     edges = stage(told.where(f"differ and {_IS_FIRST}").groupBy("doc_id", "row").agg(F.collect_set(span).alias("segs")), "borders")
-    windows = stage(windows_of(attach(keyed, edges, ["doc_id", "row"], cells=F.size("segs")), p), "windows")
+    blocks = stage(windows_of(attach(keyed, edges, ["doc_id", "row"], cells=F.size("segs")), p), "blocks")
+    shared = stage(blocks.groupBy("core").agg(F.count("*").alias("times")).where("times > 1").select("core"), "shared-cores")
+    windows = stage(attach(blocks, shared, ["core"], "left_semi").select("doc_id", "row", "mark", "lo", F.posexplode("contents").alias("at", "content"))
+                    .select("doc_id", "row", (F.col("lo") + F.col("at")).alias("lo"), "mark", "content"), "windows")
     on = ["mark", "content"]
     singles = attach(windows, _firsts(windows, on, "first-windows"), on).where(f"not {_IS_FIRST}")
     gone = told.where(f"not {_IS_FIRST}").select("doc_id", "row", "lo", "n").unionByName(singles.select("doc_id", "row", "lo", F.lit(1).alias("n")))
