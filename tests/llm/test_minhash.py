@@ -83,6 +83,22 @@ def test_large_families_in_small_blocks(docs_of, p):
     assert run(docs_of(rows), p) == brute(rows)
 
 
+def test_a_common_line_costs_no_blocks_of_pairs(docs_of, monkeypatch):
+    """Sets that share a frequent line alone are not dealt to all blocks of their family; those that are similar are linked."""
+    from tongueloom.llm import minhash
+
+    dealt, plain = [], minhash.linked
+    monkeypatch.setattr(minhash, "linked", lambda df, p: (dealt.append(df.count()), plain(df, p))[1])
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=6))
+    line = [word() for _ in range(40)]
+    rows = [(i, " ".join(line + [word() for _ in range(30)])) for i in range(300)]
+    rows += [(1000 + i, f"{t} {word()}") for i, t in rows[:40]] + [(2000 + i, " ".join([*line, word()])) for i in range(60)]
+    p = MinHash(block=8, heads=2, rounds=1)
+    assert run(docs_of(rows), p) == brute(rows)
+    assert len(dealt) == 2 and dealt[-1] < 2 * len(rows)
+
+
 def test_rows_that_repeat_an_id_with_other_texts(docs_of):
     a, b, c = "a b c d e f g h", "one two three four five six", "x y z"
     rows = [(2, a), (2, b), (1, b), (3, a), (2, c), (2, c), (None, a)]

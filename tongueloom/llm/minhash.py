@@ -7,8 +7,8 @@ share a key are candidates and are confirmed on their full shingle sets.
 A bucket is never expanded into pairs. Each of its sets is tied to the first one, and what hangs together that way is a family. A family is
 dealt to blocks of bounded size, and a few heads of the family are sent to each: a block compares all its sets and yields the links that
 connect the similar ones. In a family of copies that settles nearly all, at a cost that grows with its size. What does not
-hang together with the largest group yet sends new heads, and what is left after that is compared with all of the family,
-block by block, so that no link between documents of a bucket is lost for the result.
+hang together with the largest group yet sends new heads. What is left after that is cut into smaller families by its rarest shingles, of
+which similar sets share one, and is compared with all of those, block by block, so that no link between documents of a bucket is lost for the result.
 """
 
 from __future__ import annotations
@@ -194,6 +194,28 @@ def _upto(n: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
 
+def close(members: DataFrame, p: MinHash) -> DataFrame:
+    """``(node, family, n_rest, n_top)``: families of ``(family, node, sh, rest)`` cut into those that may hold links of the ``rest``, by prefixes.
+
+    With the shingles of a family ordered from the rarest on, two similar sets have one in common among the first ``n - ceil(n * percent / 100) + 1`` of
+    either. Sets that share only frequent shingles, as a line that is on many pages, fall apart that way, and no similar pair does.
+    """
+    found = members.select("family", "node", F.explode("sh").alias("s"))
+    often = found.groupBy("family", "s").agg(F.count("*").alias("n")).where("n > 1")
+    size = F.size("sh")
+    first = size - F.ceil(size * p.percent / 100).cast("int") + 1
+    ordered = found.join(often, ["family", "s"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("shared"))
+    # shingles of one set alone come first in the order
+    left = F.greatest(first - (size - F.size("shared")), F.lit(0))
+    prefixes = stage(members.join(ordered, "node").select("node", "rest", F.explode(F.slice("shared", F.lit(1), left)).alias("e"), "family").select(
+        F.xxhash64("family", "e.s").alias("bucket"), "node", "rest"), "prefixes")
+    met = prefixes.join(prefixes.where("rest").select("bucket").distinct(), "bucket", "left_semi").select("bucket", "node")
+    cut = components(bucket_heads(met.repartition("bucket").sortWithinPartitions("bucket", "node"))).withColumnRenamed("root", "family")
+    cut = stage(cut.join(members.select("node", "rest"), "node"), "close")
+    n = stage(cut.groupBy("family").agg(F.count_if("rest").alias("n_rest"), F.count_if(~F.col("rest")).alias("n_top")).where("n_rest > 0"), "close-sizes")
+    return stage(attach(cut, n, ["family"]).select("node", "family", "n_rest", "n_top"), "close-families")
+
+
 def verified(docs: DataFrame, classes: DataFrame, families: DataFrame, p: MinHash) -> DataFrame:
     """Links ``(a, b)`` that connect all similar sets of each family ``(node, component)``, found on their full shingle sets."""
     size = families.groupBy("component").agg(F.ceil(F.count("*") / p.block).cast("int").alias("nb"))
@@ -216,20 +238,20 @@ def verified(docs: DataFrame, classes: DataFrame, families: DataFrame, p: MinHas
         root = components(links)
         group = stage(large.join(root, "node", "left").select("node", "family", F.coalesce("root", "node").alias("root")), "groups")
         sizes = stage(group.groupBy("family", "root").agg(F.count("*").alias("n")), "group-sizes")
-        top = stage(sizes.groupBy("family").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("k"), F.sum("n").alias("all")).where("k > 1").select(
-            "family", F.col("m.root").alias("top"), F.col("m.n").alias("n_top"), (F.col("all") - F.col("m.n")).alias("n_rest")), "top-groups")
+        top = stage(sizes.groupBy("family").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("k")).where("k > 1").select(
+            "family", F.col("m.root").alias("top")), "top-groups")
         if top.isEmpty():
             return links
-        place = stage(attach(group, top, ["family"]).select("node", (F.col("root") != F.col("top")).alias("rest"), "n_top", "n_rest"), "places")
+        place = stage(attach(group, top, ["family"]).select("node", (F.col("root") != F.col("top")).alias("rest")), "places")
         heads_of = group.select("node", "family").join(place.where("rest").select("node"), "node", "left_semi")
         open_ = attach(sets, top.select("family"), ["family"], "left_semi")
-    parts = attach(open_, place, ["node"])
+    members = stage(attach(open_, place, ["node"]).dropDuplicates(["node"]).select("family", "node", "sh", "rest"), "members")
     blocks = lambda n: F.ceil(F.col(n) / p.block).cast("int")
-    parts = parts.select("family", "node", "sh", "rest", blocks("n_rest").alias("nr"), blocks("n_top").alias("nt"))
+    parts = attach(members.drop("family"), close(members, p), ["node"]).select("family", "node", "sh", "rest", blocks("n_rest").alias("nr"), blocks("n_top").alias("nt"))
     rest = parts.where("rest").withColumn("own", _block(p.rounds, "nr"))
     among = rest.withColumn("other", _upto("nr")).select("family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "sh")
     # groups with the largest one's blocks are numbered below zero
-    against = rest.withColumn("other", _upto("nt")).select("family", F.col("own").alias("x"), (-1 - F.col("other")).alias("y"), "node", "sh")
+    against = rest.where("nt > 0").withColumn("other", _upto("nt")).select("family", F.col("own").alias("x"), (-1 - F.col("other")).alias("y"), "node", "sh")
     tops = parts.where("not rest").withColumn("y", -1 - _block(p.rounds, "nt")).select("family", _upto("nr").alias("x"), "y", "node", "sh")
     return links.unionByName(linked(among.unionByName(against).unionByName(tops), p))
 
