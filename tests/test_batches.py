@@ -12,6 +12,7 @@ from tongueloom.config import BOS_ID, EOS_ID, IGNORE_LABEL_ID, PAD_ID
 from tongueloom.functions.arrays import label_indices
 from tongueloom.operators import lm, ner
 from tongueloom.plans import views
+from tongueloom.sources import readers, sinks
 
 
 def plan_of(df):
@@ -82,3 +83,54 @@ def test_an_unknown_or_missing_label_ends_the_job(spark):
     for bad, told in (("C", "unknown tag: C"), (None, "unknown tag: null")):
         with pytest.raises(Exception, match=told):
             spark.createDataFrame([(["A", bad],)], "t array<string>").select(at).collect()
+
+
+def slow_token_lines(row, text):
+    h = lambda *parts: int(hashlib.md5("|".join(parts).encode()).hexdigest()[:8], 16)
+    out = ["-DOCSTART- O", ""] if row is not None and row % 100 == 0 else []
+    for line in (x.strip() for x in text.strip().splitlines()):
+        if len(line.split()) > 5:
+            before = None
+            for w in line.split():
+                at = h(w) % 10
+                kind = views.ENTITY_TYPES[at] if at < 4 else None
+                tag = "O" if kind is None else f"I-{kind}" if kind == before else f"B-{kind}"
+                out.append(w if h("n", *([] if row is None else [str(row)]), w) % 50 == 0 else f"{w} {tag}")
+                before = kind
+            out += ["", ""] if h("b", line) % 97 == 0 else [""]
+    return out
+
+
+def test_token_lines_are_made_once_and_written_in_order(spark, tmp_path):
+    rng = random.Random(7)
+    pool = ["a", "é", "🙂", *(f"w{i}" for i in range(60))]
+    blanks, breaks = [" ", "  ", "\u3000", "\x1f", "\t"], ["\n", "\r\n", "\x85", "\n\n", "\u2028"]
+
+    def text():
+        line = lambda: "".join(rng.choice(pool) + rng.choice(blanks) for _ in range(rng.randint(1, 14)))
+        return "".join(line() + rng.choice(breaks) for _ in range(rng.randint(0, 9)))
+
+    rows = [(rng.choice(["en", "fr"]), i, text() if i % 9 else None) for i in range(1, 402)]
+    rows += [("en", None, text() + "a b c d e f")]
+    expected = [(lang, None if row is None else row * views.DOC_SHIFT + i, x) for lang, row, t in rows if t is not None for i, x in enumerate(slow_token_lines(row, t))]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(rows, "lang string, row_id bigint, input string")
+    lines = views.conll_lines_of(docs.repartitionByRange(6, "lang", "row_id").mapInArrow(counted, docs.schema))
+    key = lambda r: (r[0], r[1] is not None, r[1] or 0, r[2])
+    sinks.write_conll(lines, str(tmp_path / "out"), ranged=True)
+    assert seen.value == len(rows)
+    read = readers.read_conll(spark, str(tmp_path / "out/*"), r"/file=([^/]+)/")
+    assert "regexp" not in plan_of(read).lower()  # the name is worked out once a block
+    got = sorted(map(tuple, read.collect()))
+    assert sorted(map(tuple, lines.collect()), key=key) == sorted(expected, key=key)
+    for name in ("en", "fr"):
+        own = [x for lang, _, x in sorted((e for e in expected if e[0] == name and e[1] is not None))]
+        mine = [x for lang, _, x in got if lang == name]
+        assert mine[len(mine) - len(own):] == own  # lines without a number come first
+        assert [n for lang, n, _ in got if lang == name] == list(range(1, len(mine) + 1))

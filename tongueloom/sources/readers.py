@@ -16,8 +16,8 @@ TSV = {
 }
 
 
-def _lang_from_path(pattern: str) -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+def _lang_from_path(pattern: str, path: str = "_metadata.file_path") -> Column:
+    return F.regexp_extract(F.col(path), pattern, 1)
 
 
 def read_corpus(spark: SparkSession, path: str, column: str = "input") -> DataFrame:
@@ -41,15 +41,19 @@ def read_lines(spark: SparkSession, path: str, split: str = "train") -> DataFram
     )
 
 
-def number_file_lines(read: DataFrame, group: str = "lang") -> DataFrame:
+def number_file_lines(read: DataFrame, group: str = "lang", named: Column | None = None) -> DataFrame:
     """(lang, line_no, line): dense 1-based numbers per language, files in name order.
 
+    ``named`` is the group as an expression of ``file``, worked out once a block; without it the lines have it as a column.
+
     Sequence numbers are consecutive inside a file block, so a block needs only its first number and
     its offset: one row per block, looked up by the lines; no window over the lines.
     """
-    blocks = read.groupBy(group, "file", "block").agg(F.count("*").alias("_n"), F.min("seq").alias("_first"))
+    blocks = read.groupBy(*([group] if named is None else []), "file", "block").agg(F.count("*").alias("_n"), F.min("seq").alias("_first"))
+    if named is not None:
+        read, blocks = read.select("file", "block", "seq", "line"), blocks.withColumn(group, named)
     before = F.sum("_n").over(W.partitionBy(group).orderBy("file", "block")) - F.col("_n")
-    blocks = blocks.select("file", "block", "_first", before.alias("_before"))
+    blocks = blocks.select(*([] if named is None else [group]), "file", "block", "_first", before.alias("_before"))
     return lookup_join(read, blocks, ["file", "block"], "inner", limit=BLOCK_LIMIT).select(
         group, (F.col("_before") + F.col("seq") - F.col("_first") + 1).alias("line_no"), "line"
     )
@@ -73,9 +77,8 @@ def parse_conll(lines: DataFrame) -> DataFrame:
     shorter than two characters are sentence breaks and carry no token.
     """
     line = strip(F.col("line"))
-    fields = F.split(line, " ")
-    tag = F.when(F.size(fields) > 1, F.element_at(fields, -1)).otherwise(F.lit("O"))
-    return lines.where(F.length(line) >= 2).select("file", "line_no", fields[0].alias("word"), tag.alias("tag"))
+    tag = F.when(F.contains(line, F.lit(" ")), F.substring_index(line, " ", -1)).otherwise(F.lit("O"))
+    return lines.where(F.length(line) >= 2).select("file", "line_no", F.substring_index(line, " ", 1).alias("word"), tag.alias("tag"))
 
 
 def read_conll(spark: SparkSession, path: str, name: str = "^(.*)$") -> DataFrame:
@@ -83,8 +86,8 @@ def read_conll(spark: SparkSession, path: str, name: str = "^(.*)$") -> DataFram
 
     ``name`` takes the file's name from its path; parts of a folder that share a name count as one file, in name order.
     """
-    read = spark.read.text(path).select(_lang_from_path(name).alias("_group"), *places(), F.col("value").alias("line"))
-    return number_file_lines(read, "_group").withColumnRenamed("_group", "file")
+    read = spark.read.text(path).select(*places(), F.col("value").alias("line"))
+    return number_file_lines(read, "_group", _lang_from_path(name, "file")).withColumnRenamed("_group", "file")
 
 
 def read_labels(spark: SparkSession, path: str | None = None) -> DataFrame:
