@@ -162,3 +162,34 @@ def test_blocks_of_their_own_words_are_not_compared(docs_of, monkeypatch):
         got, want = run(docs_of(few), LineDedup(min_words=least, gram=4)), gone_words(few, least)
         for i, t in few:
             assert [x.encode().split() for x in got[i][0].split("\n") if x.split()] == left_of(t, want[i])
+
+
+def test_blocks_do_not_move_to_be_compared_by_their_words(docs_of, spark, monkeypatch):
+    """A filter of bounded size stands for the table of shared words, however large; what moves is the same with small tables and large ones."""
+    import contextlib
+    import io
+
+    from tongueloom.llm import common, lines
+
+    plans, plain = {}, lines.stage
+
+    def staged(df, name):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain()
+        plans[name] = out.getvalue()
+        return plain(df, name)
+
+    monkeypatch.setattr(lines, "stage", staged)
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choices("abcde", k=rnd.randint(0, 60)))) for i in range(30)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for limit in (0, 100_000):
+            monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+            got, want = run(docs_of(rows), LineDedup(min_words=9, gram=4)), gone_words(rows, 9)
+            assert "SortMergeJoin" not in plans["windows"] and "SortMergeJoin" in plans["told"]
+            for i, t in rows:
+                assert [x.encode().split() for x in got[i][0].split("\n") if x.split()] == left_of(t, want[i])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tongueloom.llm.common import attach, unused
 from tongueloom.llm.wordhash import Words, keys, mix, slices
+from tongueloom.operators.lm import maybe_among
 from tongueloom.session import stage
 
 _BLOCK = 8  # windows compared first by the words that they have in common
+_BITS = 16  # bits a core in the filter of shared cores, of which there are 2**28 at most (32 MB)
 _PLACE = np.uint64((1 << 28) - 1)  # bits of a word's place in texts worked on together; the others are of a hash
 
 
@@ -151,6 +153,13 @@ def _firsts(found: DataFrame, on: list[str], name: str) -> DataFrame:
     return stage(first.where("times > 1").select(*on, *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "row", "lo")]), name)
 
 
+def _with_shared_core(blocks: DataFrame) -> DataFrame:
+    """The blocks whose ``core`` other blocks have, and few others: a filter of bounded size, so blocks with their contents do not move for it."""
+    shared = stage(blocks.groupBy("core").agg(F.count("*").alias("times")).where("times > 1").select("core"), "shared-cores")
+    bits = min(1 << 28, max(1 << 15, 1 << (_BITS * shared.count()).bit_length()))
+    return maybe_among(blocks, shared, "core", bits, F.col("core").bitwiseAND(F.lit(2**63 - 1)))
+
+
 _IS_FIRST = "(first_doc_id is null or (doc_id = first_doc_id and row = first_row and lo = first_lo))"
 
 
@@ -159,19 +168,19 @@ def repeated_windows(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
 
     Segments are compared whole first: all windows of one that occurred before are repeats. Windows are compared one by one only where
     differing segments share a fingerprint, at the borders of passages, and there in the first occurrence of each segment. A block of windows
-    whose common words occur nowhere else has no repeats and goes before that.
+    whose common words occur nowhere else has no repeats and nearly always goes before that; one that stays is told by its windows.
     """
     keyed = docs.select(_id().alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     found = stage(segments(keyed, p), "segments")
     marks = stage(found.groupBy("mark").agg(F.count("*").alias("times"), F.min("seg").alias("low"), F.max("seg").alias("high"))
                   .where("times > 1").select("mark", (F.col("low") != F.col("high")).alias("differ")), "marks")
     again = stage(attach(found, marks, ["mark"]), "segments-again")
-    told = stage(attach(again, _firsts(again, ["mark", "seg"], "first-segments"), ["mark", "seg"], "left"), "told")
+    firsts = _firsts(again, ["mark", "seg"], "first-segments").hint("merge")  # one form at all sizes, so what moves grows as the input
+    told = stage(again.join(firsts, ["mark", "seg"], "left"), "told")
     span = F.struct("lo", "n")
     edges = stage(told.where(f"differ and {_IS_FIRST}").groupBy("doc_id", "row").agg(F.collect_set(span).alias("segs")), "borders")
     blocks = stage(windows_of(attach(keyed, edges, ["doc_id", "row"], cells=F.size("segs")), p), "blocks")
-    shared = stage(blocks.groupBy("core").agg(F.count("*").alias("times")).where("times > 1").select("core"), "shared-cores")
-    windows = stage(attach(blocks, shared, ["core"], "left_semi").select("doc_id", "row", "mark", "lo", F.posexplode("contents").alias("at", "content"))
+    windows = stage(_with_shared_core(blocks).select("doc_id", "row", "mark", "lo", F.posexplode("contents").alias("at", "content"))
                     .select("doc_id", "row", (F.col("lo") + F.col("at")).alias("lo"), "mark", "content"), "windows")
     on = ["mark", "content"]
     singles = attach(windows, _firsts(windows, on, "first-windows"), on).where(f"not {_IS_FIRST}")

@@ -250,13 +250,15 @@ def predict_checked(df: DataFrame, fn: Callable[[pd.Series], pd.Series], ledger:
     return done
 
 
-def maybe_among(df: DataFrame, table: DataFrame, digest: str, bits: int = 1 << 28) -> DataFrame:
+def maybe_among(df: DataFrame, table: DataFrame, digest: str, bits: int = 1 << 28, number: Column | None = None) -> DataFrame:
     """The rows of ``df`` whose md5 may be among those of ``table``: none that is among them is lost, few others stay.
 
+    Another hash than the hex digits of an md5 in ``digest`` is given as the expression ``number``, not negative, of columns of both.
+
     A Bloom filter with one hash: ``table`` sets bits of at most ``bits``, in maps of 4 KB that are made and joined distributed, so what is broadcast
     is bounded by ``bits`` (32 MB) whatever the tables. A filter that has become full only lets more rows through.
     """
-    spot = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % bits
+    spot = (F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") if number is None else number) % bits
     area, place = F.floor(spot / 32768), spot % 32768
     maps = table.select(area.alias("_area"), place.alias("_place")).groupBy("_area").agg(F.bitmap_construct_agg("_place").alias("_map"))
     byte = F.conv(F.hex(F.expr("substring(_map, cast(_place div 8 + 1 as int), 1)")), 16, 10).cast("int")
