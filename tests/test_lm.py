@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tongueloom.config import CorpusJob
 from tongueloom.operators import lm
-from tongueloom.plans import growth
+from tongueloom.plans import catalog, growth, oracles
 
 LINES = [
     ("a", "the cat sat on the mat and the cat ran"), ("a", "the dog sat on the log"), ("a", "on and on and stop"),
@@ -118,6 +118,15 @@ def test_three_rounds_grow_without_losing_text(spark):
     assert stats[1, "a"]["n_before"] == 60 and stats[3, "blank"]["n_after"] == 1
 
 
+def test_active_rounds_runs_every_round_of_the_job(spark, tmp_path):
+    rows = [(i, f"w{i % 7} w{i % 5} and the w{i % 3} of w{i % 11} went home again", "ab"[i % 2]) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.active_rounds(spark, str(tmp_path)).collect()
+    assert sorted((r["round"], r["lang"]) for r in got) == [(k, lang) for k in range(1, CorpusJob().rounds + 1) for lang in "ab"]
+    sql = oracles.build()["active_rounds"]
+    assert all(f"corpus_{k + 1} AS" in sql for k in range(1, CorpusJob().rounds + 1))
+
+
 def test_failed_predictions_are_kept_and_counted(spark, tmp_path):
     df = spark.createDataFrame([("a",), ("bad",), ("c",), (None,)], "prompt string")
 
