@@ -314,3 +314,24 @@ def test_a_half_written_cache_is_no_hit(spark, tmp_path):
     (path / "_SUCCESS").unlink()
     assert sinks.cached(spark, str(tmp_path), lambda: spark.range(2), ("k",)).count() == 2
     assert sinks.cached(spark, str(tmp_path), lambda: spark.range(4), ("k",)).count() == 2
+
+
+def test_title_fit_keeps_no_words_and_equals_the_plain_pipeline(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF, IDF
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(f"{c}1 {c}2 {c}3 the of".split()) for _ in range(rng.randint(1, 9)))) for _ in range(40) for k, c in enumerate("xyz")]
+    df = spark.createDataFrame(rows, "label_id long, news_title string")
+    stages = [HashingTF(inputCol="words", outputCol="tf", numFeatures=64), IDF(inputCol="tf", outputCol="features"),
+              LogisticRegression(labelCol="label_id", featuresCol="features", family="multinomial", maxIter=5)]
+    plain = Pipeline(stages=stages).fit(df.select("label_id", F.split("news_title", " ").alias("words")))
+    kept = []
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *_: kept.append(self.columns) or self)
+    monkeypatch.setattr(DataFrame, "cache", lambda self: kept.append(self.columns) or self)
+    model = classify.lr_fit(df, features=64, max_iter=5)
+    assert not kept
+    assert np.allclose(model.stages[-1].coefficientMatrix.toArray(), plain.stages[-1].coefficientMatrix.toArray(), atol=1e-6)
+    assert classify.lr_predict(df, model).columns == ["label_id", "news_title", "prediction"]

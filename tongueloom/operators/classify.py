@@ -66,21 +66,20 @@ def nb_predict(test: DataFrame, model: BayesModel, key: str = "row_id", text: st
 
 
 def lr_fit(train: DataFrame, text: str = "news_title", label: str = "label_id", features: int = 1 << 17, max_iter: int = 100):
-    """Hashed TF-IDF and multinomial logistic regression as one Spark ML pipeline."""
-    from pyspark.ml import Pipeline
+    """Hashed TF-IDF and multinomial logistic regression as one Spark ML pipeline.
+
+    Texts are hashed once and staged as sparse counts, so no words are held in memory: what the solver keeps of them are its own blocks, on disk where
+    memory is short.
+    """
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, IDF
 
-    stages = [
-        HashingTF(inputCol="words", outputCol="tf", numFeatures=features),
-        IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(labelCol=label, featuresCol="features", family="multinomial", maxIter=max_iter),
-    ]
-    rows = train.select(label, words(F.col(text)).alias("words")).persist()  # read by the weights and by every step of the solver
-    try:
-        return Pipeline(stages=stages).fit(rows)
-    finally:
-        rows.unpersist()
+    hashing = HashingTF(inputCol="words", outputCol="tf", numFeatures=features)
+    rows = stage(hashing.transform(train.select(label, words(F.col(text)).alias("words"))).select(label, "tf"), "term-counts")
+    weights = IDF(inputCol="tf", outputCol="features").fit(rows)
+    solver = LogisticRegression(labelCol=label, featuresCol="features", family="multinomial", maxIter=max_iter)
+    return PipelineModel([hashing, weights, solver.fit(weights.transform(rows).select(label, "features"))])
 
 
 def lr_predict(test: DataFrame, model, text: str = "news_title") -> DataFrame:
