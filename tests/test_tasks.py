@@ -335,3 +335,27 @@ def test_title_fit_keeps_no_words_and_equals_the_plain_pipeline(spark, monkeypat
     assert not kept
     assert np.allclose(model.stages[-1].coefficientMatrix.toArray(), plain.stages[-1].coefficientMatrix.toArray(), atol=1e-6)
     assert classify.lr_predict(df, model).columns == ["label_id", "news_title", "prediction"]
+
+
+@pytest.mark.parametrize("per_bucket", [1, 2, 7, 50, 10_000])
+def test_sentences_go_on_across_buckets(spark, per_bucket):
+    rng = random.Random(per_bucket)
+    texts = {f: [rng.choice(["", " ", "-", "a B-X", "bb O", "c", "dd x I-Y", "\u00e9\u00e9 O", "e\tf O"] if f != "none" else ["aa O", "b I-Z"]) for _ in range(n)]
+             for f, n in (("f", 300), ("g", 41), ("none", 60), ("breaks", 0))} | {"breaks": [""] * 30, "late": [""] * 90 + ["aa O"]}
+    rows = [(f, 3 * i + 5, x) for f, t in texts.items() for i, x in enumerate(t)]
+    rng.shuffle(rows)
+    rows += [(None, 1, "aa O"), ("f", None, "aa O"), ("f", 11, None)]
+    got = ner.conll_sentences(spark.createDataFrame(rows, "file string, line_no long, line string").repartition(5), "dev", per_bucket).collect()
+    for f, t in texts.items():
+        mine = sorted((int(r["guid"].split("-")[1]), r["words"], r["labels"]) for r in got if r["file"] == f)
+        assert [x[1:] for x in mine] == [tuple(x) for x in slow_conll("\n".join(t))] and [x[0] for x in mine] == list(range(1, len(mine) + 1)), f
+    assert {r["file"] for r in got} <= set(texts)
+
+
+def test_lines_of_sentences_move_packed(spark):
+    lines = spark.range(40_000).selectExpr("if(id div 9000 % 2 = 0, 'a', 'b') as file", "id div 10000 as bucket", "id as no", "concat('w', id % 97) as word", "'O' as tag")
+    rows = lines.mapInArrow(ner._packed, "file string, bucket long, no binary, word binary, word_size binary, tag binary, tag_size binary")
+    assert rows.count() < 100
+    got = [r for part in rows.repartition(1).sortWithinPartitions("file", "bucket").mapInArrow(
+        ner._pieces, "file string, bucket long, piece long, gap long, words array<string>, labels array<string>").collect() for r in (part["words"] or [])]
+    assert sorted(got) == sorted(f"w{i % 97}" for i in range(40_000))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tongueloom.config import BOS_ID, EOS_ID, IGNORE_LABEL_ID, NER_TAGS, PAD_ID
 from tongueloom.functions.arrays import argmax_index, label_indices
@@ -15,7 +15,7 @@ from tongueloom.operators.classify import ratio
 from tongueloom.operators.rank import running_sum
 from tongueloom.operators.subword import labelled_chunks
 from tongueloom.session import lookup_join, stage
-from tongueloom.sources.readers import parse_conll
+from tongueloom.sources.readers import parse_conll, token_fields
 
 LINES_PER_BUCKET = 1 << 20
 DOC_MARK = "-DOCSTART-"
@@ -35,9 +35,117 @@ def mark_sentences(lines: DataFrame, lines_per_bucket: int = LINES_PER_BUCKET) -
     return running_sum(lines, ["file"], bucket, ["line_no"], "gap", is_break)
 
 
+def _runs_of(ends: np.ndarray, data) -> pa.Array:
+    """Binary values that lie one after the other in ``data``."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(file, bucket, no, word, tag)`` as a row per batch, file and bucket: steps of the numbers, joined texts and their sizes."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        code, bucket = batch.column("file").dictionary_encode().indices.to_numpy(), batch.column("bucket").to_numpy()
+        order = np.lexsort((bucket, code))
+        if (order[1:] < order[:-1]).any():
+            batch, code, bucket = batch.take(pa.array(order)), code[order], bucket[order]
+        cuts = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (bucket[1:] != bucket[:-1]))))
+        ends = np.append(cuts, n)
+        no = batch.column("no").to_numpy()
+        steps = np.diff(no, prepend=0)
+        steps[cuts] = no[cuts]
+        columns = [batch.column("file").take(pa.array(cuts)), pa.array(bucket[cuts]), _runs_of(8 * ends, steps.tobytes())]
+        for name in ("word", "tag"):
+            texts = batch.column(name).cast(pa.string())
+            at = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset: texts.offset + n + 1]
+            joined = memoryview(texts.buffers()[2] or b"")[int(at[0]): int(at[-1])]
+            columns += [_runs_of(at[ends] - at[0], joined), _runs_of(4 * ends, np.diff(at).tobytes())]
+        yield pa.RecordBatch.from_arrays(columns, names=["file", "bucket", "no", "word", "word_size", "tag", "tag_size"])
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``_packed`` makes, sorted by file and bucket, as the sentences in each bucket: ``piece`` counts those with a token, ``gap`` the breaks before.
+
+    A row of its own, with ``piece`` -1, has all breaks of the bucket. Lines of one number are ordered by their text, a break first.
+    """
+
+    def strings(sizes: np.ndarray, data: bytes) -> pa.Array:
+        ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+    def cut(key: tuple[str, int], rows: list[dict]) -> pa.RecordBatch:
+        no = np.concatenate([np.cumsum(np.frombuffer(r["no"], dtype=np.int64)) for r in rows])
+        sizes, tag_sizes = (np.frombuffer(b"".join(r[c] for r in rows), dtype=np.int32) for c in ("word_size", "tag_size"))
+        words, tags = (strings(s, b"".join(r[c] for r in rows)) for s, c in ((sizes, "word"), (tag_sizes, "tag")))
+        if (no[1:] <= no[:-1]).any():
+            order = np.argsort(no, kind="stable")
+            if (np.diff(no[order]) == 0).any():
+                w, t = words.to_pylist(), tags.to_pylist()
+                order = np.array(sorted(range(len(no)), key=lambda i: (no[i], w[i], t[i])))
+            words, tags, sizes = words.take(pa.array(order)), tags.take(pa.array(order)), sizes[order]
+        token = sizes > 0
+        gap = np.cumsum(~token)
+        own, mask = gap[token], pa.array(token)
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, dtype=np.int64)
+        m = len(starts)
+        ends, no_list = pa.array([*starts.tolist(), len(own), len(own)], type=pa.int32()), pa.array([False] * m + [True])
+        lists = [pa.ListArray.from_arrays(ends, x.filter(mask), mask=no_list) for x in (words, tags)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]] * (m + 1), type=pa.string()), pa.array([key[1]] * (m + 1), type=pa.int64()), pa.array([*range(m), -1], type=pa.int64()),
+             pa.array([*own[starts].tolist(), int(gap[-1])], type=pa.int64()), *lists], names=["file", "bucket", "piece", "gap", "words", "labels"])
+
+    key, held = None, []
+    for batch in batches:
+        for row in ({c: batch.column(c)[i].as_py() for c in batch.schema.names} for i in range(batch.num_rows)):
+            if (now := (row["file"], row["bucket"])) != key and held:
+                yield cut(key, held)
+                held = []
+            key = now
+            held.append(row)
+    if held:
+        yield cut(key, held)
+
+
 def conll_sentences(lines: DataFrame, mode: str = "test", lines_per_bucket: int = LINES_PER_BUCKET) -> DataFrame:
-    """(file,line_no,line) -> (file,guid,words,labels); runs of breaks make no empty sentences."""
-    marked = mark_sentences(lines, lines_per_bucket)
+    """(file,line_no,line) -> (file,guid,words,labels); runs of breaks make no empty sentences.
+
+    Lines are read once and moved once, packed into a row per batch and bucket of ``lines_per_bucket`` numbers. A bucket is cut into sentences on its
+    own; only what is open at its ends is joined with its neighbours, as a table of buckets tells. Lines that carry ``gap`` already are grouped by it.
+    """
+    if "gap" in lines.columns:
+        return _sentences_by_gap(lines, mode, lines_per_bucket)
+    text, word, tag = token_fields(F.col("line"))
+    token, number = F.length(text) >= 2, F.col("line_no").cast("bigint")
+    rows = lines.where(F.col("file").isNotNull() & number.isNotNull() & F.col("line").isNotNull()).select(
+        F.col("file").cast("string").alias("file"), F.floor(number / F.lit(lines_per_bucket)).alias("bucket"), number.alias("no"),
+        *[F.when(token, x).otherwise(F.lit("")).alias(c) for c, x in (("word", word), ("tag", tag))])
+    packed = rows.mapInArrow(_packed, "file string, bucket long, no binary, word binary, word_size binary, tag binary, tag_size binary")
+    dealt = packed.repartition("file", "bucket").sortWithinPartitions("file", "bucket")
+    pieces = stage(dealt.mapInArrow(_pieces, "file string, bucket long, piece long, gap long, words array<string>, labels array<string>"), "sentences")
+    of_piece = F.when(F.col("piece") >= 0, F.col("gap"))
+    in_file = W.partitionBy("file").orderBy("bucket")  # a row per bucket
+    upto, after = in_file.rowsBetween(W.unboundedPreceding, -1), in_file.rowsBetween(1, W.unboundedFollowing)
+    cells = (
+        pieces.groupBy("file", "bucket").agg(F.max(F.when(F.col("piece") < 0, F.col("gap"))).alias("breaks"), F.count(of_piece).alias("n"),
+                                             F.min(of_piece).alias("first"), F.max(of_piece).alias("last"))
+        .withColumn("before", F.coalesce(F.sum("breaks").over(upto), F.lit(0)))
+        .withColumn("goes_on", F.coalesce((F.col("first") == 0) & (F.max(F.col("before") + F.col("last")).over(upto) == F.col("before")), F.lit(False)))
+        .withColumn("open_end", F.coalesce(  # the next bucket that goes on with a sentence goes on with this one's last
+            F.min(F.when(F.col("goes_on"), F.col("before"))).over(after) == F.col("before") + F.col("breaks"), F.lit(False)))
+        .withColumn("told", F.coalesce(F.sum(F.col("n") - F.col("goes_on").cast("int")).over(upto), F.lit(0)) + 1 - F.col("goes_on").cast("int"))
+        .select("file", "bucket", "breaks", "goes_on", "open_end", "told")
+    )
+    numbered = lookup_join(pieces.where(F.col("piece") >= 0), stage(cells, "buckets"), ["file", "bucket"], "inner", staged=True)
+    is_open = (F.col("goes_on") & (F.col("gap") == 0)) | (F.col("open_end") & (F.col("gap") == F.col("breaks")))
+    numbered = numbered.select("file", "bucket", (F.col("told") + F.col("piece")).alias("k"), "words", "labels", is_open.alias("open"))
+    parts = numbered.where("open").groupBy("file", "k").agg(F.array_sort(F.collect_list(F.struct("bucket", "words", "labels"))).alias("t"))
+    whole = numbered.where("not open").select("file", "k", "words", "labels").unionByName(
+        parts.select("file", "k", F.flatten("t.words").alias("words"), F.flatten("t.labels").alias("labels")))
+    return whole.select("file", F.concat_ws("-", F.lit(mode), "k").alias("guid"), "words", "labels")
+
+
+def _sentences_by_gap(marked: DataFrame, mode: str, lines_per_bucket: int) -> DataFrame:
     tokens = parse_conll(marked.withColumn("file", F.struct("file", "gap")))
     row = F.struct("line_no", "word", "tag")
     grouped = stage(tokens.groupBy("file.file", "file.gap").agg(F.array_sort(F.collect_list(row)).alias("t")), "sentences")

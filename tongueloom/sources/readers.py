@@ -70,15 +70,21 @@ def read_labelled(
     return (rows.na.drop("any") if complete else rows).select(text, label)
 
 
+def token_fields(line: Column) -> tuple[Column, Column, Column]:
+    """The stripped line, its first blank-separated field, and its last one or ``O`` if there is one field."""
+    line = strip(line)
+    tag = F.when(F.contains(line, F.lit(" ")), F.substring_index(line, " ", -1)).otherwise(F.lit("O"))
+    return line, F.substring_index(line, " ", 1), tag
+
+
 def parse_conll(lines: DataFrame) -> DataFrame:
     """(file,line_no,line) -> (file,line_no,word,tag) for token lines.
 
     First and last blank-separated field of the stripped line, tag ``O`` if there is one field; lines
     shorter than two characters are sentence breaks and carry no token.
     """
-    line = strip(F.col("line"))
-    tag = F.when(F.contains(line, F.lit(" ")), F.substring_index(line, " ", -1)).otherwise(F.lit("O"))
-    return lines.where(F.length(line) >= 2).select("file", "line_no", F.substring_index(line, " ", 1).alias("word"), tag.alias("tag"))
+    line, word, tag = token_fields(F.col("line"))
+    return lines.where(F.length(line) >= 2).select("file", "line_no", word.alias("word"), tag.alias("tag"))
 
 
 def read_conll(spark: SparkSession, path: str, name: str = "^(.*)$") -> DataFrame:
