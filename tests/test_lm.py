@@ -127,6 +127,23 @@ def test_active_rounds_runs_every_round_of_the_job(spark, tmp_path):
     assert all(f"corpus_{k + 1} AS" in sql for k in range(1, CorpusJob().rounds + 1))
 
 
+def test_held_lines_are_made_once(spark, monkeypatch):
+    seen, whole = spark.sparkContext.accumulator(0), growth.clean.len_window
+
+    def counted(*args):
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return whole(*args).mapInArrow(run, whole(*args).schema)
+
+    monkeypatch.setattr(growth.clean, "len_window", counted)
+    rows = [("ab"[i % 2], i, f"w{i % 7} w{i % 5} and the w{i % 3} of w{i % 11} went home again") for i in range(90)]
+    splits = growth.sample.split(spark.createDataFrame(rows, "lang string, row_id long, input string"), 0.2, 1)
+    assert seen.value == 0 and len(growth.generate(splits, CorpusJob(), 1).collect()) == seen.value == 18
+
+
 def test_failed_predictions_are_kept_and_counted(spark, tmp_path):
     df = spark.createDataFrame([("a",), ("bad",), ("c",), (None,)], "prompt string")
 
